@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmeter.session import shuffle_partitions
+from gridmeter.session import checkpoint_dir, shuffle_partitions
 
 _PID = "_gm_pid"
 _OFF = "_gm_off"
@@ -93,30 +93,42 @@ def cumsum(
     integral = isinstance(vtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     out_type = T.LongType() if integral else T.DoubleType()
 
-    # Explicit partition count: AQE never coalesces or splits this exchange, so
-    # partition ids stay stable between the two branches that read it.
+    # Range partitioning splits a hot group over many tasks. Each task scans its
+    # sorted slice once (vectorised, in Arrow batches) and tags rows with its
+    # partition id. The result is checkpointed before it is read twice: range
+    # bounds come from a sample seeded per exchange, so two separately planned
+    # exchanges could disagree on them; stored ids cannot, and a lost executor
+    # re-reads the checkpoint instead of re-sampling.
     ranged = df.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id())
+    schema = T.StructType(ranged.schema.fields + [T.StructField(out, out_type, True)])
+    local = ranged.sortWithinPartitions(*keys).mapInPandas(_local_running_sum(by, value, out, integral), schema)
+    checkpoint_dir(spark)
+    local = local.checkpoint(eager=True)
 
-    # Per (task, group) totals; partial aggregation keeps this at <= groups + tasks rows.
-    totals = ranged.groupBy(_PID, *by).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).cast(out_type).alias(_TOT))
+    # Per (task, group) totals: partial aggregation keeps this at <= groups + tasks rows.
+    totals = local.groupBy(_PID, *by).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).cast(out_type).alias(_TOT))
     if by:
+        # only a group that crosses a task border has rows in earlier tasks
         spanning = totals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
         totals = totals.join(spanning, _null_safe_on(totals, spanning, by), "left_semi")
         w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     else:
         # one row per task: at most ``n`` rows in the single window partition
         w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *by, F.coalesce(F.sum(_TOT).over(w), F.lit(0)).cast(out_type).alias(_OFF))
-
-    schema = T.StructType(ranged.schema.fields + [T.StructField(out, out_type, True)])
-    local = ranged.sortWithinPartitions(*keys).mapInPandas(
-        _local_running_sum(by, value, out, integral), schema
+    keycols = [_PID, *by]
+    renamed = {c: f"_gm_k{i}" for i, c in enumerate(keycols)}
+    offsets = totals.select(
+        *[F.col(c).alias(renamed[c]) for c in keycols],
+        F.coalesce(F.sum(_TOT).over(w), F.lit(0)).cast(out_type).alias(_OFF),
     )
 
-    off = F.broadcast(offsets)  # bounded: one border group per task, <= 2 * n rows
-    joined = local.join(off, _null_safe_on(local, off, [_PID, *by]), "left")
-    cols = [local[c] for c in df.columns]
-    return joined.select(*cols, (local[out] + F.coalesce(off[_OFF], F.lit(0)).cast(out_type)).alias(out))
+    off = F.broadcast(offsets)  # bounded: spanning groups give <= 2 * n rows, no groups give n
+    cond = None
+    for c in keycols:
+        e = F.col(c).eqNullSafe(F.col(renamed[c]))
+        cond = e if cond is None else cond & e
+    joined = local.join(off, cond, "left")
+    return joined.select(*df.columns, (F.col(out) + F.coalesce(F.col(_OFF), F.lit(0)).cast(out_type)).alias(out))
 
 
 def offset_from_first(

@@ -22,6 +22,7 @@ from gridmeter.plans.tables import (
     price_series,
     resource_series,
     scarcity_series,
+    table,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,241 @@ def q_curtailment(spark: SparkSession, sf: str) -> DataFrame:
     ev = events(spark, sf)
     out = A.curtailment_by_month_hour(resource_series(ev), EVENT_GRID, [WIND_TYPE], [SOLAR_TYPE], by_day=True)
     return out.select("day", "hour", _r("total"), _r("wind"), _r("solar"))
+
+
+# --- distributed solar stand-ins: orders are installations ----------------------
+# approval date = o_orderdate, size (kW, exact in cents) = o_totalprice,
+# orientation = o_orderstatus, tie-break = o_orderkey
+
+def _sites(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.select(
+        "o_orderkey", "o_orderstatus", "o_orderdate",
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("size_cents"),
+    )
+
+
+@register("cumsum_grouped")
+def q_cumsum_grouped(spark: SparkSession, sf: str) -> DataFrame:
+    c = A.dg_cumulative(_sites(spark, sf), "o_orderdate", "size_cents", "o_orderkey", orientation_col="o_orderstatus")
+    return c.select("o_orderkey", "o_orderstatus", "o_orderdate", _r("capacity_mw", 6))
+
+
+@register("cumsum_global")
+def q_cumsum_global(spark: SparkSession, sf: str) -> DataFrame:
+    c = A.dg_cumulative(_sites(spark, sf), "o_orderdate", "size_cents", "o_orderkey")
+    return c.select("o_orderkey", "o_orderdate", _r("capacity_mw", 6))
+
+
+def _dg_fit_input(spark, sf):
+    return A.dg_cumulative(_sites(spark, sf), "o_orderdate", "size_cents", "o_orderkey", orientation_col="o_orderstatus")
+
+
+@register("grouped_linear_fit")
+def q_grouped_linear_fit(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.time import days_since_epoch
+    from gridmeter.operators.stats import grouped_linear_fit
+
+    train = _dg_fit_input(spark, sf).where(F.col("o_orderdate") > F.lit("1998-12-31").cast("date"))
+    coef = grouped_linear_fit(train, "capacity_mw", days_since_epoch("o_orderdate"), by=["o_orderstatus"])
+    return coef.select("o_orderstatus", _r("slope", 6), _r("intercept", 3), "n")
+
+
+@register("predict_linear")
+def q_predict_linear(spark: SparkSession, sf: str) -> DataFrame:
+    p = A.dg_projection(_dg_fit_input(spark, sf), "o_orderdate", "capacity_mw", "o_orderstatus",
+                        train_after="1998-12-31", at=["1999-01-01", "2003-01-01"], label_at="2003-01-01")
+    return p.select("o_orderstatus", "o_orderdate", _r("capacity_mw", 3), "label")
+
+
+@register("orientation_summary")
+def q_orientation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(
+        (F.col("c_acctbal") / F.lit(20.0)).alias("azimuth"), F.abs("c_acctbal").alias("size_kw")
+    )
+    return A.dg_orientation_summary(c, "azimuth", "size_kw").select("Orientation", _r("SCPA_MW_ac", 6))
+
+
+# --- interval profiles ----------------------------------------------------------
+
+def _hourly_by_type(spark, sf):
+    from gridmeter.functions.time import floor_time
+
+    ev = table(spark, sf, "events")
+    return ev.groupBy("event_type", floor_time("ts", "hour").alias("ts")).agg(F.avg("value").alias("value"))
+
+
+@register("interpolate_linear")
+def q_interpolate_linear(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.timeseries import interpolate_linear
+
+    out = interpolate_linear(_hourly_by_type(spark, sf), "ts", "value", by=["event_type"], every_minutes=5)
+    # 7 decimals: interpolated values of 2-decimal means land on exact halves at 4-6
+    return out.select("event_type", "ts", _r("value", 7))
+
+
+@register("resample_grid")
+def q_resample_grid(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.timeseries import resample_grid
+
+    out = resample_grid(_hourly_by_type(spark, sf), "ts", "value", by=["event_type"], every_minutes=5)
+    return out.select("event_type", "ts", _r("value"))
+
+
+def _ev_profile(ev: DataFrame) -> DataFrame:
+    """EV day profile (Time = minute of day, Weekday flag, EV_load = mean per-step
+    charging of that minute and day type)."""
+    from gridmeter.functions.time import index_to_clock, minute_of_day, weekday_flag
+    from gridmeter.plans.tables import EV_TYPE, typed_series
+
+    s = typed_series(ev, EV_TYPE, "ev").withColumn("clock", index_to_clock("Time_Index", EVENT_GRID))
+    return s.groupBy(minute_of_day("clock").alias("Time"), weekday_flag("clock").alias("Weekday")).agg(
+        F.avg("ev").alias("EV_load")
+    )
+
+
+@register("net_load_5min")
+def q_net_load(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.time import index_to_clock
+    from gridmeter.plans.tables import DG_TYPE, typed_series
+
+    ev = events(spark, sf)
+    load = load_series(ev).select(index_to_clock("Time_Index", EVENT_GRID).alias("Datetime"), "Load")
+    dg = typed_series(ev, DG_TYPE, "Gen").select(index_to_clock("Time_Index", EVENT_GRID).alias("Datetime"), "Gen")
+    out = A.net_load_5min(load, dg, _ev_profile(ev), year=2024, steps_per_hour=EVENT_GRID.steps_per_hour)
+    return out.select("Datetime", _r("Load"), _r("Gen"), _r("EV_load", 10), _r("net_load", 6))
+
+
+@register("fuels_table")
+def q_fuels_table(spark: SparkSession, sf: str) -> DataFrame:
+    ev = events(spark, sf)
+    return A.fuels_table(ev.agg(F.max("Time_Index").alias("max_index")))
+
+
+@register("assign_period")
+def q_assign_period(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.time import index_to_clock
+    from gridmeter.operators.timeseries import assign_period, split_period_index
+
+    ev = events(spark, sf).select("event_id", "Time_Index")
+    ev = assign_period(ev, "Time_Index", EVENT_GRID.steps_per_period)
+    ev = split_period_index(ev, "Time_Index", EVENT_GRID.steps_per_period, period="Rep_Period", step="Step")
+    return ev.withColumn("clock", index_to_clock("Time_Index", EVENT_GRID))
+
+
+@register("slice_period")
+def q_slice_period(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.timeseries import slice_period
+
+    ev = events(spark, sf)
+    return slice_period(load_series(ev), "Time_Index", period=3, steps=EVENT_GRID.steps_per_period).select(
+        "Time_Index", _r("Load")
+    )
+
+
+@register("filter_modulo")
+def q_filter_modulo(spark: SparkSession, sf: str) -> DataFrame:
+    ev = events(spark, sf)
+    steps_per_hour = int(EVENT_GRID.steps_per_hour)
+    return load_series(ev).where(F.pmod("Time_Index", F.lit(steps_per_hour)) == 0).select("Time_Index", _r("Load"))
+
+
+# --- joins ------------------------------------------------------------------------
+
+@register("right_join_natural")
+def q_right_join_natural(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.joins import right_join_keep_all
+
+    sup = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.count(F.lit(1)).alias("n_suppliers"), F.sum("s_acctbal").alias("acctbal")
+    )
+    out = right_join_keep_all(sup, table(spark, sf, "nation"), "n_nationkey")
+    return out.select("n_nationkey", "n_name", "n_suppliers", _r("acctbal", 2))
+
+
+@register("semi_join_built")
+def q_semi_join_built(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.aggregates import semi_join_built
+
+    built = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.sum("l_quantity").alias("EndCap")
+    )
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
+    return semi_join_built(part, built, "p_partkey")
+
+
+@register("left_join_suffix")
+def q_left_join_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.reshape import net_of_charge
+    from gridmeter.plans.tables import charge_series
+
+    ev = events(spark, sf)
+    out = net_of_charge(resource_series(ev), charge_series(ev), ["Time_Index", "Resource"])
+    return out.select("Time_Index", "Resource", _r("value"), _r("value_c"), _r("net"))
+
+
+# --- reshape ------------------------------------------------------------------------
+
+@register("unpivot_all_but")
+def q_unpivot_all_but(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.reshape import unpivot_all_but
+
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                             "l_discount", "l_tax")
+    return unpivot_all_but(li, ["l_orderkey", "l_linenumber"], "name", "value")
+
+
+@register("pivot_wider")
+def q_pivot_wider(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.reshape import pivot_wider
+
+    li = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
+    return pivot_wider(li, ["l_returnflag"], "l_linestatus", "qty", names=["F", "O"])
+
+
+# --- fleets and curves ------------------------------------------------------------
+
+@register("fleet_sum")
+def q_fleet_sum(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.aggregates import fleet_sum
+
+    return fleet_sum(table(spark, sf, "events"), "ts", "value", unit="minute").select("ts", _r("total"))
+
+
+@register("fleet_generation")
+def q_fleet_generation(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.time import floor_time
+    from gridmeter.operators.reshape import union_sources
+
+    ev = table(spark, sf, "events")
+    pv = ev.where(F.col("event_type") == SOLAR_TYPE).select("ts", "value")
+    wind = ev.where(F.col("event_type") == WIND_TYPE).select("ts", "value")
+    both = union_sources([pv, wind], label="fleet", labels=["pv", "wind"])
+    out = both.groupBy("fleet", floor_time("ts", "hour").alias("ts")).agg(F.sum("value").alias("total"))
+    return out.select("fleet", "ts", _r("total"))
+
+
+@register("power_curve")
+def q_power_curve(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.curves import power_curve
+
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("speed"))
+    return power_curve(li, "speed").select("l_orderkey", "l_linenumber", "speed", _r("kw"))
+
+
+# --- statistics -----------------------------------------------------------------
+
+@register("kernel_density")
+def q_kernel_density(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.stats import kernel_density
+
+    d = kernel_density(table(spark, sf, "customer"), "c_acctbal", adjust=1.0, n=512)
+    return d.select("i", _r("x", 6), _r("density", 12))
+
+
+@register("ecdf")
+def q_ecdf(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.stats import ecdf
+
+    e = ecdf(table(spark, sf, "orders"), "o_totalprice", by=["o_orderpriority"])
+    return e.select("o_orderpriority", "o_totalprice", "n_at", _r("ecdf", 10))

@@ -57,3 +57,226 @@ SELECT CAST(day(clock) AS INTEGER) AS day, CAST(hour(clock) AS INTEGER) AS hour,
        round(sum(value) FILTER (WHERE Resource IN ('view')) * (1.0 / 12.0), 4) AS solar
 FROM c GROUP BY 1, 2
 """
+
+# --- distributed solar stand-ins ------------------------------------------------
+_SITES = """
+sites AS (SELECT o_orderkey, o_orderstatus, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS size_cents
+          FROM orders)
+"""
+
+SQL["cumsum_grouped"] = f"""
+WITH {_SITES}
+SELECT o_orderkey, o_orderstatus, o_orderdate,
+       round(CAST(0.01924 AS DOUBLE) * CAST(sum(size_cents) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / 1000.0, 6) AS capacity_mw
+FROM sites
+"""
+
+SQL["cumsum_global"] = f"""
+WITH {_SITES}
+SELECT o_orderkey, o_orderdate,
+       round(CAST(0.01924 AS DOUBLE) * CAST(sum(size_cents) OVER (ORDER BY o_orderdate, o_orderkey
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / 1000.0, 6) AS capacity_mw
+FROM sites
+"""
+
+_DG_CUM = f"""
+{_SITES},
+cum AS (
+  SELECT o_orderstatus, o_orderdate,
+         CAST(0.01924 AS DOUBLE) * CAST(sum(size_cents) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / 1000.0 AS capacity_mw
+  FROM sites
+),
+coef AS (
+  SELECT o_orderstatus,
+         regr_slope(capacity_mw, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS slope,
+         regr_intercept(capacity_mw, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS intercept,
+         regr_count(capacity_mw, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))) AS n
+  FROM cum WHERE o_orderdate > DATE '1998-12-31' GROUP BY o_orderstatus
+)
+"""
+
+SQL["grouped_linear_fit"] = f"""
+WITH {_DG_CUM}
+SELECT o_orderstatus, round(slope, 6) AS slope, round(intercept, 3) AS intercept, CAST(n AS BIGINT) AS n FROM coef
+"""
+
+SQL["predict_linear"] = f"""
+WITH {_DG_CUM},
+pts AS (
+  SELECT o_orderstatus, d AS o_orderdate,
+         intercept + slope * date_diff('day', DATE '1970-01-01', d) AS capacity_mw
+  FROM coef, (VALUES (DATE '1999-01-01'), (DATE '2003-01-01')) v(d)
+)
+SELECT o_orderstatus, o_orderdate, round(capacity_mw, 3) AS capacity_mw,
+       CASE WHEN o_orderdate = DATE '2003-01-01' THEN CAST(round(capacity_mw, 2) AS VARCHAR) || ' MW' END AS label
+FROM pts
+"""
+
+SQL["orientation_summary"] = """
+WITH c AS (SELECT c_acctbal / 20.0 AS azimuth, abs(c_acctbal) AS size_kw FROM customer)
+SELECT CASE WHEN azimuth IS NULL OR isnan(azimuth) THEN 'South'
+            WHEN azimuth > 225 THEN 'West' WHEN azimuth > 135 THEN 'South' ELSE 'East' END AS Orientation,
+       round(CAST(0.01924 AS DOUBLE) * sum(size_kw) / 1000.0, 6) AS SCPA_MW_ac
+FROM c GROUP BY 1
+"""
+
+# --- interval profiles ----------------------------------------------------------
+_HOURLY = """
+h AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS v FROM events GROUP BY 1, 2)
+"""
+
+SQL["interpolate_linear"] = f"""
+WITH {_HOURLY},
+s AS (SELECT event_type, ts, v, lead(ts) OVER w AS ts1, lead(v) OVER w AS v1
+      FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+seg AS (SELECT *, date_diff('minute', ts, ts1) // 5 AS n FROM s WHERE ts1 IS NOT NULL),
+k AS (SELECT event_type, ts, v, v1, n, unnest(range(0, n)) AS k FROM seg)
+SELECT event_type, ts + to_minutes(CAST(5 * k AS BIGINT)) AS ts, round(v + (v1 - v) * k / n, 7) AS value FROM k
+UNION ALL
+SELECT event_type, ts, round(v, 7) AS value FROM s WHERE ts1 IS NULL
+"""
+
+SQL["resample_grid"] = f"""
+WITH {_HOURLY},
+b AS (SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM h GROUP BY 1),
+g AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 5 MINUTE)) AS ts FROM b)
+SELECT g.event_type, g.ts, round(h.v, 4) AS value FROM g LEFT JOIN h ON h.event_type = g.event_type AND h.ts = g.ts
+"""
+
+SQL["net_load_5min"] = f"""
+WITH {_EV},
+ld AS (SELECT {_CLOCK} AS Datetime, Load FROM load),
+dg AS (SELECT {_CLOCK} AS Datetime, sum(value) AS Gen FROM ev WHERE event_type = 'signup' GROUP BY Time_Index),
+evs AS (SELECT {_CLOCK} AS clock, sum(value) AS e FROM ev WHERE event_type = 'click' GROUP BY Time_Index),
+prof AS (SELECT CAST(hour(clock) * 60 + minute(clock) AS INTEGER) AS Time,
+                dayofweek(clock) + 1 BETWEEN 2 AND 6 AS Weekday, avg(e) AS EV_load
+         FROM evs GROUP BY 1, 2),
+ly AS (SELECT * FROM ld WHERE Datetime >= TIMESTAMP '2024-01-01 00:00:00' AND Datetime < TIMESTAMP '2025-01-01 00:00:00'),
+ratio AS (SELECT (sum(Load) / 12.0) / CAST(21300000 AS DOUBLE) AS r FROM ly),
+j AS (
+  SELECT ly.Datetime, ly.Load, dg.Gen, prof.EV_load
+  FROM ly LEFT JOIN dg ON dg.Datetime = ly.Datetime
+  JOIN prof ON prof.Time = CAST(hour(ly.Datetime) * 60 + minute(ly.Datetime) AS INTEGER)
+           AND prof.Weekday = (dayofweek(ly.Datetime) + 1 BETWEEN 2 AND 6)
+)
+SELECT Datetime, round(Load, 4) AS Load, round(Gen, 4) AS Gen,
+       round(r * EV_load / 1000.0, 10) AS EV_load, round(Load + r * EV_load / 1000.0, 6) AS net_load
+FROM j, ratio
+"""
+
+SQL["fuels_table"] = f"""
+WITH {_EV}
+SELECT range AS Time_Index, CAST(0.0 AS DOUBLE) AS "None" FROM range(0, (SELECT max(Time_Index) FROM ev) + 1)
+"""
+
+SQL["assign_period"] = f"""
+WITH {_EV}
+SELECT event_id, Time_Index, (Time_Index - 1) // 288 + 1 AS Period_Index, (Time_Index - 1) // 288 + 1 AS Rep_Period,
+       (Time_Index - 1) % 288 AS Step, {_CLOCK} AS clock
+FROM ev
+"""
+
+SQL["slice_period"] = f"""
+WITH {_EV}
+SELECT Time_Index, round(Load, 4) AS Load FROM load WHERE Time_Index BETWEEN 577 AND 864
+"""
+
+SQL["filter_modulo"] = f"""
+WITH {_EV}
+SELECT Time_Index, round(Load, 4) AS Load FROM load WHERE Time_Index % 12 = 0
+"""
+
+# --- joins ----------------------------------------------------------------------
+SQL["right_join_natural"] = """
+WITH sup AS (SELECT s_nationkey AS n_nationkey, count(*) AS n_suppliers, sum(s_acctbal) AS acctbal
+             FROM supplier GROUP BY 1)
+SELECT n.n_nationkey, n.n_name, sup.n_suppliers, round(sup.acctbal, 2) AS acctbal
+FROM sup RIGHT JOIN nation n ON n.n_nationkey = sup.n_nationkey
+"""
+
+SQL["semi_join_built"] = """
+SELECT p_partkey, p_name, p_retailprice FROM part
+WHERE p_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING sum(l_quantity) > 0)
+"""
+
+SQL["left_join_suffix"] = f"""
+WITH {_EV},
+chg AS (SELECT Time_Index, event_type AS Resource, sum(value) AS value_c FROM ev WHERE value < 10.0 GROUP BY 1, 2)
+SELECT r.Time_Index, r.Resource, round(r.value, 4) AS value, round(c.value_c, 4) AS value_c,
+       round(r.value - coalesce(c.value_c, 0.0), 4) AS net
+FROM res r LEFT JOIN chg c ON c.Time_Index = r.Time_Index AND c.Resource = r.Resource
+"""
+
+# --- reshape ----------------------------------------------------------------------
+SQL["unpivot_all_but"] = """
+SELECT l_orderkey, l_linenumber, name, value FROM (
+  UNPIVOT (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS l_quantity,
+                  CAST(l_extendedprice AS DOUBLE) AS l_extendedprice, CAST(l_discount AS DOUBLE) AS l_discount,
+                  CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem)
+  ON l_quantity, l_extendedprice, l_discount, l_tax INTO NAME name VALUE value)
+"""
+
+SQL["pivot_wider"] = """
+WITH q AS (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, first(qty) FILTER (WHERE l_linestatus = 'F') AS "F",
+       first(qty) FILTER (WHERE l_linestatus = 'O') AS "O"
+FROM q GROUP BY 1
+"""
+
+# --- fleets and curves ----------------------------------------------------------
+SQL["fleet_sum"] = """
+SELECT date_trunc('minute', ts) AS ts, round(sum(value), 4) AS total FROM events GROUP BY 1
+"""
+
+SQL["fleet_generation"] = """
+WITH u AS (SELECT 'pv' AS fleet, ts, value FROM events WHERE event_type = 'view'
+           UNION ALL SELECT 'wind', ts, value FROM events WHERE event_type = 'click')
+SELECT fleet, date_trunc('hour', ts) AS ts, round(sum(value), 4) AS total FROM u GROUP BY 1, 2
+"""
+
+SQL["power_curve"] = """
+WITH k(x, y) AS (VALUES (1,0),(2,0),(3,0),(4,222),(5,444),(6,777),(7,1206),(8,1857),(9,2603),(10,3460),
+  (11,4158),(12,4412),(13,4500),(14,4500),(15,4500),(16,4500),(17,4500),(18,4500),(19,4380),(20,4238),
+  (21,4063),(22,3873),(23,3666),(24,3444),(25,3285),(26,3047),(27,2857),(28,0),(29,0),(30,0)),
+seg AS (SELECT CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0,
+               CAST(lead(x) OVER (ORDER BY x) AS DOUBLE) AS x1, CAST(lead(y) OVER (ORDER BY x) AS DOUBLE) AS y1 FROM k),
+li AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS speed FROM lineitem),
+j AS (
+  SELECT li.*, CASE WHEN speed = 30.0 THEN 0.0
+                    WHEN seg.x0 IS NOT NULL THEN seg.y0 + (seg.y1 - seg.y0) * (speed - seg.x0) / (seg.x1 - seg.x0)
+                    ELSE 0.0 END AS one
+  FROM li LEFT JOIN seg ON speed >= seg.x0 AND speed < seg.x1
+)
+SELECT l_orderkey, l_linenumber, speed, round(least(one * 31.0, 139500.0), 4) AS kw FROM j
+"""
+
+# --- statistics -------------------------------------------------------------------
+SQL["kernel_density"] = """
+WITH x AS (SELECT CAST(c_acctbal AS DOUBLE) AS v FROM customer WHERE c_acctbal IS NOT NULL),
+st AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
+              quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x),
+bw AS (SELECT n, lo, hi, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+                                     WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
+p AS (SELECT n, bw, lo - 3.0 * bw AS f, (hi - lo + 6.0 * bw) / 511 AS d FROM bw),
+pos AS (SELECT (v - f) / d AS pos FROM x, p),
+b AS (SELECT CAST(floor(pos) AS INTEGER) AS j, 1.0 - (pos - floor(pos)) AS w FROM pos
+      UNION ALL SELECT CAST(floor(pos) AS INTEGER) + 1, pos - floor(pos) FROM pos),
+bins AS (SELECT j, sum(w) AS w FROM b WHERE j BETWEEN 0 AND 511 GROUP BY j),
+g AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, 512)),
+z AS (SELECT i, j, w, n, bw, f, d, (i - j) * d / bw AS z FROM bins, g, p)
+SELECT i, round(f + i * d, 6) AS x,
+       round(sum(w * (exp(-0.5 * z * z) / sqrt(2 * pi()))) / (n * bw), 12) AS density
+FROM z GROUP BY i, f, d, n, bw
+"""
+
+SQL["ecdf"] = """
+WITH c AS (SELECT o_orderpriority, o_totalprice, count(*) AS n_at FROM orders
+           WHERE o_totalprice IS NOT NULL GROUP BY 1, 2)
+SELECT o_orderpriority, o_totalprice, n_at,
+       round(CAST(sum(n_at) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+             / CAST(sum(n_at) OVER (PARTITION BY o_orderpriority) AS DOUBLE), 10) AS ecdf
+FROM c
+"""

@@ -61,3 +61,29 @@ def scarcity_series(ev: DataFrame) -> DataFrame:
 def resource_series(ev: DataFrame) -> DataFrame:
     """(Time_Index, Resource, value): output per step and resource (long form)."""
     return ev.groupBy("Time_Index", F.col("event_type").alias("Resource")).agg(F.sum("value").alias("value"))
+
+
+# Fixed values of the stand-in: events below this value count as charging.
+CHARGE_BELOW = 10.0
+
+
+def charge_series(ev: DataFrame) -> DataFrame:
+    """(Time_Index, Resource, value): charging per step and resource."""
+    return (
+        ev.where(F.col("value") < CHARGE_BELOW)
+        .groupBy("Time_Index", F.col("event_type").alias("Resource"))
+        .agg(F.sum("value").alias("value"))
+    )
+
+
+def typed_series(ev: DataFrame, event_type: str, name: str) -> DataFrame:
+    """(Time_Index, <name>): per-step sum of one event type."""
+    return ev.where(F.col("event_type") == event_type).groupBy("Time_Index").agg(F.sum("value").alias(name))
+
+
+def fixed_period_map(ev: DataFrame, steps: int = 288, reps: int = 7) -> DataFrame:
+    """Period map by rule: every day present maps onto one of the first
+    ``reps`` days (``(day - 1) mod reps + 1``), which are the representatives."""
+    days = ev.select(F.floor((F.col("Time_Index") - 1) / steps).cast("long").alias("d")).distinct()
+    rep = F.pmod(F.col("d"), F.lit(reps)) + 1
+    return days.select((F.col("d") + 1).alias("Period_Index"), rep.alias("Rep_Period"), rep.alias("Rep_Period_Index"))
