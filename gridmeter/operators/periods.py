@@ -175,10 +175,8 @@ def period_weights(period_map: DataFrame, steps: int, total: float) -> DataFrame
 
 def step_weights(weights: DataFrame, steps: int, index: str = "Time_Index") -> DataFrame:
     """The weight of every step of the reduced series."""
-    return weights.select(
-        ((F.col("Rep_Period_Index") - 1) * steps + F.explode(F.sequence(F.lit(1), F.lit(steps)))).alias(index),
-        "weight",
-    )
+    e = weights.select("Rep_Period_Index", "weight", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_gm_s"))
+    return e.select(((F.col("Rep_Period_Index") - 1) * steps + F.col("_gm_s")).alias(index), "weight")
 
 
 def reduced_series(df: DataFrame, period_map: DataFrame, steps: int, index: str = "Time_Index") -> DataFrame:

@@ -18,6 +18,7 @@ from gridmeter.plans.tables import (
     SOLAR_TYPE,
     WIND_TYPE,
     events,
+    fixed_period_map,
     load_series,
     price_series,
     resource_series,
@@ -304,3 +305,277 @@ def q_ecdf(spark: SparkSession, sf: str) -> DataFrame:
 
     e = ecdf(table(spark, sf, "orders"), "o_totalprice", by=["o_orderpriority"])
     return e.select("o_orderpriority", "o_totalprice", "n_at", _r("ecdf", 10))
+
+
+# --- settlement on the derived result set ---------------------------------------
+
+def _sys(spark, sf):
+    from gridmeter.plans.system import build
+
+    return build(spark, sf)
+
+
+@register("period_weights")
+def q_period_weights(spark: SparkSession, sf: str) -> DataFrame:
+    s = _sys(spark, sf)
+    return s.weights.select("Rep_Period", "Rep_Period_Index", "n_members", _r("weight", 9))
+
+
+@register("step_weights")
+def q_step_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return _sys(spark, sf).step_w.select("Time_Index", _r("weight", 9))
+
+
+@register("annual_sum")
+def q_annual_sum(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.settlement import annual_sum
+
+    s = _sys(spark, sf)
+    return annual_sum(s.red_power, s.step_w).select("Resource", _r("AnnualSum", 2))
+
+
+@register("charging_cost")
+def q_charging_cost(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.settlement import settle
+
+    s = _sys(spark, sf)
+    return settle(s.red_charge, s.red_price, s.step_w).select("Resource", _r("AnnualSum", 2))
+
+
+@register("energy_revenue")
+def q_energy_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.settlement import settle
+
+    s = _sys(spark, sf)
+    return settle(s.red_power, s.red_price, s.step_w).select("Resource", _r("AnnualSum", 2))
+
+
+@register("capacity_factor")
+def q_capacity_factor(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.settlement import annual_sum, capacity_factor
+    from gridmeter.plans.system import WEIGHT_TOTAL
+
+    s = _sys(spark, sf)
+    cf = capacity_factor(annual_sum(s.red_power, s.step_w), s.capacity, WEIGHT_TOTAL, storage=s.storage)
+    return cf.select("Resource", _r("AnnualSum", 2), _r("Capacity", 4), _r("CapacityFactor", 8))
+
+
+def _net_revenue(s):
+    from gridmeter.operators.settlement import annual_sum, cost_components, net_revenue, settle
+
+    energy = annual_sum(s.red_power, s.step_w)
+    charge = annual_sum(s.red_charge, s.step_w)
+    comps = cost_components(s.generators, s.capacity, energy, charge)
+    return net_revenue(comps, {
+        "EnergyRevenue": settle(s.red_power, s.red_price, s.step_w),
+        "Charge_cost": settle(s.red_charge, s.red_price, s.step_w),
+    })
+
+
+@register("net_revenue")
+def q_net_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.settlement import COST_PARTS, REVENUE_PARTS
+
+    n = _net_revenue(_sys(spark, sf))
+    return n.select("Resource", *[_r(c, 2) for c in COST_PARTS + REVENUE_PARTS + ["Revenue", "Cost", "Profit"]])
+
+
+@register("cost_rollup")
+def q_cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.settlement import cost_rollup, unserved_energy_cost
+
+    s = _sys(spark, sf)
+    nse = _nse(s)
+    out = cost_rollup(_net_revenue(s), extra={"cNSE": unserved_energy_cost(nse, s.step_w, _penalty())})
+    return out.select("Costs", _r("Total", 2))
+
+
+def _penalty():
+    from gridmeter.plans.system import NSE_PENALTY
+
+    return NSE_PENALTY
+
+
+def _nse(s):
+    from gridmeter.plans.system import NSE_ABOVE
+
+    load = s.red_power.groupBy("Time_Index").agg(F.sum("value").alias("Load"))
+    return load.select("Time_Index", F.greatest(F.col("Load") - F.lit(NSE_ABOVE), F.lit(0.0)).alias("value"))
+
+
+@register("unserved_energy_cost")
+def q_unserved_energy_cost(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.settlement import unserved_energy_cost
+
+    s = _sys(spark, sf)
+    return unserved_energy_cost(_nse(s), s.step_w, _penalty()).select(_r("value", 2))
+
+
+@register("installed_capacity")
+def q_installed_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.aggregates import order_levels, rollup_total
+
+    s = _sys(spark, sf)
+    measures = ["StartCap", "RetCap", "NewCap", "EndCap", "StartEnergyCap", "RetEnergyCap", "NewEnergyCap",
+                "EndEnergyCap"]
+    t = rollup_total(s.capacity, "Resource", measures, extra={"Zone": "n/a"})
+    t = order_levels(t, "Resource", ["view", "click", "signup", "purchase", "error"], rank="level")
+    return t.select("Resource", "Zone", "level", *[_r(m, 4) for m in measures])
+
+
+@register("storage_energy_totals")
+def q_storage_energy_totals(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.aggregates import sum_filtered
+
+    s = _sys(spark, sf)
+    cap = s.capacity.where(F.col("Resource") != "Total")  # D2: never sum the Total row
+    out = sum_filtered(cap, "EndEnergyCap", {
+        "total": F.lit(True),
+        "battery": F.col("Resource") == "purchase",
+        "pumped_hydro": F.col("Resource") == "error",
+    })
+    return out.select(_r("total", 4), _r("battery", 4), _r("pumped_hydro", 4))
+
+
+@register("cost_revenue_breakdown")
+def q_cost_revenue_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.labels import sign_by_membership
+    from gridmeter.operators.aggregates import semi_join_built
+
+    s = _sys(spark, sf)
+    n = _net_revenue(s)
+    groups = n.select(
+        "Resource",
+        (F.col("Inv_cost_MW") + F.col("Inv_cost_MWh")).alias("Investment"),
+        (F.col("Fixed_OM_cost_MW") + F.col("Fixed_OM_cost_MWh") + F.col("Var_OM_cost_out") + F.col("Var_OM_cost_in")).alias("OM"),
+        F.col("Charge_cost").alias("Charge"),
+        F.col("EnergyRevenue").alias("Energy"),
+    )
+    long = groups.unpivot(["Resource"], ["Investment", "OM", "Charge", "Energy"], "Category", "value")
+    signed = long.withColumn("value_MM", sign_by_membership("Category", ["Energy"]) * F.col("value") / F.lit(1e6))
+    built = semi_join_built(signed, s.capacity, "Resource", cap_col="EndCap")
+    return built.select("Resource", "Category", _r("value_MM", 6))
+
+
+# --- typical periods ------------------------------------------------------------
+
+@register("expand_period_map")
+def q_expand_period_map(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.time import step_in_period
+    from gridmeter.operators.timeseries import expand_period_map
+
+    s = _sys(spark, sf)
+    steps = EVENT_GRID.steps_per_period
+    red_load = s.red_power.groupBy("Time_Index").agg(F.sum("value").alias("Load")).select(
+        (F.floor((F.col("Time_Index") - 1) / steps) + 1).cast("long").alias("Rep_Period_Index"),
+        step_in_period("Time_Index", steps).alias("Step"), "Load",
+    )
+    out = expand_period_map(red_load, s.period_map, steps)
+    return out.select("Period_Index", "Step", "Time_Index", _r("Load"))
+
+
+@register("extreme_periods")
+def q_extreme_periods(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.periods import ExtremeRule, extreme_periods
+
+    ev = events(spark, sf)
+    long = resource_series(ev).unionByName(
+        load_series(ev).select("Time_Index", F.lit("Load").alias("Resource"), F.col("Load").alias("value"))
+    )
+    rules = [
+        ExtremeRule("load_system_absolute_max", "Load", "Absolute", "Max"),
+        ExtremeRule("pv_integral_min", SOLAR_TYPE, "Integral", "Min"),
+        ExtremeRule("wind_integral_min", WIND_TYPE, "Integral", "Min"),
+    ]
+    return extreme_periods(long, "Time_Index", "Resource", "value", EVENT_GRID.steps_per_period, rules)
+
+
+@register("scale_features")
+def q_scale_features(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.periods import scale_features
+
+    h = _hourly_by_type(spark, sf)
+    z = scale_features(h, "value", ["event_type"], method="S", out="z")
+    mm = scale_features(z, "value", ["event_type"], method="N", out="minmax")
+    return mm.select("event_type", "ts", _r("value", 6), _r("z", 8), _r("minmax", 8))
+
+
+@register("representative_periods")
+def q_representative_periods(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.time import index_to_clock
+    from gridmeter.operators.joins import right_join_keep_all
+    from gridmeter.operators.timeseries import assign_period
+
+    ev = events(spark, sf)
+    steps = EVENT_GRID.steps_per_period
+    pmap = fixed_period_map(ev, steps)
+    hourly = load_series(ev).where(F.pmod("Time_Index", F.lit(12)) == 0)  # hourly sample
+    hourly = assign_period(hourly, "Time_Index", steps)
+    j = right_join_keep_all(hourly, pmap, "Period_Index")
+    reps = pmap.select(F.col("Rep_Period").alias("_gm_rp")).distinct()
+    # A period is representative when it is listed as some bin's Rep_Period
+    j = j.join(reps, j["Period_Index"] == reps["_gm_rp"], "left")
+    return j.select(
+        "Time_Index", "Period_Index", "Rep_Period", "Rep_Period_Index",
+        F.col("_gm_rp").isNotNull().alias("Representative"),
+        index_to_clock("Time_Index", EVENT_GRID).alias("clock"), _r("Load"),
+    )
+
+
+# --- weekly views (period 3 = the third day) --------------------------------------
+
+SHOW_PERIOD = 3
+
+
+def _week(df, steps=EVENT_GRID.steps_per_period):
+    from gridmeter.operators.timeseries import slice_period
+
+    return slice_period(df, "Time_Index", SHOW_PERIOD, steps)
+
+
+@register("price_week")
+def q_price_week(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.numeric import per_hour
+    from gridmeter.functions.time import index_to_clock
+
+    p = _week(price_series(events(spark, sf)))
+    return p.select("Time_Index", index_to_clock("Time_Index", EVENT_GRID).alias("clock"),
+                    F.round(per_hour("price", EVENT_GRID.steps_per_hour), 4).alias("price"))
+
+
+@register("price_range")
+def q_price_range(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.numeric import per_hour
+    from gridmeter.operators.aggregates import min_max_range
+
+    p = _week(price_series(events(spark, sf))).select(per_hour("price", EVENT_GRID.steps_per_hour).alias("price"))
+    return min_max_range(p, "price").select(_r("lo"), _r("hi"))
+
+
+@register("scarcity_week")
+def q_scarcity_week(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.functions.time import index_to_clock
+
+    s = _week(scarcity_series(events(spark, sf)))
+    return s.select("Time_Index", index_to_clock("Time_Index", EVENT_GRID).alias("clock"), _r("shdw"))
+
+
+@register("dispatch_week")
+def q_dispatch_week(spark: SparkSession, sf: str) -> DataFrame:
+    from gridmeter.operators.aggregates import semi_join_built
+    from gridmeter.operators.reshape import net_of_charge
+
+    s = _sys(spark, sf)
+    net = net_of_charge(_week(s.power), _week(s.charge), ["Time_Index", "Resource"])
+    net = semi_join_built(net, s.capacity, "Resource")
+    return net.select("Time_Index", "Resource", _r("net"))
+
+
+@register("state_of_charge_week")
+def q_state_of_charge_week(spark: SparkSession, sf: str) -> DataFrame:
+    s = _sys(spark, sf)
+    stor = _week(s.power).join(s.storage, "Resource", "left_semi")
+    total_cap = s.capacity.join(s.storage, "Resource", "left_semi").select(F.sum("EndEnergyCap")).scalar()
+    total = stor.groupBy("Time_Index").agg(F.sum("value").alias("_gm_s"))
+    out = stor.join(total, "Time_Index", "inner")
+    return out.select("Time_Index", "Resource", _r("value"), F.round(F.col("_gm_s") / total_cap, 8).alias("total_soc"))

@@ -280,3 +280,184 @@ SELECT o_orderpriority, o_totalprice, n_at,
              / CAST(sum(n_at) OVER (PARTITION BY o_orderpriority) AS DOUBLE), 10) AS ecdf
 FROM c
 """
+
+# --- the derived planning-run result set (same rules as plans/system.py) ---------
+_SYS = f"""{_EV},
+chg AS (SELECT Time_Index, event_type AS Resource, sum(value) AS value FROM ev WHERE value < 10.0 GROUP BY 1, 2),
+pmap AS (SELECT d + 1 AS Period_Index, d % 7 + 1 AS Rep_Period, d % 7 + 1 AS Rep_Period_Index
+         FROM (SELECT DISTINCT (Time_Index - 1) // 288 AS d FROM ev)),
+reps AS (SELECT DISTINCT Rep_Period, Rep_Period_Index FROM pmap),
+weights AS (SELECT Rep_Period, Rep_Period_Index, count(*) AS n_members,
+                   (CAST(count(*) AS DOUBLE) * 8760.0) / CAST((SELECT count(*) FROM pmap) * 288 AS DOUBLE) AS weight
+            FROM pmap GROUP BY 1, 2),
+sw AS (SELECT (Rep_Period_Index - 1) * 288 + s AS Time_Index, weight FROM weights CROSS JOIN range(1, 289) t(s)),
+red_power AS (SELECT (m.Rep_Period_Index - 1) * 288 + (p.Time_Index - 1) % 288 + 1 AS Time_Index, p.Resource, p.value
+              FROM res p JOIN reps m ON (p.Time_Index - 1) // 288 + 1 = m.Rep_Period),
+red_charge AS (SELECT (m.Rep_Period_Index - 1) * 288 + (p.Time_Index - 1) % 288 + 1 AS Time_Index, p.Resource, p.value
+               FROM chg p JOIN reps m ON (p.Time_Index - 1) // 288 + 1 = m.Rep_Period),
+red_price AS (SELECT (m.Rep_Period_Index - 1) * 288 + (p.Time_Index - 1) % 288 + 1 AS Time_Index, p.price
+              FROM price p JOIN reps m ON (p.Time_Index - 1) // 288 + 1 = m.Rep_Period),
+peaks AS (SELECT Resource, coalesce(max(value) FILTER (WHERE Time_Index <= 2016), 0.0) AS StartCap, max(value) AS e
+          FROM res GROUP BY 1),
+cap0 AS (SELECT Resource, '1' AS Zone, StartCap, greatest(StartCap - e, 0.0) AS RetCap, greatest(e - StartCap, 0.0) AS NewCap,
+                CASE WHEN Resource IN ('purchase', 'error') THEN 4.0 ELSE 0.0 END AS h
+         FROM peaks),
+cap1 AS (SELECT Resource, Zone, StartCap, RetCap, NewCap, StartCap * h AS StartEnergyCap, RetCap * h AS RetEnergyCap,
+                NewCap * h AS NewEnergyCap FROM cap0),
+cap AS (SELECT *, StartCap + NewCap - RetCap AS EndCap, StartEnergyCap + NewEnergyCap - RetEnergyCap AS EndEnergyCap FROM cap1),
+gens AS (SELECT Resource,
+                CASE WHEN st THEN 60000.0 ELSE 85000.0 END AS Inv_Cost_per_MWyr,
+                CASE WHEN st THEN 20000.0 ELSE 0.0 END AS Inv_Cost_per_MWhyr,
+                CASE WHEN st THEN 8000.0 ELSE 12000.0 END AS Fixed_OM_Cost_per_MWyr,
+                CASE WHEN st THEN 5000.0 ELSE 0.0 END AS Fixed_OM_Cost_per_MWhyr,
+                CASE WHEN st THEN 0.5 ELSE 2.0 END AS Var_OM_Cost_per_MWh,
+                CASE WHEN st THEN 0.5 ELSE 0.0 END AS Var_OM_Cost_per_MWh_In
+         FROM (SELECT Resource, Resource IN ('purchase', 'error') AS st FROM cap)),
+energy AS (SELECT Resource, sum(weight * value) AS AnnualSum FROM red_power JOIN sw USING (Time_Index) GROUP BY 1),
+charge_sum AS (SELECT Resource, sum(weight * value) AS AnnualSum FROM red_charge JOIN sw USING (Time_Index) GROUP BY 1),
+erev AS (SELECT Resource, sum(weight * price * value) AS AnnualSum
+         FROM red_power JOIN red_price USING (Time_Index) JOIN sw USING (Time_Index) GROUP BY 1),
+ccost AS (SELECT Resource, sum(weight * price * value) AS AnnualSum
+          FROM red_charge JOIN red_price USING (Time_Index) JOIN sw USING (Time_Index) GROUP BY 1),
+comp AS (
+  SELECT g.Resource,
+         CAST(Inv_Cost_per_MWyr AS DOUBLE) * NewCap AS Inv_cost_MW,
+         CAST(Inv_Cost_per_MWhyr AS DOUBLE) * NewEnergyCap AS Inv_cost_MWh,
+         CAST(Fixed_OM_Cost_per_MWyr AS DOUBLE) * EndCap AS Fixed_OM_cost_MW,
+         CAST(Fixed_OM_Cost_per_MWhyr AS DOUBLE) * EndEnergyCap AS Fixed_OM_cost_MWh,
+         CAST(Var_OM_Cost_per_MWh AS DOUBLE) * coalesce(e.AnnualSum, 0.0) AS Var_OM_cost_out,
+         CAST(Var_OM_Cost_per_MWh_In AS DOUBLE) * coalesce(c.AnnualSum, 0.0) AS Var_OM_cost_in
+  FROM gens g JOIN cap USING (Resource) LEFT JOIN energy e USING (Resource) LEFT JOIN charge_sum c USING (Resource)
+),
+net0 AS (
+  SELECT comp.*, 0.0::DOUBLE AS Fuel_cost, 0.0::DOUBLE AS Start_cost, coalesce(cc.AnnualSum, 0.0) AS Charge_cost,
+         0.0::DOUBLE AS EmissionsCost, coalesce(er.AnnualSum, 0.0) AS EnergyRevenue, 0.0::DOUBLE AS SubsidyRevenue,
+         0.0::DOUBLE AS ReserveMarginRevenue, 0.0::DOUBLE AS ESRRevenue, 0.0::DOUBLE AS RegSubsidyRevenue
+  FROM comp LEFT JOIN erev er USING (Resource) LEFT JOIN ccost cc USING (Resource)
+),
+net AS (
+  SELECT *, EnergyRevenue + SubsidyRevenue + ReserveMarginRevenue + ESRRevenue + RegSubsidyRevenue AS Revenue,
+         Inv_cost_MW + Inv_cost_MWh + Fixed_OM_cost_MW + Fixed_OM_cost_MWh + Var_OM_cost_out + Var_OM_cost_in
+           + Fuel_cost + Start_cost + Charge_cost + EmissionsCost AS Cost
+  FROM net0
+),
+nse AS (SELECT Time_Index, greatest(sum(value) - 150.0, 0.0) AS value FROM red_power GROUP BY 1),
+cnse AS (SELECT 50000.0 * sum(weight * value) AS value FROM nse JOIN sw USING (Time_Index))
+"""
+
+SQL["period_weights"] = f"WITH {_SYS} SELECT Rep_Period, Rep_Period_Index, n_members, round(weight, 9) AS weight FROM weights"
+SQL["step_weights"] = f"WITH {_SYS} SELECT Time_Index, round(weight, 9) AS weight FROM sw"
+SQL["annual_sum"] = f"WITH {_SYS} SELECT Resource, round(AnnualSum, 2) AS AnnualSum FROM energy"
+SQL["charging_cost"] = f"WITH {_SYS} SELECT Resource, round(AnnualSum, 2) AS AnnualSum FROM ccost"
+SQL["energy_revenue"] = f"WITH {_SYS} SELECT Resource, round(AnnualSum, 2) AS AnnualSum FROM erev"
+
+SQL["capacity_factor"] = f"""WITH {_SYS}
+SELECT e.Resource, round(e.AnnualSum, 2) AS AnnualSum, round(cap.EndCap, 4) AS Capacity,
+       round(CASE WHEN e.Resource IN ('purchase', 'error') OR cap.EndCap <= 0 THEN 0.0
+                  ELSE e.AnnualSum / (cap.EndCap * 8760.0) END, 8) AS CapacityFactor
+FROM energy e JOIN cap USING (Resource)
+"""
+
+_NET_COLS = ["Inv_cost_MW", "Inv_cost_MWh", "Fixed_OM_cost_MW", "Fixed_OM_cost_MWh", "Var_OM_cost_out", "Var_OM_cost_in",
+             "Fuel_cost", "Start_cost", "Charge_cost", "EmissionsCost", "EnergyRevenue", "SubsidyRevenue",
+             "ReserveMarginRevenue", "ESRRevenue", "RegSubsidyRevenue", "Revenue", "Cost"]
+SQL["net_revenue"] = (
+    f"WITH {_SYS} SELECT Resource, "
+    + ", ".join(f"round({c}, 2) AS {c}" for c in _NET_COLS)
+    + ", round(Revenue - Cost, 2) AS Profit FROM net"
+)
+
+SQL["cost_rollup"] = f"""WITH {_SYS},
+agg AS (SELECT sum(Inv_cost_MW + Inv_cost_MWh + Fixed_OM_cost_MW + Fixed_OM_cost_MWh) AS cFix,
+               sum(Var_OM_cost_out + Var_OM_cost_in + Fuel_cost) AS cVar, sum(Start_cost) AS cStart,
+               (SELECT value FROM cnse) AS cNSE FROM net)
+SELECT Costs, round(Total, 2) AS Total FROM (
+  SELECT 'cTotal' AS Costs, cFix + cVar + cStart + cNSE AS Total FROM agg
+  UNION ALL SELECT 'cFix', cFix FROM agg UNION ALL SELECT 'cVar', cVar FROM agg
+  UNION ALL SELECT 'cStart', cStart FROM agg UNION ALL SELECT 'cNSE', cNSE FROM agg)
+"""
+
+SQL["unserved_energy_cost"] = f"WITH {_SYS} SELECT round(value, 2) AS value FROM cnse"
+
+_CAP_MEASURES = ["StartCap", "RetCap", "NewCap", "EndCap", "StartEnergyCap", "RetEnergyCap", "NewEnergyCap", "EndEnergyCap"]
+SQL["installed_capacity"] = f"""WITH {_SYS},
+t AS (
+  SELECT Resource, Zone, {", ".join(_CAP_MEASURES)} FROM cap
+  UNION ALL SELECT 'Total', 'n/a', {", ".join(f"sum({m})" for m in _CAP_MEASURES)} FROM cap
+)
+SELECT Resource, Zone,
+       CASE Resource WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4
+                     WHEN 'error' THEN 5 END AS level,
+       {", ".join(f"round({m}, 4) AS {m}" for m in _CAP_MEASURES)}
+FROM t
+"""
+
+SQL["storage_energy_totals"] = f"""WITH {_SYS}
+SELECT round(sum(EndEnergyCap), 4) AS total,
+       round(sum(EndEnergyCap) FILTER (WHERE Resource = 'purchase'), 4) AS battery,
+       round(sum(EndEnergyCap) FILTER (WHERE Resource = 'error'), 4) AS pumped_hydro
+FROM cap WHERE Resource <> 'Total'
+"""
+
+SQL["cost_revenue_breakdown"] = f"""WITH {_SYS},
+g AS (SELECT Resource, Inv_cost_MW + Inv_cost_MWh AS Investment,
+             Fixed_OM_cost_MW + Fixed_OM_cost_MWh + Var_OM_cost_out + Var_OM_cost_in AS OM,
+             Charge_cost AS Charge, EnergyRevenue AS Energy FROM net),
+l AS (UNPIVOT g ON Investment, OM, Charge, Energy INTO NAME Category VALUE value)
+SELECT Resource, Category, round((CASE WHEN Category IN ('Energy') THEN 1.0 ELSE -1.0 END) * value / 1e6, 6) AS value_MM
+FROM l WHERE Resource IN (SELECT Resource FROM cap WHERE EndCap > 0)
+"""
+
+SQL["expand_period_map"] = f"""WITH {_SYS},
+rl AS (SELECT (Time_Index - 1) // 288 + 1 AS Rep_Period_Index, (Time_Index - 1) % 288 AS Step, sum(value) AS Load
+       FROM red_power GROUP BY Time_Index)
+SELECT m.Period_Index, rl.Step, (m.Period_Index - 1) * 288 + rl.Step + 1 AS Time_Index, round(rl.Load, 4) AS Load
+FROM rl JOIN pmap m USING (Rep_Period_Index)
+"""
+
+SQL["extreme_periods"] = f"""WITH {_EV},
+pl AS (SELECT (Time_Index - 1) // 288 + 1 AS Period_Index, max(Load) AS v FROM load GROUP BY 1),
+pv AS (SELECT (Time_Index - 1) // 288 + 1 AS Period_Index, sum(value) AS v FROM res WHERE Resource = 'view' GROUP BY 1),
+wd AS (SELECT (Time_Index - 1) // 288 + 1 AS Period_Index, sum(value) AS v FROM res WHERE Resource = 'click' GROUP BY 1)
+SELECT 'load_system_absolute_max' AS rule, (SELECT Period_Index FROM pl ORDER BY v DESC, Period_Index LIMIT 1) AS Period_Index
+UNION ALL SELECT 'pv_integral_min', (SELECT Period_Index FROM pv ORDER BY v, Period_Index LIMIT 1)
+UNION ALL SELECT 'wind_integral_min', (SELECT Period_Index FROM wd ORDER BY v, Period_Index LIMIT 1)
+"""
+
+SQL["scale_features"] = f"""WITH {_HOURLY},
+st AS (SELECT event_type, avg(v) AS mu, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM h GROUP BY 1)
+SELECT h.event_type, h.ts, round(h.v, 6) AS value,
+       round(CASE WHEN sd > 0 THEN (h.v - mu) / sd ELSE 0.0 END, 8) AS z,
+       round(CASE WHEN hi - lo > 0 THEN (h.v - lo) / (hi - lo) ELSE 0.0 END, 8) AS minmax
+FROM h JOIN st USING (event_type)
+"""
+
+SQL["representative_periods"] = f"""WITH {_SYS},
+hr AS (SELECT Time_Index, Load, (Time_Index - 1) // 288 + 1 AS Period_Index FROM load WHERE Time_Index % 12 = 0)
+SELECT hr.Time_Index, m.Period_Index, m.Rep_Period, m.Rep_Period_Index,
+       m.Period_Index IN (SELECT Rep_Period FROM pmap) AS Representative,
+       {_CLOCK.replace('Time_Index', 'hr.Time_Index')} AS clock, round(hr.Load, 4) AS Load
+FROM hr RIGHT JOIN pmap m ON m.Period_Index = hr.Period_Index
+"""
+
+SQL["price_week"] = f"""WITH {_EV}
+SELECT Time_Index, {_CLOCK} AS clock, round(price * 12.0, 4) AS price FROM price WHERE Time_Index BETWEEN 577 AND 864
+"""
+SQL["price_range"] = f"""WITH {_EV}
+SELECT round(min(price * 12.0), 4) AS lo, round(max(price * 12.0), 4) AS hi FROM price WHERE Time_Index BETWEEN 577 AND 864
+"""
+SQL["scarcity_week"] = f"""WITH {_EV}
+SELECT Time_Index, {_CLOCK} AS clock, round(shdw, 4) AS shdw FROM scar WHERE Time_Index BETWEEN 577 AND 864
+"""
+SQL["dispatch_week"] = f"""WITH {_SYS}
+SELECT r.Time_Index, r.Resource, round(r.value - coalesce(c.value, 0.0), 4) AS net
+FROM res r LEFT JOIN chg c ON c.Time_Index = r.Time_Index AND c.Resource = r.Resource
+WHERE r.Time_Index BETWEEN 577 AND 864 AND r.Resource IN (SELECT Resource FROM cap WHERE EndCap > 0)
+"""
+SQL["state_of_charge_week"] = f"""WITH {_SYS},
+s AS (SELECT * FROM res WHERE Time_Index BETWEEN 577 AND 864 AND Resource IN ('purchase', 'error')),
+tot AS (SELECT Time_Index, sum(value) AS t FROM s GROUP BY 1)
+SELECT s.Time_Index, s.Resource, round(s.value, 4) AS value,
+       round(tot.t / (SELECT sum(EndEnergyCap) FROM cap WHERE Resource IN ('purchase', 'error')), 8) AS total_soc
+FROM s JOIN tot USING (Time_Index)
+"""
