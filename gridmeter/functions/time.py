@@ -61,7 +61,17 @@ def parse_timestamp(col: ColumnLike, fmt: str | None = None, ntz: bool = True) -
         parsed = F.try_to_timestamp(c)
     else:
         parsed = F.try_to_timestamp(c, F.lit(fmt))
-    return parsed.cast("timestamp_ntz") if ntz else parsed
+    parsed = parsed.cast("timestamp_ntz") if ntz else parsed
+    if fmt is not None and _two_digit_year(fmt):
+        # Spark reads "yy" as 2000-2099; R/POSIX ``%y`` reads 69-99 as 1969-1999
+        parsed = F.when(F.year(parsed) >= 2069, F.timestamp_add("YEAR", F.lit(-100), parsed)).otherwise(parsed)
+    return parsed
+
+
+def _two_digit_year(fmt: str) -> bool:
+    import re
+
+    return re.search(r"(?<!y)yy(?!y)", fmt) is not None
 
 
 def parse_date(col: ColumnLike, fmt: str | None = None) -> Column:

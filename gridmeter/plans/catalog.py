@@ -579,3 +579,107 @@ def q_state_of_charge_week(spark: SparkSession, sf: str) -> DataFrame:
     total = stor.groupBy("Time_Index").agg(F.sum("value").alias("_gm_s"))
     out = stor.join(total, "Time_Index", "inner")
     return out.select("Time_Index", "Resource", _r("value"), F.round(F.col("_gm_s") / total_cap, 8).alias("total_soc"))
+
+
+def _half_up(col: str, digits: int):
+    """Round half up as floor(x * 10^d + 0.5) / 10^d: the same IEEE steps in
+    any engine, so exact ties round the same way on both sides of the check."""
+    scale = float(10 ** digits)
+    return (F.floor(F.col(col) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).alias(col)
+
+
+@register("hydro_variability")
+def q_hydro_variability(spark: SparkSession, sf: str) -> DataFrame:
+    """Q8 (T3): month rows x profile columns -> daily rows, long. Stand-in:
+    monthly mean order value per priority as the month x time-of-day table."""
+    from gridmeter.functions.time import floor_time
+    from gridmeter.operators.timeseries import interpolate_month_to_day
+
+    prios = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    o = table(spark, sf, "orders")
+    wide = o.groupBy(floor_time("o_orderdate", "month").alias("Datetime")).pivot("o_orderpriority", prios).agg(
+        F.avg("o_totalprice")
+    )
+    out = interpolate_month_to_day(wide, "Datetime", prios, name="Hour", value_name="gen")
+    return out.select("Hour", "Datetime", _half_up("gen", 4))
+
+
+@register("net_demand_vs_scarcity")
+def q_net_demand_vs_scarcity(spark: SparkSession, sf: str) -> DataFrame:
+    """Q23 (J8): scarcity x availability x demand on the step index;
+    availability = mean of the wind and solar shares of load."""
+    from gridmeter.operators.joins import inner_join_chain
+    from gridmeter.plans.tables import typed_series
+
+    ev = events(spark, sf)
+    load = load_series(ev)
+    shares = inner_join_chain(typed_series(ev, WIND_TYPE, "w"), [typed_series(ev, SOLAR_TYPE, "s"), load], ["Time_Index"])
+    avail = shares.select("Time_Index", ((F.col("w") / F.col("Load") + F.col("s") / F.col("Load")) / 2).alias("avail"))
+    j = inner_join_chain(scarcity_series(ev), [avail, load], ["Time_Index"])
+    return j.select("Time_Index", _r("shdw"), _r("avail", 8),
+                    F.round(F.col("Load") * (F.lit(1.0) - F.col("avail")), 6).alias("net_load"))
+
+
+@register("scalar_functions")
+def q_scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """X1-X17 on every order: parse, date parts, weekday flag, minute and time
+    of day, significant digits, log1p, labels, tolerant numeric casts."""
+    import gridmeter.functions as X
+
+    o = table(spark, sf, "orders")
+    text = F.date_format("o_orderdate", "M/d/yy H:mm")
+    return o.select(
+        "o_orderkey",
+        X.parse_timestamp(text, "M/d/yy H:mm").alias("parsed"),
+        F.year("o_orderdate").alias("yr"),
+        X.month_abbr("o_orderdate").alias("mon"),
+        F.dayofmonth("o_orderdate").alias("dom"),
+        F.dayofweek("o_orderdate").alias("dow"),
+        X.weekday_flag("o_orderdate").alias("weekday"),
+        X.minute_of_day("o_orderdate").alias("mod"),
+        X.time_of_day("o_orderdate").alias("tod"),
+        X.signif("o_totalprice", 2).alias("signif2"),
+        F.round(X.log1p("o_totalprice"), 10).alias("log1p"),
+        X.concat_label(F.col("o_totalprice") / F.lit(1000.0), "k").alias("label"),
+        X.try_numeric(F.substring("o_orderpriority", 1, 1)).alias("prio_num"),
+        X.try_numeric("o_orderpriority").alias("prio_bad"),
+        X.orientation(F.col("o_totalprice") / F.lit(1000.0)).alias("orientation"),
+    )
+
+
+@register("rollup_zone_pivot")
+def q_rollup_zone_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows x (Total, one column per zone). Stand-in: extended price by
+    return flag (row) and line status (zone), summed exactly in decimal."""
+    from gridmeter.operators.aggregates import rollup_zone_pivot
+
+    li = table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.col("l_extendedprice").cast("decimal(18,2)").alias("v")
+    )
+    out = rollup_zone_pivot(li, "l_returnflag", "l_linestatus", "v", ["F", "O"])
+    return out.select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in ("Total", "F", "O")])
+
+
+@register("cluster_periods")
+def q_cluster_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly (load, PV, wind) vectors per day, scaled per profile,
+    extreme days kept apart, k-means for the rest. No SQL form (iterative)."""
+    from gridmeter.functions.time import Grid, step_index
+    from gridmeter.operators.periods import (
+        ExtremeRule, cluster_periods, extreme_periods, period_features, scale_features,
+    )
+
+    hourly_grid = Grid(step_minutes=60, base=EVENT_GRID.base, steps_per_period=24)
+    ev = table(spark, sf, "events").withColumn("H", step_index("ts", hourly_grid))
+    per = ev.groupBy("H", "event_type").agg(F.sum("value").alias("value"))
+    load = ev.groupBy("H").agg(F.sum("value").alias("value")).withColumn("event_type", F.lit("Load"))
+    long = per.unionByName(load)
+    scaled = scale_features(long, "value", ["event_type"], method="S", out="z")
+    profiles = ["Load", SOLAR_TYPE, WIND_TYPE]
+    feats = period_features(scaled, "H", "event_type", "z", 24, profiles)
+    ext = extreme_periods(long, "H", "event_type", "value", 24, [
+        ExtremeRule("load_max", "Load", "Absolute", "Max"),
+        ExtremeRule("pv_min", SOLAR_TYPE, "Integral", "Min"),
+        ExtremeRule("wind_min", WIND_TYPE, "Integral", "Min"),
+    ])
+    return cluster_periods(feats, k_min=4, k_max=4, extremes=ext, repeats=3, seed=11)

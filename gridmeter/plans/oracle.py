@@ -461,3 +461,57 @@ SELECT s.Time_Index, s.Resource, round(s.value, 4) AS value,
        round(tot.t / (SELECT sum(EndEnergyCap) FROM cap WHERE Resource IN ('purchase', 'error')), 8) AS total_soc
 FROM s JOIN tot USING (Time_Index)
 """
+
+SQL["hydro_variability"] = """
+WITH m AS (SELECT o_orderpriority AS Hour, date_trunc('month', o_orderdate) AS Datetime, avg(o_totalprice) AS v
+           FROM orders GROUP BY 1, 2),
+s AS (SELECT Hour, Datetime, v, lead(Datetime) OVER w AS d1, lead(v) OVER w AS v1
+      FROM m WINDOW w AS (PARTITION BY Hour ORDER BY Datetime)),
+seg AS (SELECT *, date_diff('day', Datetime, d1) AS n FROM s WHERE d1 IS NOT NULL),
+k AS (SELECT Hour, Datetime, v, v1, n, unnest(range(0, n)) AS k FROM seg),
+b AS (SELECT min(Datetime) AS lo, max(Datetime) AS hi FROM m),
+f AS (SELECT Hour, min(Datetime) AS first FROM m GROUP BY 1),
+tl AS (SELECT Hour, Datetime, v, unnest(range(0, date_diff('day', Datetime, hi) + 1)) AS k FROM s, b WHERE d1 IS NULL),
+hd AS (SELECT Hour, unnest(range(0, date_diff('day', lo, first))) AS k, lo FROM f, b),
+o AS (SELECT Hour, Datetime + to_days(CAST(k AS INTEGER)) AS Datetime, v + (v1 - v) * k / n AS gen FROM k
+      UNION ALL SELECT Hour, Datetime + to_days(CAST(k AS INTEGER)), v FROM tl
+      UNION ALL SELECT Hour, lo + to_days(CAST(k AS INTEGER)), NULL FROM hd)
+SELECT Hour, Datetime, floor(gen * 10000.0 + 0.5) / 10000.0 AS gen FROM o
+"""
+
+SQL["net_demand_vs_scarcity"] = f"""WITH {_EV},
+w AS (SELECT Time_Index, sum(value) AS w FROM ev WHERE event_type = 'click' GROUP BY 1),
+s AS (SELECT Time_Index, sum(value) AS s FROM ev WHERE event_type = 'view' GROUP BY 1),
+av AS (SELECT Time_Index, (w / Load + s / Load) / 2 AS avail FROM w JOIN s USING (Time_Index) JOIN load USING (Time_Index))
+SELECT Time_Index, round(shdw, 4) AS shdw, round(avail, 8) AS avail, round(Load * (1.0 - avail), 6) AS net_load
+FROM scar JOIN av USING (Time_Index) JOIN load USING (Time_Index)
+"""
+
+SQL["scalar_functions"] = """
+WITH o AS (SELECT *, floor(log10(abs(o_totalprice))) - 2 + 1 AS k FROM orders)
+SELECT o_orderkey,
+       strptime(strftime(o_orderdate, '%-m/%-d/%y %-H:%M'), '%m/%d/%y %H:%M') AS parsed,
+       CAST(year(o_orderdate) AS INTEGER) AS yr, strftime(o_orderdate, '%b') AS mon,
+       CAST(day(o_orderdate) AS INTEGER) AS dom, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS dow,
+       dayofweek(o_orderdate) + 1 BETWEEN 2 AND 6 AS weekday,
+       CAST(hour(o_orderdate) * 60 + minute(o_orderdate) AS INTEGER) AS mod,
+       strftime(o_orderdate, '%H:%M:%S') AS tod,
+       CASE WHEN o_totalprice IS NULL THEN NULL WHEN o_totalprice = 0 THEN 0.0
+            WHEN k >= 0 THEN round(o_totalprice / pow(10.0, abs(k))) * pow(10.0, abs(k))
+            ELSE round(o_totalprice * pow(10.0, abs(k))) / pow(10.0, abs(k)) END AS signif2,
+       round(ln(1 + o_totalprice), 10) AS log1p,
+       CAST(round(o_totalprice / 1000.0, 2) AS VARCHAR) || ' k' AS label,
+       TRY_CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) AS prio_num,
+       TRY_CAST(o_orderpriority AS DOUBLE) AS prio_bad,
+       CASE WHEN o_totalprice / 1000.0 > 225 THEN 'West' WHEN o_totalprice / 1000.0 > 135 THEN 'South'
+            ELSE 'East' END AS orientation
+FROM o
+"""
+
+SQL["rollup_zone_pivot"] = """
+WITH li AS (SELECT l_returnflag, l_linestatus, CAST(l_extendedprice AS DECIMAL(18, 2)) AS v FROM lineitem)
+SELECT l_returnflag, CAST(sum(v) AS DOUBLE) AS Total,
+       CAST(sum(v) FILTER (WHERE l_linestatus = 'F') AS DOUBLE) AS "F",
+       CAST(sum(v) FILTER (WHERE l_linestatus = 'O') AS DOUBLE) AS "O"
+FROM li GROUP BY 1
+"""
