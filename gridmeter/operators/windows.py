@@ -144,9 +144,14 @@ def offset_from_first(
     if not by:
         t0 = df.select(F.min(ts)).scalar()
         return df.withColumn(out, F.timestamp_diff(unit, t0, F.col(ts)))
-    first = df.groupBy(*by).agg(F.min(ts).alias("_gm_first"))
-    j = df.join(first, _null_safe_on(df, first, by), "left")
-    return j.select(*[df[c] for c in df.columns], F.timestamp_diff(unit, first["_gm_first"], df[ts]).alias(out))
+    keyed = {c: f"_gm_k{i}" for i, c in enumerate(by)}
+    first = df.groupBy(*[F.col(c).alias(k) for c, k in keyed.items()]).agg(F.min(ts).alias("_gm_first"))
+    cond = None
+    for c, k in keyed.items():
+        e = F.col(c).eqNullSafe(F.col(k))
+        cond = e if cond is None else cond & e
+    j = df.join(first, cond, "left")
+    return j.select(*df.columns, F.timestamp_diff(unit, F.col("_gm_first"), F.col(ts)).alias(out))
 
 
 def index_from_label(df: DataFrame, label: str, pattern: str = r"^t(\d+)$", out: str = "Time_Index") -> DataFrame:

@@ -683,3 +683,28 @@ def q_cluster_periods(spark: SparkSession, sf: str) -> DataFrame:
         ExtremeRule("wind_min", WIND_TYPE, "Integral", "Min"),
     ])
     return cluster_periods(feats, k_min=4, k_max=4, extremes=ext, repeats=3, seed=11)
+
+
+@register("solver_wide_roundtrip")
+def q_solver_wide_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 + K1: per-step output by resource written as a wide result file (a
+    ``Zone`` and an ``AnnualSum`` row above ``t1..tN``) into the shared
+    checkpoint folder, then read back by label into long form."""
+    import uuid
+
+    from gridmeter.session import checkpoint_dir
+    from gridmeter.sources.csv import write_csv
+    from gridmeter.sources.results import scan_solver_wide
+
+    types = ["click", "error", "purchase", "signup", "view"]
+    res = resource_series(events(spark, sf))
+    wide = res.groupBy("Time_Index").pivot("Resource", types).agg(F.first("value"))
+    steps = wide.select(F.concat(F.lit("t"), F.col("Time_Index").cast("string")).alias("Resource"),
+                        *[F.col(t).cast("string").alias(t) for t in types])
+    zone = spark.range(1).select(F.lit("Zone").alias("Resource"), *[F.lit("1").alias(t) for t in types])
+    annual = res.groupBy().pivot("Resource", types).agg(F.sum("value")).select(
+        F.lit("AnnualSum").alias("Resource"), *[F.col(t).cast("string").alias(t) for t in types])
+    path = f"{checkpoint_dir(spark).rstrip('/')}/solver_wide_{uuid.uuid4().hex}"
+    write_csv(zone.unionByName(annual).unionByName(steps), path)
+    long = scan_solver_wide(spark, path, name="Resource")
+    return long.where(F.col("value").isNotNull()).select("Time_Index", "Resource", _r("value"))

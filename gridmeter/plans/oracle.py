@@ -515,3 +515,5 @@ SELECT l_returnflag, CAST(sum(v) AS DOUBLE) AS Total,
        CAST(sum(v) FILTER (WHERE l_linestatus = 'O') AS DOUBLE) AS "O"
 FROM li GROUP BY 1
 """
+
+SQL["solver_wide_roundtrip"] = f"WITH {_EV} SELECT Time_Index, Resource, round(value, 4) AS value FROM res"
