@@ -167,10 +167,11 @@ def cluster_periods(
 def period_weights(period_map: DataFrame, steps: int, total: float) -> DataFrame:
     """Members per representative, as a per-step weight so that
     sum(weight * steps) over representatives = ``total``."""
-    n_periods = period_map.select(F.count(F.lit(1))).scalar()
-    return period_map.groupBy("Rep_Period", "Rep_Period_Index").agg(F.count(F.lit(1)).alias("n_members")).withColumn(
-        "weight", (F.col("n_members") * F.lit(float(total))) / (n_periods * F.lit(steps))
-    )
+    counts = period_map.groupBy("Rep_Period", "Rep_Period_Index").agg(F.count(F.lit(1)).alias("n_members"))
+    # number of periods = sum of members, over the representatives' rows
+    # (at most one per period of the horizon), so no second pass over the map
+    n_periods = F.sum("n_members").over(Window.partitionBy())
+    return counts.withColumn("weight", (F.col("n_members") * F.lit(float(total))) / (n_periods * F.lit(steps)))
 
 
 def step_weights(weights: DataFrame, steps: int, index: str = "Time_Index") -> DataFrame:

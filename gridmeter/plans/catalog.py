@@ -508,7 +508,7 @@ def q_representative_periods(spark: SparkSession, sf: str) -> DataFrame:
 
     ev = events(spark, sf)
     steps = EVENT_GRID.steps_per_period
-    pmap = fixed_period_map(ev, steps)
+    pmap = fixed_period_map(load_series(ev), steps)
     hourly = load_series(ev).where(F.pmod("Time_Index", F.lit(12)) == 0)  # hourly sample
     hourly = assign_period(hourly, "Time_Index", steps)
     j = right_join_keep_all(hourly, pmap, "Period_Index")

@@ -66,7 +66,7 @@ def build(spark: SparkSession, sf: str) -> System:
     steps = EVENT_GRID.steps_per_period
     ev = events(spark, sf)
     power, charge, price = resource_series(ev), charge_series(ev), price_series(ev)
-    pmap = fixed_period_map(ev, steps)
+    pmap = fixed_period_map(power, steps)  # from the aggregated series: its exchange is reused
     weights = period_weights(pmap, steps, WEIGHT_TOTAL)
     sw = step_weights(weights, steps)
     red_power = reduced_series(power, pmap, steps).select("Time_Index", "Resource", "value")

@@ -81,9 +81,10 @@ def typed_series(ev: DataFrame, event_type: str, name: str) -> DataFrame:
     return ev.where(F.col("event_type") == event_type).groupBy("Time_Index").agg(F.sum("value").alias(name))
 
 
-def fixed_period_map(ev: DataFrame, steps: int = 288, reps: int = 7) -> DataFrame:
-    """Period map by rule: every day present maps onto one of the first
-    ``reps`` days (``(day - 1) mod reps + 1``), which are the representatives."""
-    days = ev.select(F.floor((F.col("Time_Index") - 1) / steps).cast("long").alias("d")).distinct()
+def fixed_period_map(series: DataFrame, steps: int = 288, reps: int = 7) -> DataFrame:
+    """Period map by rule: every day present in a step series (anything with
+    ``Time_Index``) maps onto one of the first ``reps`` days
+    (``(day - 1) mod reps + 1``), which are the representatives."""
+    days = series.select(F.floor((F.col("Time_Index") - 1) / steps).cast("long").alias("d")).distinct()
     rep = F.pmod(F.col("d"), F.lit(reps)) + 1
     return days.select((F.col("d") + 1).alias("Period_Index"), rep.alias("Rep_Period"), rep.alias("Rep_Period_Index"))
