@@ -708,3 +708,56 @@ def q_solver_wide_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     write_csv(zone.unionByName(annual).unionByName(steps), path)
     long = scan_solver_wide(spark, path, name="Resource")
     return long.where(F.col("value").isNotNull()).select("Time_Index", "Resource", _r("value"))
+
+
+def _customer_angles(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select((F.col("c_acctbal") / F.lit(20.0)).alias("azimuth"),
+                    (F.abs(F.col("c_acctbal")) / F.lit(100.0)).alias("tilt"))
+
+
+@register("dg_azimuth_density")
+def q_dg_azimuth_density(spark: SparkSession, sf: str) -> DataFrame:
+    """Q5: density of azimuth with a narrow bandwidth (adjust 0.05)."""
+    from gridmeter.operators.stats import kernel_density
+
+    d = kernel_density(_customer_angles(spark, sf), "azimuth", adjust=0.05, n=512)
+    return d.select("i", _r("x", 6), _r("density", 12))
+
+
+@register("dg_tilt_density")
+def q_dg_tilt_density(spark: SparkSession, sf: str) -> DataFrame:
+    """Q5 + F8: density of tilt below 45 degrees (adjust 1)."""
+    from gridmeter.operators.stats import kernel_density
+
+    t = _customer_angles(spark, sf).where(F.col("tilt") < 45)
+    d = kernel_density(t, "tilt", adjust=1.0, n=512)
+    return d.select("i", _r("x", 6), _r("density", 12))
+
+
+@register("step_total")
+def q_step_total(spark: SparkSession, sf: str) -> DataFrame:
+    """B2: the ``Total`` column of a result table: sum over resources per step."""
+    from gridmeter.operators.settlement import step_total
+
+    return step_total(resource_series(events(spark, sf))).select("Time_Index", _r("Total"))
+
+
+@register("multi_constraint_revenue")
+def q_multi_constraint_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    """Revenue under several constraints, AnnualSum = sum of the
+    constraint columns. Stand-in constraints: weekday steps and weekend steps."""
+    from gridmeter.functions.time import index_to_clock, weekday_flag
+    from gridmeter.operators.reshape import row_total
+    from gridmeter.operators.settlement import settle
+
+    s = _sys(spark, sf)
+    # the reduced index's clock: representative day k is the k-th day of the horizon
+    wk = weekday_flag(index_to_clock("Time_Index", EVENT_GRID))
+    parts = {}
+    for name, cond in (("ESR_1", wk), ("ESR_2", ~wk)):
+        w = s.step_w.where(cond)
+        parts[name] = settle(s.red_power, s.red_price, w, out=name)
+    j = parts["ESR_1"].join(parts["ESR_2"], "Resource", "full")
+    j = row_total(j, ["ESR_1", "ESR_2"], out="AnnualSum")
+    return j.select("Resource", _r("ESR_1", 2), _r("ESR_2", 2), _r("AnnualSum", 2))

@@ -253,24 +253,32 @@ SELECT l_orderkey, l_linenumber, speed, round(least(one * 31.0, 139500.0), 4) AS
 """
 
 # --- statistics -------------------------------------------------------------------
-SQL["kernel_density"] = """
-WITH x AS (SELECT CAST(c_acctbal AS DOUBLE) AS v FROM customer WHERE c_acctbal IS NOT NULL),
+def _density_sql(source: str, adjust: float, n: int = 512) -> str:
+    """Linear binning + Gaussian convolution, as ``kernel_density``; ``source``
+    is a query yielding the values as ``v``."""
+    return f"""
+WITH x AS (SELECT CAST(v AS DOUBLE) AS v FROM ({source}) WHERE v IS NOT NULL),
 st AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
               quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x),
-bw AS (SELECT n, lo, hi, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+bw AS (SELECT n, lo, hi, {0.9 * adjust!r} * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
                                      WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
-p AS (SELECT n, bw, lo - 3.0 * bw AS f, (hi - lo + 6.0 * bw) / 511 AS d FROM bw),
+p AS (SELECT n, bw, lo - 3.0 * bw AS f, (hi - lo + 6.0 * bw) / {n - 1} AS d FROM bw),
 pos AS (SELECT (v - f) / d AS pos FROM x, p),
 b AS (SELECT CAST(floor(pos) AS INTEGER) AS j, 1.0 - (pos - floor(pos)) AS w FROM pos
       UNION ALL SELECT CAST(floor(pos) AS INTEGER) + 1, pos - floor(pos) FROM pos),
-bins AS (SELECT j, sum(w) AS w FROM b WHERE j BETWEEN 0 AND 511 GROUP BY j),
-g AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, 512)),
+bins AS (SELECT j, sum(w) AS w FROM b WHERE j BETWEEN 0 AND {n - 1} GROUP BY j),
+g AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, {n})),
 z AS (SELECT i, j, w, n, bw, f, d, (i - j) * d / bw AS z FROM bins, g, p)
 SELECT i, round(f + i * d, 6) AS x,
        round(sum(w * (exp(-0.5 * z * z) / sqrt(2 * pi()))) / (n * bw), 12) AS density
 FROM z GROUP BY i, f, d, n, bw
 """
 
+
+SQL["kernel_density"] = _density_sql("SELECT c_acctbal AS v FROM customer", 1.0)
+SQL["dg_azimuth_density"] = _density_sql("SELECT c_acctbal / 20.0 AS v FROM customer", 0.05)
+SQL["dg_tilt_density"] = _density_sql("SELECT abs(c_acctbal) / 100.0 AS v FROM customer WHERE abs(c_acctbal) / 100.0 < 45", 1.0)
+
 SQL["ecdf"] = """
 WITH c AS (SELECT o_orderpriority, o_totalprice, count(*) AS n_at FROM orders
            WHERE o_totalprice IS NOT NULL GROUP BY 1, 2)
@@ -517,3 +525,18 @@ FROM li GROUP BY 1
 """
 
 SQL["solver_wide_roundtrip"] = f"WITH {_EV} SELECT Time_Index, Resource, round(value, 4) AS value FROM res"
+
+SQL["step_total"] = f"WITH {_EV} SELECT Time_Index, round(sum(value), 4) AS Total FROM res GROUP BY 1"
+
+SQL["multi_constraint_revenue"] = f"""WITH {_SYS},
+sx AS (SELECT Time_Index, weight,
+              dayofweek(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(5 * (Time_Index - 1) AS BIGINT))) + 1
+                BETWEEN 2 AND 6 AS wk FROM sw),
+e1 AS (SELECT Resource, sum(weight * price * value) AS ESR_1 FROM red_power JOIN red_price USING (Time_Index)
+       JOIN sx USING (Time_Index) WHERE wk GROUP BY 1),
+e2 AS (SELECT Resource, sum(weight * price * value) AS ESR_2 FROM red_power JOIN red_price USING (Time_Index)
+       JOIN sx USING (Time_Index) WHERE NOT wk GROUP BY 1)
+SELECT Resource, round(ESR_1, 2) AS ESR_1, round(ESR_2, 2) AS ESR_2,
+       round(coalesce(ESR_1, 0.0) + coalesce(ESR_2, 0.0), 2) AS AnnualSum
+FROM e1 FULL JOIN e2 USING (Resource)
+"""

@@ -6,7 +6,9 @@ import tempfile
 import pytest
 from pyspark.sql import types as T
 
-from gridmeter.sources.csv import mangle_names, read_by_position, read_csv_typed, read_side_by_side, read_skip_meta, write_csv
+from gridmeter.sources.csv import (
+    mangle_names, read_by_position, read_csv_typed, read_side_by_side, read_skip_meta, read_time_indexed, write_csv,
+)
 from gridmeter.sources.generate import gen_range, literal_product
 from gridmeter.sources.results import scan_json_template, scan_result_report, scan_run_tree, scan_solver_meta, scan_solver_wide
 
@@ -102,3 +104,13 @@ def test_write_csv_roundtrip(spark, tmp):
     write_csv(df, out, single_file=True)
     back = read_csv_typed(spark, out, {"Time_Index": "long", "v": "double"})
     assert sorted((r.Time_Index, r.v) for r in back.collect()) == [(1, 2.5), (2, None)]
+
+
+def test_time_indexed_and_row_total(spark, tmp):
+    from gridmeter.operators.reshape import row_total
+
+    p = _write(tmp, "dg.csv", "Datetime,Gen,Other\n1/1/22 0:00,1.5,2\n1/1/22 0:30,,3\n")
+    df = read_time_indexed(spark, p, "Datetime", "M/d/yy H:mm")
+    assert df.columns == ["Datetime", "Gen", "Other"]
+    tot = sorted((r.Datetime, r.total) for r in row_total(df, ["Gen", "Other"]).collect())
+    assert tot == [(dt.datetime(2022, 1, 1, 0, 0), 3.5), (dt.datetime(2022, 1, 1, 0, 30), 3.0)]

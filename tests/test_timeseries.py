@@ -92,3 +92,12 @@ def test_split_and_expand_period_map(spark):
     idx = spark.createDataFrame([(2016,), (2017,)], "i long")
     r = split_period_index(idx, "i", 2016).collect()
     assert [(x.Rep_Period, x.Step) for x in r] == [(1, 2015), (2, 0)]
+
+
+def test_day_profile_long_minutes_and_flags(spark):
+    from gridmeter.operators.timeseries import day_profile_long
+
+    rows = [(T0 + dt.timedelta(minutes=5 * i), float(i), float(10 * i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "Time timestamp_ntz, Weekday double, Weekend double")
+    out = sorted((r.Time, r.Weekday, r.EV_load) for r in day_profile_long(df, "Time").collect())
+    assert out == [(0, False, 0.0), (0, True, 0.0), (5, False, 10.0), (5, True, 1.0), (10, False, 20.0), (10, True, 2.0)]
