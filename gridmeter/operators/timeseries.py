@@ -261,6 +261,7 @@ def day_profile_long(
     (minutes since the first row, weekday flag). ``minutes`` is counted from
     the earliest timestamp (W4), taken as a scalar subquery."""
     t0 = df.select(F.min(ts)).scalar()  # scalar subquery, one value
-    with_min = df.withColumn(minutes, F.timestamp_diff("MINUTE", t0, F.col(ts)).cast("int")).drop(ts)
+    m = F.timestamp_diff("MINUTE", t0, F.col(ts)).cast("int").alias(minutes)
+    with_min = df.select(m, *[c for c in day_types])  # the time column may share the output's name
     long = with_min.unpivot([minutes], list(day_types), "_gm_day", value)
     return long.select(minutes, (F.col("_gm_day") == weekday_label).alias(flag), value)
