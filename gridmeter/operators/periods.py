@@ -122,7 +122,9 @@ def cluster_periods(
     representatives are numbered in period order.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
+
+    from gridmeter.session import checkpoint_dir
 
     feats = features.select(period, F.col("features").cast("array<double>").alias("features"))
     if extremes is not None:
@@ -130,7 +132,10 @@ def cluster_periods(
         pool = feats.join(ex, period, "left_anti")
     else:
         ex, pool = None, feats
-    vec = pool.select(period, "features", array_to_vector("features").alias("_gm_vec")).cache()
+    # one row per period of the horizon (<= 366): checkpointed once to the shared
+    # folder, so every fit and the final map read it without recomputing features
+    checkpoint_dir(features.sparkSession)
+    vec = pool.select(period, "features", array_to_vector("features").alias("_gm_vec")).checkpoint(eager=True)
     n_pool = vec.count()
     best = None
     for k in range(max(1, k_min), max(k_min, k_max) + 1):
@@ -159,9 +164,7 @@ def cluster_periods(
     # number representatives 1..K in period order: at most k_max + extremes rows
     rep_ids = members.select("Rep_Period").distinct()
     rep_ids = rep_ids.withColumn("Rep_Period_Index", F.row_number().over(Window.orderBy("Rep_Period")))
-    out = members.join(rep_ids, "Rep_Period").select(period, "Rep_Period", "Rep_Period_Index")
-    vec.unpersist()
-    return out
+    return members.join(rep_ids, "Rep_Period").select(period, "Rep_Period", "Rep_Period_Index")
 
 
 def period_weights(period_map: DataFrame, steps: int, total: float) -> DataFrame:
