@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmeter.operators.keys import attach
 from gridmeter.operators.windows import cumsum
 
 
@@ -47,23 +48,16 @@ def predict_linear(coef: DataFrame, xs: Sequence, x_name: str = "x", x_expr=None
     return pts.withColumn(out, F.col("intercept") + F.col("slope") * xv)
 
 
-def _by_or_const(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    by = list(by)
-    if by:
-        return df, by
-    return df.withColumn("_gm_all", F.lit(0)), ["_gm_all"]
-
-
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Type-7 quantiles (R default, ``percentile``/``quantile_cont``), exactly.
 
     Output ``(*by, q_<i>)`` with one column per probability, in order.
     """
-    d, keys = _by_or_const(df, by)
-    counts = d.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_gm_c"))
+    keys = list(by)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_gm_c"))
     ranked = cumsum(counts, "_gm_c", order=[col], by=keys, out="_gm_cum")
     totals = counts.groupBy(*keys).agg(F.sum("_gm_c").alias("_gm_n"))
-    j = ranked.join(totals, keys, "inner")
+    j = attach(ranked, totals, keys, ["_gm_n"])
     lo_start = F.col("_gm_cum") - F.col("_gm_c")
     aggs, keep = [], None
     for i, p in enumerate(probs):
@@ -84,20 +78,19 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         (F.col(f"_gm_lo{i}") + F.col(f"_gm_f{i}") * (F.col(f"_gm_hi{i}") - F.col(f"_gm_lo{i}"))).alias(f"q_{i}")
         for i in range(len(probs))
     ]
-    res = q.select(*keys, *outs)
-    return res.drop("_gm_all") if not by else res
+    return q.select(*keys, *outs)
 
 
 def bandwidth_nrd0(df: DataFrame, col: str, by: Sequence[str] = (), adjust: float = 1.0) -> DataFrame:
     """R's default bandwidth ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)`` x ``adjust``,
     with R's fall-backs when the spread is 0. Output ``(*by, n, lo, hi, bw)``."""
-    d, keys = _by_or_const(df, by)
-    base = d.where(F.col(col).isNotNull()).groupBy(*keys).agg(
+    keys = list(by)
+    base = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(
         F.count(col).alias("n"), F.stddev_samp(col).alias("_gm_sd"), F.min(col).alias("lo"), F.max(col).alias("hi"),
         F.first(col).alias("_gm_x1"),
     )
-    q = exact_quantiles(d, col, [0.25, 0.75], by=keys)
-    j = base.join(q, keys, "inner")
+    q = exact_quantiles(df, col, [0.25, 0.75], by=keys)
+    j = attach(base, q, keys, ["q_0", "q_1"])
     iqr = (F.col("q_1") - F.col("q_0")) / F.lit(1.34)
     lo = F.least(F.col("_gm_sd"), iqr)
     spread = (
@@ -107,8 +100,7 @@ def bandwidth_nrd0(df: DataFrame, col: str, by: Sequence[str] = (), adjust: floa
         .otherwise(F.lit(1.0))
     )
     bw = F.lit(0.9 * adjust) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    res = j.select(*keys, "n", "lo", "hi", bw.alias("bw"))
-    return res.drop("_gm_all") if not by else res
+    return j.select(*keys, "n", "lo", "hi", bw.alias("bw"))
 
 
 def kernel_density(
@@ -123,15 +115,16 @@ def kernel_density(
     ``sum_j w_j * phi((i - j) * delta / bw) / (N * bw)``.
     Output ``(*by, i, x, density)``.
     """
-    d, keys = _by_or_const(df, by)
-    params = bw if bw is not None else bandwidth_nrd0(d, col, by=keys, adjust=adjust)
+    keys = list(by)
+    params = bw if bw is not None else bandwidth_nrd0(df, col, by=keys, adjust=adjust)
     params = params.select(
         *keys, "n", "bw",
         (F.col("lo") - F.lit(cut) * F.col("bw")).alias("_gm_from"),
         ((F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(n - 1)).alias("_gm_delta"),
     )
-    x = d.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_gm_x"))
-    xj = x.join(params, keys, "inner")  # one parameter row per group
+    pcols = ["n", "bw", "_gm_from", "_gm_delta"]
+    x = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_gm_x"))
+    xj = attach(x, params, keys, pcols)  # one parameter row per group
     pos = (F.col("_gm_x") - F.col("_gm_from")) / F.col("_gm_delta")
     xj = xj.withColumn("_gm_pos", pos).withColumn("_gm_j", F.floor("_gm_pos").cast("int"))
     xj = xj.withColumn("_gm_fr", F.col("_gm_pos") - F.col("_gm_j"))
@@ -143,7 +136,7 @@ def kernel_density(
         .groupBy(*keys, "_gm_j")
         .agg(F.sum("_gm_w").alias("_gm_w"))
     )  # <= n rows per group
-    conv = bins.join(params, keys, "inner").select(
+    conv = attach(bins, params, keys, pcols).select(
         *keys, "_gm_j", "_gm_w", "n", "bw", "_gm_from", "_gm_delta",
         F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"),
     )
@@ -153,18 +146,16 @@ def kernel_density(
         (F.sum(F.col("_gm_w") * phi) / (F.first("n") * F.first("bw"))).alias("density"),
         (F.first("_gm_from") + F.col("i") * F.first("_gm_delta")).alias("x"),
     )
-    res = dens.select(*keys, "i", "x", "density")
-    return res.drop("_gm_all") if not by else res
+    return dens.select(*keys, "i", "x", "density")
 
 
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "ecdf") -> DataFrame:
     """M4: empirical CDF at each distinct value, ``count(x <= v) / n`` per group
     (``cume_dist``), via value counts + the skew-safe running sum."""
-    d, keys = _by_or_const(df, by)
-    counts = d.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_gm_c"))
+    keys = list(by)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_gm_c"))
     ranked = cumsum(counts, "_gm_c", order=[col], by=keys, out="_gm_cum")
     totals = counts.groupBy(*keys).agg(F.sum("_gm_c").alias("_gm_n"))
-    res = ranked.join(totals, keys, "inner").select(
+    return attach(ranked, totals, keys, ["_gm_n"]).select(
         *keys, col, F.col("_gm_c").alias("n_at"), (F.col("_gm_cum") / F.col("_gm_n")).alias(out)
     )
-    return res.drop("_gm_all") if not by else res

@@ -25,30 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import Grid, index_to_clock, period_index, step_in_period, step_index
+from gridmeter.operators.keys import attach
 
 _GI = "_gm_gi"
 _B = "_gm_b"
 
 
-_ALL = "_gm_all"
-
-
 def _grid(every_minutes: int, origin: str) -> Grid:
     return Grid(step_minutes=every_minutes, base=origin)
 
 
-def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Series keys; a single series gets a constant key so every join is an equi join."""
-    keys = list(by)
-    if keys:
-        return df, keys
-    return df.withColumn(_ALL, F.lit(0)), [_ALL]
-
-
-def _unkey(df: DataFrame) -> DataFrame:
-    return df.drop(_ALL) if _ALL in df.columns else df
-
-
 def _series_bounds(df: DataFrame, ts: str, keys: list[str], g: Grid) -> DataFrame:
     """Per series: first and last grid step covered by any sample."""
     return df.groupBy(*keys).agg(
@@ -81,7 +67,7 @@ def resample_grid(
     """One row per grid point of each series; on-grid samples keep their
     value, every other grid point is null. Output ``(*by, ts, value)``."""
     g = _grid(every_minutes, origin)
-    df, keys = _keyed(df, by)
+    keys = list(by)
     bounds = _series_bounds(df, ts, keys, g)
     # two-step explode: buckets first, then steps, so no single row expands a
     # whole multi-year series inside one task
@@ -97,7 +83,7 @@ def resample_grid(
     # several samples at one grid point: their mean (pandas would refuse them)
     samples = samples.groupBy(*keys, _GI).agg(F.avg(value).alias(value))
     out = grid.join(samples, [*keys, _GI], "left")
-    return _unkey(out.select(*keys, index_to_clock(F.col(_GI), g, one_based=False).alias(ts), F.col(value)))
+    return out.select(*keys, index_to_clock(F.col(_GI), g, one_based=False).alias(ts), F.col(value))
 
 
 def interpolate_linear(
@@ -118,14 +104,15 @@ def interpolate_linear(
     if tail not in ("hold", "extend", "none"):
         raise ValueError("tail must be 'hold', 'extend' or 'none'")
     g = _grid(every_minutes, origin)
-    df, keys = _keyed(df, by)
+    keys = list(by)
     samples = _on_grid(df, ts, value, keys, g).withColumn(_B, F.floor(F.col(_GI) / bucket_steps).cast("long"))
 
     # first sample of every non-empty bucket, and the next bucket's first sample
     firsts = samples.groupBy(*keys, _B).agg(
         F.min(_GI).alias("_gm_fgi"), F.min_by(value, F.struct(F.col(_GI), F.col(value))).alias("_gm_fv")
     )
-    wb = Window.partitionBy(*keys).orderBy(_B)  # one row per bucket: small per series
+    # one row per non-empty bucket (a day by default): small per series
+    wb = Window.partitionBy(*keys).orderBy(_B)
     boundary = firsts.select(
         *keys,
         F.col(_B),
@@ -161,7 +148,7 @@ def interpolate_linear(
     # the last on-grid sample of each series, and its tail up to the grid end
     bounds = _series_bounds(df, ts, keys, g)
     last = seg.where(F.col("_gm_gi1").isNull())
-    last = last.join(bounds, keys, "inner")
+    last = attach(last, bounds, keys, ["_gm_start", "_gm_end"])
     kk = F.col("_gm_k")
     if tail == "hold":
         tail_v = F.col(value)
@@ -177,7 +164,7 @@ def interpolate_linear(
 
     # head: grid points before the first on-grid sample stay null
     first_real = samples.groupBy(*keys).agg(F.min(_GI).alias("_gm_first"))
-    head_src = bounds.join(first_real, keys, "left")
+    head_src = attach(bounds, first_real, keys, ["_gm_first"], how="left")
     head_end = F.coalesce(F.col("_gm_first") - 1, F.col("_gm_end"))
     head = (
         head_src.where(head_end >= F.col("_gm_start"))
@@ -186,7 +173,7 @@ def interpolate_linear(
     )
 
     out = interior.unionByName(tail_rows).unionByName(head)
-    return _unkey(out.select(*keys, index_to_clock(F.col(_GI), g, one_based=False).alias(ts), F.col(value)))
+    return out.select(*keys, index_to_clock(F.col(_GI), g, one_based=False).alias(ts), F.col(value))
 
 
 def interpolate_columns(

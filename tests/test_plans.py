@@ -34,3 +34,13 @@ def test_day_profile_join_is_broadcast(spark):
 def test_power_curve_has_no_join(spark):
     p = _plan(E.queries()["power_curve"](spark, SF))
     assert "Join" not in p and "Exchange" not in p
+
+
+def test_no_keyless_joins_anywhere(spark):
+    bad = {}
+    for name, q in sorted(E.queries().items()):
+        p = _plan(q(spark, SF))
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in p]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
