@@ -105,12 +105,17 @@ def interpolate_linear(
         raise ValueError("tail must be 'hold', 'extend' or 'none'")
     g = _grid(every_minutes, origin)
     keys = list(by)
-    samples = _on_grid(df, ts, value, keys, g).withColumn(_B, F.floor(F.col(_GI) / bucket_steps).cast("long"))
+    # several samples at one grid point: their mean (pandas would refuse them).
+    # The partial aggregate combines a hot point inside every task, and leaves
+    # at most ``bucket_steps`` rows per (series, bucket) for the window below.
+    samples = (
+        _on_grid(df, ts, value, keys, g)
+        .groupBy(*keys, _GI).agg(F.avg(value).alias(value))
+        .withColumn(_B, F.floor(F.col(_GI) / bucket_steps).cast("long"))
+    )
 
     # first sample of every non-empty bucket, and the next bucket's first sample
-    firsts = samples.groupBy(*keys, _B).agg(
-        F.min(_GI).alias("_gm_fgi"), F.min_by(value, F.struct(F.col(_GI), F.col(value))).alias("_gm_fv")
-    )
+    firsts = samples.groupBy(*keys, _B).agg(F.min(_GI).alias("_gm_fgi"), F.min_by(value, F.col(_GI)).alias("_gm_fv"))
     # one row per non-empty bucket (a day by default): small per series
     wb = Window.partitionBy(*keys).orderBy(_B)
     boundary = firsts.select(
@@ -123,7 +128,7 @@ def interpolate_linear(
     rows = samples.withColumn("_gm_real", F.lit(True)).unionByName(
         boundary.withColumn("_gm_real", F.lit(False))
     )
-    w = Window.partitionBy(*keys, _B).orderBy(_GI, F.col("_gm_real").desc(), value)
+    w = Window.partitionBy(*keys, _B).orderBy(_GI, F.col("_gm_real").desc())
     seg = rows.select(
         "*",
         F.lead(_GI).over(w).alias("_gm_gi1"),

@@ -101,3 +101,11 @@ def test_day_profile_long_minutes_and_flags(spark):
     df = spark.createDataFrame(rows, "Time timestamp_ntz, Weekday double, Weekend double")
     out = sorted((r.Time, r.Weekday, r.EV_load) for r in day_profile_long(df, "Time").collect())
     assert out == [(0, False, 0.0), (0, True, 0.0), (5, False, 10.0), (5, True, 1.0), (10, False, 20.0), (10, True, 2.0)]
+
+
+def test_interpolate_duplicate_points_use_their_mean(spark):
+    rows = [(T0, 0.0), (T0 + dt.timedelta(minutes=10), 4.0), (T0 + dt.timedelta(minutes=10), 8.0)] + \
+           [(T0 + dt.timedelta(minutes=20), 0.0)] * 50  # a hot grid point
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    got = interpolate_linear(df, "ts", "v", every_minutes=5).orderBy("ts").toPandas()
+    assert list(got["v"]) == [0.0, 3.0, 6.0, 3.0, 0.0]
