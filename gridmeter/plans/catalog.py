@@ -761,3 +761,12 @@ def q_multi_constraint_revenue(spark: SparkSession, sf: str) -> DataFrame:
     j = parts["ESR_1"].join(parts["ESR_2"], "Resource", "full")
     j = row_total(j, ["ESR_1", "ESR_2"], out="AnnualSum")
     return j.select("Resource", _r("ESR_1", 2), _r("ESR_2", 2), _r("AnnualSum", 2))
+
+
+@register("grouped_density")
+def q_grouped_density(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: a density curve per group (event value per event type)."""
+    from gridmeter.operators.stats import kernel_density
+
+    d = kernel_density(table(spark, sf, "events"), "value", by=["event_type"], adjust=1.0, n=512)
+    return d.select("event_type", "i", _r("x", 6), _r("density", 12))

@@ -540,3 +540,21 @@ SELECT Resource, round(ESR_1, 2) AS ESR_1, round(ESR_2, 2) AS ESR_2,
        round(coalesce(ESR_1, 0.0) + coalesce(ESR_2, 0.0), 2) AS AnnualSum
 FROM e1 FULL JOIN e2 USING (Resource)
 """
+
+SQL["grouped_density"] = """
+WITH x AS (SELECT event_type AS g, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
+st AS (SELECT g, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
+              quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY g),
+bw AS (SELECT g, n, lo, hi, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+                                      WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
+p AS (SELECT g, n, bw, lo - 3.0 * bw AS f, (hi - lo + 6.0 * bw) / 511 AS d FROM bw),
+pos AS (SELECT x.g, (v - f) / d AS pos FROM x JOIN p USING (g)),
+b AS (SELECT g, CAST(floor(pos) AS INTEGER) AS j, 1.0 - (pos - floor(pos)) AS w FROM pos
+      UNION ALL SELECT g, CAST(floor(pos) AS INTEGER) + 1, pos - floor(pos) FROM pos),
+bins AS (SELECT g, j, sum(w) AS w FROM b WHERE j BETWEEN 0 AND 511 GROUP BY g, j),
+gr AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, 512)),
+z AS (SELECT bins.g, i, j, w, n, bw, f, d, (i - j) * d / bw AS z FROM bins JOIN p USING (g), gr)
+SELECT g AS event_type, i, round(f + i * d, 6) AS x,
+       round(sum(w * (exp(-0.5 * z * z) / sqrt(2 * pi()))) / (n * bw), 12) AS density
+FROM z GROUP BY g, i, f, d, n, bw
+"""
