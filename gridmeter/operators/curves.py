@@ -30,13 +30,26 @@ FARM_KW = 139500.0
 LOSSES_PCT = [0, 1.1, 0, 0.5, 1.5, 1.58, 1.91, 0.1, 1.8, 0, 0.4, 0, 1, 0.84, 0, 0, 1.7, 0.4, 1.1, 0.81]
 
 
-def curve_kw(speed: Column, speeds: Sequence[float] = CURVE_SPEEDS, kw: Sequence[float] = CURVE_KW) -> Column:
+def _knots_at_or_below(speed: Column, knots: list[float], lo: int, hi: int) -> Column:
+    """Number of sorted ``knots`` <= speed, as a balanced CASE tree over the
+    literal knots (log2(n) comparisons, compiled by whole-stage codegen)."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(speed >= F.lit(knots[mid - 1]), _knots_at_or_below(speed, knots, mid, hi)).otherwise(
+        _knots_at_or_below(speed, knots, lo, mid - 1)
+    )
+
+
+def curve_kw(speed: Column, speeds: Sequence[float] = CURVE_SPEEDS, kw: Sequence[float] = CURVE_KW,
+             index: Column | None = None) -> Column:
     """One turbine's output at ``speed``: linear between knots, 0 below the
-    first knot and above the last (cut-out)."""
+    first knot and above the last (cut-out). ``index`` is the number of knots
+    at or below the speed, when already computed (see ``knot_index``)."""
     xs = F.array(*[F.lit(float(v)) for v in speeds])
     ys = F.array(*[F.lit(float(v)) for v in kw])
     n = len(speeds)
-    i = F.size(F.filter(xs, lambda k: k <= speed))  # knots at or below: 0..n
+    i = index if index is not None else knot_index(speed, speeds)
     x0, x1 = F.element_at(xs, F.greatest(i, F.lit(1))), F.element_at(xs, F.least(i + 1, F.lit(n)))
     y0, y1 = F.element_at(ys, F.greatest(i, F.lit(1))), F.element_at(ys, F.least(i + 1, F.lit(n)))
     inside = (i >= 1) & (i < n)
@@ -45,6 +58,11 @@ def curve_kw(speed: Column, speeds: Sequence[float] = CURVE_SPEEDS, kw: Sequence
     return F.when(speed.isNull(), None).when(inside, interp).when(at_last, F.lit(float(kw[-1]))).otherwise(F.lit(0.0))
 
 
+def knot_index(speed: Column, speeds: Sequence[float] = CURVE_SPEEDS) -> Column:
+    """Number of curve knots at or below ``speed`` (0..n)."""
+    return _knots_at_or_below(speed, [float(v) for v in speeds], 0, len(speeds))
+
+
 def loss_factor(losses_pct: Sequence[float] = LOSSES_PCT) -> float:
     """Product of (1 - loss/100): our definition, no wake model."""
     f = 1.0
@@ -57,7 +75,10 @@ def power_curve(df: DataFrame, speed: str, turbines: int = TURBINES, cap_kw: flo
                 losses: Sequence[float] | None = None, out: str = "kw") -> DataFrame:
     """Farm output = min(turbines x curve(speed) [x losses], cap)."""
     s = F.col(speed).cast("double")
-    farm = curve_kw(s) * F.lit(float(turbines))
+    # the knot index once per row, as its own column, then the interpolation
+    df = df.withColumn("_gm_knot", knot_index(s))
+    farm = curve_kw(s, index=F.col("_gm_knot")) * F.lit(float(turbines))
     if losses is not None:
         farm = farm * F.lit(loss_factor(losses))
-    return df.withColumn(out, F.least(farm, F.lit(float(cap_kw))))
+    # ``least`` skips nulls: keep a missing speed missing instead of reading the cap
+    return df.withColumn(out, F.when(farm.isNull(), None).otherwise(F.least(farm, F.lit(float(cap_kw))))).drop("_gm_knot")

@@ -71,3 +71,19 @@ def test_labels_and_signs(spark):
     out = df.select(X.concat_label("v", "MW").alias("l"), X.sign_by_membership("c", ["EnergyRevenue"]).alias("s")).collect()
     assert out[0].l == "12.35 MW" and out[1].l == "3.0 MW"
     assert [r.s for r in out] == [1.0, -1.0]
+
+
+def test_power_curve_brute_force(spark):
+    import numpy as np
+
+    from gridmeter.operators.curves import CURVE_KW, CURVE_SPEEDS, FARM_KW, TURBINES, power_curve
+
+    speeds = [None, 0.0, 0.5, 1.0, 3.5, 4.0, 12.3, 18.0, 26.9, 27.0, 29.99, 30.0, 30.01, 55.0]
+    df = spark.createDataFrame([(s,) for s in speeds], "s double")
+    got = [r.kw for r in power_curve(df, "s").collect()]
+    for s, g in zip(speeds, got):
+        if s is None:
+            assert g is None
+            continue
+        one = 0.0 if (s < CURVE_SPEEDS[0] or s > CURVE_SPEEDS[-1]) else float(np.interp(s, CURVE_SPEEDS, CURVE_KW))
+        assert g == min(one * TURBINES, FARM_KW), (s, g)
