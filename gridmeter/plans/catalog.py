@@ -19,6 +19,7 @@ from gridmeter.plans.tables import (
     WIND_TYPE,
     events,
     fixed_period_map,
+    step_readings,
     load_series,
     price_series,
     resource_series,
@@ -44,27 +45,27 @@ def _r(col: str, digits: int = 4):
 
 @register("demand_price_summary")
 def q_demand_price_summary(spark: SparkSession, sf: str) -> DataFrame:
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     out = A.demand_price_summary(load_series(ev), price_series(ev), scarcity_series(ev), EVENT_GRID, by_day=True)
     return out.select("day", "hour", _r("demand"), _r("price"), _r("scarcity"))
 
 
 @register("scarcity_cost_total")
 def q_scarcity_cost_total(spark: SparkSession, sf: str) -> DataFrame:
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     return A.scarcity_cost_total(load_series(ev), scarcity_series(ev)).select(_r("scarcity_cost", 2))
 
 
 @register("july_scarcity")
 def q_july_scarcity(spark: SparkSession, sf: str) -> DataFrame:
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     out = A.scarcity_by_day_time(load_series(ev), scarcity_series(ev), EVENT_GRID, month=1)
     return out.select("day", "time", _r("price"))
 
 
 @register("curtailment_by_month_hour")
 def q_curtailment(spark: SparkSession, sf: str) -> DataFrame:
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     out = A.curtailment_by_month_hour(resource_series(ev), EVENT_GRID, [WIND_TYPE], [SOLAR_TYPE], by_day=True)
     return out.select("day", "hour", _r("total"), _r("wind"), _r("solar"))
 
@@ -165,7 +166,7 @@ def q_net_load(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.functions.time import index_to_clock
     from gridmeter.plans.tables import DG_TYPE, typed_series
 
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     load = load_series(ev).select(index_to_clock("Time_Index", EVENT_GRID).alias("Datetime"), "Load")
     dg = typed_series(ev, DG_TYPE, "Gen").select(index_to_clock("Time_Index", EVENT_GRID).alias("Datetime"), "Gen")
     out = A.net_load_5min(load, dg, _ev_profile(ev), year=2024, steps_per_hour=EVENT_GRID.steps_per_hour)
@@ -174,7 +175,7 @@ def q_net_load(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("fuels_table")
 def q_fuels_table(spark: SparkSession, sf: str) -> DataFrame:
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     return A.fuels_table(ev.agg(F.max("Time_Index").alias("max_index")))
 
 
@@ -193,7 +194,7 @@ def q_assign_period(spark: SparkSession, sf: str) -> DataFrame:
 def q_slice_period(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.timeseries import slice_period
 
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     return slice_period(load_series(ev), "Time_Index", period=3, steps=EVENT_GRID.steps_per_period).select(
         "Time_Index", _r("Load")
     )
@@ -201,7 +202,7 @@ def q_slice_period(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("filter_modulo")
 def q_filter_modulo(spark: SparkSession, sf: str) -> DataFrame:
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     steps_per_hour = int(EVENT_GRID.steps_per_hour)
     return load_series(ev).where(F.pmod("Time_Index", F.lit(steps_per_hour)) == 0).select("Time_Index", _r("Load"))
 
@@ -235,7 +236,7 @@ def q_left_join_suffix(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.reshape import net_of_charge
     from gridmeter.plans.tables import charge_series
 
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     out = net_of_charge(resource_series(ev), charge_series(ev), ["Time_Index", "Resource"])
     return out.select("Time_Index", "Resource", _r("value"), _r("value_c"), _r("net"))
 
@@ -478,7 +479,7 @@ def q_expand_period_map(spark: SparkSession, sf: str) -> DataFrame:
 def q_extreme_periods(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.periods import ExtremeRule, extreme_periods
 
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     long = resource_series(ev).unionByName(
         load_series(ev).select("Time_Index", F.lit("Load").alias("Resource"), F.col("Load").alias("value"))
     )
@@ -506,7 +507,7 @@ def q_representative_periods(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.joins import right_join_keep_all
     from gridmeter.operators.timeseries import assign_period
 
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     steps = EVENT_GRID.steps_per_period
     pmap = fixed_period_map(load_series(ev), steps)
     hourly = load_series(ev).where(F.pmod("Time_Index", F.lit(12)) == 0)  # hourly sample
@@ -538,7 +539,7 @@ def q_price_week(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.functions.numeric import per_hour
     from gridmeter.functions.time import index_to_clock
 
-    p = _week(price_series(events(spark, sf)))
+    p = _week(price_series(step_readings(spark, sf)))
     return p.select("Time_Index", index_to_clock("Time_Index", EVENT_GRID).alias("clock"),
                     F.round(per_hour("price", EVENT_GRID.steps_per_hour), 4).alias("price"))
 
@@ -548,7 +549,7 @@ def q_price_range(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.functions.numeric import per_hour
     from gridmeter.operators.aggregates import min_max_range
 
-    p = _week(price_series(events(spark, sf))).select(per_hour("price", EVENT_GRID.steps_per_hour).alias("price"))
+    p = _week(price_series(step_readings(spark, sf))).select(per_hour("price", EVENT_GRID.steps_per_hour).alias("price"))
     return min_max_range(p, "price").select(_r("lo"), _r("hi"))
 
 
@@ -556,7 +557,7 @@ def q_price_range(spark: SparkSession, sf: str) -> DataFrame:
 def q_scarcity_week(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.functions.time import index_to_clock
 
-    s = _week(scarcity_series(events(spark, sf)))
+    s = _week(scarcity_series(step_readings(spark, sf)))
     return s.select("Time_Index", index_to_clock("Time_Index", EVENT_GRID).alias("clock"), _r("shdw"))
 
 
@@ -611,7 +612,7 @@ def q_net_demand_vs_scarcity(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.joins import inner_join_chain
     from gridmeter.plans.tables import typed_series
 
-    ev = events(spark, sf)
+    ev = step_readings(spark, sf)
     load = load_series(ev)
     shares = inner_join_chain(typed_series(ev, WIND_TYPE, "w"), [typed_series(ev, SOLAR_TYPE, "s"), load], ["Time_Index"])
     avail = shares.select("Time_Index", ((F.col("w") / F.col("Load") + F.col("s") / F.col("Load")) / 2).alias("avail"))
@@ -697,7 +698,7 @@ def q_solver_wide_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.sources.results import scan_solver_wide
 
     types = ["click", "error", "purchase", "signup", "view"]
-    res = resource_series(events(spark, sf))
+    res = resource_series(step_readings(spark, sf))
     wide = res.groupBy("Time_Index").pivot("Resource", types).agg(F.first("value"))
     steps = wide.select(F.concat(F.lit("t"), F.col("Time_Index").cast("string")).alias("Resource"),
                         *[F.col(t).cast("string").alias(t) for t in types])
@@ -740,7 +741,7 @@ def q_step_total(spark: SparkSession, sf: str) -> DataFrame:
     """B2: the ``Total`` column of a result table: sum over resources per step."""
     from gridmeter.operators.settlement import step_total
 
-    return step_total(resource_series(events(spark, sf))).select("Time_Index", _r("Total"))
+    return step_total(resource_series(step_readings(spark, sf))).select("Time_Index", _r("Total"))
 
 
 @register("multi_constraint_revenue")

@@ -20,7 +20,7 @@ from gridmeter.operators.periods import period_weights, reduced_series, step_wei
 from gridmeter.plans.tables import (
     EVENT_GRID,
     charge_series,
-    events,
+    step_readings,
     fixed_period_map,
     price_series,
     resource_series,
@@ -64,8 +64,8 @@ def _is_storage(col: str = "Resource"):
 
 def build(spark: SparkSession, sf: str) -> System:
     steps = EVENT_GRID.steps_per_period
-    ev = events(spark, sf)
-    power, charge, price = resource_series(ev), charge_series(ev), price_series(ev)
+    st = step_readings(spark, sf)  # raw readings read once, per-step table checkpointed
+    power, charge, price = resource_series(st), charge_series(st), price_series(st)
     pmap = fixed_period_map(power, steps)  # from the aggregated series: its exchange is reused
     weights = period_weights(pmap, steps, WEIGHT_TOTAL)
     sw = step_weights(weights, steps)

@@ -43,42 +43,62 @@ def events(spark: SparkSession, sf_dir: str, grid: Grid = EVENT_GRID) -> DataFra
     return table(spark, sf_dir, "events").withColumn("Time_Index", step_index("ts", grid))
 
 
-def load_series(ev: DataFrame) -> DataFrame:
+# Fixed values of the stand-in: events below this value count as charging.
+CHARGE_BELOW = 10.0
+
+
+def step_readings(spark: SparkSession, sf_dir: str, grid: Grid = EVENT_GRID) -> DataFrame:
+    """The raw readings aggregated once per (step, event type): ``value``
+    (sum), ``charge`` (sum of readings below ``CHARGE_BELOW``) and ``n``.
+
+    Every per-step series of the stand-in derives from this table, so a query
+    reads the raw table once however many series it joins. The table has one
+    row per step and series (not per reading); it is checkpointed to the
+    shared folder, which also spares a recomputation from raw data when an
+    executor is lost.
+    """
+    from gridmeter.session import checkpoint_dir
+
+    ev = events(spark, sf_dir, grid)
+    agg = ev.groupBy("Time_Index", "event_type").agg(
+        F.sum("value").alias("value"),
+        F.sum(F.when(F.col("value") < CHARGE_BELOW, F.col("value"))).alias("charge"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    checkpoint_dir(spark)
+    return agg.checkpoint(eager=True)
+
+
+def load_series(st: DataFrame) -> DataFrame:
     """(Time_Index, Load): demand per step."""
-    return ev.groupBy("Time_Index").agg(F.sum("value").alias("Load"))
+    return st.groupBy("Time_Index").agg(F.sum("value").alias("Load"))
 
 
-def price_series(ev: DataFrame) -> DataFrame:
-    """(Time_Index, price): energy price per step."""
-    return ev.where(F.col("event_type") == PRICE_TYPE).groupBy("Time_Index").agg(F.avg("value").alias("price"))
+def price_series(st: DataFrame) -> DataFrame:
+    """(Time_Index, price): energy price per step (mean ``purchase`` value)."""
+    return st.where(F.col("event_type") == PRICE_TYPE).select("Time_Index", (F.col("value") / F.col("n")).alias("price"))
 
 
-def scarcity_series(ev: DataFrame) -> DataFrame:
+def scarcity_series(st: DataFrame) -> DataFrame:
     """(Time_Index, shdw): reserve (scarcity) price per step."""
-    return ev.where(F.col("event_type") == SCARCITY_TYPE).groupBy("Time_Index").agg(F.sum("value").alias("shdw"))
+    return st.where(F.col("event_type") == SCARCITY_TYPE).select("Time_Index", F.col("value").alias("shdw"))
 
 
-def resource_series(ev: DataFrame) -> DataFrame:
+def resource_series(st: DataFrame) -> DataFrame:
     """(Time_Index, Resource, value): output per step and resource (long form)."""
-    return ev.groupBy("Time_Index", F.col("event_type").alias("Resource")).agg(F.sum("value").alias("value"))
-
-
-# Fixed values of the stand-in: events below this value count as charging.
-CHARGE_BELOW = 10.0
+    return st.select("Time_Index", F.col("event_type").alias("Resource"), "value")
 
 
-def charge_series(ev: DataFrame) -> DataFrame:
+def charge_series(st: DataFrame) -> DataFrame:
     """(Time_Index, Resource, value): charging per step and resource."""
-    return (
-        ev.where(F.col("value") < CHARGE_BELOW)
-        .groupBy("Time_Index", F.col("event_type").alias("Resource"))
-        .agg(F.sum("value").alias("value"))
+    return st.where(F.col("charge").isNotNull()).select(
+        "Time_Index", F.col("event_type").alias("Resource"), F.col("charge").alias("value")
     )
 
 
-def typed_series(ev: DataFrame, event_type: str, name: str) -> DataFrame:
+def typed_series(st: DataFrame, event_type: str, name: str) -> DataFrame:
     """(Time_Index, <name>): per-step sum of one event type."""
-    return ev.where(F.col("event_type") == event_type).groupBy("Time_Index").agg(F.sum("value").alias(name))
+    return st.where(F.col("event_type") == event_type).select("Time_Index", F.col("value").alias(name))
 
 
 def fixed_period_map(series: DataFrame, steps: int = 288, reps: int = 7) -> DataFrame:
