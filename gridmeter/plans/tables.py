@@ -59,14 +59,18 @@ def step_readings(spark: SparkSession, sf_dir: str, grid: Grid = EVENT_GRID) ->
     """
     from gridmeter.session import checkpoint_dir
 
-    ev = events(spark, sf_dir, grid)
-    agg = ev.groupBy("Time_Index", "event_type").agg(
+    agg = step_aggregate(events(spark, sf_dir, grid))
+    checkpoint_dir(spark)
+    return agg.checkpoint(eager=True)
+
+
+def step_aggregate(ev: DataFrame) -> DataFrame:
+    """Per (step, event type): value sum, charging sum, reading count."""
+    return ev.groupBy("Time_Index", "event_type").agg(
         F.sum("value").alias("value"),
         F.sum(F.when(F.col("value") < CHARGE_BELOW, F.col("value"))).alias("charge"),
         F.count(F.lit(1)).alias("n"),
     )
-    checkpoint_dir(spark)
-    return agg.checkpoint(eager=True)
 
 
 def load_series(st: DataFrame) -> DataFrame:

@@ -12,8 +12,13 @@ def _plan(df):
 
 
 def test_scan_prunes_columns(spark):
-    p = _plan(E.queries()["demand_price_summary"](spark, SF))
+    from gridmeter.plans.tables import events, step_aggregate
+
+    # the raw scan behind every per-step series reads three of six columns
+    p = _plan(step_aggregate(events(spark, SF)))
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in p
+    # and the flagship reads the checkpointed step table, not the raw table
+    assert "Scan parquet" not in _plan(E.queries()["demand_price_summary"](spark, SF))
 
 
 def test_filters_reach_the_scan(spark):
