@@ -53,15 +53,14 @@ def step_readings(spark: SparkSession, sf_dir: str, grid: Grid = EVENT_GRID) ->
 
     Every per-step series of the stand-in derives from this table, so a query
     reads the raw table once however many series it joins. The table has one
-    row per step and series (not per reading); it is checkpointed to the
-    shared folder, which also spares a recomputation from raw data when an
-    executor is lost.
+    row per step and series (not per reading) and is persisted (memory, then
+    disk): its branches share one scan, and Spark's cache manager hands the
+    same plan to every later report in the session. It is a deterministic
+    aggregate, so blocks lost with an executor are recomputed exactly.
     """
-    from gridmeter.session import checkpoint_dir
+    from pyspark import StorageLevel
 
-    agg = step_aggregate(events(spark, sf_dir, grid))
-    checkpoint_dir(spark)
-    return agg.checkpoint(eager=True)
+    return step_aggregate(events(spark, sf_dir, grid)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def step_aggregate(ev: DataFrame) -> DataFrame:
