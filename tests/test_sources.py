@@ -114,3 +114,17 @@ def test_time_indexed_and_row_total(spark, tmp):
     assert df.columns == ["Datetime", "Gen", "Other"]
     tot = sorted((r.Datetime, r.total) for r in row_total(df, ["Gen", "Other"]).collect())
     assert tot == [(dt.datetime(2022, 1, 1, 0, 0), 3.5), (dt.datetime(2022, 1, 1, 0, 30), 3.0)]
+
+
+def test_run_tree_as_partitioned_parquet_prunes_runs(spark, tmp):
+    from gridmeter.sources.csv import write_parquet
+
+    _write(tmp, "simA/Results_1/charge.csv", "Resource,battery\nZone,1\nt1,1\nt2,2\n")
+    _write(tmp, "simA/Results_2/charge.csv", "Resource,battery\nZone,1\nt1,5\n")
+    long = scan_run_tree(spark, tmp, "charge.csv", name="Resource")
+    out = os.path.join(tmp, "charge_pq")
+    write_parquet(long, out, partition_by=["sim", "run"])
+    back = spark.read.parquet(out).where("run = 'Results_2'")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run" in plan
+    assert [(r.Time_Index, r.value) for r in back.collect()] == [(1, 5.0)]

@@ -61,3 +61,22 @@ def test_index_from_label_shuffled_metadata(spark):
     df = spark.createDataFrame([("t10", 1.0), ("Zone", 9.0), ("t2", 2.0), ("AnnualSum", 3.0), ("t1", 4.0)], "l string, v double")
     got = sorted((r.Time_Index, r.v) for r in index_from_label(df, "l").collect())
     assert got == [(1, 4.0), (2, 2.0), (10, 1.0)]
+
+
+def test_cumsum_carries_across_arrow_batches(spark):
+    rows = _fixture(2500, seed=9)
+    df = spark.createDataFrame(rows, "id long, g string, d date, v long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # many batches per task
+    try:
+        got = cumsum(df, "v", order=["d", "id"], by=["g"], out="c", partitions=3).toPandas()
+        glob = cumsum(df, "v", order=["d", "id"], out="c", partitions=3).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    pdf = pd.DataFrame(rows, columns=["id", "g", "d", "v"]).sort_values(["d", "id"])
+    pdf["exp"] = pdf.assign(v=pdf.v.fillna(0)).groupby(pdf.g.fillna("<null>"), sort=False)["v"].cumsum()
+    pdf["gexp"] = pdf.v.fillna(0).cumsum()
+    m = got.merge(pdf[["id", "exp"]], on="id")
+    assert (m["c"].astype("int64") == m["exp"].astype("int64")).all()
+    mg = glob.merge(pdf[["id", "gexp"]], on="id")
+    assert (mg["c"].astype("int64") == mg["gexp"].astype("int64")).all()
