@@ -128,6 +128,14 @@ def interpolate_linear(
     rows = samples.withColumn("_gm_real", F.lit(True)).unionByName(
         boundary.withColumn("_gm_real", F.lit(False))
     )
+    if tail == "extend":
+        # the last segment's slope needs the sample before the last one, which
+        # may sit in an earlier bucket: borrow each bucket's predecessor too
+        lasts = samples.groupBy(*keys, _B).agg(F.max(_GI).alias("_gm_lgi"), F.max_by(value, F.col(_GI)).alias("_gm_lv"))
+        before = lasts.select(
+            *keys, F.col(_B), F.lag("_gm_lgi").over(wb).alias(_GI), F.lag("_gm_lv").over(wb).alias(value)
+        ).where(F.col(_GI).isNotNull())
+        rows = rows.unionByName(before.withColumn("_gm_real", F.lit(False)))
     w = Window.partitionBy(*keys, _B).orderBy(_GI, F.col("_gm_real").desc())
     seg = rows.select(
         "*",

@@ -109,3 +109,14 @@ def test_interpolate_duplicate_points_use_their_mean(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
     got = interpolate_linear(df, "ts", "v", every_minutes=5).orderBy("ts").toPandas()
     assert list(got["v"]) == [0.0, 3.0, 6.0, 3.0, 0.0]
+
+
+@pytest.mark.parametrize("bucket_steps", [1, 2, 288])
+def test_extend_tail_slope_across_buckets(spark, bucket_steps):
+    # samples at 0, 10, 20 min; grid runs to the off-grid 31 min sample's floor (30)
+    pts = [(T0, 0.0), (T0 + dt.timedelta(minutes=10), 2.0), (T0 + dt.timedelta(minutes=20), 6.0),
+           (T0 + dt.timedelta(minutes=31), 100.0)]
+    df = spark.createDataFrame(pts, "ts timestamp_ntz, v double")
+    out = interpolate_linear(df, "ts", "v", tail="extend", bucket_steps=bucket_steps).orderBy("ts").toPandas()
+    # last segment 2 -> 6 over two steps: slope 2 per step, continued for 25 and 30
+    assert list(out["v"]) == [0.0, 1.0, 2.0, 4.0, 6.0, 8.0, 10.0]
