@@ -45,12 +45,15 @@ def join_day_profile(
 ) -> DataFrame:
     """Series x day profile on (minute of day, weekday flag).
 
-    The profile has at most one row per minute and day type
-    (``DAY_PROFILE_MAX_ROWS``), so it is broadcast: the year-long series is
-    never shuffled for this join.
+    The profile is first reduced to one row per (minute, day type) - the mean
+    of any repeated key, a no-op for a well-formed profile - so it has at most
+    ``DAY_PROFILE_MAX_ROWS`` rows whatever the input, and is broadcast: the
+    year-long series is never shuffled for this join.
     """
+    vals = [c for c in profile.columns if c not in (minutes, flag)]
+    bounded = profile.groupBy(minutes, flag).agg(*[F.avg(c).alias(c) for c in vals])
     s = series.withColumn(minutes, minute_of_day(ts)).withColumn(flag, weekday_flag(ts))
-    return s.join(F.broadcast(profile), [minutes, flag], "inner")
+    return s.join(F.broadcast(bounded), [minutes, flag], "inner")
 
 
 def right_join_keep_all(facts: DataFrame, dim: DataFrame, key: str | Sequence[str]) -> DataFrame:
