@@ -123,6 +123,7 @@ def cluster_periods(
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
     from gridmeter.session import checkpoint_dir
 
@@ -140,13 +141,19 @@ def cluster_periods(
     best = None
     for k in range(max(1, k_min), max(k_min, k_max) + 1):
         kk = min(k, n_pool)
-        runs = []
-        for r in range(repeats):
-            m = KMeans(k=kk, seed=seed + r, maxIter=max_iter, featuresCol="_gm_vec", predictionCol="_gm_cl").fit(vec)
-            runs.append((m.summary.trainingCost, r, m))
-        _, _, model = min(runs, key=lambda t: (t[0], t[1]))
-        assigned = model.transform(vec)
-        centers = model.clusterCenters()  # k vectors: bounded by k_max
+        if kk <= 1:
+            # one cluster: its centre is the mean vector (a distributed aggregate)
+            mean = vec.select(Summarizer.mean(F.col("_gm_vec")).alias("m")).first()["m"]
+            assigned = vec.withColumn("_gm_cl", F.lit(0))
+            centers = [mean.toArray()]
+        else:
+            runs = []
+            for r in range(repeats):
+                m = KMeans(k=kk, seed=seed + r, maxIter=max_iter, featuresCol="_gm_vec", predictionCol="_gm_cl").fit(vec)
+                runs.append((m.summary.trainingCost, r, m))
+            _, _, model = min(runs, key=lambda t: (t[0], t[1]))
+            assigned = model.transform(vec)
+            centers = model.clusterCenters()  # k vectors: bounded by k_max
         cdf = vec.sparkSession.createDataFrame(
             [(i, [float(x) for x in c]) for i, c in enumerate(centers)], "_gm_cl int, _gm_c array<double>"
         )

@@ -54,3 +54,29 @@ def test_cluster_periods_map_is_complete(spark):
     assert set(reps.Rep_Period) <= set(m.Period_Index)
     self_map = m.set_index("Period_Index").loc[reps.Rep_Period, "Rep_Period"]
     assert (self_map.to_numpy() == reps.Rep_Period.to_numpy()).all()
+
+
+def test_cluster_periods_grows_k_until_threshold(spark):
+    from gridmeter.operators.periods import cluster_periods
+
+    # 12 periods in three tight groups around 0, 10 and 20; one member of each
+    # group sits exactly on the group mean, so it must be the representative
+    centers = {0: 0.0, 1: 10.0, 2: 20.0}
+    offs = [-0.1, 0.0, 0.1, 0.0]
+    rows, exact = [], {}
+    p = 1
+    for g, c in centers.items():
+        for j, o in enumerate(offs):
+            vec = [c + o, c - o, c]
+            if j == 1:
+                exact[g] = p
+            rows.append((p, vec))
+            p += 1
+    feats = spark.createDataFrame(rows, "Period_Index int, features array<double>")
+    m = cluster_periods(feats, k_min=1, k_max=6, threshold=1.0, repeats=2, seed=3).toPandas()
+    assert m.Period_Index.is_unique and len(m) == 12
+    assert m.Rep_Period.nunique() == 3  # k grew 1 -> 3 and stopped at the threshold
+    for g, rep in exact.items():
+        members = m[m.Period_Index.between(4 * g + 1, 4 * g + 4)]
+        assert set(members.Rep_Period) == {rep}
+    assert sorted(m.Rep_Period_Index.unique()) == [1, 2, 3]
