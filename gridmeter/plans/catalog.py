@@ -137,8 +137,9 @@ def q_interpolate_linear(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.timeseries import interpolate_linear
 
     out = interpolate_linear(_hourly_by_type(spark, sf), "ts", "value", by=["event_type"], every_minutes=5)
-    # 7 decimals: interpolated values of 2-decimal means land on exact halves at 4-6
-    return out.select("event_type", "ts", _r("value", 7))
+    # interpolated 2-decimal means land on exact decimal halves: round half up
+    # by the same IEEE steps as the SQL side so ties break identically
+    return out.select("event_type", "ts", _half_up("value", 7))
 
 
 @register("resample_grid")

@@ -133,9 +133,10 @@ s AS (SELECT event_type, ts, v, lead(ts) OVER w AS ts1, lead(v) OVER w AS v1
       FROM h WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 seg AS (SELECT *, date_diff('minute', ts, ts1) // 5 AS n FROM s WHERE ts1 IS NOT NULL),
 k AS (SELECT event_type, ts, v, v1, n, unnest(range(0, n)) AS k FROM seg)
-SELECT event_type, ts + to_minutes(CAST(5 * k AS BIGINT)) AS ts, round(v + (v1 - v) * k / n, 7) AS value FROM k
+SELECT event_type, ts + to_minutes(CAST(5 * k AS BIGINT)) AS ts,
+       floor((v + (v1 - v) * k / n) * 10000000.0 + 0.5) / 10000000.0 AS value FROM k
 UNION ALL
-SELECT event_type, ts, round(v, 7) AS value FROM s WHERE ts1 IS NULL
+SELECT event_type, ts, floor(v * 10000000.0 + 0.5) / 10000000.0 AS value FROM s WHERE ts1 IS NULL
 """
 
 SQL["resample_grid"] = f"""

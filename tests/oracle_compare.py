@@ -25,12 +25,17 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+EXACT = False  # set by --exact: compare doubles bit for bit (only -0.0 == 0.0)
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if EXACT:
+            return v + 0.0
         return round(v, 6) if abs(v) < 1e12 else float(f"{v:.12g}")
     if hasattr(v, "isoformat"):
         return v.isoformat()
@@ -93,6 +98,10 @@ def main(argv):
     import __spark_entry__ as E
     from gridmeter.session import get_spark
 
+    global EXACT
+    if "--exact" in argv:
+        EXACT = True
+        argv = [a for a in argv if a != "--exact"]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     spark = get_spark("local[8]", **{"spark.sql.shuffle.partitions": "8"})

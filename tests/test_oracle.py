@@ -3,8 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+import oracle_compare
 from oracle_compare import compare, duck
 
+oracle_compare.EXACT = True  # doubles compared bit for bit, as a value hash would
+
 from conftest import SF
 
 SQLS = E.oracle_sql()
