@@ -65,10 +65,12 @@ def rollup_total(
 
 
 def rollup_zone_pivot(df: DataFrame, row: str, zone: str, value: str, zones: Sequence[str], total: str = "Total") -> DataFrame:
-    """Rows x (Total, zone columns): rollup over zone, then pivot."""
-    per_zone = df.groupBy(row).pivot(zone, list(zones)).agg(F.sum(value))
-    tot = df.groupBy(row).agg(F.sum(value).alias(total))
-    return tot.join(per_zone, row, "inner")
+    """Rows x (Total, one column per zone): the zone rollup and the pivot
+    as one conditional aggregate - one pass, no join."""
+    return df.groupBy(row).agg(
+        F.sum(value).alias(total),
+        *[F.sum(F.when(F.col(zone) == z, F.col(value))).alias(str(z)) for z in zones],
+    )
 
 
 def semi_join_built(df: DataFrame, capacity: DataFrame, key: str, cap_col: str = "EndCap") -> DataFrame:
