@@ -22,13 +22,21 @@ DEFAULTS = {
 }
 
 
+# Static settings, only for sessions this package builds itself: checkpoint
+# files of DataFrames that are gone get removed in long-lived sessions.
+BUILDER_DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def get_spark(master: str | None = None, app: str = "gridmeter", **conf) -> SparkSession:
     """Build (or join) a session. ``master`` is only used for local runs."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    for k, v in {**DEFAULTS, **conf}.items():
+    for k, v in {**BUILDER_DEFAULTS, **DEFAULTS, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
