@@ -158,7 +158,11 @@ def net_load_5min(
 
 
 def fuels_table(index_max: DataFrame, col: str = "max_index") -> DataFrame:
-    """Q7 (S11): zero-price fuel table over steps 0..max: ``(Time_Index, None)``."""
-    return index_max.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col(col).cast("long"))).alias("Time_Index")).select(
-        "Time_Index", F.lit(0.0).alias("None")
-    )
+    """Q7 (S11): zero-price fuel table over steps 0..max: ``(Time_Index, None)``.
+
+    Only the bound comes to the driver (one number); ``spark.range`` then
+    spreads the rows over tasks instead of exploding them from one row."""
+    from gridmeter.sources.generate import gen_range
+
+    hi = index_max.select(F.col(col).cast("long")).first()[0]
+    return gen_range(index_max.sparkSession, 0, int(hi or 0), constants={"None": 0.0})

@@ -44,3 +44,11 @@ def test_ecdf_matches_cume_dist(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = {r.x: r.ecdf for r in ecdf(df, "x").collect()}
     assert got == {1.0: 1 / 7, 2.0: 3 / 7, 3.0: 4 / 7, 5.0: 1.0}
+
+
+def test_kernel_density_approx_bandwidth_close_to_exact(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(v),) for v in rng.gamma(2.0, size=3000)], "x double")
+    exact = kernel_density(df, "x", n=256).orderBy("i").toPandas()
+    approx = kernel_density(df, "x", n=256, approx_accuracy=100000).orderBy("i").toPandas()
+    assert np.allclose(exact["density"], approx["density"], rtol=0.05, atol=1e-3)
