@@ -20,4 +20,7 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence[
     if keys:
         return df.join(small.select(*keys, *cols), keys, how)
     s = small.select(F.struct(*[F.col(c) for c in cols]).alias("_gm_s")).scalar()
-    return df.select("*", *[s[c].alias(c) for c in cols])
+    # one subquery column, fields read from it: the subquery appears once in
+    # the plan instead of once per field (nested attaches would multiply it)
+    with_s = df.withColumn("_gm_s", s)
+    return with_s.select(*[F.col(c) for c in df.columns], *[F.col("_gm_s")[c].alias(c) for c in cols])

@@ -48,15 +48,22 @@ def predict_linear(coef: DataFrame, xs: Sequence, x_name: str = "x", x_expr=None
     return pts.withColumn(out, F.col("intercept") + F.col("slope") * xv)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Type-7 quantiles (R default, ``percentile``/``quantile_cont``), exactly.
+def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, col, _gm_c): non-null values with their multiplicity. A partial
+    aggregate, so a hot value is combined inside every task; never larger
+    than the input."""
+    return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_gm_c"))
 
-    Output ``(*by, q_<i>)`` with one column per probability, in order.
-    """
-    keys = list(by)
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_gm_c"))
-    ranked = cumsum(counts, "_gm_c", order=[col], by=keys, out="_gm_cum")
-    totals = counts.groupBy(*keys).agg(F.sum("_gm_c").alias("_gm_n"))
+
+def ranked_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Value counts with their running count ``_gm_cum`` in value order (the
+    skew-safe, checkpointed ``cumsum``): the one pass over the input that
+    quantiles, ECDF and densities all read from."""
+    return cumsum(value_counts(df, col, by), "_gm_c", order=[col], by=list(by), out="_gm_cum")
+
+
+def _quantiles_from_ranked(ranked: DataFrame, col: str, probs: Sequence[float], keys: list[str]) -> DataFrame:
+    totals = ranked.groupBy(*keys).agg(F.sum("_gm_c").alias("_gm_n"))
     j = attach(ranked, totals, keys, ["_gm_n"])
     lo_start = F.col("_gm_cum") - F.col("_gm_c")
     aggs, keep = [], None
@@ -81,38 +88,64 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     return q.select(*keys, *outs)
 
 
-def bandwidth_nrd0(df: DataFrame, col: str, by: Sequence[str] = (), adjust: float = 1.0,
-                   approx_accuracy: int | None = None) -> DataFrame:
-    """R's default bandwidth ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)`` x ``adjust``,
-    with R's fall-backs when the spread is 0. Output ``(*by, n, lo, hi, bw)``.
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Type-7 quantiles (R default, ``percentile``/``quantile_cont``), exactly.
 
-    The IQR is exact by default. ``approx_accuracy`` switches to one-pass
-    ``percentile_approx`` (relative rank error 1/accuracy) for very large
-    inputs where a bandwidth to a few digits is enough."""
+    Output ``(*by, q_<i>)`` with one column per probability, in order.
+    """
     keys = list(by)
-    aggs = [F.count(col).alias("n"), F.stddev_samp(col).alias("_gm_sd"), F.min(col).alias("lo"),
-            F.max(col).alias("hi"), F.first(col).alias("_gm_x1")]
-    if approx_accuracy:
-        qs = F.percentile_approx(col, [0.25, 0.75], approx_accuracy)
-        aggs += [qs[0].alias("q_0"), qs[1].alias("q_1")]
-    base = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(*aggs)
-    if approx_accuracy:
-        j = base
-    else:
-        q = exact_quantiles(df, col, [0.25, 0.75], by=keys)
-        j = attach(base, q, keys, ["q_0", "q_1"])
+    return _quantiles_from_ranked(ranked_counts(df, col, keys), col, probs, keys)
+
+
+def _bandwidth_from_ranked(ranked: DataFrame, col: str, keys: list[str], adjust: float) -> DataFrame:
+    """nrd0 from the value-count table: n, min, max, a two-pass sample
+    variance over (value, count) pairs, and the exact IQR."""
+    c, x = F.col("_gm_c"), F.col(col).cast("double")
+    base = ranked.groupBy(*keys).agg(
+        F.sum("_gm_c").alias("n"), F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"),
+        (F.sum(c * x) / F.sum("_gm_c")).alias("_gm_mu"),
+    )
+    dev = attach(ranked, base, keys, ["n", "_gm_mu"]).groupBy(*keys).agg(
+        F.sqrt(F.sum(c * (x - F.col("_gm_mu")) * (x - F.col("_gm_mu"))) / (F.first("n") - 1)).alias("_gm_sd")
+    )
+    j = attach(base, dev, keys, ["_gm_sd"])
+    j = attach(j, _quantiles_from_ranked(ranked, col, [0.25, 0.75], keys), keys, ["q_0", "q_1"])
+    return _nrd0(j, keys, adjust, first_abs=F.abs(F.col("lo")))
+
+
+def _nrd0(j: DataFrame, keys: list[str], adjust: float, first_abs) -> DataFrame:
     iqr = (F.col("q_1") - F.col("q_0")) / F.lit(1.34)
     lo = F.least(F.col("_gm_sd"), iqr)
+    # R's fall-backs; a zero spread means every value is equal, so |x[1]| = |min|
     spread = (
         F.when(lo > 0, lo)
         .when(F.col("_gm_sd") > 0, F.col("_gm_sd"))
-        .when(F.abs(F.col("_gm_x1")) > 0, F.abs(F.col("_gm_x1")))
+        .when(first_abs > 0, first_abs)
         .otherwise(F.lit(1.0))
     )
     bw = F.lit(0.9 * adjust) * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     return j.select(*keys, "n", "lo", "hi", bw.alias("bw"))
 
 
+def bandwidth_nrd0(df: DataFrame, col: str, by: Sequence[str] = (), adjust: float = 1.0,
+                   approx_accuracy: int | None = None) -> DataFrame:
+    """R's default bandwidth ``0.9 * min(sd, IQR / 1.34) * n^(-1/5)`` x ``adjust``,
+    with R's fall-backs when the spread is 0. Output ``(*by, n, lo, hi, bw)``.
+
+    The IQR is exact by default (value counts + running count, one pass over
+    the input). ``approx_accuracy`` switches to one-pass ``percentile_approx``
+    (relative rank error 1/accuracy) where a bandwidth to a few digits will do."""
+    keys = list(by)
+    if approx_accuracy:
+        qs = F.percentile_approx(col, [0.25, 0.75], approx_accuracy)
+        j = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(
+            F.count(col).alias("n"), F.stddev_samp(col).alias("_gm_sd"), F.min(col).cast("double").alias("lo"),
+            F.max(col).cast("double").alias("hi"), qs[0].alias("q_0"), qs[1].alias("q_1"),
+        )
+        return _nrd0(j, keys, adjust, first_abs=F.abs(F.col("lo")))
+    return _bandwidth_from_ranked(ranked_counts(df, col, keys), col, keys, adjust)
+
+
 def kernel_density(
     df: DataFrame, col: str, by: Sequence[str] = (), adjust: float = 1.0, n: int = 512, cut: float = 3.0,
     bw: DataFrame | None = None, approx_accuracy: int | None = None,
@@ -124,22 +157,31 @@ def kernel_density(
     neighbouring grid points; the density at grid point i is
     ``sum_j w_j * phi((i - j) * delta / bw) / (N * bw)``.
     Output ``(*by, i, x, density)``.
+
+    The input is read once: everything (bandwidth, quantiles, bin weights)
+    comes from its value-count table, weighted by multiplicity.
     """
     keys = list(by)
-    params = bw if bw is not None else bandwidth_nrd0(df, col, by=keys, adjust=adjust, approx_accuracy=approx_accuracy)
+    if approx_accuracy or bw is not None:
+        counts = value_counts(df, col, keys)
+        params = bw if bw is not None else bandwidth_nrd0(df, col, by=keys, adjust=adjust, approx_accuracy=approx_accuracy)
+    else:
+        counts = ranked_counts(df, col, keys)
+        params = _bandwidth_from_ranked(counts, col, keys, adjust)
     params = params.select(
         *keys, "n", "bw",
         (F.col("lo") - F.lit(cut) * F.col("bw")).alias("_gm_from"),
         ((F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(n - 1)).alias("_gm_delta"),
     )
     pcols = ["n", "bw", "_gm_from", "_gm_delta"]
-    x = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_gm_x"))
+    x = counts.select(*keys, F.col(col).cast("double").alias("_gm_x"), "_gm_c")
     xj = attach(x, params, keys, pcols)  # one parameter row per group
     pos = (F.col("_gm_x") - F.col("_gm_from")) / F.col("_gm_delta")
     xj = xj.withColumn("_gm_pos", pos).withColumn("_gm_j", F.floor("_gm_pos").cast("int"))
     xj = xj.withColumn("_gm_fr", F.col("_gm_pos") - F.col("_gm_j"))
-    left = xj.select(*keys, F.col("_gm_j").alias("_gm_j"), (F.lit(1.0) - F.col("_gm_fr")).alias("_gm_w"))
-    right = xj.select(*keys, (F.col("_gm_j") + 1).alias("_gm_j"), F.col("_gm_fr").alias("_gm_w"))
+    c = F.col("_gm_c").cast("double")
+    left = xj.select(*keys, F.col("_gm_j").alias("_gm_j"), (c * (F.lit(1.0) - F.col("_gm_fr"))).alias("_gm_w"))
+    right = xj.select(*keys, (F.col("_gm_j") + 1).alias("_gm_j"), (c * F.col("_gm_fr")).alias("_gm_w"))
     bins = (
         left.unionByName(right)
         .where(F.col("_gm_j").between(0, n - 1))
@@ -161,11 +203,11 @@ def kernel_density(
 
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "ecdf") -> DataFrame:
     """M4: empirical CDF at each distinct value, ``count(x <= v) / n`` per group
-    (``cume_dist``), via value counts + the skew-safe running sum."""
+    (``cume_dist``), via value counts + the skew-safe running sum; the group
+    sizes come from the same checkpointed table."""
     keys = list(by)
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_gm_c"))
-    ranked = cumsum(counts, "_gm_c", order=[col], by=keys, out="_gm_cum")
-    totals = counts.groupBy(*keys).agg(F.sum("_gm_c").alias("_gm_n"))
+    ranked = ranked_counts(df, col, keys)
+    totals = ranked.groupBy(*keys).agg(F.sum("_gm_c").alias("_gm_n"))
     return attach(ranked, totals, keys, ["_gm_n"]).select(
         *keys, col, F.col("_gm_c").alias("n_at"), (F.col("_gm_cum") / F.col("_gm_n")).alias(out)
     )

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.functions.time import Grid, index_to_clock, period_index, step_in_period, step_index
 from gridmeter.operators.keys import attach
+from gridmeter.session import checkpoint_dir
 
 _GI = "_gm_gi"
 _B = "_gm_b"
@@ -35,24 +36,25 @@ def _grid(every_minutes: int, origin: str) -> Grid:
     return Grid(step_minutes=every_minutes, base=origin)
 
 
-def _series_bounds(df: DataFrame, ts: str, keys: list[str], g: Grid) -> DataFrame:
-    """Per series: first and last grid step covered by any sample."""
-    return df.groupBy(*keys).agg(
-        F.min(step_index(ts, g, one_based=False)).alias("_gm_start"),
-        F.max(step_index(ts, g, one_based=False)).alias("_gm_end"),
-    )
-
+def _per_step(df: DataFrame, ts: str, value: str, keys: list[str], g: Grid) -> DataFrame:
+    """The input reduced once to one row per (series, grid step).
 
-def _on_grid(df: DataFrame, ts: str, value: str, keys: list[str], g: Grid) -> DataFrame:
-    """Samples exactly on the grid with a value, keyed by their step number."""
+    ``value`` is the mean of the samples sitting exactly on that grid point
+    (null when none does: off-grid samples only mark the step, for the grid
+    bounds). Every later branch reads this table, checkpointed to the shared
+    folder, instead of re-reading (and re-aggregating) the input.
+    """
     gi = step_index(ts, g, one_based=False)
-    return (
-        df.select(*keys, F.col(ts), F.col(value).cast("double").alias(value))
-        .where(F.col(value).isNotNull())
-        .withColumn(_GI, gi)
-        .where(index_to_clock(F.col(_GI), g, one_based=False) == F.col(ts).cast("timestamp_ntz"))
-        .drop(ts)
-    )
+    on = index_to_clock(gi, g, one_based=False) == F.col(ts).cast("timestamp_ntz")
+    v = F.col(value).cast("double")
+    red = df.groupBy(*keys, gi.alias(_GI)).agg(F.avg(F.when(on, v)).alias(value))
+    checkpoint_dir(df.sparkSession)
+    return red.checkpoint(eager=True)
+
+
+def _series_bounds(per_step: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series: first and last grid step covered by any sample."""
+    return per_step.groupBy(*keys).agg(F.min(_GI).alias("_gm_start"), F.max(_GI).alias("_gm_end"))
 
 
 def resample_grid(
@@ -68,7 +70,8 @@ def resample_grid(
     value, every other grid point is null. Output ``(*by, ts, value)``."""
     g = _grid(every_minutes, origin)
     keys = list(by)
-    bounds = _series_bounds(df, ts, keys, g)
+    per_step = _per_step(df, ts, value, keys, g)
+    bounds = _series_bounds(per_step, keys)
     # two-step explode: buckets first, then steps, so no single row expands a
     # whole multi-year series inside one task
     buckets = bounds.select(
@@ -79,9 +82,8 @@ def resample_grid(
     lo = F.greatest(F.col("_gm_start"), F.col(_B) * bucket_steps)
     hi = F.least(F.col("_gm_end"), F.col(_B) * bucket_steps + bucket_steps - 1)
     grid = buckets.repartition(*keys, _B).select(*keys, F.explode(F.sequence(lo, hi)).alias(_GI))
-    samples = _on_grid(df, ts, value, keys, g)
     # several samples at one grid point: their mean (pandas would refuse them)
-    samples = samples.groupBy(*keys, _GI).agg(F.avg(value).alias(value))
+    samples = per_step.where(F.col(value).isNotNull())
     out = grid.join(samples, [*keys, _GI], "left")
     return out.select(*keys, index_to_clock(F.col(_GI), g, one_based=False).alias(ts), F.col(value))
 
@@ -106,13 +108,11 @@ def interpolate_linear(
     g = _grid(every_minutes, origin)
     keys = list(by)
     # several samples at one grid point: their mean (pandas would refuse them).
-    # The partial aggregate combines a hot point inside every task, and leaves
-    # at most ``bucket_steps`` rows per (series, bucket) for the window below.
-    samples = (
-        _on_grid(df, ts, value, keys, g)
-        .groupBy(*keys, _GI).agg(F.avg(value).alias(value))
-        .withColumn(_B, F.floor(F.col(_GI) / bucket_steps).cast("long"))
-    )
+    # The per-step reduction (a partial aggregate) combines a hot point inside
+    # every task, and leaves at most ``bucket_steps`` rows per (series, bucket)
+    # for the window below.
+    per_step = _per_step(df, ts, value, keys, g)
+    samples = per_step.where(F.col(value).isNotNull()).withColumn(_B, F.floor(F.col(_GI) / bucket_steps).cast("long"))
 
     # first sample of every non-empty bucket, and the next bucket's first sample
     firsts = samples.groupBy(*keys, _B).agg(F.min(_GI).alias("_gm_fgi"), F.min_by(value, F.col(_GI)).alias("_gm_fv"))
@@ -159,7 +159,7 @@ def interpolate_linear(
     )
 
     # the last on-grid sample of each series, and its tail up to the grid end
-    bounds = _series_bounds(df, ts, keys, g)
+    bounds = _series_bounds(per_step, keys)
     last = seg.where(F.col("_gm_gi1").isNull())
     last = attach(last, bounds, keys, ["_gm_start", "_gm_end"])
     kk = F.col("_gm_k")
