@@ -41,23 +41,28 @@ def period_features(
     return maps.select(period, vec.alias("features"))
 
 
-def scale_features(df: DataFrame, value: str, by: Sequence[str], method: str = "S", out: str = "scaled") -> DataFrame:
+def scale_features(df: DataFrame, value: str, by: Sequence[str], method: str = "S", out: str = "scaled",
+                   methods: dict[str, str] | None = None) -> DataFrame:
     """M6: ``S`` = (v - mean) / sample sd, ``N`` = (v - min) / (max - min), per
-    profile. Statistics are one aggregate row per profile, joined back."""
+    profile. One statistics aggregate per profile, joined back on the
+    profile key; ``methods`` ({out column: method}) adds several scalings
+    from that one pass."""
     st = df.groupBy(*by).agg(
         F.avg(value).alias("_gm_mu"), F.stddev_samp(value).alias("_gm_sd"),
         F.min(value).alias("_gm_lo"), F.max(value).alias("_gm_hi"),
     )
     j = df.join(st, list(by), "inner")
     v = F.col(value)
-    if method == "S":
-        e = F.when(F.col("_gm_sd") > 0, (v - F.col("_gm_mu")) / F.col("_gm_sd")).otherwise(F.lit(0.0))
-    elif method == "N":
-        rng = F.col("_gm_hi") - F.col("_gm_lo")
-        e = F.when(rng > 0, (v - F.col("_gm_lo")) / rng).otherwise(F.lit(0.0))
-    else:
-        raise ValueError("method must be 'S' or 'N'")
-    return j.withColumn(out, e).drop("_gm_mu", "_gm_sd", "_gm_lo", "_gm_hi")
+    for name, m in (methods or {out: method}).items():
+        if m == "S":
+            e = F.when(F.col("_gm_sd") > 0, (v - F.col("_gm_mu")) / F.col("_gm_sd")).otherwise(F.lit(0.0))
+        elif m == "N":
+            rng = F.col("_gm_hi") - F.col("_gm_lo")
+            e = F.when(rng > 0, (v - F.col("_gm_lo")) / rng).otherwise(F.lit(0.0))
+        else:
+            raise ValueError("method must be 'S' or 'N'")
+        j = j.withColumn(name, e)
+    return j.drop("_gm_mu", "_gm_sd", "_gm_lo", "_gm_hi")
 
 
 @dataclass(frozen=True)

@@ -496,9 +496,11 @@ def q_extreme_periods(spark: SparkSession, sf: str) -> DataFrame:
 def q_scale_features(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.periods import scale_features
 
-    h = _hourly_by_type(spark, sf)
-    z = scale_features(h, "value", ["event_type"], method="S", out="z")
-    mm = scale_features(z, "value", ["event_type"], method="N", out="minmax")
+    from gridmeter.session import checkpoint_dir
+
+    checkpoint_dir(spark)
+    h = _hourly_by_type(spark, sf).checkpoint(eager=True)  # read twice: statistics, then scaling
+    mm = scale_features(h, "value", ["event_type"], methods={"z": "S", "minmax": "N"})
     return mm.select("event_type", "ts", _r("value", 6), _r("z", 8), _r("minmax", 8))
 
 
@@ -672,9 +674,13 @@ def q_cluster_periods(spark: SparkSession, sf: str) -> DataFrame:
     )
 
     hourly_grid = Grid(step_minutes=60, base=EVENT_GRID.base, steps_per_period=24)
+    from gridmeter.session import checkpoint_dir
+
     ev = table(spark, sf, "events").withColumn("H", step_index("ts", hourly_grid))
     per = ev.groupBy("H", "event_type").agg(F.sum("value").alias("value"))
-    load = ev.groupBy("H").agg(F.sum("value").alias("value")).withColumn("event_type", F.lit("Load"))
+    checkpoint_dir(spark)
+    per = per.checkpoint(eager=True)  # the raw table is read once; every branch below reads this
+    load = per.groupBy("H").agg(F.sum("value").alias("value")).withColumn("event_type", F.lit("Load"))
     long = per.unionByName(load)
     scaled = scale_features(long, "value", ["event_type"], method="S", out="z")
     profiles = ["Load", SOLAR_TYPE, WIND_TYPE]
