@@ -74,7 +74,7 @@ def curtailment_by_month_hour(
     return prof(c, "clock", aggs)
 
 
-# --- distributed solar (DG.R) -------------------------------------------------
+# --- distributed solar ---------------------------------------------------------
 
 # Fixed value of the study: share of the utility's distributed solar that lies
 # in the study's service area.
@@ -120,11 +120,11 @@ def dg_orientation_summary(sites: DataFrame, azimuth: str, size_kw: str, ratio:
     from gridmeter.functions.labels import orientation
 
     return sites.groupBy(orientation(azimuth).alias("Orientation")).agg(
-        (F.lit(ratio) * F.sum(size_kw) / F.lit(1000.0)).alias("SCPA_MW_ac")
+        (F.lit(ratio) * F.sum(size_kw) / F.lit(1000.0)).alias("area_MW_ac")
     )
 
 
-# --- load assembly (NET.R) ----------------------------------------------------
+# --- load assembly -------------------------------------------------------------
 
 # Fixed value of the study: the utility's 2022 annual sales, MWh.
 UTILITY_ANNUAL_SALES_MWH = 21300 * 1000

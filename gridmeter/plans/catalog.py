@@ -120,7 +120,7 @@ def q_orientation_summary(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(
         (F.col("c_acctbal") / F.lit(20.0)).alias("azimuth"), F.abs("c_acctbal").alias("size_kw")
     )
-    return A.dg_orientation_summary(c, "azimuth", "size_kw").select("Orientation", _r("SCPA_MW_ac", 6))
+    return A.dg_orientation_summary(c, "azimuth", "size_kw").select("Orientation", _r("area_MW_ac", 6))
 
 
 # --- interval profiles ----------------------------------------------------------

@@ -118,7 +118,7 @@ SQL["orientation_summary"] = """
 WITH c AS (SELECT c_acctbal / 20.0 AS azimuth, abs(c_acctbal) AS size_kw FROM customer)
 SELECT CASE WHEN azimuth IS NULL OR isnan(azimuth) THEN 'South'
             WHEN azimuth > 225 THEN 'West' WHEN azimuth > 135 THEN 'South' ELSE 'East' END AS Orientation,
-       round(CAST(0.01924 AS DOUBLE) * sum(size_kw) / 1000.0, 6) AS SCPA_MW_ac
+       round(CAST(0.01924 AS DOUBLE) * sum(size_kw) / 1000.0, 6) AS area_MW_ac
 FROM c GROUP BY 1
 """
 
