@@ -60,8 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediates.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or the one
-    already set on the context). Only when nothing is set (local tests) does it
-    create a fresh folder and register it.
+    already set on the context). Only a local-mode session with nothing set
+    (tests, single-machine runs) gets a fresh temporary folder; a cluster
+    session without one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -73,6 +74,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        # a folder on this machine is not visible to executors elsewhere
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or object storage)")
     local = tempfile.mkdtemp(prefix="gridmeter-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -128,3 +128,11 @@ def test_run_tree_as_partitioned_parquet_prunes_runs(spark, tmp):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run" in plan
     assert [(r.Time_Index, r.value) for r in back.collect()] == [(1, 5.0)]
+
+
+def test_duplicate_and_unnamed_headers(spark, tmp):
+    p = _write(tmp, "gen.csv", ",Resource,LDS,Zone,LDS\n0,battery,1,1,0\n1,solar,0,1,0\n")
+    df = read_csv_typed(spark, p, {"Zone": "int"})
+    # Spark suffixes repeated names with their position and names an empty header _c0
+    assert df.columns == ["_c0", "Resource", "LDS2", "Zone", "LDS4"]
+    assert [r.Zone for r in df.collect()] == [1, 1]
