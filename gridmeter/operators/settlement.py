@@ -12,6 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Key = str | Sequence[str]
+
+
+def _keys(key: Key) -> list[str]:
+    """Result tables are keyed by resource, or by (resource, zone)."""
+    return [key] if isinstance(key, str) else list(key)
+
 
 def annual_sum(values: DataFrame, weights: DataFrame, by: Sequence[str] = ("Resource",), index: str = "Time_Index",
                value: str = "value", out: str = "AnnualSum") -> DataFrame:
@@ -44,18 +51,19 @@ def capacity_balance(cap: DataFrame) -> DataFrame:
 
 
 def capacity_factor(energy: DataFrame, capacity: DataFrame, hours: float, storage: DataFrame | None = None,
-                    key: str = "Resource") -> DataFrame:
+                    key: Key = "Resource") -> DataFrame:
     """AnnualSum / (Capacity x hours); 0 for storage and for zero capacity."""
-    j = energy.join(capacity.select(key, F.col("EndCap").alias("Capacity")), key, "inner")
+    k = _keys(key)
+    j = energy.join(capacity.select(*k, F.col("EndCap").alias("Capacity")), k, "inner")
     if storage is not None:
-        j = j.join(storage.select(key, F.lit(True).alias("_gm_stor")), key, "left")
+        j = j.join(storage.select(*k, F.lit(True).alias("_gm_stor")), k, "left")
         is_stor = F.coalesce(F.col("_gm_stor"), F.lit(False))
     else:
         is_stor = F.lit(False)
     cf = F.when(is_stor | (F.col("Capacity") <= 0), F.lit(0.0)).otherwise(
         F.col("AnnualSum") / (F.col("Capacity") * F.lit(float(hours)))
     )
-    return j.select(key, "AnnualSum", "Capacity", cf.alias("CapacityFactor"))
+    return j.select(*k, "AnnualSum", "Capacity", cf.alias("CapacityFactor"))
 
 
 COST_PARTS = ["Inv_cost_MW", "Inv_cost_MWh", "Fixed_OM_cost_MW", "Fixed_OM_cost_MWh", "Var_OM_cost_out",
@@ -64,7 +72,7 @@ REVENUE_PARTS = ["EnergyRevenue", "SubsidyRevenue", "ReserveMarginRevenue", "ESR
 
 
 def cost_components(generators: DataFrame, capacity: DataFrame, energy: DataFrame, charge: DataFrame | None = None,
-                    key: str = "Resource") -> DataFrame:
+                    key: Key = "Resource") -> DataFrame:
     """Investment, fixed and variable O&M cost per resource.
 
     generators: unit costs (Inv_Cost_per_MWyr, Inv_Cost_per_MWhyr,
@@ -72,14 +80,15 @@ def cost_components(generators: DataFrame, capacity: DataFrame, energy: DataFram
     Var_OM_Cost_per_MWh_In); capacity: NewCap, EndCap, NewEnergyCap,
     EndEnergyCap; energy / charge: AnnualSum.
     """
-    j = generators.join(capacity, key, "inner").join(energy.select(key, F.col("AnnualSum").alias("_gm_out")), key, "left")
+    k = _keys(key)
+    j = generators.join(capacity, k, "inner").join(energy.select(*k, F.col("AnnualSum").alias("_gm_out")), k, "left")
     if charge is not None:
-        j = j.join(charge.select(key, F.col("AnnualSum").alias("_gm_in")), key, "left")
+        j = j.join(charge.select(*k, F.col("AnnualSum").alias("_gm_in")), k, "left")
     else:
         j = j.withColumn("_gm_in", F.lit(0.0))
     z = F.lit(0.0)
     return j.select(
-        key,
+        *k,
         (F.col("Inv_Cost_per_MWyr") * F.col("NewCap")).alias("Inv_cost_MW"),
         (F.col("Inv_Cost_per_MWhyr") * F.col("NewEnergyCap")).alias("Inv_cost_MWh"),
         (F.col("Fixed_OM_Cost_per_MWyr") * F.col("EndCap")).alias("Fixed_OM_cost_MW"),
@@ -89,13 +98,14 @@ def cost_components(generators: DataFrame, capacity: DataFrame, energy: DataFram
     )
 
 
-def net_revenue(components: DataFrame, revenues: dict[str, DataFrame], key: str = "Resource") -> DataFrame:
+def net_revenue(components: DataFrame, revenues: dict[str, DataFrame], key: Key = "Resource") -> DataFrame:
     """Join every revenue / cost table onto the components (left
     joins on the resource key; a missing table or row counts as 0), then
     Revenue = sum of revenue parts, Cost = sum of cost parts, Profit = Revenue - Cost."""
+    k = _keys(key)
     out = components
     for name, tbl in revenues.items():
-        out = out.join(tbl.select(key, F.col("AnnualSum").alias(name)), key, "left")
+        out = out.join(tbl.select(*k, F.col("AnnualSum").alias(name)), k, "left")
     for c in COST_PARTS + REVENUE_PARTS:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0))) if c in out.columns else out.withColumn(c, F.lit(0.0))
     rev = sum((F.col(c) for c in REVENUE_PARTS[1:]), F.col(REVENUE_PARTS[0]))

@@ -80,3 +80,20 @@ def test_cluster_periods_grows_k_until_threshold(spark):
         members = m[m.Period_Index.between(4 * g + 1, 4 * g + 4)]
         assert set(members.Rep_Period) == {rep}
     assert sorted(m.Rep_Period_Index.unique()) == [1, 2, 3]
+
+
+def test_settlement_by_resource_and_zone(spark):
+    from gridmeter.operators.settlement import cost_components, net_revenue
+
+    gens = spark.createDataFrame([("g", "1", 10.0, 0.0, 1.0, 0.0, 2.0, 0.0), ("g", "2", 20.0, 0.0, 1.0, 0.0, 2.0, 0.0)],
+                                 "Resource string, Zone string, Inv_Cost_per_MWyr double, Inv_Cost_per_MWhyr double, "
+                                 "Fixed_OM_Cost_per_MWyr double, Fixed_OM_Cost_per_MWhyr double, "
+                                 "Var_OM_Cost_per_MWh double, Var_OM_Cost_per_MWh_In double")
+    cap = spark.createDataFrame([("g", "1", 1.0, 3.0, 0.0, 0.0), ("g", "2", 2.0, 5.0, 0.0, 0.0)],
+                                "Resource string, Zone string, NewCap double, EndCap double, NewEnergyCap double, EndEnergyCap double")
+    energy = spark.createDataFrame([("g", "1", 100.0), ("g", "2", 10.0)], "Resource string, Zone string, AnnualSum double")
+    rev = spark.createDataFrame([("g", "1", 1000.0)], "Resource string, Zone string, AnnualSum double")
+    comps = cost_components(gens, cap, energy, key=["Resource", "Zone"])
+    out = {r.Zone: r for r in net_revenue(comps, {"EnergyRevenue": rev}, key=["Resource", "Zone"]).collect()}
+    assert out["1"].Cost == 10.0 + 3.0 + 200.0 and out["1"].Profit == 1000.0 - 213.0
+    assert out["2"].Cost == 40.0 + 5.0 + 20.0 and out["2"].Revenue == 0.0
