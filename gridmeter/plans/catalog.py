@@ -778,3 +778,42 @@ def q_grouped_density(spark: SparkSession, sf: str) -> DataFrame:
 
     d = kernel_density(table(spark, sf, "events"), "value", by=["event_type"], adjust=1.0, n=512)
     return d.select("event_type", "i", _r("x", 6), _r("density", 12))
+
+
+@register("offset_from_first")
+def q_offset_from_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Minutes since each series' first reading (``Time - Time[1]``)."""
+    from gridmeter.operators.windows import offset_from_first
+
+    ev = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    return offset_from_first(ev, "ts", by=["event_type"], unit="MINUTE", out="minutes").select(
+        "event_id", "event_type", "minutes"
+    )
+
+
+@register("matrix_to_rows")
+def q_matrix_to_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Array columns -> one row per position (``posexplode(arrays_zip)``);
+    the stored vectors stand in for the curve arrays."""
+    from gridmeter.operators.reshape import matrix_to_rows
+
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return matrix_to_rows(e, ["embedding"], index="pos").select("vec_id", "pos", F.col("embedding").alias("value"))
+
+
+@register("ev_profile_long")
+def q_ev_profile_long(spark: SparkSession, sf: str) -> DataFrame:
+    """T8 + R4: a wide day profile (time of day x {Weekday, Weekend}) turned
+    into long rows keyed by (minutes since the first row, weekday flag).
+    The profile is the mean charging per 5-minute step by day type."""
+    from gridmeter.functions.time import index_to_clock, minute_of_day, weekday_flag
+    from gridmeter.operators.timeseries import day_profile_long
+    from gridmeter.plans.tables import EV_TYPE, typed_series
+
+    s = typed_series(step_readings(spark, sf), EV_TYPE, "ev").withColumn("clock", index_to_clock("Time_Index", EVENT_GRID))
+    s = s.withColumn("day", F.when(weekday_flag("clock"), "Weekday").otherwise("Weekend"))
+    wide = s.groupBy(minute_of_day("clock").alias("m")).pivot("day", ["Weekday", "Weekend"]).agg(F.avg("ev"))
+    wide = wide.select(F.timestamp_add("MINUTE", F.col("m"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("Time"),
+                       "Weekday", "Weekend")
+    out = day_profile_long(wide, "Time", value="EV_load")
+    return out.where(F.col("EV_load").isNotNull()).select("Time", "Weekday", _r("EV_load"))

@@ -559,3 +559,22 @@ SELECT g AS event_type, i, round(f + i * d, 6) AS x,
        round(sum(w * (exp(-0.5 * z * z) / sqrt(2 * pi()))) / (n * bw), 12) AS density
 FROM z GROUP BY g, i, f, d, n, bw
 """
+
+SQL["offset_from_first"] = """
+SELECT event_id, event_type,
+       (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY event_type))) // 60000000 AS minutes
+FROM events
+"""
+
+SQL["matrix_to_rows"] = """
+SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, embedding[pos] AS value
+FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)
+"""
+
+SQL["ev_profile_long"] = f"""WITH {_EV},
+evs AS (SELECT {_CLOCK} AS clock, sum(value) AS e FROM ev WHERE event_type = 'click' GROUP BY Time_Index),
+d AS (SELECT CAST(hour(clock) * 60 + minute(clock) AS INTEGER) AS m,
+             dayofweek(clock) + 1 BETWEEN 2 AND 6 AS Weekday, avg(e) AS EV_load FROM evs GROUP BY 1, 2),
+t0 AS (SELECT min(m) AS m0 FROM d)
+SELECT CAST(m - m0 AS INTEGER) AS Time, Weekday, round(EV_load, 4) AS EV_load FROM d, t0
+"""
