@@ -64,7 +64,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (tests, single-machine runs) gets a fresh temporary folder; a cluster
     session without one is an error.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context here; the server's setting applies
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for checkpointed steps")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
