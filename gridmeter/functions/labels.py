@@ -29,8 +29,10 @@ def orientation(azimuth: ColumnLike) -> Column:
 
 
 def concat_label(value: ColumnLike, unit: str, digits: int = 2) -> Column:
-    """``"<value rounded> <unit>"`` (R ``paste(round(x, 2), "MW")``)."""
-    return F.concat_ws(" ", F.round(_c(value), digits).cast("string"), F.lit(unit))
+    """``"<value rounded> <unit>"`` (R ``paste(round(x, 2), "MW")``); a missing
+    value gives a missing label, not a bare unit."""
+    v = _c(value)
+    return F.when(v.isNull(), None).otherwise(F.concat_ws(" ", F.round(v, digits).cast("string"), F.lit(unit)))
 
 
 def sign_by_membership(col: ColumnLike, positives: Iterable[str]) -> Column:
