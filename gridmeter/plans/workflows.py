@@ -94,3 +94,36 @@ def dg_reports(sites: DataFrame, ratio: float = A.SERVICE_AREA_RATIO, train_afte
     }
     out["projection"] = A.dg_projection(by_o, "date", "capacity_mw", "Orientation", train_after, at, label_at)
     return out
+
+
+def hydro_variability_from_file(spark: SparkSession, path: str, year: int | None, ts_col: str = "Datetime",
+                                ts_format: str = TS_FORMAT, name: str = "Hour", value: str = "gen") -> DataFrame:
+    """Q8: a daily x time-of-day wide table (after T3) -> long
+    ``(Datetime, Hour, gen)`` for one year (F2 as a timestamp range, R1)."""
+    from gridmeter.operators.reshape import unpivot_all_but
+    from gridmeter.sources.csv import read_time_indexed
+
+    df = read_time_indexed(spark, path, ts_col, ts_format)
+    if year is not None:
+        lo = F.lit(f"{year}-01-01 00:00:00").cast("timestamp_ntz")
+        hi = F.lit(f"{year + 1}-01-01 00:00:00").cast("timestamp_ntz")
+        df = df.where((F.col(ts_col) >= lo) & (F.col(ts_col) < hi))
+    return unpivot_all_but(df, [ts_col], name, value)
+
+
+def fleet_from_site_files(spark: SparkSession, path: str, value: str = "gen", site_col: str = "site") -> DataFrame:
+    """Q10 (S4 + U1 + G7): per-site series files (two metadata lines, then
+    year, month, day, hour, minute, value) read in one scan, the site taken
+    from each file name; output the fleet total per timestamp and the number
+    of sites reporting."""
+    from pyspark.sql import types as T
+
+    from gridmeter.sources.csv import read_skip_meta
+
+    schema = T.StructType([T.StructField(n, T.IntegerType()) for n in ("year", "month", "day", "hour", "minute")]
+                          + [T.StructField(value, T.DoubleType())])
+    rows = read_skip_meta(spark, path, schema, site_col=site_col)
+    ts = F.make_timestamp_ntz(F.col("year"), F.col("month"), F.col("day"), F.col("hour"), F.col("minute"), F.lit(0))
+    return rows.groupBy(ts.alias("Datetime")).agg(
+        F.sum(value).alias("total"), F.countDistinct(site_col).alias("sites")
+    )

@@ -76,3 +76,18 @@ def test_dg_reports(spark, tmp):
     assert proj[("South", "2025-01-01")].label.endswith(" MW") and proj[("South", "2018-01-01")].label is None
     assert proj[("East", "2025-01-01")].capacity_mw is None and proj[("East", "2025-01-01")].label is None
     assert out["tilt_density"].count() == 512
+
+
+def test_hydro_and_fleet(spark, tmp):
+    from gridmeter.plans.workflows import fleet_from_site_files, hydro_variability_from_file
+
+    h = _w(tmp, "hydro.csv", "Datetime,0:00,0:05\n12/31/21 0:00,9,9\n1/1/22 0:00,1,2\n1/2/22 0:00,3,4\n")
+    got = sorted((r.Datetime.day, r.Hour, r.gen) for r in hydro_variability_from_file(spark, h, 2022).collect())
+    assert got == [(1, "0:00", 1.0), (1, "0:05", 2.0), (2, "0:00", 3.0), (2, "0:05", 4.0)]
+    os.makedirs(os.path.join(tmp, "sites"), exist_ok=True)
+    for site, base in (("a", 1.0), ("b", 10.0)):
+        _w(tmp, f"sites/{site}.csv", "Source,Location ID\nNSRDB,1\n"
+           + "".join(f"2022,1,1,0,{m},{base + m}\n" for m in (0, 30)))
+    _w(tmp, "sites/c.csv", "Source,Location ID\nNSRDB,1\n2022,1,1,0,30,100\n")
+    f = {r.Datetime.minute: (r.total, r.sites) for r in fleet_from_site_files(spark, os.path.join(tmp, "sites", "*.csv")).collect()}
+    assert f == {0: (1.0 + 10.0, 2), 30: (31.0 + 40.0 + 100.0, 3)}
