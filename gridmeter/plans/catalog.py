@@ -812,8 +812,12 @@ def q_ev_profile_long(spark: SparkSession, sf: str) -> DataFrame:
 
     s = typed_series(step_readings(spark, sf), EV_TYPE, "ev").withColumn("clock", index_to_clock("Time_Index", EVENT_GRID))
     s = s.withColumn("day", F.when(weekday_flag("clock"), "Weekday").otherwise("Weekend"))
-    wide = s.groupBy(minute_of_day("clock").alias("m")).pivot("day", ["Weekday", "Weekend"]).agg(F.avg("ev"))
+    # per-step sums of 2-decimal readings are exact decimals; their mean over days
+    # often ends on an exact half at the 4th decimal, so sum exactly and round
+    # half up by the same IEEE steps as the SQL side
+    exact_mean = F.sum(F.col("ev").cast("decimal(30,2)")).cast("double") / F.count("ev")
+    wide = s.groupBy(minute_of_day("clock").alias("m")).pivot("day", ["Weekday", "Weekend"]).agg(exact_mean)
     wide = wide.select(F.timestamp_add("MINUTE", F.col("m"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("Time"),
                        "Weekday", "Weekend")
     out = day_profile_long(wide, "Time", value="EV_load")
-    return out.where(F.col("EV_load").isNotNull()).select("Time", "Weekday", _r("EV_load"))
+    return out.where(F.col("EV_load").isNotNull()).select("Time", "Weekday", _half_up("EV_load", 4))

@@ -574,7 +574,8 @@ FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS po
 SQL["ev_profile_long"] = f"""WITH {_EV},
 evs AS (SELECT {_CLOCK} AS clock, sum(value) AS e FROM ev WHERE event_type = 'click' GROUP BY Time_Index),
 d AS (SELECT CAST(hour(clock) * 60 + minute(clock) AS INTEGER) AS m,
-             dayofweek(clock) + 1 BETWEEN 2 AND 6 AS Weekday, avg(e) AS EV_load FROM evs GROUP BY 1, 2),
+             dayofweek(clock) + 1 BETWEEN 2 AND 6 AS Weekday,
+             CAST(sum(CAST(e AS DECIMAL(30, 2))) AS DOUBLE) / count(e) AS EV_load FROM evs GROUP BY 1, 2),
 t0 AS (SELECT min(m) AS m0 FROM d)
-SELECT CAST(m - m0 AS INTEGER) AS Time, Weekday, round(EV_load, 4) AS EV_load FROM d, t0
+SELECT CAST(m - m0 AS INTEGER) AS Time, Weekday, floor(EV_load * 10000.0 + 0.5) / 10000.0 AS EV_load FROM d, t0
 """
