@@ -89,4 +89,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Task count for an explicitly sized shuffle (AQE does not coalesce those):
+    the larger of the shuffle partitions and AQE's initial partition number,
+    so a cluster that sizes shuffles through AQE gets the same spread here."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    if initial and spark.conf.get("spark.sql.adaptive.enabled", "true") == "true":
+        return max(base, int(initial))
+    return base

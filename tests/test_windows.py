@@ -80,3 +80,19 @@ def test_cumsum_carries_across_arrow_batches(spark):
     assert (m["c"].astype("int64") == m["exp"].astype("int64")).all()
     mg = glob.merge(pdf[["id", "gexp"]], on="id")
     assert (mg["c"].astype("int64") == mg["gexp"].astype("int64")).all()
+
+
+def test_cumsum_task_count_follows_aqe_initial_partitions(spark):
+    from gridmeter.session import shuffle_partitions
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert shuffle_partitions(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(key, "37")
+    try:
+        assert shuffle_partitions(spark) == 37
+        rows = [(i, "g", i % 5) for i in range(500)]
+        df = spark.createDataFrame(rows, "id long, g string, v long")
+        out = cumsum(df, "v", ["id"], by=["g"], out="cs").toPandas().sort_values("id")
+        assert out["cs"].tolist() == np.cumsum([r[2] for r in rows]).tolist()
+    finally:
+        spark.conf.unset(key)
