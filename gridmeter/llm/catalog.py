@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .mixing import OP1_SQL, op1_mixing
+from .packing import op3_packing
+from .token_files import op2_token_files
 
-QUERIES = {"op1_mixing": op1_mixing}
+QUERIES = {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_packing": op3_packing}
 
 SQL = {"op1_mixing": OP1_SQL}
