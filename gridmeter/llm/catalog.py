@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op3_packing
 from .token_files import op2_token_files
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_packing": op3_packing}
+QUERIES = {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_packing": op3_packing, "op6_exact_dedup": op6_exact_dedup}
 
-SQL = {"op1_mixing": OP1_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL}
