@@ -5,8 +5,9 @@ from __future__ import annotations
 from .dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op3_packing
+from .sharding import op7_sharding
 from .token_files import op2_token_files
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_packing": op3_packing, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_packing": op3_packing, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
 
 SQL = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL}
