@@ -7,7 +7,15 @@ from .mixing import OP1_SQL, op1_mixing
 from .packing import op3_packing
 from .sharding import op7_sharding
 from .token_files import op2_token_files
+from .toxicity import op4_toxicity
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_token_files": op2_token_files, "op3_packing": op3_packing, "op6_exact_dedup": op6_exact_dedup, "op7_sharding": op7_sharding}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_token_files": op2_token_files,
+    "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_sharding": op7_sharding,
+}
 
 SQL = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL}
