@@ -5,6 +5,7 @@ from __future__ import annotations
 from .dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op3_packing
+from .quality import op8_quality
 from .sharding import op7_sharding
 from .token_files import op2_token_files
 from .toxicity import op4_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
 }
 
 SQL = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL}
