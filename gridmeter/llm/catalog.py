@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat
 from .dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op3_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
 }
 
-SQL = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_chat": OP9_SQL}
