@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat
 from .dedup import OP6_SQL, op6_exact_dedup
+from .fingerprints import op5_fingerprints
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op3_packing
 from .quality import op8_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
+    "op5_fingerprints": op5_fingerprints,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,

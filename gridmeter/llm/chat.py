@@ -82,18 +82,9 @@ def as_chains(rows: DataFrame, tree_col: str, order_cols: list[str]) -> DataFram
     ``parent``, where a row answers the row before it in its conversation. Rows
     are range-sorted and stored; ids are gapless over all, so the row before is
     found by an equi join, and a long conversation is spread over tasks."""
-    keys = [F.col(f"{C.ROW}.`{c}`") for c in [tree_col, *order_cols]]
-    packed = C.packed(rows, _all=F.xxhash64(*[rows[f"`{c}`"] for c in rows.columns]))
-    keys = [*keys, F.col("_all")]
-    sort = packed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
-    sort = C.stored(sort, "chat-rows")
-    part = F.shiftright("_mid", 33).alias("_part")
-    sizes = sort.groupBy(part).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition of the stored table
-    offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
-    numbered = sort.withColumn("_part", part).join(offsets, "_part")
-    numbered = numbered.select((F.col("_offset") + F.col("_mid").bitwiseAND((1 << 33) - 1)).alias("id"), F.col(f"{C.ROW}.`{tree_col}`").alias("tree"), C.ROW)
+    names = {f"_k{i}": rows[f"`{c}`"] for i, c in enumerate([tree_col, *order_cols])}
+    packed = C.packed(rows, **names, _all=F.xxhash64(*[rows[f"`{c}`"] for c in rows.columns]))
+    numbered = C.numbered(packed, [*names, "_all"], "chat-rows").select(F.col("_index").alias("id"), F.col("_k0").alias("tree"), C.ROW)
     earlier = numbered.select((F.col("id") + 1).alias("id"), F.col("tree").alias("_tree"), F.lit(True).alias("_there"))
     return numbered.join(earlier, "id", "left").select("id", "tree", F.when(F.col("_there") & F.col("tree").eqNullSafe(F.col("_tree")), F.col("id") - 1).alias("parent"), C.ROW)
 

@@ -105,3 +105,17 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
 def clean_source(col: Column) -> tuple[Column, Column]:
     """A nullable string as two columns without nulls, in code point order, null last."""
     return col.isNull().cast("int"), F.coalesce(col, F.lit(""))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``_index``, its gapless place in the order of ``keys``: range-
+    sorted and stored once, then each row's place in its partition plus the rows
+    of the partitions before it (one broadcast row per partition)."""
+    sort = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id())
+    sort = stored(sort, name)
+    part = F.shiftright("_mid", 33).alias("_part")
+    sizes = sort.groupBy(part).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    place = F.col("_offset") + F.col("_mid").bitwiseAND((1 << 33) - 1)
+    return sort.withColumn("_part", part).join(offsets, "_part").withColumn("_index", place).drop("_part", "_offset", "_mid")
