@@ -6,6 +6,7 @@ from .chat import OP9_SQL, op9_chat
 from .dedup import OP6_SQL, op6_exact_dedup
 from .fingerprints import op5_fingerprints
 from .mixing import OP1_SQL, op1_mixing
+from .near_dedup import op10_near_dedup
 from .packing import op3_packing
 from .quality import op8_quality
 from .sharding import op7_sharding
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL = {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op9_chat": OP9_SQL}

@@ -119,3 +119,25 @@ def numbered(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     offsets = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
     place = F.col("_offset") + F.col("_mid").bitwiseAND((1 << 33) - 1)
     return sort.withColumn("_part", part).join(offsets, "_part").withColumn("_index", place).drop("_part", "_offset", "_mid")
+
+
+def without(docs: DataFrame, marks: DataFrame, id_: Column, sum_: Column, broadcast_rows: int) -> DataFrame:
+    """Rows of ``docs`` whose mark keeps them. ``marks``, a stored table, has a row
+    for each of them: ``_id``, ``_sum`` (hash of the text), ``keeps``. Of rows that
+    repeat id and text, where one is to be kept, one stays. Up to
+    ``broadcast_rows`` dropped rows (under 100 MB) are broadcast, more are joined
+    by a shuffle."""
+    pairs = marks.groupBy("_id", "_sum").agg(F.max("keeps").alias("_some"), F.min("keeps").alias("_all"))
+    pairs = stored(pairs.where("not _all").select(F.col("_id").alias("_gone"), F.col("_sum").alias("_gone_sum"), "_some"), "gone")
+    gone, twice = pairs.where("not _some"), pairs.where("_some")
+    rows = packed(docs, _id=id_, _sum=sum_)
+
+    def match(side: DataFrame) -> tuple[DataFrame, Column]:
+        side = F.broadcast(side) if is_small(side, broadcast_rows) else side
+        return side, rows["_id"].eqNullSafe(side["_gone"]) & (rows["_sum"] == side["_gone_sum"])
+
+    left = rows.join(*match(gone), "left_anti")
+    if not twice.isEmpty():
+        side, on = match(twice)
+        left = left.join(side, on, "left_anti").unionByName(left.join(side, on, "left_semi").dropDuplicates(["_id", "_sum"]))
+    return left.select(f"{ROW}.*")

@@ -190,23 +190,10 @@ def exact_groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
 
 def drop_exact(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with one row of each group of byte-equal texts, that with the
-    largest id (cases as in ``exact_groups``). Up to ``broadcast_rows`` dropped
-    rows (id and hash, under 100 MB) are broadcast, more are joined by a shuffle."""
-    groups = C.stored(exact_groups(docs, text_col=text_col, id_col=id_col), "dedup-rows")
-    other = ~F.col(id_col).eqNullSafe(F.col("keep_id"))
-    gone = groups.where(other).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    twice = groups.where(~F.col("kept") & ~other).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    rows = C.packed(docs, _id=docs[id_col], _sha=F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
-
-    def match(side: DataFrame):
-        side = F.broadcast(side) if C.is_small(side, broadcast_rows) else side
-        return side, rows["_id"].eqNullSafe(side["_gone"]) & (rows["_sha"] == side["_gone_sha"])
-
-    left = rows.join(*match(gone), "left_anti")
-    if not twice.isEmpty():  # rows that repeat the kept one: one of them stays
-        side, on = match(twice)
-        left = left.join(side, on, "left_anti").unionByName(left.join(side, on, "left_semi").dropDuplicates(["_id", "_sha"]))
-    return left.select(f"{C.ROW}.*")
+    largest id (cases as in ``exact_groups``)."""
+    groups = C.stored(exact_groups(docs, text_col=text_col, id_col=id_col, broadcast_rows=broadcast_rows), "dedup-rows")
+    marks = groups.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sum"), F.col("kept").alias("keeps"))
+    return C.without(docs, marks, docs[id_col], F.sha2(F.coalesce(docs[text_col], F.lit("")), 256), broadcast_rows)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
