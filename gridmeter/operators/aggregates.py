@@ -73,10 +73,11 @@ def rollup_zone_pivot(df: DataFrame, row: str, zone: str, value: str, zones: Seq
     )
 
 
-def semi_join_built(df: DataFrame, capacity: DataFrame, key: str, cap_col: str = "EndCap") -> DataFrame:
+def semi_join_built(df: DataFrame, capacity: DataFrame, key: str | Sequence[str], cap_col: str = "EndCap") -> DataFrame:
     """Rows whose resource has positive built capacity (``left_semi``)."""
-    built = capacity.where(F.col(cap_col) > 0).select(key)
-    return df.join(built, key, "left_semi")
+    keys = [key] if isinstance(key, str) else list(key)
+    built = capacity.where(F.col(cap_col) > 0).select(*keys)
+    return df.join(built, keys, "left_semi")
 
 
 def order_levels(df: DataFrame, col: str, levels: Sequence[str], rank: str = "level", reverse: bool = False) -> DataFrame:

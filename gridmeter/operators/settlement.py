@@ -2,14 +2,16 @@
 
 Time series join their step weights (one row per step of the study horizon)
 and collapse to one row per resource with partial aggregation; per-resource
-tables then join on (Resource, Zone) - a few hundred rows each.
+tables then join on (Resource, Zone) - a few hundred rows each. Prices are
+keyed by step, or by (step, zone). ``step_table`` joins quantities, prices and
+weights once; ``settlement_sums`` takes every sum from it in one aggregate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Key = str | Sequence[str]
@@ -20,11 +22,49 @@ def _keys(key: Key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df``, or an error if a key has several rows: a join on it would
+    multiply what it settles."""
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gm_n")).where("_gm_n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"{what} has several rows for {again[0].asDict()}")
+    return df
+
+
+def _price_keys(values: DataFrame, prices: DataFrame, index: str, zone: str) -> list[str]:
+    if zone in prices.columns and zone not in values.columns:
+        raise ValueError(f"prices are keyed by {zone!r}, the quantities are not")
+    return [index, zone] if zone in prices.columns else [index]
+
+
+def step_table(values: DataFrame, prices: Sequence[DataFrame], weights: DataFrame, index: str = "Time_Index",
+               zone: str = "Zone") -> DataFrame:
+    """Quantities with the prices and the weight of their step. Each price table
+    is keyed by step, or by step and zone, without repeats; a quantity without
+    a price or weight keeps its row, with null there (see ``unmatched_steps``)."""
+    out = values
+    for p in prices:
+        keys = _price_keys(values, p, index, zone)
+        out = out.join(require_unique(p, keys, "a price table"), keys, "left")
+    return out.join(require_unique(weights, [index], "the weight table"), index, "left")
+
+
+def settlement_sums(steps: DataFrame, terms: Mapping[str, Column], by: Sequence[str], weight: str = "weight") -> DataFrame:
+    """The sum of weight x term for every term, in one pass. A
+    null term or weight counts as 0."""
+    w = F.col(weight)
+    return steps.groupBy(*by).agg(*[F.coalesce(F.sum(w * t), F.lit(0.0)).alias(name) for name, t in terms.items()])
+
+
+def unmatched_steps(steps: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per resource, how many rows have no price or weight: ``no_<column>``."""
+    return steps.groupBy(*by).agg(*[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in columns])
+
+
 def annual_sum(values: DataFrame, weights: DataFrame, by: Sequence[str] = ("Resource",), index: str = "Time_Index",
                value: str = "value", out: str = "AnnualSum") -> DataFrame:
     """B1: sum over steps of weight x value, per resource."""
-    j = values.join(weights, index, "inner")
-    return j.groupBy(*by).agg(F.sum(F.col("weight") * F.col(value)).alias(out))
+    return settlement_sums(step_table(values, [], weights, index), {out: F.col(value)}, by)
 
 
 def step_total(values: DataFrame, index: str = "Time_Index", value: str = "value", out: str = "Total") -> DataFrame:
@@ -33,10 +73,12 @@ def step_total(values: DataFrame, index: str = "Time_Index", value: str = "value
 
 
 def settle(values: DataFrame, prices: DataFrame, weights: DataFrame, by: Sequence[str] = ("Resource",),
-           index: str = "Time_Index", value: str = "value", price: str = "price", out: str = "AnnualSum") -> DataFrame:
-    """Sum of weight x price x quantity (charging cost, energy revenue)."""
-    j = values.join(prices, index, "inner").join(weights, index, "inner")
-    return j.groupBy(*by).agg(F.sum(F.col("weight") * F.col(price) * F.col(value)).alias(out))
+           index: str = "Time_Index", value: str = "value", price: str = "price", out: str = "AnnualSum",
+           zone: str = "Zone") -> DataFrame:
+    """Sum of weight x price x quantity (charging cost, energy revenue).
+    Prices that have a ``zone`` column settle the quantities of their zone."""
+    steps = step_table(values, [prices], weights, index, zone)
+    return settlement_sums(steps, {out: F.col(price) * F.col(value)}, by)
 
 
 def capacity_balance(cap: DataFrame) -> DataFrame:
@@ -78,21 +120,29 @@ def cost_components(generators: DataFrame, capacity: DataFrame, energy: DataFram
     generators: unit costs (Inv_Cost_per_MWyr, Inv_Cost_per_MWhyr,
     Fixed_OM_Cost_per_MWyr, Fixed_OM_Cost_per_MWhyr, Var_OM_Cost_per_MWh,
     Var_OM_Cost_per_MWh_In); capacity: NewCap, EndCap, NewEnergyCap,
-    EndEnergyCap; energy / charge: AnnualSum.
+    EndEnergyCap; energy / charge: AnnualSum. A generator without a capacity
+    row is kept (``no_capacity``) and missing capacities count as 0, as for
+    resources that have no energy capacity.
     """
     k = _keys(key)
-    j = generators.join(capacity, k, "inner").join(energy.select(*k, F.col("AnnualSum").alias("_gm_out")), k, "left")
+    capacity = require_unique(capacity, k, "the capacity table").withColumn("_gm_cap", F.lit(True))
+    j = generators.join(capacity, k, "left").join(energy.select(*k, F.col("AnnualSum").alias("_gm_out")), k, "left")
     if charge is not None:
         j = j.join(charge.select(*k, F.col("AnnualSum").alias("_gm_in")), k, "left")
     else:
         j = j.withColumn("_gm_in", F.lit(0.0))
     z = F.lit(0.0)
+
+    def part(cost: str, amount: str) -> Column:
+        return F.col(cost) * F.coalesce(F.col(amount), z)
+
     return j.select(
         *k,
-        (F.col("Inv_Cost_per_MWyr") * F.col("NewCap")).alias("Inv_cost_MW"),
-        (F.col("Inv_Cost_per_MWhyr") * F.col("NewEnergyCap")).alias("Inv_cost_MWh"),
-        (F.col("Fixed_OM_Cost_per_MWyr") * F.col("EndCap")).alias("Fixed_OM_cost_MW"),
-        (F.col("Fixed_OM_Cost_per_MWhyr") * F.col("EndEnergyCap")).alias("Fixed_OM_cost_MWh"),
+        F.col("_gm_cap").isNull().alias("no_capacity"),
+        part("Inv_Cost_per_MWyr", "NewCap").alias("Inv_cost_MW"),
+        part("Inv_Cost_per_MWhyr", "NewEnergyCap").alias("Inv_cost_MWh"),
+        part("Fixed_OM_Cost_per_MWyr", "EndCap").alias("Fixed_OM_cost_MW"),
+        part("Fixed_OM_Cost_per_MWhyr", "EndEnergyCap").alias("Fixed_OM_cost_MWh"),
         (F.col("Var_OM_Cost_per_MWh") * F.coalesce(F.col("_gm_out"), z)).alias("Var_OM_cost_out"),
         (F.col("Var_OM_Cost_per_MWh_In") * F.coalesce(F.col("_gm_in"), z)).alias("Var_OM_cost_in"),
     )

@@ -328,50 +328,73 @@ def q_step_weights(spark: SparkSession, sf: str) -> DataFrame:
     return _sys(spark, sf).step_w.select("Time_Index", _r("weight", 9))
 
 
+def _sums(s) -> DataFrame:
+    """Every weighted sum of the settlement, one pass over the step table."""
+    from gridmeter.operators.settlement import settlement_sums
+    from gridmeter.plans.system import KEY, settlement_terms
+
+    return settlement_sums(s.steps, settlement_terms(), KEY)
+
+
 @register("annual_sum")
 def q_annual_sum(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.settlement import annual_sum
+    from gridmeter.plans.system import KEY
 
     s = _sys(spark, sf)
-    return annual_sum(s.red_power, s.step_w).select("Resource", _r("AnnualSum", 2))
+    weights = s.steps.select("Time_Index", "weight").distinct()
+    return annual_sum(s.steps.drop("weight"), weights, KEY).select(*KEY, _r("AnnualSum", 2))
 
 
-@register("charging_cost")
-def q_charging_cost(spark: SparkSession, sf: str) -> DataFrame:
+def _settled(s, quantity: str) -> DataFrame:
     from gridmeter.operators.settlement import settle
+    from gridmeter.plans.system import KEY
 
-    s = _sys(spark, sf)
-    return settle(s.red_charge, s.red_price, s.step_w).select("Resource", _r("AnnualSum", 2))
+    weights = s.steps.select("Time_Index", "weight").distinct()
+    return settle(s.steps.select("Time_Index", *KEY, quantity), s.price, weights, KEY, value=quantity).select(*KEY, _r("AnnualSum", 2))
+
+
+@register("charging_cost")
+def q_charging_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return _settled(_sys(spark, sf), "charge")
 
 
 @register("energy_revenue")
 def q_energy_revenue(spark: SparkSession, sf: str) -> DataFrame:
-    from gridmeter.operators.settlement import settle
+    return _settled(_sys(spark, sf), "value")
 
-    s = _sys(spark, sf)
-    return settle(s.red_power, s.red_price, s.step_w).select("Resource", _r("AnnualSum", 2))
+
+@register("unpriced_steps")
+def q_unpriced_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """How many steps of each resource have no price in their zone."""
+    from gridmeter.operators.settlement import unmatched_steps
+    from gridmeter.plans.system import KEY
+
+    return unmatched_steps(_sys(spark, sf).steps, ["price", "shdw", "weight"], KEY)
 
 
 @register("capacity_factor")
 def q_capacity_factor(spark: SparkSession, sf: str) -> DataFrame:
-    from gridmeter.operators.settlement import annual_sum, capacity_factor
-    from gridmeter.plans.system import WEIGHT_TOTAL
+    from gridmeter.operators.settlement import capacity_factor
+    from gridmeter.plans.system import KEY, WEIGHT_TOTAL
 
     s = _sys(spark, sf)
-    cf = capacity_factor(annual_sum(s.red_power, s.step_w), s.capacity, WEIGHT_TOTAL, storage=s.storage)
-    return cf.select("Resource", _r("AnnualSum", 2), _r("Capacity", 4), _r("CapacityFactor", 8))
+    energy = _sums(s).select(*KEY, F.col("Energy").alias("AnnualSum"))
+    cf = capacity_factor(energy, s.capacity, WEIGHT_TOTAL, storage=s.storage, key=KEY)
+    return cf.select(*KEY, _r("AnnualSum", 2), _r("Capacity", 4), _r("CapacityFactor", 8))
 
 
 def _net_revenue(s):
-    from gridmeter.operators.settlement import annual_sum, cost_components, net_revenue, settle
-
-    energy = annual_sum(s.red_power, s.step_w)
-    charge = annual_sum(s.red_charge, s.step_w)
-    comps = cost_components(s.generators, s.capacity, energy, charge)
-    return net_revenue(comps, {
-        "EnergyRevenue": settle(s.red_power, s.red_price, s.step_w),
-        "Charge_cost": settle(s.red_charge, s.red_price, s.step_w),
-    })
+    from gridmeter.operators.settlement import cost_components, net_revenue
+    from gridmeter.plans.system import KEY
+    from gridmeter.session import checkpoint_dir
+
+    checkpoint_dir(s.steps.sparkSession)
+    sums = _sums(s).checkpoint(eager=True)  # one row per resource and zone, read by every report below
+    part = lambda c: sums.select(*KEY, c.alias("AnnualSum"))
+    comps = cost_components(s.generators, s.capacity, part(F.col("Energy")), part(F.col("Charge")), key=KEY)
+    named = {c: part(F.col(c)) for c in ("EnergyRevenue", "Charge_cost", "SubsidyRevenue", "ReserveMarginRevenue", "RegSubsidyRevenue", "Fuel_cost")}
+    return net_revenue(comps, {**named, "ESRRevenue": part(F.col("ESR_1") + F.col("ESR_2"))}, key=KEY)
 
 
 @register("net_revenue")
@@ -379,7 +402,7 @@ def q_net_revenue(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.settlement import COST_PARTS, REVENUE_PARTS
 
     n = _net_revenue(_sys(spark, sf))
-    return n.select("Resource", *[_r(c, 2) for c in COST_PARTS + REVENUE_PARTS + ["Revenue", "Cost", "Profit"]])
+    return n.select("Resource", "Zone", *[_r(c, 2) for c in COST_PARTS + REVENUE_PARTS + ["Revenue", "Cost", "Profit"]])
 
 
 @register("cost_rollup")
@@ -388,7 +411,7 @@ def q_cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
     s = _sys(spark, sf)
     nse = _nse(s)
-    out = cost_rollup(_net_revenue(s), extra={"cNSE": unserved_energy_cost(nse, s.step_w, _penalty())})
+    out = cost_rollup(_net_revenue(s), extra={"cNSE": unserved_energy_cost(nse, _horizon(s), _penalty())})
     return out.select("Costs", _r("Total", 2))
 
 
@@ -398,10 +421,14 @@ def _penalty():
     return NSE_PENALTY
 
 
+def _horizon(s):
+    return s.steps.select("Time_Index", "weight").distinct()
+
+
 def _nse(s):
     from gridmeter.plans.system import NSE_ABOVE
 
-    load = s.red_power.groupBy("Time_Index").agg(F.sum("value").alias("Load"))
+    load = s.power.groupBy("Time_Index").agg(F.sum("value").alias("Load"))
     return load.select("Time_Index", F.greatest(F.col("Load") - F.lit(NSE_ABOVE), F.lit(0.0)).alias("value"))
 
 
@@ -410,7 +437,7 @@ def q_unserved_energy_cost(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.settlement import unserved_energy_cost
 
     s = _sys(spark, sf)
-    return unserved_energy_cost(_nse(s), s.step_w, _penalty()).select(_r("value", 2))
+    return unserved_energy_cost(_nse(s), _horizon(s), _penalty()).select(_r("value", 2))
 
 
 @register("installed_capacity")
@@ -420,7 +447,9 @@ def q_installed_capacity(spark: SparkSession, sf: str) -> DataFrame:
     s = _sys(spark, sf)
     measures = ["StartCap", "RetCap", "NewCap", "EndCap", "StartEnergyCap", "RetEnergyCap", "NewEnergyCap",
                 "EndEnergyCap"]
-    t = rollup_total(s.capacity, "Resource", measures, extra={"Zone": "n/a"})
+    zones = F.array_join(F.sort_array(F.collect_set("Zone")), "+").alias("Zone")
+    both = s.capacity.groupBy("Resource").agg(zones, *[F.sum(m).alias(m) for m in measures])
+    t = rollup_total(both, "Resource", measures, extra={"Zone": "n/a"})
     t = order_levels(t, "Resource", ["view", "click", "signup", "purchase", "error"], rank="level")
     return t.select("Resource", "Zone", "level", *[_r(m, 4) for m in measures])
 
@@ -447,16 +476,17 @@ def q_cost_revenue_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     s = _sys(spark, sf)
     n = _net_revenue(s)
     groups = n.select(
-        "Resource",
+        "Resource", "Zone",
         (F.col("Inv_cost_MW") + F.col("Inv_cost_MWh")).alias("Investment"),
         (F.col("Fixed_OM_cost_MW") + F.col("Fixed_OM_cost_MWh") + F.col("Var_OM_cost_out") + F.col("Var_OM_cost_in")).alias("OM"),
         F.col("Charge_cost").alias("Charge"),
         F.col("EnergyRevenue").alias("Energy"),
+        F.col("ReserveMarginRevenue").alias("RA"),
     )
-    long = groups.unpivot(["Resource"], ["Investment", "OM", "Charge", "Energy"], "Category", "value")
-    signed = long.withColumn("value_MM", sign_by_membership("Category", ["Energy"]) * F.col("value") / F.lit(1e6))
-    built = semi_join_built(signed, s.capacity, "Resource", cap_col="EndCap")
-    return built.select("Resource", "Category", _r("value_MM", 6))
+    long = groups.unpivot(["Resource", "Zone"], ["Investment", "OM", "Charge", "Energy", "RA"], "Category", "value")
+    signed = long.withColumn("value_MM", sign_by_membership("Category", ["Energy", "RA"]) * F.col("value") / F.lit(1e6))
+    built = semi_join_built(signed, s.capacity, ["Resource", "Zone"], cap_col="EndCap")
+    return built.select("Resource", "Zone", "Category", _r("value_MM", 6))
 
 
 # --- typical periods ------------------------------------------------------------
@@ -578,11 +608,11 @@ def q_dispatch_week(spark: SparkSession, sf: str) -> DataFrame:
 @register("state_of_charge_week")
 def q_state_of_charge_week(spark: SparkSession, sf: str) -> DataFrame:
     s = _sys(spark, sf)
-    stor = _week(s.power).join(s.storage, "Resource", "left_semi")
-    total_cap = s.capacity.join(s.storage, "Resource", "left_semi").select(F.sum("EndEnergyCap")).scalar()
+    stor = _week(s.power).join(s.storage.select("Resource").distinct(), "Resource", "left_semi")
+    total_cap = s.capacity.join(s.storage, ["Resource", "Zone"], "left_semi").select(F.sum("EndEnergyCap")).scalar()
     total = stor.groupBy("Time_Index").agg(F.sum("value").alias("_gm_s"))
     out = stor.join(total, "Time_Index", "inner")
-    return out.select("Time_Index", "Resource", _r("value"), F.round(F.col("_gm_s") / total_cap, 8).alias("total_soc"))
+    return out.select("Time_Index", "Resource", _r("value"), F.round(F.try_divide(F.col("_gm_s"), total_cap), 8).alias("total_soc"))
 
 
 def _half_up(col: str, digits: int):
@@ -755,20 +785,10 @@ def q_step_total(spark: SparkSession, sf: str) -> DataFrame:
 def q_multi_constraint_revenue(spark: SparkSession, sf: str) -> DataFrame:
     """Revenue under several constraints, AnnualSum = sum of the
     constraint columns. Stand-in constraints: weekday steps and weekend steps."""
-    from gridmeter.functions.time import index_to_clock, weekday_flag
     from gridmeter.operators.reshape import row_total
-    from gridmeter.operators.settlement import settle
 
-    s = _sys(spark, sf)
-    # the reduced index's clock: representative day k is the k-th day of the horizon
-    wk = weekday_flag(index_to_clock("Time_Index", EVENT_GRID))
-    parts = {}
-    for name, cond in (("ESR_1", wk), ("ESR_2", ~wk)):
-        w = s.step_w.where(cond)
-        parts[name] = settle(s.red_power, s.red_price, w, out=name)
-    j = parts["ESR_1"].join(parts["ESR_2"], "Resource", "full")
-    j = row_total(j, ["ESR_1", "ESR_2"], out="AnnualSum")
-    return j.select("Resource", _r("ESR_1", 2), _r("ESR_2", 2), _r("AnnualSum", 2))
+    j = row_total(_sums(_sys(spark, sf)), ["ESR_1", "ESR_2"], out="AnnualSum")
+    return j.select("Resource", "Zone", _r("ESR_1", 2), _r("ESR_2", 2), _r("AnnualSum", 2))
 
 
 @register("grouped_density")

@@ -292,9 +292,13 @@ FROM c
 
 # --- the derived planning-run result set (same rules as plans/system.py) ---------
 _SYS = f"""{_EV},
+zev AS (SELECT *, CAST(coalesce(user_id, 0) % 2 + 1 AS VARCHAR) AS Zone FROM ev),
+zres AS (SELECT Time_Index, Zone, event_type AS Resource, sum(value) AS value,
+                sum(value) FILTER (WHERE value < 10.0) AS charge FROM zev GROUP BY 1, 2, 3),
+zprice AS (SELECT Time_Index, Zone, avg(value) AS price FROM zev WHERE event_type = 'purchase' GROUP BY 1, 2),
 chg AS (SELECT Time_Index, event_type AS Resource, sum(value) AS value FROM ev WHERE value < 10.0 GROUP BY 1, 2),
-pmap AS (SELECT d + 1 AS Period_Index, d % 7 + 1 AS Rep_Period, d % 7 + 1 AS Rep_Period_Index
-         FROM (SELECT DISTINCT (Time_Index - 1) // 288 AS d FROM ev)),
+days AS (SELECT DISTINCT (Time_Index - 1) // 288 AS d FROM ev),
+pmap AS (SELECT d + 1 AS Period_Index, d % 7 + 1 AS Rep_Period, d % 7 + 1 AS Rep_Period_Index FROM days),
 reps AS (SELECT DISTINCT Rep_Period, Rep_Period_Index FROM pmap),
 weights AS (SELECT Rep_Period, Rep_Period_Index, count(*) AS n_members,
                    (CAST(count(*) AS DOUBLE) * 8760.0) / CAST((SELECT count(*) FROM pmap) * 288 AS DOUBLE) AS weight
@@ -302,47 +306,51 @@ weights AS (SELECT Rep_Period, Rep_Period_Index, count(*) AS n_members,
 sw AS (SELECT (Rep_Period_Index - 1) * 288 + s AS Time_Index, weight FROM weights CROSS JOIN range(1, 289) t(s)),
 red_power AS (SELECT (m.Rep_Period_Index - 1) * 288 + (p.Time_Index - 1) % 288 + 1 AS Time_Index, p.Resource, p.value
               FROM res p JOIN reps m ON (p.Time_Index - 1) // 288 + 1 = m.Rep_Period),
-red_charge AS (SELECT (m.Rep_Period_Index - 1) * 288 + (p.Time_Index - 1) % 288 + 1 AS Time_Index, p.Resource, p.value
-               FROM chg p JOIN reps m ON (p.Time_Index - 1) // 288 + 1 = m.Rep_Period),
-red_price AS (SELECT (m.Rep_Period_Index - 1) * 288 + (p.Time_Index - 1) % 288 + 1 AS Time_Index, p.price
-              FROM price p JOIN reps m ON (p.Time_Index - 1) // 288 + 1 = m.Rep_Period),
-peaks AS (SELECT Resource, coalesce(max(value) FILTER (WHERE Time_Index <= 2016), 0.0) AS StartCap, max(value) AS e
-          FROM res GROUP BY 1),
-cap0 AS (SELECT Resource, '1' AS Zone, StartCap, greatest(StartCap - e, 0.0) AS RetCap, greatest(e - StartCap, 0.0) AS NewCap,
+hw AS (SELECT 8760.0::DOUBLE / ((SELECT count(*) FROM days) * 288) AS w),
+zsteps AS (
+  SELECT r.*, p.price, s.shdw, hw.w,
+         dayofweek(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(5 * (r.Time_Index - 1) AS BIGINT))) + 1
+           BETWEEN 2 AND 6 AS weekday
+  FROM zres r CROSS JOIN hw LEFT JOIN zprice p ON p.Time_Index = r.Time_Index AND p.Zone = r.Zone
+       LEFT JOIN scar s ON s.Time_Index = r.Time_Index
+),
+sums AS (
+  SELECT Resource, Zone, coalesce(sum(w * value), 0.0) AS Energy, coalesce(sum(w * charge), 0.0) AS Charge,
+         coalesce(sum(w * (price * value)), 0.0) AS EnergyRevenue, coalesce(sum(w * (price * charge)), 0.0) AS Charge_cost,
+         coalesce(sum(w * ((CASE WHEN Resource IN ('view', 'click') THEN 3.0 ELSE 0.0 END)::DOUBLE * value)), 0.0) AS SubsidyRevenue,
+         coalesce(sum(w * (0.9::DOUBLE * shdw * value)), 0.0) AS ReserveMarginRevenue,
+         coalesce(sum(w * (0.05::DOUBLE * price * value)) FILTER (WHERE weekday), 0.0) AS ESR_1,
+         coalesce(sum(w * (0.05::DOUBLE * price * value)) FILTER (WHERE NOT weekday), 0.0) AS ESR_2,
+         coalesce(sum(w * ((CASE WHEN Resource = 'signup' THEN 1.5 ELSE 0.0 END)::DOUBLE * value)), 0.0) AS RegSubsidyRevenue,
+         coalesce(sum(w * ((CASE WHEN Resource = 'signup' THEN 1.2 ELSE 0.0 END)::DOUBLE * value)), 0.0) AS Fuel_cost
+  FROM zsteps GROUP BY 1, 2
+),
+peaks AS (SELECT Resource, Zone, avg(value) AS StartCap, max(value) AS e FROM zres GROUP BY 1, 2),
+cap0 AS (SELECT Resource, Zone, StartCap, greatest(StartCap - e, 0.0) AS RetCap, greatest(e - StartCap, 0.0) AS NewCap,
                 CASE WHEN Resource IN ('purchase', 'error') THEN 4.0 ELSE 0.0 END AS h
          FROM peaks),
 cap1 AS (SELECT Resource, Zone, StartCap, RetCap, NewCap, StartCap * h AS StartEnergyCap, RetCap * h AS RetEnergyCap,
                 NewCap * h AS NewEnergyCap FROM cap0),
 cap AS (SELECT *, StartCap + NewCap - RetCap AS EndCap, StartEnergyCap + NewEnergyCap - RetEnergyCap AS EndEnergyCap FROM cap1),
-gens AS (SELECT Resource,
+gens AS (SELECT Resource, Zone,
                 CASE WHEN st THEN 60000.0 ELSE 85000.0 END AS Inv_Cost_per_MWyr,
                 CASE WHEN st THEN 20000.0 ELSE 0.0 END AS Inv_Cost_per_MWhyr,
                 CASE WHEN st THEN 8000.0 ELSE 12000.0 END AS Fixed_OM_Cost_per_MWyr,
                 CASE WHEN st THEN 5000.0 ELSE 0.0 END AS Fixed_OM_Cost_per_MWhyr,
                 CASE WHEN st THEN 0.5 ELSE 2.0 END AS Var_OM_Cost_per_MWh,
                 CASE WHEN st THEN 0.5 ELSE 0.0 END AS Var_OM_Cost_per_MWh_In
-         FROM (SELECT Resource, Resource IN ('purchase', 'error') AS st FROM cap)),
-energy AS (SELECT Resource, sum(weight * value) AS AnnualSum FROM red_power JOIN sw USING (Time_Index) GROUP BY 1),
-charge_sum AS (SELECT Resource, sum(weight * value) AS AnnualSum FROM red_charge JOIN sw USING (Time_Index) GROUP BY 1),
-erev AS (SELECT Resource, sum(weight * price * value) AS AnnualSum
-         FROM red_power JOIN red_price USING (Time_Index) JOIN sw USING (Time_Index) GROUP BY 1),
-ccost AS (SELECT Resource, sum(weight * price * value) AS AnnualSum
-          FROM red_charge JOIN red_price USING (Time_Index) JOIN sw USING (Time_Index) GROUP BY 1),
-comp AS (
-  SELECT g.Resource,
+         FROM (SELECT Resource, Zone, Resource IN ('purchase', 'error') AS st FROM cap)),
+net0 AS (
+  SELECT g.Resource, g.Zone,
          CAST(Inv_Cost_per_MWyr AS DOUBLE) * NewCap AS Inv_cost_MW,
          CAST(Inv_Cost_per_MWhyr AS DOUBLE) * NewEnergyCap AS Inv_cost_MWh,
          CAST(Fixed_OM_Cost_per_MWyr AS DOUBLE) * EndCap AS Fixed_OM_cost_MW,
          CAST(Fixed_OM_Cost_per_MWhyr AS DOUBLE) * EndEnergyCap AS Fixed_OM_cost_MWh,
-         CAST(Var_OM_Cost_per_MWh AS DOUBLE) * coalesce(e.AnnualSum, 0.0) AS Var_OM_cost_out,
-         CAST(Var_OM_Cost_per_MWh_In AS DOUBLE) * coalesce(c.AnnualSum, 0.0) AS Var_OM_cost_in
-  FROM gens g JOIN cap USING (Resource) LEFT JOIN energy e USING (Resource) LEFT JOIN charge_sum c USING (Resource)
-),
-net0 AS (
-  SELECT comp.*, 0.0::DOUBLE AS Fuel_cost, 0.0::DOUBLE AS Start_cost, coalesce(cc.AnnualSum, 0.0) AS Charge_cost,
-         0.0::DOUBLE AS EmissionsCost, coalesce(er.AnnualSum, 0.0) AS EnergyRevenue, 0.0::DOUBLE AS SubsidyRevenue,
-         0.0::DOUBLE AS ReserveMarginRevenue, 0.0::DOUBLE AS ESRRevenue, 0.0::DOUBLE AS RegSubsidyRevenue
-  FROM comp LEFT JOIN erev er USING (Resource) LEFT JOIN ccost cc USING (Resource)
+         CAST(Var_OM_Cost_per_MWh AS DOUBLE) * Energy AS Var_OM_cost_out,
+         CAST(Var_OM_Cost_per_MWh_In AS DOUBLE) * Charge AS Var_OM_cost_in,
+         Fuel_cost, 0.0::DOUBLE AS Start_cost, Charge_cost, 0.0::DOUBLE AS EmissionsCost, EnergyRevenue, SubsidyRevenue,
+         ReserveMarginRevenue, ESR_1 + ESR_2 AS ESRRevenue, RegSubsidyRevenue
+  FROM gens g JOIN cap USING (Resource, Zone) JOIN sums USING (Resource, Zone)
 ),
 net AS (
   SELECT *, EnergyRevenue + SubsidyRevenue + ReserveMarginRevenue + ESRRevenue + RegSubsidyRevenue AS Revenue,
@@ -350,28 +358,32 @@ net AS (
            + Fuel_cost + Start_cost + Charge_cost + EmissionsCost AS Cost
   FROM net0
 ),
-nse AS (SELECT Time_Index, greatest(sum(value) - 150.0, 0.0) AS value FROM red_power GROUP BY 1),
-cnse AS (SELECT 50000.0 * sum(weight * value) AS value FROM nse JOIN sw USING (Time_Index))
+nse AS (SELECT Time_Index, greatest(Load - 150.0, 0.0) AS value FROM load),
+cnse AS (SELECT 50000.0 * sum(w * value) AS value FROM nse CROSS JOIN hw)
 """
 
 SQL["period_weights"] = f"WITH {_SYS} SELECT Rep_Period, Rep_Period_Index, n_members, round(weight, 9) AS weight FROM weights"
 SQL["step_weights"] = f"WITH {_SYS} SELECT Time_Index, round(weight, 9) AS weight FROM sw"
-SQL["annual_sum"] = f"WITH {_SYS} SELECT Resource, round(AnnualSum, 2) AS AnnualSum FROM energy"
-SQL["charging_cost"] = f"WITH {_SYS} SELECT Resource, round(AnnualSum, 2) AS AnnualSum FROM ccost"
-SQL["energy_revenue"] = f"WITH {_SYS} SELECT Resource, round(AnnualSum, 2) AS AnnualSum FROM erev"
+SQL["annual_sum"] = f"WITH {_SYS} SELECT Resource, Zone, round(Energy, 2) AS AnnualSum FROM sums"
+SQL["charging_cost"] = f"WITH {_SYS} SELECT Resource, Zone, round(Charge_cost, 2) AS AnnualSum FROM sums"
+SQL["energy_revenue"] = f"WITH {_SYS} SELECT Resource, Zone, round(EnergyRevenue, 2) AS AnnualSum FROM sums"
+SQL["unpriced_steps"] = f"""WITH {_SYS}
+SELECT Resource, Zone, count(*) FILTER (WHERE price IS NULL) AS no_price, count(*) FILTER (WHERE shdw IS NULL) AS no_shdw,
+       count(*) FILTER (WHERE w IS NULL) AS no_weight FROM zsteps GROUP BY 1, 2
+"""
 
 SQL["capacity_factor"] = f"""WITH {_SYS}
-SELECT e.Resource, round(e.AnnualSum, 2) AS AnnualSum, round(cap.EndCap, 4) AS Capacity,
+SELECT e.Resource, e.Zone, round(e.Energy, 2) AS AnnualSum, round(cap.EndCap, 4) AS Capacity,
        round(CASE WHEN e.Resource IN ('purchase', 'error') OR cap.EndCap <= 0 THEN 0.0
-                  ELSE e.AnnualSum / (cap.EndCap * 8760.0) END, 8) AS CapacityFactor
-FROM energy e JOIN cap USING (Resource)
+                  ELSE e.Energy / (cap.EndCap * 8760.0) END, 8) AS CapacityFactor
+FROM sums e JOIN cap USING (Resource, Zone)
 """
 
 _NET_COLS = ["Inv_cost_MW", "Inv_cost_MWh", "Fixed_OM_cost_MW", "Fixed_OM_cost_MWh", "Var_OM_cost_out", "Var_OM_cost_in",
              "Fuel_cost", "Start_cost", "Charge_cost", "EmissionsCost", "EnergyRevenue", "SubsidyRevenue",
              "ReserveMarginRevenue", "ESRRevenue", "RegSubsidyRevenue", "Revenue", "Cost"]
 SQL["net_revenue"] = (
-    f"WITH {_SYS} SELECT Resource, "
+    f"WITH {_SYS} SELECT Resource, Zone, "
     + ", ".join(f"round({c}, 2) AS {c}" for c in _NET_COLS)
     + ", round(Revenue - Cost, 2) AS Profit FROM net"
 )
@@ -391,7 +403,7 @@ SQL["unserved_energy_cost"] = f"WITH {_SYS} SELECT round(value, 2) AS value FROM
 _CAP_MEASURES = ["StartCap", "RetCap", "NewCap", "EndCap", "StartEnergyCap", "RetEnergyCap", "NewEnergyCap", "EndEnergyCap"]
 SQL["installed_capacity"] = f"""WITH {_SYS},
 t AS (
-  SELECT Resource, Zone, {", ".join(_CAP_MEASURES)} FROM cap
+  SELECT Resource, string_agg(Zone, '+' ORDER BY Zone) AS Zone, {", ".join(f"sum({m}) AS {m}" for m in _CAP_MEASURES)} FROM cap GROUP BY 1
   UNION ALL SELECT 'Total', 'n/a', {", ".join(f"sum({m})" for m in _CAP_MEASURES)} FROM cap
 )
 SELECT Resource, Zone,
@@ -409,12 +421,13 @@ FROM cap WHERE Resource <> 'Total'
 """
 
 SQL["cost_revenue_breakdown"] = f"""WITH {_SYS},
-g AS (SELECT Resource, Inv_cost_MW + Inv_cost_MWh AS Investment,
+g AS (SELECT Resource, Zone, Inv_cost_MW + Inv_cost_MWh AS Investment,
              Fixed_OM_cost_MW + Fixed_OM_cost_MWh + Var_OM_cost_out + Var_OM_cost_in AS OM,
-             Charge_cost AS Charge, EnergyRevenue AS Energy FROM net),
-l AS (UNPIVOT g ON Investment, OM, Charge, Energy INTO NAME Category VALUE value)
-SELECT Resource, Category, round((CASE WHEN Category IN ('Energy') THEN 1.0 ELSE -1.0 END) * value / 1e6, 6) AS value_MM
-FROM l WHERE Resource IN (SELECT Resource FROM cap WHERE EndCap > 0)
+             Charge_cost AS Charge, EnergyRevenue AS Energy, ReserveMarginRevenue AS RA FROM net),
+l AS (UNPIVOT g ON Investment, OM, Charge, Energy, RA INTO NAME Category VALUE value)
+SELECT Resource, Zone, Category,
+       round((CASE WHEN Category IN ('Energy', 'RA') THEN 1.0 ELSE -1.0 END) * value / 1e6, 6) AS value_MM
+FROM l WHERE (Resource, Zone) IN (SELECT (Resource, Zone) FROM cap WHERE EndCap > 0)
 """
 
 SQL["expand_period_map"] = f"""WITH {_SYS},
@@ -529,17 +542,8 @@ SQL["solver_wide_roundtrip"] = f"WITH {_EV} SELECT Time_Index, Resource, round(v
 
 SQL["step_total"] = f"WITH {_EV} SELECT Time_Index, round(sum(value), 4) AS Total FROM res GROUP BY 1"
 
-SQL["multi_constraint_revenue"] = f"""WITH {_SYS},
-sx AS (SELECT Time_Index, weight,
-              dayofweek(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(5 * (Time_Index - 1) AS BIGINT))) + 1
-                BETWEEN 2 AND 6 AS wk FROM sw),
-e1 AS (SELECT Resource, sum(weight * price * value) AS ESR_1 FROM red_power JOIN red_price USING (Time_Index)
-       JOIN sx USING (Time_Index) WHERE wk GROUP BY 1),
-e2 AS (SELECT Resource, sum(weight * price * value) AS ESR_2 FROM red_power JOIN red_price USING (Time_Index)
-       JOIN sx USING (Time_Index) WHERE NOT wk GROUP BY 1)
-SELECT Resource, round(ESR_1, 2) AS ESR_1, round(ESR_2, 2) AS ESR_2,
-       round(coalesce(ESR_1, 0.0) + coalesce(ESR_2, 0.0), 2) AS AnnualSum
-FROM e1 FULL JOIN e2 USING (Resource)
+SQL["multi_constraint_revenue"] = f"""WITH {_SYS}
+SELECT Resource, Zone, round(ESR_1, 2) AS ESR_1, round(ESR_2, 2) AS ESR_2, round(ESR_1 + ESR_2, 2) AS AnnualSum FROM sums
 """
 
 SQL["grouped_density"] = """

@@ -1,12 +1,15 @@
 """A planning-run result set derived from the test tables (stand-in for the
 optimizer's output folders), so the settlement reports run on real data.
 
-Resources are the event types. Per 5-minute step: output = sum of values,
-charging = sum of values below ``CHARGE_BELOW``, price = mean ``purchase``
-value. Days are periods; a rule maps every day onto one of the first seven
-(the representatives), which gives per-step weights summing to 8760 hours.
-Capacity: start = peak step output in the first week, end = peak over all
-steps. Unit costs are parameters (one set for generators, one for storage).
+Resources are the event types, in two zones (users with even and odd ids). Per
+5-minute step, resource and zone: output = sum of values, charging = sum of
+values below ``CHARGE_BELOW``; the price of a zone is the mean of its
+``purchase`` values, the reserve price the sum of all ``error`` values. The
+settlement covers every step of the horizon, each with the same weight, 8760
+hours together. For the reports of reduced runs a rule maps every day onto one
+of the first seven (the representatives).
+Capacity: start = mean step output, end = peak over all steps. Unit costs and
+rates are parameters (one set for generators, one for storage).
 """
 
 from __future__ import annotations
@@ -17,14 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmeter.operators.periods import period_weights, reduced_series, step_weights
-from gridmeter.plans.tables import (
-    EVENT_GRID,
-    charge_series,
-    step_readings,
-    fixed_period_map,
-    price_series,
-    resource_series,
-)
+from gridmeter.operators.settlement import capacity_balance, step_table
+from gridmeter.plans.tables import EVENT_GRID, PRICE_TYPE, SCARCITY_TYPE, fixed_period_map, zone_readings
 
 # Fixed values of the stand-in system.
 WEIGHT_TOTAL = 8760.0  # hours represented by the weighted steps
@@ -42,18 +39,26 @@ NSE_ABOVE = 150.0  # load above this per step is unserved
 NSE_PENALTY = 50000.0
 
 
+RESERVE_DERATE = 0.9
+ESR_SHARE = 0.05  # of the energy price, on weekdays (first constraint) and weekends (second)
+SUBSIDY = {"view": 3.0, "click": 3.0}  # per MWh
+REG_SUBSIDY = {"signup": 1.5}
+FUEL = {"signup": 1.2}
+
+KEY = ["Resource", "Zone"]
+
+
 @dataclass
 class System:
-    power: DataFrame  # (Time_Index, Resource, value) full horizon
+    steps: DataFrame  # (Time_Index, Zone, Resource, value, charge, price, shdw, weight) full horizon
+    power: DataFrame  # (Time_Index, Resource, value) over all zones
     charge: DataFrame
-    price: DataFrame  # (Time_Index, price)
+    price: DataFrame  # (Time_Index, Zone, price)
     period_map: DataFrame
     weights: DataFrame  # per representative
     step_w: DataFrame  # (Time_Index, weight) on the reduced index
     red_power: DataFrame
-    red_charge: DataFrame
-    red_price: DataFrame
-    capacity: DataFrame
+    capacity: DataFrame  # per (Resource, Zone)
     generators: DataFrame
     storage: DataFrame
 
@@ -62,40 +67,71 @@ def _is_storage(col: str = "Resource"):
     return F.col(col).isin(list(STORAGE))
 
 
-def build(spark: SparkSession, sf: str) -> System:
-    steps = EVENT_GRID.steps_per_period
-    st = step_readings(spark, sf)  # raw readings read once, per-step table checkpointed
-    power, charge, price = resource_series(st), charge_series(st), price_series(st)
-    pmap = fixed_period_map(power, steps)  # from the aggregated series: its exchange is reused
-    weights = period_weights(pmap, steps, WEIGHT_TOTAL)
-    sw = step_weights(weights, steps)
-    red_power = reduced_series(power, pmap, steps).select("Time_Index", "Resource", "value")
-    red_charge = reduced_series(charge, pmap, steps).select("Time_Index", "Resource", "value")
-    red_price = reduced_series(price, pmap, steps).select("Time_Index", "price")
-
-    first_week = F.col("Time_Index") <= 7 * steps
-    peaks = power.groupBy("Resource").agg(
-        F.coalesce(F.max(F.when(first_week, F.col("value"))), F.lit(0.0)).alias("StartCap"),
-        F.max("value").alias("_gm_end"),
-    )
-    stor = F.when(_is_storage(), F.lit(STORAGE_HOURS)).otherwise(F.lit(0.0))
-    cap = peaks.select(
-        "Resource",
-        F.lit("1").alias("Zone"),
-        "StartCap",
-        F.greatest(F.col("StartCap") - F.col("_gm_end"), F.lit(0.0)).alias("RetCap"),
-        F.greatest(F.col("_gm_end") - F.col("StartCap"), F.lit(0.0)).alias("NewCap"),
-        (F.col("StartCap") * stor).alias("StartEnergyCap"),
-        (F.greatest(F.col("StartCap") - F.col("_gm_end"), F.lit(0.0)) * stor).alias("RetEnergyCap"),
-        (F.greatest(F.col("_gm_end") - F.col("StartCap"), F.lit(0.0)) * stor).alias("NewEnergyCap"),
+def rate(rates: dict[str, float], col: str = "Resource"):
+    """A resource's rate, 0 where none is given."""
+    out = F.lit(0.0)
+    for name, value in rates.items():
+        out = F.when(F.col(col) == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def horizon_weights(series: DataFrame, steps: int, total: float = WEIGHT_TOTAL) -> DataFrame:
+    """(Time_Index, weight): every step of every day that the series has, with
+    equal weights that sum to ``total``."""
+    days = series.select(F.floor((F.col("Time_Index") - 1) / steps).cast("long").alias("d")).distinct()
+    n = days.agg(F.count(F.lit(1))).scalar()
+    return days.select(F.explode(F.sequence(F.col("d") * steps + 1, (F.col("d") + 1) * steps)).alias("Time_Index")).select(
+        "Time_Index", (F.lit(float(total)) / (n * F.lit(steps))).alias("weight")
     )
-    from gridmeter.operators.settlement import capacity_balance
 
-    cap = capacity_balance(cap)
+
+def build(spark: SparkSession, sf: str) -> System:
+    per_day = EVENT_GRID.steps_per_period
+    st = zone_readings(spark, sf)  # raw readings read once, per-step table checkpointed
+    values = st.select("Time_Index", "Zone", F.col("event_type").alias("Resource"), "value", "charge")
+    price = st.where(F.col("event_type") == PRICE_TYPE).select("Time_Index", "Zone", (F.col("value") / F.col("n")).alias("price"))
+    reserve = st.where(F.col("event_type") == SCARCITY_TYPE).groupBy("Time_Index").agg(F.sum("value").alias("shdw"))
+    steps = step_table(values, [price, reserve], horizon_weights(st, per_day))
+    power = values.groupBy("Time_Index", "Resource").agg(F.sum("value").alias("value"))
+    charge = values.where(F.col("charge").isNotNull()).groupBy("Time_Index", "Resource").agg(F.sum("charge").alias("value"))
+    pmap = fixed_period_map(st, per_day)
+    weights = period_weights(pmap, per_day, WEIGHT_TOTAL)
+    sw = step_weights(weights, per_day)
+    red_power = reduced_series(power, pmap, per_day).select("Time_Index", "Resource", "value")
+
+    peaks = values.groupBy(*KEY).agg(F.avg("value").alias("StartCap"), F.max("value").alias("_gm_end"))
+    stor = F.when(_is_storage(), F.lit(STORAGE_HOURS)).otherwise(F.lit(0.0))
+    retired = F.greatest(F.col("StartCap") - F.col("_gm_end"), F.lit(0.0))
+    built = F.greatest(F.col("_gm_end") - F.col("StartCap"), F.lit(0.0))
+    cap = capacity_balance(peaks.select(
+        *KEY, "StartCap", retired.alias("RetCap"), built.alias("NewCap"),
+        (F.col("StartCap") * stor).alias("StartEnergyCap"), (retired * stor).alias("RetEnergyCap"), (built * stor).alias("NewEnergyCap"),
+    ))
     gens = cap.select(
-        "Resource",
+        *KEY,
         *[F.when(_is_storage(), F.lit(s)).otherwise(F.lit(g)).alias(k) for k, (g, s) in UNIT_COSTS.items()],
         _is_storage().cast("int").alias("STOR"),
     )
-    storage = gens.where(F.col("STOR") == 1).select("Resource")
-    return System(power, charge, price, pmap, weights, sw, red_power, red_charge, red_price, cap, gens, storage)
+    storage = gens.where(F.col("STOR") == 1).select(*KEY)
+    return System(steps, power, charge, price, pmap, weights, sw, red_power, cap, gens, storage)
+
+
+def settlement_terms() -> dict:
+    """What the settlement sums up per step, as columns of ``System.steps``."""
+    from gridmeter.functions.time import index_to_clock, weekday_flag
+
+    value, charge, price = F.col("value"), F.col("charge"), F.col("price")
+    weekday = weekday_flag(index_to_clock("Time_Index", EVENT_GRID))
+    esr = F.lit(ESR_SHARE) * price * value
+    return {
+        "Energy": value,
+        "Charge": charge,
+        "EnergyRevenue": price * value,
+        "Charge_cost": price * charge,
+        "SubsidyRevenue": rate(SUBSIDY) * value,
+        "ReserveMarginRevenue": F.lit(RESERVE_DERATE) * F.col("shdw") * value,
+        "ESR_1": F.when(weekday, esr),
+        "ESR_2": F.when(~weekday, esr),
+        "RegSubsidyRevenue": rate(REG_SUBSIDY) * value,
+        "Fuel_cost": rate(FUEL) * value,
+    }

@@ -18,6 +18,8 @@ Steps are 5 minutes from 2024-01-01 (the events month); a period is a day
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +69,20 @@ def step_readings(spark: SparkSession, sf_dir: str, grid: Grid = EVENT_GRID) ->
     return agg.checkpoint(eager=True)
 
 
-def step_aggregate(ev: DataFrame) -> DataFrame:
-    """Per (step, event type): value sum, charging sum, reading count."""
-    return ev.groupBy("Time_Index", "event_type").agg(
+def zone_readings(spark: SparkSession, sf_dir: str, grid: Grid = EVENT_GRID) -> DataFrame:
+    """``step_readings`` per zone (users with even ids: zone 1, odd: zone 2; no
+    id: zone 1), checkpointed like it."""
+    from gridmeter.session import checkpoint_dir
+
+    zone = (F.coalesce(F.pmod("user_id", F.lit(2)), F.lit(0)) + 1).cast("string")
+    agg = step_aggregate(events(spark, sf_dir, grid).withColumn("Zone", zone), ["Zone"])
+    checkpoint_dir(spark)
+    return agg.checkpoint(eager=True)
+
+
+def step_aggregate(ev: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per (step, event type, further keys): value sum, charging sum, reading count."""
+    return ev.groupBy("Time_Index", "event_type", *by).agg(
         F.sum("value").alias("value"),
         F.sum(F.when(F.col("value") < CHARGE_BELOW, F.col("value"))).alias("charge"),
         F.count(F.lit(1)).alias("n"),

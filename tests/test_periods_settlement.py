@@ -29,6 +29,8 @@ def test_settlement_identities(spark):
 
     s = build(spark, SF)
     assert s.step_w.select(F.sum("weight")).first()[0] == pytest.approx(WEIGHT_TOTAL)
+    used = s.steps.select("Time_Index", "weight").distinct()
+    assert used.where("weight is null").isEmpty() and used.select(F.max("Time_Index")).first()[0] > 29 * 288
     net = C._net_revenue(s).toPandas()
     parts = net[["Inv_cost_MW", "Inv_cost_MWh", "Fixed_OM_cost_MW", "Fixed_OM_cost_MWh", "Var_OM_cost_out",
                  "Var_OM_cost_in", "Fuel_cost", "Start_cost", "Charge_cost", "EmissionsCost"]].sum(axis=1)
@@ -97,3 +99,35 @@ def test_settlement_by_resource_and_zone(spark):
     out = {r.Zone: r for r in net_revenue(comps, {"EnergyRevenue": rev}, key=["Resource", "Zone"]).collect()}
     assert out["1"].Cost == 10.0 + 3.0 + 200.0 and out["1"].Profit == 1000.0 - 213.0
     assert out["2"].Cost == 40.0 + 5.0 + 20.0 and out["2"].Revenue == 0.0
+
+
+def test_settle_uses_the_zone_price(spark):
+    from gridmeter.operators.settlement import settle
+
+    values = spark.createDataFrame([(1, "a", "1", 10.0), (1, "b", "2", 10.0)], "Time_Index long, Resource string, Zone string, value double")
+    prices = spark.createDataFrame([(1, "1", 5.0), (1, "2", 50.0)], "Time_Index long, Zone string, price double")
+    weights = spark.createDataFrame([(1, 1.0)], "Time_Index long, weight double")
+    out = {r.Resource: r.AnnualSum for r in settle(values, prices, weights).collect()}
+    assert out == {"a": 50.0, "b": 500.0}
+    with pytest.raises(ValueError, match="several rows"):
+        settle(values, prices.drop("Zone"), weights)
+    with pytest.raises(ValueError, match="keyed by"):
+        settle(values.drop("Zone"), prices, weights)
+
+
+def test_settlement_keeps_generators_without_capacity_and_unpriced_steps(spark):
+    from gridmeter.operators.settlement import cost_components, settle, step_table, unmatched_steps
+
+    gens = spark.createDataFrame([("a", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), ("b", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)],
+                                 "Resource string, Inv_Cost_per_MWyr double, Inv_Cost_per_MWhyr double, Fixed_OM_Cost_per_MWyr double, "
+                                 "Fixed_OM_Cost_per_MWhyr double, Var_OM_Cost_per_MWh double, Var_OM_Cost_per_MWh_In double")
+    cap = spark.createDataFrame([("a", 2.0, 3.0, None, None)], "Resource string, NewCap double, EndCap double, NewEnergyCap double, EndEnergyCap double")
+    energy = spark.createDataFrame([("a", 7.0)], "Resource string, AnnualSum double")
+    out = {r.Resource: r for r in cost_components(gens, cap, energy).collect()}
+    assert out["a"].Inv_cost_MWh == 0.0 and out["a"].Fixed_OM_cost_MW == 3.0 and not out["a"].no_capacity
+    assert out["b"].no_capacity and out["b"].Inv_cost_MW == 0.0
+    values = spark.createDataFrame([(1, "a", 10.0), (2, "a", 10.0)], "Time_Index long, Resource string, value double")
+    prices = spark.createDataFrame([(1, 5.0)], "Time_Index long, price double")
+    weights = spark.createDataFrame([(1, 1.0), (2, 1.0)], "Time_Index long, weight double")
+    assert settle(values, prices, weights).first().AnnualSum == 50.0
+    assert unmatched_steps(step_table(values, [prices], weights), ["price", "weight"], ["Resource"]).first().asDict() == {"Resource": "a", "no_price": 1, "no_weight": 0}
