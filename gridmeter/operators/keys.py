@@ -1,4 +1,5 @@
-"""Attaching per-group values without keyless joins."""
+"""Attaching per-group values without keyless joins and without moving the
+input by a hot group key."""
 
 from __future__ import annotations
 
@@ -7,18 +8,53 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridmeter.session import checkpoint_dir
 
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence[str], how: str = "inner") -> DataFrame:
-    """Add ``cols`` of a per-group table (one row per group) to ``df``.
+# A per-group table of up to so many rows is broadcast (its rows are a few
+# numbers: under 100 MB); a larger one is joined by a salted shuffle.
+BROADCAST_GROUPS = 500_000
+SALTS = 64
 
-    With group keys this is an equi join (AQE broadcasts it at run time when
-    the measured side is small). Without groups the table has one row and is
-    read as a single scalar subquery holding a struct, so the plan never has a
-    keyless (cartesian) join.
+
+def join_groups(groups: DataFrame, more: DataFrame, keys: Sequence[str], cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two per-group tables (one row per group on both sides, so no key is
+    large). Without keys both have one row, and the second is read as a scalar
+    subquery."""
+    keys, cols = list(keys), list(cols)
+    if keys:
+        return groups.join(more.select(*keys, *cols), keys, how)
+    return attach(groups, more, keys, cols, how)
+
+
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence[str], how: str = "inner",
+           broadcast_groups: int = BROADCAST_GROUPS, salts: int = SALTS) -> DataFrame:
+    """Add ``cols`` of a per-group table (one row per group) to ``df``. Null keys
+    match each other.
+
+    With group keys the table is materialised and counted. Up to
+    ``broadcast_groups`` rows it is broadcast, so the input does not move. With
+    more groups it is repeated ``salts`` times and the input joins on (key,
+    salt), which cuts a group that holds a third of the rows into ``salts``
+    parts. Without groups the table has one row and is read as a single scalar
+    subquery holding a struct, so the plan never has a keyless join.
     """
     keys, cols = list(keys), list(cols)
     if keys:
-        return df.join(small.select(*keys, *cols), keys, how)
+        checkpoint_dir(df.sparkSession)
+        renamed = [f"_gm_a{i}" for i in range(len(keys))]
+        table = small.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed, strict=True)], *cols).checkpoint(eager=True)
+        if table.count() <= broadcast_groups:
+            left, right, on = df, F.broadcast(table), None
+        else:
+            # the salt is fixed by the row, so a task that runs again deals the same rows
+            left = df.withColumn("_gm_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
+            right = table.withColumn("_gm_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            on = F.col("_gm_salt") == F.col("_gm_s")
+        for k, r in zip(keys, renamed, strict=True):
+            same = F.col(f"`{k}`").eqNullSafe(F.col(r))
+            on = same if on is None else on & same
+        joined = left.join(right, on, how)
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns], *cols)
     s = small.select(F.struct(*[F.col(c) for c in cols]).alias("_gm_s")).scalar()
     # one subquery column, fields read from it: the subquery appears once in
     # the plan instead of once per field (nested attaches would multiply it)

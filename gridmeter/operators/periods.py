@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import period_index, step_in_period
+from gridmeter.operators.keys import attach
 
 
 def period_features(
@@ -25,33 +26,37 @@ def period_features(
     """M5: one feature vector per period, ordered by (profile, step).
 
     Long input ``(index, profile, value)`` -> ``(period, features array<double>)``
-    of length ``len(profiles) * steps``; a missing step counts as 0. The
-    vector is assembled per period from a position -> value map (bounded by
-    the period length), so no dense grid is ever joined in.
+    of length ``len(profiles) * steps``; a missing step counts as 0. Zeros are
+    added for every position of every period before the sum, and the sums of a
+    period (bounded by its length) are sorted into the vector.
     """
     plist = F.array(*[F.lit(p) for p in profiles])
     pos = (F.array_position(plist, F.col(profile).cast("string")) - 1) * steps + step_in_period(index, steps)
     long = df.where(F.col(profile).isin(list(profiles))).select(
         period_index(index, steps).alias(period), pos.cast("int").alias("_gm_pos"), F.col(value).cast("double").alias("_gm_v")
     )
-    per_pos = long.groupBy(period, "_gm_pos").agg(F.sum("_gm_v").alias("_gm_v"))
-    maps = per_pos.groupBy(period).agg(F.map_from_entries(F.collect_list(F.struct("_gm_pos", "_gm_v"))).alias("_gm_m"))
+    sums = long.groupBy(period, "_gm_pos").agg(F.sum("_gm_v").alias("_gm_v"))
     width = len(profiles) * steps
-    vec = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("_gm_m", i), F.lit(0.0)))
-    return maps.select(period, vec.alias("features"))
+    zeros = sums.select(period).distinct().select(
+        period, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_gm_pos"), F.lit(0.0).alias("_gm_v")
+    )
+    full = sums.unionByName(zeros).groupBy(period, "_gm_pos").agg(F.coalesce(F.sum("_gm_v"), F.lit(0.0)).alias("_gm_v"))
+    ordered = F.sort_array(F.collect_list(F.struct("_gm_pos", "_gm_v")))
+    return full.groupBy(period).agg(F.transform(ordered, lambda x: x["_gm_v"]).alias("features"))
 
 
 def scale_features(df: DataFrame, value: str, by: Sequence[str], method: str = "S", out: str = "scaled",
-                   methods: dict[str, str] | None = None) -> DataFrame:
+                   methods: dict[str, str] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """M6: ``S`` = (v - mean) / sample sd, ``N`` = (v - min) / (max - min), per
     profile. One statistics aggregate per profile, joined back on the
     profile key; ``methods`` ({out column: method}) adds several scalings
-    from that one pass."""
+    from that one pass. ``weights`` multiplies the scaled values of a profile
+    (the first of ``by``), as the settings' load weight does."""
     st = df.groupBy(*by).agg(
         F.avg(value).alias("_gm_mu"), F.stddev_samp(value).alias("_gm_sd"),
         F.min(value).alias("_gm_lo"), F.max(value).alias("_gm_hi"),
     )
-    j = df.join(st, list(by), "inner")
+    j = attach(df, st, list(by), ["_gm_mu", "_gm_sd", "_gm_lo", "_gm_hi"])
     v = F.col(value)
     for name, m in (methods or {out: method}).items():
         if m == "S":
@@ -61,7 +66,10 @@ def scale_features(df: DataFrame, value: str, by: Sequence[str], method: str = "
             e = F.when(rng > 0, (v - F.col("_gm_lo")) / rng).otherwise(F.lit(0.0))
         else:
             raise ValueError("method must be 'S' or 'N'")
-        j = j.withColumn(name, e)
+        factor = F.lit(1.0)
+        for profile, w in (weights or {}).items():
+            factor = F.when(F.col(by[0]) == profile, F.lit(float(w))).otherwise(factor)
+        j = j.withColumn(name, e * factor if weights else e)
     return j.drop("_gm_mu", "_gm_sd", "_gm_lo", "_gm_hi")
 
 
@@ -84,19 +92,22 @@ def extreme_periods(
     df: DataFrame, index: str, profile: str, value: str, steps: int, rules: Sequence[ExtremeRule],
     zone: str | None = None, period: str = "Period_Index",
 ) -> DataFrame:
-    """M7: ``(rule, [zone,] period)`` for each rule; ties go to the earliest period."""
-    base = df.withColumn(period, period_index(index, steps))
+    """M7: ``(rule, [zone,] period)`` for each rule; ties go to the earliest period.
+
+    The input is reduced once to (profile, [zone,] period, step), from which
+    every rule reads."""
+    zones = [zone] if zone else []
+    named = sorted({r.profile for r in rules})
+    per_step = df.where(F.col(profile).isin(named)).withColumn(period, period_index(index, steps)).groupBy(
+        profile, *zones, period, index).agg(F.sum(value).alias("_gm_v"))
     outs = []
     for r in rules:
-        d = base.where(F.col(profile) == r.profile)
-        keys = [zone] if (zone and r.scope == "Zone") else []
-        if r.measure == "Absolute":
-            per_step = d.groupBy(*keys, period, index).agg(F.sum(value).alias("_gm_v"))
-            per_period = per_step.groupBy(*keys, period).agg(
-                (F.max if r.pick == "Max" else F.min)("_gm_v").alias("_gm_v")
-            )
-        else:
-            per_period = d.groupBy(*keys, period).agg(F.sum(value).alias("_gm_v"))
+        keys = zones if r.scope == "Zone" else []
+        d = per_step.where(F.col(profile) == r.profile)
+        if zones and not keys:
+            d = d.groupBy(period, index).agg(F.sum("_gm_v").alias("_gm_v"))
+        how = F.sum if r.measure != "Absolute" else F.max if r.pick == "Max" else F.min
+        per_period = d.groupBy(*keys, period).agg(how("_gm_v").alias("_gm_v"))
         sign = -1 if r.pick == "Max" else 1
         best = per_period.groupBy(*keys).agg(
             F.min_by(period, F.struct((F.col("_gm_v") * sign).alias("v"), F.col(period).alias("p"))).alias(period)
@@ -112,19 +123,52 @@ def _sq_dist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
+# largest distance per feature that scaled values can have: the whole range, or
+# (for standardised values) four standard deviations, about 95% of them
+SPREAD = {"N": 1.0, "S": 4.0}
+
+
+def pick_representative(assigned: DataFrame, centers: DataFrame, period: str = "Period_Index") -> DataFrame:
+    """``(period, cluster, Rep_Period)``: a cluster's representative is the
+    member nearest its centre, the earliest in ties. ``assigned``: period,
+    cluster, features; ``centers``: cluster, center (at most one row a period)."""
+    dist = assigned.join(F.broadcast(centers), "cluster").withColumn("_gm_d", _sq_dist(F.col("features"), F.col("center")))
+    reps = dist.groupBy("cluster").agg(F.min_by(period, F.struct("_gm_d", period)).alias("Rep_Period"))
+    return dist.join(reps, "cluster").select(period, "cluster", "Rep_Period")
+
+
+def number_representatives(members: DataFrame, period: str = "Period_Index") -> DataFrame:
+    """The period map, representatives numbered 1..K in period order (at
+    most one row a period of the horizon)."""
+    ids = members.select("Rep_Period").distinct()
+    ids = ids.withColumn("Rep_Period_Index", F.row_number().over(Window.orderBy("Rep_Period")))
+    return members.join(ids, "Rep_Period").select(period, "Rep_Period", "Rep_Period_Index")
+
+
+def farthest_from_representative(members: DataFrame, features: DataFrame, period: str = "Period_Index") -> float:
+    """M9: the largest distance of a period to its representative period."""
+    own = members.join(features.select(period, "features"), period)
+    rep = features.select(F.col(period).alias("Rep_Period"), F.col("features").alias("_gm_r"))
+    worst = own.join(rep, "Rep_Period").agg(F.max(_sq_dist(F.col("features"), F.col("_gm_r")))).first()[0]
+    return (worst or 0.0) ** 0.5
+
+
 def cluster_periods(
     features: DataFrame, k_min: int, k_max: int, threshold: float | None = None,
     extremes: DataFrame | None = None, repeats: int = 5, seed: int = 7, period: str = "Period_Index",
-    max_iter: int = 50,
+    max_iter: int = 50, scaling: str = "S",
 ) -> DataFrame:
-    """K-means over period vectors, growing k from ``k_min`` until the
-    farthest member is within ``threshold`` of its centroid (or ``k_max``);
-    extreme periods (M7) form their own one-member clusters.
+    """K-means over period vectors with ``k_min`` to ``k_max`` typical
+    periods, extreme periods (M7) included, which form clusters of their own.
 
-    For each k the best of ``repeats`` seeded runs (lowest training cost) wins.
+    With a ``threshold`` k grows until every period is within that share of the
+    possible error of its representative period (``SPREAD`` per feature of the
+    ``scaling``), or ``k_max`` is reached. Without one k is ``k_max``. For each k
+    the best of ``repeats`` seeded runs (lowest training cost) wins.
     Output is the period map ``(Period_Index, Rep_Period, Rep_Period_Index)``:
-    each cluster is represented by its member nearest the centroid, and
-    representatives are numbered in period order.
+    each cluster is represented by its member nearest the centre, and
+    representatives are numbered in period order. If every period is extreme,
+    each represents itself.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -132,51 +176,38 @@ def cluster_periods(
 
     from gridmeter.session import checkpoint_dir
 
-    feats = features.select(period, F.col("features").cast("array<double>").alias("features"))
-    if extremes is not None:
-        ex = extremes.select(period).distinct()
-        pool = feats.join(ex, period, "left_anti")
-    else:
-        ex, pool = None, feats
     # one row per period of the horizon (<= 366): checkpointed once to the shared
     # folder, so every fit and the final map read it without recomputing features
     checkpoint_dir(features.sparkSession)
+    feats = features.select(period, F.col("features").cast("array<double>").alias("features")).checkpoint(eager=True)
+    own = feats.select(period).limit(0) if extremes is None else extremes.select(period).distinct()
+    own = own.join(feats.select(period), period, "left_semi").select(period, F.col(period).alias("Rep_Period")).checkpoint(eager=True)
+    pool = feats.join(own.select(period), period, "left_anti")
     vec = pool.select(period, "features", array_to_vector("features").alias("_gm_vec")).checkpoint(eager=True)
-    n_pool = vec.count()
-    best = None
-    for k in range(max(1, k_min), max(k_min, k_max) + 1):
-        kk = min(k, n_pool)
-        if kk <= 1:
+    n_pool, n_own = vec.count(), own.count()
+    if n_pool == 0:
+        return number_representatives(own, period)
+    width = feats.select(F.max(F.size("features"))).first()[0]
+    limit = None if threshold is None else threshold * SPREAD[scaling] * width ** 0.5
+    most = min(n_pool, max(1, k_max - n_own))
+    k = most if limit is None else min(most, max(1, k_min - n_own))
+    while True:
+        if k == 1:
             # one cluster: its centre is the mean vector (a distributed aggregate)
             mean = vec.select(Summarizer.mean(F.col("_gm_vec")).alias("m")).first()["m"]
-            assigned = vec.withColumn("_gm_cl", F.lit(0))
-            centers = [mean.toArray()]
+            assigned, centers = vec.withColumn("cluster", F.lit(0)), [mean.toArray()]
         else:
             runs = []
             for r in range(repeats):
-                m = KMeans(k=kk, seed=seed + r, maxIter=max_iter, featuresCol="_gm_vec", predictionCol="_gm_cl").fit(vec)
+                m = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="_gm_vec", predictionCol="cluster").fit(vec)
                 runs.append((m.summary.trainingCost, r, m))
-            _, _, model = min(runs, key=lambda t: (t[0], t[1]))
-            assigned = model.transform(vec)
-            centers = model.clusterCenters()  # k vectors: bounded by k_max
-        cdf = vec.sparkSession.createDataFrame(
-            [(i, [float(x) for x in c]) for i, c in enumerate(centers)], "_gm_cl int, _gm_c array<double>"
-        )
-        dist = assigned.join(F.broadcast(cdf), "_gm_cl").withColumn("_gm_d", _sq_dist(F.col("features"), F.col("_gm_c")))
-        best = dist
-        if threshold is None or kk >= n_pool:
-            break
-        worst = dist.agg(F.max("_gm_d")).first()[0]  # one number per k
-        if worst is not None and worst ** 0.5 <= threshold:
-            break
-    reps = best.groupBy("_gm_cl").agg(F.min_by(period, F.struct("_gm_d", period)).alias("Rep_Period"))
-    members = best.join(reps, "_gm_cl").select(period, "Rep_Period")
-    if ex is not None:
-        members = members.unionByName(ex.select(period, F.col(period).alias("Rep_Period")))
-    # number representatives 1..K in period order: at most k_max + extremes rows
-    rep_ids = members.select("Rep_Period").distinct()
-    rep_ids = rep_ids.withColumn("Rep_Period_Index", F.row_number().over(Window.orderBy("Rep_Period")))
-    return members.join(rep_ids, "Rep_Period").select(period, "Rep_Period", "Rep_Period_Index")
+            model = min(runs, key=lambda t: (t[0], t[1]))[2]
+            assigned, centers = model.transform(vec), model.clusterCenters()  # k vectors: bounded by k_max
+        table = vec.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster int, center array<double>")
+        members = pick_representative(assigned.select(period, "cluster", "features"), table, period).select(period, "Rep_Period").checkpoint(eager=True)
+        if limit is None or k >= most or farthest_from_representative(members, feats, period) <= limit:
+            return number_representatives(members.unionByName(own), period)
+        k += 1
 
 
 def period_weights(period_map: DataFrame, steps: int, total: float) -> DataFrame:

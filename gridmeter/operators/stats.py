@@ -6,8 +6,8 @@ Scale notes
   ``percentile`` does): it counts distinct values, ranks them with the
   range-partitioned ``cumsum`` and keeps the few rows that hold the target ranks.
 * ``kernel_density`` bins the data linearly onto its ``n``-point grid (an
-  aggregate with at most ``n`` rows per group) and convolves bins with the
-  Gaussian kernel: at most ``n * n`` terms per group, whatever the row count.
+  aggregate with at most ``n`` rows per group) and convolves a group's bins with
+  the Gaussian kernel in one small array product: no row per pair of points.
 """
 
 from __future__ import annotations
@@ -15,10 +15,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridmeter.operators.keys import attach
+from gridmeter.operators.keys import attach, join_groups
 from gridmeter.operators.windows import cumsum
 
 
@@ -104,12 +107,12 @@ def _bandwidth_from_ranked(ranked: DataFrame, col: str, keys: list[str], adjust:
     base = ranked.groupBy(*keys).agg(
         F.sum("_gm_c").alias("n"), F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"),
         (F.sum(c * x) / F.sum("_gm_c")).alias("_gm_mu"),
-    )
+    ).where("n > 1")  # no spread, so no density, of a single value
     dev = attach(ranked, base, keys, ["n", "_gm_mu"]).groupBy(*keys).agg(
         F.sqrt(F.sum(c * (x - F.col("_gm_mu")) * (x - F.col("_gm_mu"))) / (F.first("n") - 1)).alias("_gm_sd")
     )
-    j = attach(base, dev, keys, ["_gm_sd"])
-    j = attach(j, _quantiles_from_ranked(ranked, col, [0.25, 0.75], keys), keys, ["q_0", "q_1"])
+    j = join_groups(base, dev, keys, ["_gm_sd"])
+    j = join_groups(j, _quantiles_from_ranked(ranked, col, [0.25, 0.75], keys), keys, ["q_0", "q_1"])
     return _nrd0(j, keys, adjust, first_abs=F.abs(F.col("lo")))
 
 
@@ -158,6 +161,8 @@ def kernel_density(
     ``sum_j w_j * phi((i - j) * delta / bw) / (N * bw)``.
     Output ``(*by, i, x, density)``.
 
+    Groups with a single value have no spread and are left out, as plotting does.
+
     The input is read once: everything (bandwidth, quantiles, bin weights)
     comes from its value-count table, weighted by multiplicity.
     """
@@ -188,17 +193,19 @@ def kernel_density(
         .groupBy(*keys, "_gm_j")
         .agg(F.sum("_gm_w").alias("_gm_w"))
     )  # <= n rows per group
-    conv = attach(bins, params, keys, pcols).select(
-        *keys, "_gm_j", "_gm_w", "n", "bw", "_gm_from", "_gm_delta",
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"),
-    )
-    z = (F.col("i") - F.col("_gm_j")) * F.col("_gm_delta") / F.col("bw")
-    phi = F.exp(F.lit(-0.5) * z * z) / F.lit(math.sqrt(2 * math.pi))
-    dens = conv.groupBy(*keys, "i").agg(
-        (F.sum(F.col("_gm_w") * phi) / (F.first("n") * F.first("bw"))).alias("density"),
-        (F.first("_gm_from") + F.col("i") * F.first("_gm_delta")).alias("x"),
-    )
-    return dens.select(*keys, "i", "x", "density")
+
+    def convolve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """All grid points of one group from its at most ``n`` bins."""
+        head = pdf.iloc[0]
+        i, j = np.arange(n), pdf["_gm_j"].to_numpy()
+        z = (i[:, None] - j[None, :]) * head["_gm_delta"] / head["bw"]
+        phi = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+        density = (pdf["_gm_w"].to_numpy()[None, :] * phi).sum(axis=1) / (head["n"] * head["bw"])
+        made = {"i": i.astype("int32"), "x": head["_gm_from"] + i * head["_gm_delta"], "density": density}
+        return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key, strict=True)}, **made})
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("density", T.DoubleType())])
+    return join_groups(bins, params, keys, pcols).groupBy(*keys).applyInPandas(convolve, schema)
 
 
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "ecdf") -> DataFrame:

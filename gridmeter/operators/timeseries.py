@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import Grid, index_to_clock, period_index, step_in_period, step_index
-from gridmeter.operators.keys import attach
+from gridmeter.operators.keys import join_groups
 from gridmeter.session import checkpoint_dir
 
 _GI = "_gm_gi"
@@ -161,7 +161,7 @@ def interpolate_linear(
     # the last on-grid sample of each series, and its tail up to the grid end
     bounds = _series_bounds(per_step, keys)
     last = seg.where(F.col("_gm_gi1").isNull())
-    last = attach(last, bounds, keys, ["_gm_start", "_gm_end"])
+    last = join_groups(last, bounds, keys, ["_gm_start", "_gm_end"])
     kk = F.col("_gm_k")
     if tail == "hold":
         tail_v = F.col(value)
@@ -177,7 +177,7 @@ def interpolate_linear(
 
     # head: grid points before the first on-grid sample stay null
     first_real = samples.groupBy(*keys).agg(F.min(_GI).alias("_gm_first"))
-    head_src = attach(bounds, first_real, keys, ["_gm_first"], how="left")
+    head_src = join_groups(bounds, first_real, keys, ["_gm_first"], how="left")
     head_end = F.coalesce(F.col("_gm_first") - 1, F.col("_gm_end"))
     head = (
         head_src.where(head_end >= F.col("_gm_start"))

@@ -3,8 +3,8 @@
 A plain ``sum().over(partitionBy(g).orderBy(t))`` puts every row of a group
 into one task; with one group holding a third of the rows that task holds a
 third of the data. ``cumsum`` instead range-partitions on (group, order, tie),
-which splits a hot group over many tasks, scans each task's sorted slice once
-and then adds, per (task, group), the total of that group in earlier tasks.
+which splits a hot group over many tasks, sums inside each task's slice and
+then adds, per (task, group), the total of that group in earlier tasks.
 Only the group that straddles a task border needs such an offset, so the offset
 table has at most ``2 * partitions`` rows and is broadcast by a proven bound.
 """
@@ -13,12 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridmeter.operators.keys import attach
 from gridmeter.session import checkpoint_dir, shuffle_partitions
 
 _PID = "_gm_pid"
@@ -34,40 +33,23 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
     return cond
 
 
-def _local_running_sum(by: list[str], value: str, out: str, integral: bool):
-    """Per-partition running sum over rows already sorted by (by, order)."""
-
-    def run(batches):
-        last_key = None
-        carry = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                yield pdf.assign(**{out: pd.Series([], dtype="int64" if integral else "float64")})
-                continue
-            v = pdf[value]
-            v = v.fillna(0).astype("int64") if integral else v.astype("float64").fillna(0.0)
-            if by:
-                keys = pdf[by]
-                # sorted input: a group change is any row whose key differs from the previous one
-                change = np.zeros(len(pdf), dtype=bool)
-                change[0] = True
-                for c in by:
-                    col = keys[c]
-                    prev = col.shift(1)
-                    diff = ~((col == prev) | (col.isna() & prev.isna()))
-                    change |= diff.to_numpy()
-                gid = np.cumsum(change)
-                cs = v.groupby(gid).cumsum()
-                first = tuple(None if pd.isna(x) else x for x in keys.iloc[0].tolist())
-                if last_key is not None and first == last_key:
-                    cs = cs + np.where(gid == 1, carry, 0)
-                last_key = tuple(None if pd.isna(x) else x for x in keys.iloc[-1].tolist())
-            else:
-                cs = v.cumsum() + carry
-            carry = cs.iloc[-1]
-            yield pdf.assign(**{out: cs.to_numpy()})
-
-    return run
+# bytes of input per task of the range sort, where that asks for more tasks
+# than the session's shuffle partitions
+TASK_BYTES = 128 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, where their size is known (estimates
+    of later steps multiply joined sides, so they are no guide)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def sort_tasks(df: DataFrame) -> int:
+    """Tasks of a range sort of ``df``: by the bytes it reads, at least the
+    session's shuffle partitions."""
+    return max(shuffle_partitions(df.sparkSession), min(100_000, input_bytes(df) // TASK_BYTES))
 
 
 def cumsum(
@@ -83,30 +65,35 @@ def cumsum(
     ``order`` must end in a unique tie-break key for a deterministic result
     (rows with equal dates would otherwise sum in an arbitrary order, D16).
     Nulls in ``value`` count as 0. Integral input gives a ``long`` result,
-    anything else a ``double``.
+    decimals stay exact, anything else is a ``double``. All other columns pass
+    through unchanged; nothing leaves the JVM.
     """
     by, order = list(by), list(order)
     keys = by + order
     spark = df.sparkSession
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or sort_tasks(df)
     vtype = df.schema[value].dataType
-    integral = isinstance(vtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    out_type = T.LongType() if integral else T.DoubleType()
-
-    # Range partitioning splits a hot group over many tasks. Each task scans its
-    # sorted slice once (vectorised, in Arrow batches) and tags rows with its
-    # partition id. The result is checkpointed before it is read twice: range
-    # bounds come from a sample seeded per exchange, so two separately planned
-    # exchanges could disagree on them; stored ids cannot, and a lost executor
-    # re-reads the checkpoint instead of re-sampling.
-    ranged = df.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id())
-    schema = T.StructType(ranged.schema.fields + [T.StructField(out, out_type, True)])
-    local = ranged.sortWithinPartitions(*keys).mapInPandas(_local_running_sum(by, value, out, integral), schema)
+    if isinstance(vtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        out_type = T.LongType()
+    elif isinstance(vtype, T.DecimalType):
+        out_type = T.DecimalType(38, vtype.scale)
+    else:
+        out_type = T.DoubleType()
+
+    # Range partitioning splits a hot group over many tasks. Rows are tagged with
+    # their partition and checkpointed before they are read twice: range bounds
+    # come from a sample seeded per exchange, so two separately planned exchanges
+    # could disagree on them; stored ids cannot, and a lost executor re-reads the
+    # checkpoint instead of re-sampling.
     checkpoint_dir(spark)
-    local = local.checkpoint(eager=True)
+    ranged = df.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
+    amount = F.coalesce(F.col(value).cast(out_type), F.lit(0).cast(out_type))
+    # a group's rows of one partition: never more than a range task's share
+    inside = Window.partitionBy(_PID, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn(out, F.sum(amount).over(inside).cast(out_type))
 
     # Per (task, group) totals: partial aggregation keeps this at <= groups + tasks rows.
-    totals = local.groupBy(_PID, *by).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).cast(out_type).alias(_TOT))
+    totals = ranged.groupBy(_PID, *by).agg(F.sum(amount).cast(out_type).alias(_TOT))
     if by:
         # only a group that crosses a task border has rows in earlier tasks
         spanning = totals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
@@ -119,7 +106,7 @@ def cumsum(
     renamed = {c: f"_gm_k{i}" for i, c in enumerate(keycols)}
     offsets = totals.select(
         *[F.col(c).alias(renamed[c]) for c in keycols],
-        F.coalesce(F.sum(_TOT).over(w), F.lit(0)).cast(out_type).alias(_OFF),
+        F.coalesce(F.sum(_TOT).over(w).cast(out_type), F.lit(0).cast(out_type)).alias(_OFF),
     )
 
     off = F.broadcast(offsets)  # bounded: spanning groups give <= 2 * n rows, no groups give n
@@ -128,7 +115,8 @@ def cumsum(
         e = F.col(c).eqNullSafe(F.col(renamed[c]))
         cond = e if cond is None else cond & e
     joined = local.join(off, cond, "left")
-    return joined.select(*df.columns, (F.col(out) + F.coalesce(F.col(_OFF), F.lit(0)).cast(out_type)).alias(out))
+    total = F.col(out) + F.coalesce(F.col(_OFF), F.lit(0).cast(out_type))
+    return joined.select(*df.columns, total.cast(out_type).alias(out))
 
 
 def offset_from_first(
@@ -136,21 +124,16 @@ def offset_from_first(
 ) -> DataFrame:
     """Time since the first row of each group (W4, ``Time - Time[1]``).
 
-    The first timestamp is a group ``min`` (a partial aggregate joined back on
-    the group key), or a scalar subquery without groups; never a window that
-    sorts a whole group in one task.
+    The first timestamp is a group ``min`` (a partial aggregate attached to the
+    rows without moving them by the group key), or a scalar subquery without
+    groups; never a window that sorts a whole group in one task.
     """
     by = list(by)
     if not by:
         t0 = df.select(F.min(ts)).scalar()
         return df.withColumn(out, F.timestamp_diff(unit, t0, F.col(ts)))
-    keyed = {c: f"_gm_k{i}" for i, c in enumerate(by)}
-    first = df.groupBy(*[F.col(c).alias(k) for c, k in keyed.items()]).agg(F.min(ts).alias("_gm_first"))
-    cond = None
-    for c, k in keyed.items():
-        e = F.col(c).eqNullSafe(F.col(k))
-        cond = e if cond is None else cond & e
-    j = df.join(first, cond, "left")
+    first = df.groupBy(*by).agg(F.min(ts).alias("_gm_first"))
+    j = attach(df, first, by, ["_gm_first"], how="left")
     return j.select(*df.columns, F.timestamp_diff(unit, F.col("_gm_first"), F.col(ts)).alias(out))
 
 

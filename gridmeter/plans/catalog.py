@@ -720,7 +720,8 @@ def q_cluster_periods(spark: SparkSession, sf: str) -> DataFrame:
         ExtremeRule("pv_min", SOLAR_TYPE, "Integral", "Min"),
         ExtremeRule("wind_min", WIND_TYPE, "Integral", "Min"),
     ])
-    return cluster_periods(feats, k_min=4, k_max=4, extremes=ext, repeats=3, seed=11)
+    # four clusters besides the three extreme days, as k counts both
+    return cluster_periods(feats, k_min=5, k_max=7, threshold=0.1, extremes=ext, repeats=3, seed=11)
 
 
 @register("solver_wide_roundtrip")

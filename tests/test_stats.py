@@ -52,3 +52,9 @@ def test_kernel_density_approx_bandwidth_close_to_exact(spark):
     exact = kernel_density(df, "x", n=256).orderBy("i").toPandas()
     approx = kernel_density(df, "x", n=256, approx_accuracy=100000).orderBy("i").toPandas()
     assert np.allclose(exact["density"], approx["density"], rtol=0.05, atol=1e-3)
+
+
+def test_density_leaves_out_single_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 2.0), ("b", 4.0)], "g string, x double")
+    d = kernel_density(df, "x", by=["g"], n=64)
+    assert {r.g for r in d.select("g").distinct().collect()} == {"b"}

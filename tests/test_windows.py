@@ -96,3 +96,22 @@ def test_cumsum_task_count_follows_aqe_initial_partitions(spark):
         assert out["cs"].tolist() == np.cumsum([r[2] for r in rows]).tolist()
     finally:
         spark.conf.unset(key)
+
+
+def test_cumsum_keeps_wide_integers_and_decimals(spark):
+    from decimal import Decimal
+
+    big = 9007199254740993
+    df = spark.createDataFrame([(1, big, big, Decimal("0.10")), (2, None, big, Decimal("0.20"))], "t int, v long, other long, d decimal(10,2)")
+    out = {r.t: (r.s, r.other) for r in cumsum(df, "v", ["t"], out="s").collect()}
+    assert out == {1: (big, big), 2: (big, big)}
+    assert [r.s for r in cumsum(df, "d", ["t"], out="s").orderBy("t").collect()] == [Decimal("0.10"), Decimal("0.30")]
+
+
+def test_attach_salted_gives_the_same_rows(spark):
+    from gridmeter.operators.keys import attach
+
+    df = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(30)], "i int, g string")
+    means = df.groupBy("g").avg("i").withColumnRenamed("avg(i)", "m")
+    one = sorted(map(tuple, attach(df, means, ["g"], ["m"]).collect()), key=str)
+    assert len(one) == 30 and one == sorted(map(tuple, attach(df, means, ["g"], ["m"], broadcast_groups=0, salts=4).collect()), key=str)
