@@ -13,6 +13,7 @@ import string
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import filterfalse
 
 PIECES_KEPT = 400_000  # about 80 MB a worker; beyond it the worker starts over
 BLOCK_CHARS = 2_000_000
@@ -78,7 +79,9 @@ class PieceIds(dict):
     def texts(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of whole texts; null counts as empty."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {p for pieces in split for p in set(pieces).difference(self)}
+        new = set()
+        for pieces in split:
+            new.update(filterfalse(self.__contains__, pieces))
         long = {p for p in new if len(p) > LONG}
         self.learn(new - long)
         if not long:
