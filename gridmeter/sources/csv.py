@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,26 +94,47 @@ def read_side_by_side(
 
 
 def mangle_names(df: DataFrame) -> DataFrame:
-    """Base-R ``read.csv`` names: every non-alphanumeric character becomes ``.``."""
-    return df.toDF(*[re.sub(r"[^0-9A-Za-z_.]", ".", c.strip()) for c in df.columns])
+    """Base-R ``read.csv`` names: every character that a name can't have
+    becomes ``.``, a name that can't start so gets an ``X``, and repeats get
+    ``.1``, ``.2``, ..."""
+    made, seen = [], set()
+    for c in df.columns:
+        name = re.sub(r"[^0-9A-Za-z_.]", ".", c.strip())
+        if not re.match(r"[A-Za-z]|\.(?![0-9])", name):
+            name = "X" + name
+        unique, n = name, 0
+        while unique in seen:
+            n += 1
+            unique = f"{name}.{n}"
+        seen.add(unique)
+        made.append(unique)
+    return df.toDF(*made)
+
+
+def file_path() -> Column:
+    """The path of a row's file as it was given: ``_metadata`` holds it URL-
+    encoded, where a plus sign stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def read_skip_meta(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType, first_numeric: str | None = None,
-    site_from_path: str | None = r"([^/]+)\.csv$", site_col: str = "site",
+    site_from_path: str | None = r"([^/]+)\.csv$", site_col: str = "site", years: tuple[int, int] | None = (1900, 2100),
 ) -> DataFrame:
     """Time-series CSVs with metadata lines above the data (weather
     downloads). Lines are parsed positionally with ``schema``; rows whose
-    first field is not a number are metadata and dropped. The site id comes
+    first field is not a year (``years``; None: any number) are metadata and dropped. The site id comes
     from the file name (``_metadata.file_path``), so many files read in one scan.
     """
     str_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     raw = spark.read.schema(str_schema).option("header", False).option("mode", "PERMISSIVE").csv(path)
     key = first_numeric or schema.fields[0].name
-    data = raw.where(F.trim(F.col(key)).try_cast("double").isNotNull())
+    first = F.trim(F.col(key)).try_cast("double")
+    is_data = first.isNotNull() if years is None else first.between(*years) & (first == F.floor(first))
+    data = raw.where(is_data)
     cols = [F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schema.fields]
     if site_from_path:
-        cols.append(F.regexp_extract(F.col("_metadata.file_path"), site_from_path, 1).alias(site_col))
+        cols.append(F.regexp_extract(file_path(), site_from_path, 1).alias(site_col))
     return data.select(*cols)
 
 

@@ -8,39 +8,60 @@ Rows are kept by their label (``^t\\d+$``), never by position, so files with
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmeter.sources.csv import NULL_SPELLINGS
+from gridmeter.sources.csv import NULL_SPELLINGS, file_path
 
 STEP_LABEL = r"^t(\d+)$"
 # run tree layout: .../<sim folder>/<results folder>/<file>.csv
 RUN_PATTERN = r"/([^/]+)/([^/]+)/[^/]+$"
 
 
+def file_layouts(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """Files by header line. The first lines are found by one scan; one row per
+    file goes to the driver."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        file_path().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        out.setdefault(r["header"], []).append(re.sub(r"([\\*?\[\]{}])", r"\\\1", r["file"]))
+    return out
+
+
 def scan_solver_wide(
     spark: SparkSession, path: str | Sequence[str], label_col: int = 0, id_cols: Sequence[str] = (),
     name: str = "name", value: str = "value", with_run: bool = False,
 ) -> DataFrame:
-    """S5 (+ S7 with ``with_run``): wide step table -> ``(Time_Index, name, value)``
-    [+ ``sim``, ``run`` parsed from the file path]. One scan however many files."""
-    raw = spark.read.option("header", True).csv(path)
+    """S5 (+ S7 with ``with_run``): wide step tables -> ``(Time_Index, name, value)``
+    [+ ``sim``, ``run`` parsed from the file path]. Files with equal headers are
+    read together, each group by its own names, however many layouts there are."""
+    out = None
+    for files in file_layouts(spark, path).values():
+        part = _scan_layout(spark, files, label_col, id_cols, name, value, with_run)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise FileNotFoundError(f"no file with a header in {path}")
+    return out
+
+
+def _scan_layout(spark, files, label_col, id_cols, name, value, with_run) -> DataFrame:
+    raw = spark.read.option("header", True).csv(files)
     cols = raw.columns
     label = cols[label_col]
     vals = [c for i, c in enumerate(cols) if i != label_col and c not in id_cols]
     keep = raw.where(F.trim(F.col(f"`{label}`")).rlike(STEP_LABEL))
     sel = [F.regexp_extract(F.trim(F.col(f"`{label}`")), STEP_LABEL, 1).cast("long").alias("Time_Index")]
     if with_run:
-        sel += [
-            F.regexp_extract(F.col("_metadata.file_path"), RUN_PATTERN, 1).alias("sim"),
-            F.regexp_extract(F.col("_metadata.file_path"), RUN_PATTERN, 2).alias("run"),
-        ]
+        sel += [F.regexp_extract(file_path(), RUN_PATTERN, i + 1).alias(c) for i, c in enumerate(("sim", "run"))]
     sel += [F.trim(F.col(f"`{c}`")).try_cast("double").alias(c) for c in vals]
     wide = keep.select(*sel)
     ids = ["Time_Index"] + (["sim", "run"] if with_run else [])
-    return wide.unpivot(ids, vals, name, value)
+    return wide.unpivot(ids, [F.col(f"`{c}`") for c in vals], name, value)
 
 
 def scan_solver_meta(spark: SparkSession, path: str | Sequence[str], row_label: str, label_col: int = 0) -> DataFrame:
@@ -72,7 +93,7 @@ def scan_result_report(
 
 def scan_run_tree(spark: SparkSession, root: str, file_name: str, **kw) -> DataFrame:
     """The same result file across every run folder under ``root``:
-    one glob read; ``sim`` / ``run`` come from the path, not a driver loop."""
+    ``sim`` / ``run`` come from the path; runs may have different resources."""
     return scan_solver_wide(spark, f"{root.rstrip('/')}/*/*/{file_name}", with_run=True, **kw)
 
 

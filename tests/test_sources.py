@@ -136,3 +136,27 @@ def test_duplicate_and_unnamed_headers(spark, tmp):
     # Spark suffixes repeated names with their position and names an empty header _c0
     assert df.columns == ["_c0", "Resource", "LDS2", "Zone", "LDS4"]
     assert [r.Zone for r in df.collect()] == [1, 1]
+
+
+def test_run_tree_with_unequal_headers_and_spaces(spark, tmp):
+    _write(tmp, "sim 1 - a/Results_1/power.csv", "Resource,wind,solar,Total\nZone,1,1,0\nt1,5,6,11\nt2,7,8,15\n")
+    _write(tmp, "sim+2/Results_1/power.csv", "Resource,geo,wind,solar,Total\nZone,1,1,1,0\nt1,5,11,21,37\n")
+    df = scan_run_tree(spark, tmp, "power.csv")
+    got = {(r.sim, r.Time_Index, r.name): r.value for r in df.collect()}
+    assert got == {
+        ("sim 1 - a", 1, "wind"): 5.0, ("sim 1 - a", 1, "solar"): 6.0, ("sim 1 - a", 1, "Total"): 11.0,
+        ("sim 1 - a", 2, "wind"): 7.0, ("sim 1 - a", 2, "solar"): 8.0, ("sim 1 - a", 2, "Total"): 15.0,
+        ("sim+2", 1, "geo"): 5.0, ("sim+2", 1, "wind"): 11.0, ("sim+2", 1, "solar"): 21.0, ("sim+2", 1, "Total"): 37.0,
+    }
+
+
+def test_names_like_base_r(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], ["2022 load", "a b", "a.b", ".5x"])
+    assert mangle_names(df).columns == ["X2022.load", "a.b", "a.b.1", "X.5x"]
+
+
+def test_skip_meta_drops_numeric_metadata_and_decodes_site(spark, tmp):
+    _write(tmp, "m/site one.csv", "Source,Location ID\n123456,32.7\n2012,5.5\n2012,6.0\n")
+    schema = T.StructType([T.StructField("Year", T.IntegerType()), T.StructField("ghi", T.DoubleType())])
+    rows = read_skip_meta(spark, tmp + "/m/*.csv", schema).collect()
+    assert sorted((r.Year, r.ghi, r.site) for r in rows) == [(2012, 5.5, "site one"), (2012, 6.0, "site one")]
