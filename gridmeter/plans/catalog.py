@@ -842,3 +842,102 @@ def q_ev_profile_long(spark: SparkSession, sf: str) -> DataFrame:
                        "Weekday", "Weekend")
     out = day_profile_long(wide, "Time", value="EV_load")
     return out.where(F.col("EV_load").isNotNull()).select("Time", "Weekday", _half_up("EV_load", 4))
+
+
+# --- file readers, over files written from the test tables ------------------------
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from gridmeter.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}_{uuid.uuid4().hex}"
+
+
+@register("run_tree")
+def q_run_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Two run folders (one with blanks in its name) whose files have
+    different resources, read as one long table."""
+    from gridmeter.sources.csv import write_csv
+    from gridmeter.sources.results import scan_run_tree
+
+    path, res = _scratch(spark, "run_tree"), resource_series(step_readings(spark, sf))
+    for sim, types in (("sim 1 - a", ["click", "error"]), ("sim2", ["view", "click", "purchase", "signup"])):
+        wide = res.groupBy("Time_Index").pivot("Resource", types).agg(F.first("value"))
+        label = F.concat(F.lit("t"), F.col("Time_Index").cast("string")).alias("Resource")
+        write_csv(wide.select(label, *[F.col(t).cast("string") for t in types]), f"{path}/{sim}/Results_1", single_file=True)
+    long = scan_run_tree(spark, path, "*.csv").where(F.col("value").isNotNull())
+    return long.select("sim", "run", "Time_Index", F.col("name").alias("Resource"), _r("value"))
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A table written as CSV and read back with declared types."""
+    from gridmeter.sources.csv import read_csv_typed, write_csv
+
+    path = _scratch(spark, "csv_roundtrip")
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "M/d/yyyy H:mm").alias("o_orderdate"), F.col("o_totalprice").cast("string"),
+        F.when(F.col("o_orderstatus") == "P", "-").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    write_csv(o, path)
+    types = {"o_orderkey": "long", "o_orderdate": "timestamp", "o_totalprice": "double"}
+    return read_csv_typed(spark, path, types, ts_format="M/d/yyyy H:mm")
+
+
+@register("result_report")
+def q_result_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A report table with text keys and ``-`` for nulls."""
+    from gridmeter.sources.csv import write_csv
+    from gridmeter.sources.results import scan_result_report
+
+    path = _scratch(spark, "result_report")
+    c = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_acctbal").alias("most"))
+    text = c.select(F.concat(F.lit("r"), F.col("c_nationkey").cast("string")).alias("Resource"), F.col("n").cast("string").alias(" Count "),
+                    F.when(F.col("most") < 9900, "-").otherwise(F.col("most").cast("string")).alias("Most"))
+    write_csv(text, path)
+    return scan_result_report(spark, path)
+
+
+@register("site_files")
+def q_site_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One file per site with numeric metadata lines above the data; the
+    site comes from the path."""
+    from pyspark.sql import types as T
+
+    from gridmeter.sources.csv import read_skip_meta
+
+    path = _scratch(spark, "site_files")
+    n = table(spark, sf, "supplier").select(F.concat(F.lit("site "), F.col("s_nationkey").cast("string")).alias("site"), "s_suppkey", "s_acctbal")
+    data = n.select("site", F.concat_ws(",", F.lit("2012"), F.col("s_suppkey").cast("string"), F.col("s_acctbal").cast("string")).alias("value"))
+    meta = n.select("site").distinct().select("site", F.explode(F.array(F.lit("Source,Location ID"), F.lit("123456,32.7"))).alias("value"))
+    meta.unionByName(data).write.partitionBy("site").text(path)
+    schema = T.StructType([T.StructField("Year", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("balance", T.DoubleType())])
+    return read_skip_meta(spark, f"{path}/*/*.txt", schema, site_from_path=r"site=([^/]+)/")
+
+
+@register("azimuth_labels")
+def q_azimuth_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Orientation of every row, null azimuths included."""
+    from gridmeter.functions.labels import orientation
+
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal") / 20.0).alias("azimuth"))
+    return c.select("c_custkey", orientation("azimuth").alias("Orientation"))
+
+
+@register("month_hour_profile")
+def q_month_hour_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums by month and hour of day."""
+    from gridmeter.operators.aggregates import month_hour_profile
+
+    o = table(spark, sf, "orders")
+    out = month_hour_profile(o, "o_orderdate", [F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")])
+    return out
+
+
+@register("two_arrays_to_rows")
+def q_two_arrays_to_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two arrays of a row zipped by position."""
+    from gridmeter.operators.reshape import matrix_to_rows
+
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("mirror"))
+    return matrix_to_rows(e, ["embedding", "mirror"], index="pos").select("vec_id", "pos", "embedding", "mirror")

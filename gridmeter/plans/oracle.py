@@ -583,3 +583,39 @@ d AS (SELECT CAST(hour(clock) * 60 + minute(clock) AS INTEGER) AS m,
 t0 AS (SELECT min(m) AS m0 FROM d)
 SELECT CAST(m - m0 AS INTEGER) AS Time, Weekday, floor(EV_load * 10000.0 + 0.5) / 10000.0 AS EV_load FROM d, t0
 """
+
+
+# --- file readers ---------------------------------------------------------------
+SQL["run_tree"] = f"""WITH {_EV}
+SELECT 'sim 1 - a' AS sim, 'Results_1' AS run, Time_Index, Resource, round(value, 4) AS value FROM res
+WHERE Resource IN ('click', 'error')
+UNION ALL SELECT 'sim2', 'Results_1', Time_Index, Resource, round(value, 4) FROM res
+WHERE Resource IN ('view', 'click', 'purchase', 'signup')
+"""
+SQL["csv_roundtrip"] = """
+SELECT o_orderkey, date_trunc('minute', o_orderdate) AS o_orderdate, o_totalprice,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS o_orderstatus
+FROM orders
+"""
+SQL["result_report"] = """
+SELECT 'r' || c_nationkey AS "Resource", CAST(count(*) AS DOUBLE) AS "Count",
+       CASE WHEN max(c_acctbal) < 9900 THEN NULL ELSE max(c_acctbal) END AS "Most"
+FROM customer GROUP BY c_nationkey
+"""
+SQL["site_files"] = """
+SELECT 2012 AS "Year", s_suppkey AS key, s_acctbal AS balance, 'site ' || s_nationkey AS site FROM supplier
+"""
+SQL["azimuth_labels"] = """
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal / 20.0 END AS a FROM customer)
+SELECT c_custkey, CASE WHEN a IS NULL THEN 'South' WHEN a > 225 THEN 'West' WHEN a > 135 THEN 'South' ELSE 'East' END AS Orientation
+FROM c
+"""
+SQL["month_hour_profile"] = """
+SELECT CAST(month(o_orderdate) AS INTEGER) AS month, CAST(hour(o_orderdate) AS INTEGER) AS hour, count(*) AS n,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
+FROM orders GROUP BY 1, 2
+"""
+SQL["two_arrays_to_rows"] = """
+SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, embedding[pos] AS embedding, embedding[len(embedding) + 1 - pos] AS mirror
+FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)
+"""
