@@ -543,9 +543,9 @@ def q_representative_periods(spark: SparkSession, sf: str) -> DataFrame:
     ev = step_readings(spark, sf)
     steps = EVENT_GRID.steps_per_period
     pmap = fixed_period_map(load_series(ev), steps)
-    hourly = load_series(ev).where(F.pmod("Time_Index", F.lit(12)) == 0)  # hourly sample
-    hourly = assign_period(hourly, "Time_Index", steps)
-    j = right_join_keep_all(hourly, pmap, "Period_Index")
+    j = right_join_keep_all(assign_period(load_series(ev), "Time_Index", steps), pmap, "Period_Index")
+    per_hour = int(EVENT_GRID.steps_per_hour)
+    j = j.where(F.pmod("Time_Index", F.lit(per_hour)) == 0)  # hourly sample of what the join kept
     reps = pmap.select(F.col("Rep_Period").alias("_gm_rp")).distinct()
     # A period is representative when it is listed as some bin's Rep_Period
     j = j.join(reps, j["Period_Index"] == reps["_gm_rp"], "left")
@@ -567,6 +567,39 @@ def _week(df, steps=EVENT_GRID.steps_per_period):
     return slice_period(df, "Time_Index", SHOW_PERIOD, steps)
 
 
+@register("bin_week")
+def q_bin_week(spark: SparkSession, sf: str) -> DataFrame:
+    """Q15 for a reduced run (F7, P5): the rows of a bin on the reduced index,
+    under the clock of its representative period."""
+    from gridmeter.functions.time import index_to_clock, step_in_period
+    from gridmeter.operators.periods import reduced_series
+    from gridmeter.plans.study import representative_of
+
+    steps = EVENT_GRID.steps_per_period
+    st = step_readings(spark, sf)
+    # bins in reverse order of the days, so that a bin's number is not its day's
+    pmap = fixed_period_map(load_series(st), steps).withColumn("Rep_Period_Index", F.lit(8) - F.col("Rep_Period"))
+    price = _week(reduced_series(price_series(st), pmap, steps).select("Time_Index", "price"))
+    rep = representative_of(pmap, SHOW_PERIOD).scalar()
+    clock = index_to_clock((rep - 1) * steps + step_in_period("Time_Index", steps) + 1, EVENT_GRID)
+    return price.select("Time_Index", clock.alias("clock"), _r("price"))
+
+
+@register("reduced_scarcity_total")
+def q_reduced_scarcity_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Q20 for a reduced run (T6): scarcity of the representatives on every
+    period of the horizon, times the horizon's load."""
+    from gridmeter.operators.periods import reduced_series
+    from gridmeter.plans.analysis import scarcity_cost_total
+    from gridmeter.plans.study import over_horizon
+
+    steps = EVENT_GRID.steps_per_period
+    st = step_readings(spark, sf)
+    pmap = fixed_period_map(load_series(st), steps)
+    short = reduced_series(scarcity_series(st), pmap, steps).select("Time_Index", "shdw")
+    return scarcity_cost_total(load_series(st), over_horizon(short, pmap, steps)).select(_r("scarcity_cost", 2))
+
+
 @register("price_week")
 def q_price_week(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.functions.numeric import per_hour

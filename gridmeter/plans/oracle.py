@@ -455,11 +455,21 @@ FROM h JOIN st USING (event_type)
 """
 
 SQL["representative_periods"] = f"""WITH {_SYS},
-hr AS (SELECT Time_Index, Load, (Time_Index - 1) // 288 + 1 AS Period_Index FROM load WHERE Time_Index % 12 = 0)
-SELECT hr.Time_Index, m.Period_Index, m.Rep_Period, m.Rep_Period_Index,
-       m.Period_Index IN (SELECT Rep_Period FROM pmap) AS Representative,
-       {_CLOCK.replace('Time_Index', 'hr.Time_Index')} AS clock, round(hr.Load, 4) AS Load
-FROM hr RIGHT JOIN pmap m ON m.Period_Index = hr.Period_Index
+j AS (SELECT l.Time_Index, l.Load, m.* FROM load l RIGHT JOIN pmap m ON m.Period_Index = (l.Time_Index - 1) // 288 + 1)
+SELECT Time_Index, Period_Index, Rep_Period, Rep_Period_Index,
+       Period_Index IN (SELECT Rep_Period FROM pmap) AS Representative, {_CLOCK} AS clock, round(Load, 4) AS Load
+FROM j WHERE Time_Index % 12 = 0
+"""
+SQL["bin_week"] = f"""WITH {_SYS},
+rp AS (SELECT Rep_Period FROM pmap WHERE 8 - Rep_Period = 3 AND Period_Index = Rep_Period),
+p AS (SELECT 2 * 288 + (Time_Index - 1) % 288 + 1 AS Time_Index, price,
+             {_CLOCK} AS clock FROM price WHERE (Time_Index - 1) // 288 + 1 = (SELECT Rep_Period FROM rp))
+SELECT Time_Index, clock, round(price, 4) AS price FROM p
+"""
+SQL["reduced_scarcity_total"] = f"""WITH {_SYS},
+x AS (SELECT (m.Period_Index - 1) * 288 + (s.Time_Index - 1) % 288 + 1 AS Time_Index, shdw
+      FROM scar s JOIN pmap m ON m.Rep_Period = (s.Time_Index - 1) // 288 + 1)
+SELECT round(sum(shdw * Load), 2) AS scarcity_cost FROM load LEFT JOIN x USING (Time_Index)
 """
 
 SQL["price_week"] = f"""WITH {_EV}
