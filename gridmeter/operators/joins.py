@@ -1,10 +1,9 @@
 """Join helpers (J1-J8) with the join strategy stated, not left to chance.
 
-``broadcast`` is only ever applied to inputs whose size is bounded by
-construction (a day profile of at most 1440 minutes x 2 day types, a period
-map of at most 366 rows). Everything else is left to Catalyst + AQE, which
-turn a shuffle join into a broadcast at run time when the measured side is
-small.
+``broadcast`` is only ever applied to inputs that were counted (a day profile
+of 1440 minutes x 2 day types, a period map). Everything else is left to
+Catalyst + AQE, which turn a shuffle join into a broadcast at run time when the
+measured side is small.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import minute_of_day, weekday_flag
+from gridmeter.operators.keys import broadcast_small, require_unique
 
 # most rows a day profile can have: one per minute for each of two day types
 DAY_PROFILE_MAX_ROWS = 24 * 60 * 2
@@ -45,15 +45,14 @@ def join_day_profile(
 ) -> DataFrame:
     """Series x day profile on (minute of day, weekday flag).
 
-    The profile is first reduced to one row per (minute, day type) - the mean
-    of any repeated key, a no-op for a well-formed profile - so it has at most
-    ``DAY_PROFILE_MAX_ROWS`` rows whatever the input, and is broadcast: the
-    year-long series is never shuffled for this join.
+    A profile has one row per (minute, day type); repeated keys raise an error,
+    as they would multiply the series. It is counted, and broadcast if it has at
+    most ``DAY_PROFILE_MAX_ROWS`` rows, so that the year-long series is not
+    shuffled; a larger one is joined as Spark decides.
     """
-    vals = [c for c in profile.columns if c not in (minutes, flag)]
-    bounded = profile.groupBy(minutes, flag).agg(*[F.avg(c).alias(c) for c in vals])
     s = series.withColumn(minutes, minute_of_day(ts)).withColumn(flag, weekday_flag(ts))
-    return s.join(F.broadcast(bounded), [minutes, flag], "inner")
+    bounded = require_unique(profile, [minutes, flag], "the day profile")
+    return s.join(broadcast_small(bounded, DAY_PROFILE_MAX_ROWS), [minutes, flag], "inner")
 
 
 def right_join_keep_all(facts: DataFrame, dim: DataFrame, key: str | Sequence[str]) -> DataFrame:

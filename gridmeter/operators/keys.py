@@ -16,6 +16,21 @@ BROADCAST_GROUPS = 500_000
 SALTS = 64
 
 
+def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df``, or an error if a key has several rows: a join on it would
+    multiply what it settles."""
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gm_n")).where("_gm_n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"{what} has several rows for {again[0].asDict()}")
+    return df
+
+
+def broadcast_small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows (no more are
+    read to tell), else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def join_groups(groups: DataFrame, more: DataFrame, keys: Sequence[str], cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Join two per-group tables (one row per group on both sides, so no key is
     large). Without keys both have one row, and the second is read as a scalar

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import period_index, step_in_period
-from gridmeter.operators.keys import attach
+from gridmeter.operators.keys import attach, broadcast_small
 
 
 def period_features(
@@ -228,10 +228,10 @@ def step_weights(weights: DataFrame, steps: int, index: str = "Time_Index") -> D
 
 def reduced_series(df: DataFrame, period_map: DataFrame, steps: int, index: str = "Time_Index") -> DataFrame:
     """Keep the representative periods' steps, re-indexed
-    ``(Rep_Period_Index - 1) * steps + step``. The map is at most one row
-    per period of the horizon, so it is broadcast."""
+    ``(Rep_Period_Index - 1) * steps + step``. A map of up to 100,000
+    representatives (counted) is broadcast."""
     reps = period_map.select(F.col("Rep_Period").alias("_gm_p"), "Rep_Period_Index").distinct()
-    d = df.withColumn("_gm_p", period_index(index, steps)).join(F.broadcast(reps), "_gm_p", "inner")
+    d = df.withColumn("_gm_p", period_index(index, steps)).join(broadcast_small(reps, 100_000), "_gm_p", "inner")
     return d.withColumn(index, (F.col("Rep_Period_Index") - 1) * steps + step_in_period(index, steps) + 1).drop(
         "_gm_p"
     )

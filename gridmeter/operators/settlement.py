@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmeter.operators.keys import require_unique
+
 Key = str | Sequence[str]
 
 
@@ -22,15 +24,6 @@ def _keys(key: Key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """``df``, or an error if a key has several rows: a join on it would
-    multiply what it settles."""
-    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gm_n")).where("_gm_n > 1").limit(1).collect()
-    if again:
-        raise ValueError(f"{what} has several rows for {again[0].asDict()}")
-    return df
-
-
 def _price_keys(values: DataFrame, prices: DataFrame, index: str, zone: str) -> list[str]:
     if zone in prices.columns and zone not in values.columns:
         raise ValueError(f"prices are keyed by {zone!r}, the quantities are not")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import Grid, index_to_clock, period_index, step_in_period, step_index
-from gridmeter.operators.keys import join_groups
+from gridmeter.operators.keys import broadcast_small, join_groups
 from gridmeter.session import checkpoint_dir
 
 _GI = "_gm_gi"
@@ -234,6 +234,10 @@ def slice_period(df: DataFrame, index: str, period: int, steps: int) -> DataFram
     return df.where(F.col(index).between(lo, lo + steps - 1))
 
 
+# most periods of a map that is broadcast
+MAP_ROWS = 100_000
+
+
 def expand_period_map(
     reduced: DataFrame,
     period_map: DataFrame,
@@ -244,9 +248,9 @@ def expand_period_map(
     out_index: str = "Time_Index",
 ) -> DataFrame:
     """Put a reduced series (rep period index, step, values) back onto every
-    period of the year. The map has one row per period (52-366 rows), so it is
-    broadcast by a proven bound; the reduced series is the big side."""
-    m = F.broadcast(period_map.select(period, rep_index))
+    period of the year. A map of up to ``MAP_ROWS`` periods (counted) is
+    broadcast; the reduced series is the big side."""
+    m = broadcast_small(period_map.select(period, rep_index), MAP_ROWS)
     out = reduced.join(m, rep_index, "inner")
     return out.withColumn(out_index, (F.col(period) - 1) * steps + F.col(step) + 1)
 

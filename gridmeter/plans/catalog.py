@@ -317,6 +317,14 @@ def _sys(spark, sf):
     return build(spark, sf)
 
 
+def _names(df: DataFrame, column: str, most: int = 10_000) -> list[str]:
+    """The values of a column that become column names; more than ``most`` raise an error."""
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(found)
+
+
 @register("period_weights")
 def q_period_weights(spark: SparkSession, sf: str) -> DataFrame:
     s = _sys(spark, sf)
@@ -662,8 +670,8 @@ def q_hydro_variability(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.functions.time import floor_time
     from gridmeter.operators.timeseries import interpolate_month_to_day
 
-    prios = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     o = table(spark, sf, "orders")
+    prios = _names(o, "o_orderpriority")
     wide = o.groupBy(floor_time("o_orderdate", "month").alias("Datetime")).pivot("o_orderpriority", prios).agg(
         F.avg("o_totalprice")
     )
@@ -681,7 +689,7 @@ def q_net_demand_vs_scarcity(spark: SparkSession, sf: str) -> DataFrame:
     ev = step_readings(spark, sf)
     load = load_series(ev)
     shares = inner_join_chain(typed_series(ev, WIND_TYPE, "w"), [typed_series(ev, SOLAR_TYPE, "s"), load], ["Time_Index"])
-    avail = shares.select("Time_Index", ((F.col("w") / F.col("Load") + F.col("s") / F.col("Load")) / 2).alias("avail"))
+    avail = shares.select("Time_Index", ((F.try_divide("w", "Load") + F.try_divide("s", "Load")) / 2).alias("avail"))
     j = inner_join_chain(scarcity_series(ev), [avail, load], ["Time_Index"])
     return j.select("Time_Index", _r("shdw"), _r("avail", 8),
                     F.round(F.col("Load") * (F.lit(1.0) - F.col("avail")), 6).alias("net_load"))
@@ -768,8 +776,8 @@ def q_solver_wide_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.sources.csv import write_csv
     from gridmeter.sources.results import scan_solver_wide
 
-    types = ["click", "error", "purchase", "signup", "view"]
     res = resource_series(step_readings(spark, sf))
+    types = _names(res, "Resource")
     wide = res.groupBy("Time_Index").pivot("Resource", types).agg(F.first("value"))
     steps = wide.select(F.concat(F.lit("t"), F.col("Time_Index").cast("string")).alias("Resource"),
                         *[F.col(t).cast("string").alias(t) for t in types])

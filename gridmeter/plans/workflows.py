@@ -33,7 +33,7 @@ def profile_to_grid(spark: SparkSession, path: str, ts_col: str = "Datetime", ts
     df = read_time_indexed(spark, path, ts_col, ts_format)
     values = [c for c in df.columns if c != ts_col]
     long = interpolate_columns(df, ts_col, values, name="_gm_name", every_minutes=every_minutes, tail=tail)
-    return long.groupBy(ts_col).pivot("_gm_name", values).agg(F.first("value")).orderBy(ts_col)
+    return long.groupBy(ts_col).pivot("_gm_name", values).agg(F.first("value"))
 
 
 def net_load_from_files(spark: SparkSession, load_path: str, dg_path: str, ev_path: str, year: int | None,
@@ -56,11 +56,13 @@ def net_load_from_files(spark: SparkSession, load_path: str, dg_path: str, ev_pa
 
 # --- distributed solar --------------------------------------------------------------
 
-def read_dg_sites(spark: SparkSession, path: str, technology: str = "Solar", after: str = "2012-12-31") -> DataFrame:
+def read_dg_sites(spark: SparkSession, path: str, technology: str = "Solar", after: str = "2012-12-31",
+                  tie: Sequence[str] = ()) -> DataFrame:
     """The interconnection list with base-R names (S10), typed: approval date,
     azimuth and tilt as tolerant numbers (X9), size in kW; filtered to one
-    technology approved after ``after`` (F1). ``_row`` keeps the file order
-    as the explicit tie-break of equal dates (D16)."""
+    technology approved after ``after`` (F1). ``_row`` breaks the tie of equal
+    dates (D16): the columns ``tie`` (base-R names), by default all columns, so
+    the order doesn't depend on how files are split."""
     from gridmeter.functions.time import parse_date
     from gridmeter.sources.csv import mangle_names
 
@@ -71,7 +73,7 @@ def read_dg_sites(spark: SparkSession, path: str, technology: str = "Solar", aft
         F.trim(F.col("Azimuth")).try_cast("double").alias("azimuth"),
         F.trim(F.col("Tilt")).try_cast("double").alias("tilt"),
         F.trim(F.col("`System.Size.AC`")).try_cast("double").alias("size_kw"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in (tie or raw.columns)])).alias("_row"),
     )
     return typed.where((F.col("technology") == technology) & (F.col("date") > F.lit(after).cast("date")))
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 import oracle_compare
+from gridmeter.plans.catalog import REGISTRY
 from oracle_compare import compare, duck
 
 oracle_compare.EXACT = True  # doubles compared bit for bit, as a value hash would
@@ -11,7 +12,7 @@ oracle_compare.EXACT = True  # doubles compared bit for bit, as a value hash wou
 from conftest import SF
 
 SQLS = E.oracle_sql()
-NAMES = sorted(E.queries())
+NAMES = sorted(REGISTRY)
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from gridmeter.plans.catalog import REGISTRY
 
 from conftest import SF
 
@@ -18,7 +18,7 @@ def test_scan_prunes_columns(spark):
     p = _plan(step_aggregate(events(spark, SF)))
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in p
     # the flagship's three series come from the checkpointed step table
-    assert "Scan parquet" not in _plan(E.queries()["demand_price_summary"](spark, SF))
+    assert "Scan parquet" not in _plan(REGISTRY["demand_price_summary"](spark, SF))
 
 
 def test_filters_reach_the_scan(spark):
@@ -32,20 +32,47 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_day_profile_join_is_broadcast(spark):
-    p = _plan(E.queries()["net_load_5min"](spark, SF))
+    p = _plan(REGISTRY["net_load_5min"](spark, SF))
     assert "BroadcastHashJoin" in p
 
 
 def test_power_curve_has_no_join(spark):
-    p = _plan(E.queries()["power_curve"](spark, SF))
+    p = _plan(REGISTRY["power_curve"](spark, SF))
     assert "Join" not in p and "Exchange" not in p
 
 
 def test_no_keyless_joins_anywhere(spark):
     bad = {}
-    for name, q in sorted(E.queries().items()):
+    for name, q in sorted(REGISTRY.items()):
         p = _plan(q(spark, SF))
         hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in p]
         if hits:
             bad[name] = hits
     assert not bad, bad
+
+
+def test_hot_group_keys_do_not_move_the_input(spark):
+    """With the automatic broadcast off, no exchange is keyed by the group."""
+    from gridmeter.operators.periods import scale_features
+    from gridmeter.operators.windows import offset_from_first
+
+    ev = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", "ts", "value")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (offset_from_first(ev, "ts", by=["event_type"]), scale_features(ev, "value", ["event_type"])):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(event_type" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_day_profile_with_repeated_keys_is_refused(spark):
+    import pytest
+
+    from gridmeter.operators.joins import join_day_profile
+
+    series = spark.range(3).selectExpr("timestamp_ntz'2024-01-01 00:00:00' as t")
+    profile = spark.createDataFrame([(0, True, 1.0), (0, True, 2.0)], "Time int, Weekday boolean, v double")
+    with pytest.raises(ValueError, match="several rows"):
+        join_day_profile(series, "t", profile)
