@@ -30,15 +30,12 @@ def encoded_units(docs: DataFrame, *, text_col: str, id_col: str, end_id: int, t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, sums = piece_ids(tokenizer), {}
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            units = list(zip(*(batch.column(c).to_pylist() for c in UNIT), strict=True))
-            for a, b in blocks(texts):
-                ids = [x + end for x in pieces.texts(texts[a:b])]
-                local = []
-                for unit, x in zip(units[a:b], ids, strict=True):
+            for a, texts in blocks(batch.column("_text")):
+                ids = [x + end for x in pieces.texts(texts)]
+                part, local = batch.slice(a, len(texts)), []
+                for unit, x in zip(zip(*(part.column(c).to_pylist() for c in UNIT), strict=True), ids, strict=True):
                     local.append(sums.get(unit, 0))
                     sums[unit] = local[-1] + len(x) // 4
-                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in UNIT), pa.array(local, pa.int64()), part.column("_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=fields)
 
     rows = docs.select(
@@ -79,7 +76,7 @@ def concat_and_cut(
     fields = pa.schema(list(zip(names, kinds, strict=True)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             rows = []
             for doc, n, begin, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "_global", "_ids")), strict=True):
                 at = 0

@@ -86,9 +86,9 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
 
         for batch in batches:
-            ids, texts = batch.column("_id").to_pylist(), batch.column("_text").to_pylist()
-            for a, b in blocks(texts):
-                for doc, x in zip(ids[a:b], pieces.texts(texts[a:b]), strict=True):
+            ids = batch.column("_id").to_pylist()
+            for a, texts in blocks(batch.column("_text")):
+                for doc, x in zip(ids[a : a + len(texts)], pieces.texts(texts), strict=True):
                     frame = pack(x + end)
                     docs_.append(doc)
                     counts.append(len(x) // 4 + 1)
@@ -134,7 +134,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
         import zstandard
 
         unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(shared) if shared else None).decompress
-        for batch in batches:
+        for batch in (b.slice(i, 1) for b in batches for i in range(len(b))):
             for row in batch.to_pylist():
                 if row["dictionary"] != name:
                     raise ValueError("a segment needs another dictionary")

@@ -9,15 +9,20 @@ together. Result: the ids that the tokenizer gives for the whole text.
 from __future__ import annotations
 
 import os
+import re
 import string
-from array import array
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from itertools import filterfalse
 
-PIECES_KEPT = 400_000  # about 80 MB a worker; beyond it the worker starts over
-BLOCK_CHARS = 2_000_000
+import numpy as np
+
+PIECES_KEPT = 300_000  # about 60 MB a worker; beyond it the worker starts over
+BLOCK_CHARS = 1_000_000
 LONG = 64  # longer pieces are not kept
+MARKS = string.punctuation
+MARK, BETWEEN = "\x01", " \x01 "
+SEPARATORS = re.compile("[\x1c-\x1f]")
+BLANK = re.compile("[^\\S\x1c-\x1f]+")
 
 
 def default_tokenizer() -> str:
@@ -26,72 +31,108 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _le(ids: Sequence[int]) -> bytes:
-    a = array("I", ids)
-    if a.itemsize != 4:
-        a = array("L", ids)
-    if os.sys.byteorder == "big":
-        a.byteswap()
-    return a.tobytes()
+def le(ids: Sequence[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 class PieceIds(dict):
     """From a piece without blanks to its ids, as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def _encode(self, text: str):
-        return self.tokenizer.encode(text, add_special_tokens=False)
+        # a mark that is one token of its own; set between pieces, it shows where they end
+        mark = self._encode(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        # tokens that end a word, where the vocabulary tells them
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.normalizer, self.plain = self.tokenizer.normalizer, normalizers.Sequence([])
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
-    def _base(piece: str) -> str:
-        """Lower case, where that is the same letter by letter as the tokenizer's."""
-        return piece.lower() if piece.isascii() or max(piece) < "Ā" else piece
-
-    def _split(self, piece: str) -> tuple[str, str]:
-        """A word and the marks after it, between which a token always ends."""
-        word = piece.rstrip(string.punctuation)
-        return (word, piece[len(word) :]) if word and word[-1].isalnum() and "<|" not in piece else (piece, "")
+    def _cut(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case Latin-1 letters: each is one word of the tokenizer
+        too, and normal already."""
+        if not self.ends.any():
+            return self._several(words)
+        self.tokenizer.normalizer = self.plain
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        self.tokenizer.normalizer = self.normalizer
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return self._cut(ids, np.append(0, ends[:-1]), ends) if len(ends) == len(words) else self._several(words)
+
+    def _several(self, pieces: list[str]) -> list[bytes]:
+        if self.mark is None:
+            return [le(self._encode(p)) for p in pieces]
+        ids = np.array(self._encode(BETWEEN.join(pieces)), "<u4")
+        at = np.flatnonzero(ids == self.mark)
+        return self._cut(ids, np.append(0, at + 1), np.append(at, len(ids)))
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode new pieces in one call and keep their ids."""
-        plain = [(p, *(self._base(x) for x in self._split(p))) if "<|" not in p else (p, p, "") for p in pieces]
-        new = list({x for p in plain for x in p[1:] if x and x not in self})
-        if new:
-            starts, at = [], 0
-            for x in new:
-                starts.append(at)
-                at += len(x) + 1
-            enc = self._encode(" ".join(new))
-            found: list[list[int]] = [[] for _ in new]
-            for i, (begin, _) in zip(enc.ids, enc.offsets, strict=True):
-                found[bisect_right(starts, begin) - 1].append(i)
-            self.update(zip(new, map(_le, found), strict=True))
-        for p, word, marks in plain:
+        """Encode new pieces in a few calls and keep their ids. A token always ends
+        between a word and the marks after it, so these are encoded apart; and
+        words of Latin-1 letters in lower case, which changes no id."""
+        parts, words, others = [], set(), set()
+        for p in pieces:
+            if p.isascii() and p.isalpha() and p.islower():
+                words.add(p)
+                continue
+            word = p.rstrip(MARKS)
+            if not word or not ("0" <= word[-1] < "\u0130" and word[-1].isalnum()) or "<|" in p or MARK in p:
+                word = p
+            marks = p[len(word) :]
+            if (word.isascii() or max(word) < "\u0100") and "<|" not in word:
+                word = word.lower()
+                (words if word.isalpha() else others).add(word)
+            else:
+                others.add(word)
+            others.add(marks)
+            parts.append((p, word, marks))
+        if words := [x for x in words if x not in self]:
+            self.update(zip(words, self._words(words), strict=True))
+        others = [x for x in others if x and x not in self]
+        odd = [x for x in others if MARK in x or "<|" in x]
+        if several := [x for x in others if not (MARK in x or "<|" in x)]:
+            self.update(zip(several, self._several(several), strict=True))
+        for x in odd:
+            self[x] = le(self._encode(x))
+        for p, word, marks in parts:
             if p != word:
-                self[p] = self[word] + self[marks]
+                self[p] = self[word] + self[marks] if marks else self[word]
 
     def texts(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of whole texts; null counts as empty."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set()
-        for pieces in split:
-            new.update(filterfalse(self.__contains__, pieces))
-        long = {p for p in new if len(p) > LONG}
-        self.learn(new - long)
-        if not long:
-            out = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
-        else:
-            once = {p: _le(self._encode(p).ids) for p in long}
-            out = [b"".join([once[p] if p in once else self[p] for p in pieces]) for pieces in split]
         if len(self) > PIECES_KEPT:
             self.clear()
-            self[""] = b""
+        out, todo = [], []
+        for t in texts:
+            # the separators 1c to 1f split words in Python, but not for the tokenizer
+            pieces = (t or "").split() if not t or not SEPARATORS.search(t) else [p for p in BLANK.split(t) if p]
+            found = list(map(self.get, pieces))
+            if None in found:
+                todo.append((len(out), pieces))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        if todo:
+            new = {p for _, pieces in todo for p in filterfalse(self.__contains__, pieces)}
+            once = {p: le(self._encode(p)) for p in new if len(p) > LONG}
+            self.learn(new - once.keys())
+            for i, pieces in todo:
+                out[i] = b"".join([once[p] if p in once else self[p] for p in pieces] if once else map(self.__getitem__, pieces))
         return out
 
 
@@ -105,13 +146,16 @@ def piece_ids(path: str) -> PieceIds:
     return _KNOWN[path]
 
 
-def blocks(texts: Sequence[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chars`` characters together."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def blocks(texts, rows: int = 256, chars: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+    """Pieces of an Arrow column of texts as Python strings: where each begins,
+    and its texts, at most ``rows`` of about ``chars`` characters together."""
+    for begin in range(0, len(texts), rows):
+        part, size, held = begin, 0, []
+        for t in texts.slice(begin, rows).to_pylist():
+            held.append(t)
+            size += len(t or "")
+            if size >= chars:
+                yield part, held
+                part, size, held = part + len(held), 0, []
+        if held:
+            yield part, held
