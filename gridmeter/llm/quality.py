@@ -62,7 +62,7 @@ class NeighbourModel:
 class Embedder:
     """Unit latent vectors of texts; remembers the terms of words it has seen."""
 
-    MOST = 300_000
+    MOST = 150_000
 
     def __init__(self, terms: dict[str, int], directions: np.ndarray):
         self.terms, self.directions, self.words = terms, directions, {}

@@ -47,7 +47,7 @@ class SentenceModel:
 class WordWeights(dict):
     """Weight of a word as written; remembers words it has seen."""
 
-    MOST = 500_000
+    MOST = 150_000
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
