@@ -107,18 +107,20 @@ def neighbour_fingerprints(docs: DataFrame, *, text_col: str = "text", id_col: s
     next texts (a quarter of them) a second time.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_h"))
-    rows = rows.withColumns({"_id0": F.coalesce(F.col("_id").cast("long"), F.lit(0)), "_null": F.col("_id").isNull().cast("int")})
+    # texts and keys alone, so that both joins below read the same shuffled texts
+    rows = docs.select(
+        text.alias("_text"), F.coalesce(docs[id_col].cast("long"), F.lit(0)).alias("_id0"), docs[id_col].isNull().cast("int").alias("_null"), F.xxhash64(text).alias("_h")
+    )
     key = ["_id0", "_null", "_h"]
     keys = rows.select((1 - F.col("_null")).alias("_some"), *key, F.length("_text").alias("_n")).distinct()
     index = C.numbered(keys, ["_some", "_id0", "_h"], "print-order")
     count = index.agg(F.coalesce(F.max("_index"), F.lit(-1))).first()[0] + 1
     after = index.select(((F.col("_index") + 1) % max(count, 1)).alias("_index"), F.expr("_n div 4").alias("_want"), *[F.col(c).alias(f"_to{c}") for c in key])
     order = C.stored(index.join(after, "_index").select(*key, "_index", "_want", *[f"_to{c}" for c in key]), "print-next")
-    placed = rows.select("_id", "_text", *key).join(order.hint("merge"), key)
+    placed = rows.join(order.hint("merge"), key)
     begins = placed.select(*[F.col(f"_to{c}").alias(c) for c in key], F.expr("left(_text, _want)").alias("_begin"))
     begins = begins.groupBy(*key).agg(F.first("_begin").alias("_begin"))
-    both = placed.join(begins.hint("merge"), key).select("_id", "_index", F.length("_text").alias("n_chars"), "_text", "_begin")
+    both = placed.join(begins.hint("merge"), key).select(F.when(F.col("_null") == 0, F.col("_id0")).alias("_id"), "_index", F.length("_text").alias("n_chars"), "_text", "_begin")
     keep = F.expr("left(_text, length(_text) - length(_text) div 4)")
     both = both.withColumn("_edited", F.concat(keep, F.col("_begin"))).drop("_begin")
     both = both.withColumn("edited_sha256", F.sha2("_edited", 256))
