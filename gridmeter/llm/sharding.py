@@ -48,7 +48,8 @@ def interleaved_shards(
     unit = (F.col("_key").cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
     cuts = C.bucket_count(F.col("_n"))
     rows = rows.withColumn("_bucket", F.least(F.floor(unit * cuts).cast("int"), cuts - 1))
-    rows = C.prefix_sums(rows, ["_null", "_source"], "_bucket", order, one, "_rank")
+    # stored, as both passes of the second sum read it
+    rows = C.stored(C.prefix_sums(rows, ["_null", "_source"], "_bucket", order, one, "_rank"), "shard-ranks")
     rows = rows.withColumn("_part", (F.col("_rank") + 0.5) / F.col("_n"))
     rows = rows.withColumn("_cut", F.floor(F.col("_part") * C.bucket_count(F.lit(total), most=65_536)).cast("int"))
     rows = C.prefix_sums(rows, [], "_cut", [F.col("_part"), F.col("_null"), F.col("_source"), *order], one, "_place")
