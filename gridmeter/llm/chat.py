@@ -62,10 +62,12 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     while not state.where("anc is not null").isEmpty():
         if len(levels) > most:
             raise ValueError("the parents of some messages form a cycle")
-        levels.append(state.where("anc is not null").select(F.col("id").alias("node"), F.col("anc").alias("_up")))
+        # messages that have reached their root stand aside: only the others are joined
+        done, moving = state.where("anc is null"), state.where("anc is not null")
+        levels.append(moving.select(F.col("id").alias("node"), F.col("anc").alias("_up")))
         further = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        state = state.join(further, "anc", "left").select("tree", "id", F.col("_anc").alias("anc"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
-        state = C.stored(state, "chat-level")
+        moved = moving.join(further, "anc").select("tree", "id", F.col("_anc").alias("anc"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        state = C.stored(done.unionByName(moved), "chat-level")
     inner = messages.where("parent is not null").select(F.col("parent").alias("id")).distinct()
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "id")
     leaves = state.join(inner, "id", "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
@@ -112,7 +114,8 @@ def write_formatted(pieces: DataFrame, path: str) -> None:
 def read_formatted(spark: SparkSession, path: str) -> DataFrame:
     """Digests of formatted conversations, from their text and loss mask alone:
     the text is parsed by the template and unescaped in one pass, in order, with
-    one turn in memory at a time."""
+    one turn in memory at a time. One task reads a conversation, however long, as
+    its digests run from turn to turn."""
     pieces = spark.read.schema("conv_id long, branch long, pos long, piece string, loss_begin int, loss_end int").parquet(path)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
