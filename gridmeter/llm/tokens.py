@@ -16,7 +16,7 @@ from itertools import filterfalse
 
 import numpy as np
 
-PIECES_KEPT = 300_000  # about 60 MB a worker; beyond it the worker starts over
+PIECES_KEPT = 500_000  # about 100 MB a worker; beyond it the worker starts over
 BLOCK_CHARS = 1_000_000
 LONG = 64  # longer pieces are not kept
 MARKS = string.punctuation
