@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences and is toxic if one of them is. Each sentence
-has a probability from its words; the document's is their noisy-or. Only
-documents carry labels, so the gradient of the document's likelihood tells the
+has a probability from its words; the fit takes the document's as their noisy-or,
+scores take that of the offending sentences only, which a text's length doesn't
+raise. Only documents carry labels, so the gradient of the document's likelihood tells the
 sentences apart, and the fitted model then locates the offending ones.
 """
 
@@ -126,20 +127,21 @@ def fit(texts: Sequence[str], labels: Sequence[int], class_weight: dict[int, flo
 
 
 def document_score(text: str, weight: WordWeights, bias: float, spans: bool = True) -> tuple[float, list[tuple[int, int, float]]]:
-    """Noisy-or of all sentences, and (begin, end, probability) of those at 1/2 or more."""
-    total, found, get = 0.0, [], weight.__getitem__
-    plain = softplus(bias)
+    """The noisy-or of the sentences at 1/2 or more, and (begin, end, probability)
+    of each; without such, the greatest probability of a sentence. A sentence
+    without known features has 0. So harmless sentences don't add up, however many."""
+    total, most, found, get = 0.0, -math.inf, [], weight.__getitem__
     for m in SENTENCE.finditer(text):
-        s = m.group()
-        x = sum(map(get, set(s.split())))
-        if x:
-            x += bias
+        x = sum(map(get, set(m.group().split())))
+        if not x:
+            continue
+        x += bias
+        most = max(most, x)
+        if x >= 0:
             total += softplus(x)
-            if x >= 0 and spans:
+            if spans:
                 found.append((m.start(), m.end(), 1 / (1 + math.exp(-min(x, 700.0)))))
-        elif not s.isspace():
-            total += plain
-    return -math.expm1(-total), found
+    return -math.expm1(-total) if total else 1 / (1 + math.exp(min(-most, 700.0))) if most > -math.inf else 0.0, found
 
 
 def train(docs: DataFrame, labels: DataFrame, *, learn: Column, most_per_class: int = 3_000, most_chars: int = 20_000, text_col: str = "text", id_col: str = "doc_id") -> SentenceModel:

@@ -42,6 +42,17 @@ def test_sentences_are_located():
     assert T.document_score(clean[0] * 50, model.words(), model.bias)[0] < 0.5  # many clean sentences stay clean
 
 
+def test_length_does_not_make_a_text_toxic(spark):
+    model = T.SentenceModel(-7.0, {"zorg": 12.0, "dull": 2.0})
+    clean = "A fine day it is. What a dull day! " * 50_000  # half of them with a weak feature
+    toxic = clean + "You zorg."
+    assert T.document_score(clean, model.words(), model.bias)[0] < 0.5 and T.document_score("Fine. " * 100_000, model.words(), model.bias) == (0.0, [])
+    score, spans = T.document_score(toxic, model.words(), model.bias)
+    assert score > 0.9 and [toxic[a:b].strip() for a, b, _ in spans] == ["You zorg."]
+    df = spark.createDataFrame([(1, clean), (2, toxic)], "doc_id long, text string")
+    assert [r.doc_id for r in T.reject_toxic(df, model).collect()] == [1]
+
+
 def test_scores_of_odd_texts_and_kept_rows(spark):
     model = T.SentenceModel(-6.0, {"zorg": 12.0})
     rows = [(1, "zorg you", "x"), (2, None, "x"), (None, "", "x"), (3, "fine " * 30_000, "x"), (4, "ZORG!!", "x"), (2, None, "x")]
