@@ -29,7 +29,7 @@ RUN = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, other marks as they are; runs shortened to one."""
-    return RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+    return RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
 
 
 REPEATS = tuple(f"r:{i}" for i in range(8))
@@ -41,8 +41,10 @@ def counts(text: str) -> tuple[Counter, int]:
     return Counter(words), 10 * sum(map(operator.eq, words, words[1:])) // max(1, len(words))
 
 
-def word_terms(word: str) -> tuple[str, str]:
-    return "s:" + shape(word), "w:" + word.lower()
+def word_terms(word: str) -> tuple[str, ...]:
+    """The word and its shape; a long shape in pieces of 64 marks, which all count."""
+    form = shape(word)
+    return *("s:" + form[i : i + 64] for i in range(0, len(form), 64)), "w:" + word.lower()
 
 
 @dataclass
@@ -73,7 +75,8 @@ class Embedder:
             got = tuple(self.terms[t] for t in word_terms(word) if t in self.terms)
             if len(self.words) >= self.MOST:
                 self.words.clear()
-            self.words[word[:64] if len(word) > 64 else word] = got
+            if len(word) <= 64:
+                self.words[word] = got
         return got
 
     def term_counts(self, text: str) -> dict[int, int]:

@@ -88,6 +88,18 @@ def test_quality_on_held_out_documents(labelled):
     assert np.mean([(s >= 0.5) == bool(r[3]) for s, r in zip(scores, held)]) >= 0.95
 
 
+def test_long_words_count_whole():
+    assert Q.shape("a" * 100 + "1" * 100 + "B") == "a0A"
+    blob = "a-" * 60 + "0+" * 60
+    assert Q.word_terms(blob)[:-1] == ("s:" + "a-" * 32, "s:" + "a-" * 28 + "0+" * 4, "s:" + "0+" * 32, "s:" + "0+" * 24)
+    terms = {t: i for i, t in enumerate([*Q.word_terms("a-" * 32), *Q.word_terms("0+" * 32)])}
+    emb = Q.Embedder(terms, np.eye(len(terms), dtype=np.float32))
+    long = emb.term_counts(blob)
+    assert long == {terms["s:" + "a-" * 32]: 1, terms["s:" + "0+" * 32]: 1}
+    # a word equal to the beginning of a longer one that came before has its own terms
+    assert emb.term_counts("a-" * 32) == {terms["s:" + "a-" * 32]: 1, terms["w:" + "a-" * 32]: 1}
+
+
 def test_votes_are_exact_nearest_neighbours(spark, labelled):
     train, held = split(labelled, 3, 1)
     model = Q.fit([r[1] for r in train], [r[3] for r in train], {0: 2.0, 1: 1.0}, neighbours=5)
