@@ -50,7 +50,9 @@ def interleaved_shards(
     rows = rows.withColumn("_bucket", F.least(F.floor(unit * cuts).cast("int"), cuts - 1))
     # stored, as both passes of the second sum read it
     rows = C.stored(C.prefix_sums(rows, ["_null", "_source"], "_bucket", order, one, "_rank"), "shard-ranks")
-    rows = rows.withColumn("_part", (F.col("_rank") + 0.5) / F.col("_n"))
+    # an offset of its own for each source spreads sources of one or few rows
+    offset = (F.xxhash64(F.lit(seed), "_null", "_source").cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
+    rows = rows.withColumn("_part", (F.col("_rank") + offset) / F.col("_n"))
     rows = rows.withColumn("_cut", F.floor(F.col("_part") * C.bucket_count(F.lit(total), most=65_536)).cast("int"))
     rows = C.prefix_sums(rows, [], "_cut", [F.col("_part"), F.col("_null"), F.col("_source"), *order], one, "_place")
     # shard s takes the places from ceil(s * total / shards): sizes differ by one at most

@@ -41,3 +41,10 @@ def test_written_shards(spark):
     path = C.shared_path(spark, "test-shards")
     S.write_shards(S.interleaved_shards(frame(spark, 50), 4), path)
     assert sorted(r.n for r in spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n")).collect()) == [13, 13, 13, 14]
+
+
+def test_sources_of_one_row_are_spread(spark):
+    df = spark.range(2000).selectExpr("id AS doc_id", "CASE WHEN id < 1000 THEN 'large' ELSE concat('site', id) END AS source", "concat('t', id) AS text")
+    out = S.interleaved_shards(df, 4).collect()
+    for s in range(4):
+        assert 180 <= sum(r.shard == s and r.source != "large" for r in out) <= 320
