@@ -735,34 +735,74 @@ def q_rollup_zone_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in ("Total", "F", "O")])
 
 
-@register("cluster_periods")
-def q_cluster_periods(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly (load, PV, wind) vectors per day, scaled per profile,
-    extreme days kept apart, k-means for the rest. No SQL form (iterative)."""
-    from gridmeter.functions.time import Grid, step_index
-    from gridmeter.operators.periods import (
-        ExtremeRule, cluster_periods, extreme_periods, period_features, scale_features,
-    )
+PROFILES = ["Load", SOLAR_TYPE, WIND_TYPE]
+
 
-    hourly_grid = Grid(step_minutes=60, base=EVENT_GRID.base, steps_per_period=24)
+def _hourly_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """(H, event_type, value): hourly sums per resource, and of all as ``Load``."""
+    from gridmeter.functions.time import Grid, step_index
     from gridmeter.session import checkpoint_dir
 
-    ev = table(spark, sf, "events").withColumn("H", step_index("ts", hourly_grid))
-    per = ev.groupBy("H", "event_type").agg(F.sum("value").alias("value"))
+    hourly = Grid(step_minutes=60, base=EVENT_GRID.base, steps_per_period=24)
+    ev = table(spark, sf, "events").withColumn("H", step_index("ts", hourly))
     checkpoint_dir(spark)
-    per = per.checkpoint(eager=True)  # the raw table is read once; every branch below reads this
-    load = per.groupBy("H").agg(F.sum("value").alias("value")).withColumn("event_type", F.lit("Load"))
-    long = per.unionByName(load)
-    scaled = scale_features(long, "value", ["event_type"], method="S", out="z")
-    profiles = ["Load", SOLAR_TYPE, WIND_TYPE]
-    feats = period_features(scaled, "H", "event_type", "z", 24, profiles)
+    # the raw table is read once; every branch reads this
+    per = ev.groupBy("H", "event_type").agg(F.sum("value").alias("value")).checkpoint(eager=True)
+    return per.unionByName(per.groupBy("H").agg(F.sum("value").alias("value")).withColumn("event_type", F.lit("Load")))
+
+
+def _scaled_features(long: DataFrame) -> DataFrame:
+    """M5 of standardised (M6) load, PV and wind: one vector of hours per day."""
+    from gridmeter.operators.periods import period_features, scale_features
+
+    return period_features(scale_features(long, "value", ["event_type"], method="S", out="z"), "H", "event_type", "z", 24, PROFILES)
+
+
+@register("period_features")
+def q_period_features(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: the vector of each day, one row per position."""
+    feats = _scaled_features(_hourly_profiles(spark, sf))
+    return feats.select("Period_Index", F.posexplode("features").alias("pos", "value")).select("Period_Index", "pos", _r("value", 8))
+
+
+@register("pick_representative")
+def q_pick_representative(spark: SparkSession, sf: str) -> DataFrame:
+    """M10 on a given assignment (every fourth day together): the member nearest
+    the mean of its cluster."""
+    from gridmeter.operators.periods import number_representatives, pick_representative
+
+    feats = _scaled_features(_hourly_profiles(spark, sf)).withColumn("cluster", F.pmod("Period_Index", F.lit(4)).cast("int"))
+    means = feats.select("cluster", F.posexplode("features").alias("pos", "v")).groupBy("cluster", "pos").agg(F.avg("v").alias("v"))
+    centres = means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("center"))
+    return number_representatives(pick_representative(feats, centres).select("Period_Index", "Rep_Period"))
+
+
+def _clustered(spark: SparkSession, sf: str, **options) -> DataFrame:
+    """Hourly (load, PV, wind) vectors per day, scaled per profile,
+    extreme days kept apart, k-means of many restarts for the rest."""
+    from gridmeter.operators.periods import ExtremeRule, cluster_periods, extreme_periods
+
+    long = _hourly_profiles(spark, sf)
     ext = extreme_periods(long, "H", "event_type", "value", 24, [
         ExtremeRule("load_max", "Load", "Absolute", "Max"),
         ExtremeRule("pv_min", SOLAR_TYPE, "Integral", "Min"),
         ExtremeRule("wind_min", WIND_TYPE, "Integral", "Min"),
     ])
-    # four clusters besides the three extreme days, as k counts both
-    return cluster_periods(feats, k_min=5, k_max=7, threshold=0.1, extremes=ext, repeats=3, seed=11)
+    return cluster_periods(_scaled_features(long), extremes=ext, threshold=0.1, seed=11, max_iter=20, **options)
+
+
+@register("cluster_periods")
+def q_cluster_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """250 restarts of each number of clusters, as the settings have it;
+    k counts the extreme days too."""
+    return _clustered(spark, sf, k_min=5, k_max=7, repeats=250)
+
+
+@register("cluster_periods_inserted")
+def q_cluster_periods_inserted(spark: SparkSession, sf: str) -> DataFrame:
+    """M9 by insertion: restarts of the least k, then the farthest day of all
+    becomes a cluster of its own, up to the threshold."""
+    return _clustered(spark, sf, k_min=4, k_max=15, repeats=250, iterate="insert")
 
 
 @register("solver_wide_roundtrip")

@@ -629,3 +629,77 @@ SQL["two_arrays_to_rows"] = """
 SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, embedding[pos] AS embedding, embedding[len(embedding) + 1 - pos] AS mirror
 FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)
 """
+
+
+# --- typical periods ----------------------------------------------------------------
+_FEATURES = """
+ho AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', date_trunc('hour', ts)) AS h, event_type AS g, sum(value) AS v
+       FROM events GROUP BY 1, 2),
+lo AS (SELECT h, g, v FROM ho UNION ALL SELECT h, 'Load', sum(v) FROM ho GROUP BY h),
+fst AS (SELECT g, avg(v) AS mu, stddev_samp(v) AS sd FROM lo GROUP BY g),
+fz AS (SELECT h // 24 + 1 AS p, (CASE g WHEN 'Load' THEN 0 WHEN 'view' THEN 24 ELSE 48 END) + h % 24 AS pos,
+              CASE WHEN sd > 0 THEN (v - mu) / sd ELSE 0.0 END AS z
+       FROM lo JOIN fst USING (g) WHERE g IN ('Load', 'view', 'click')),
+feat AS (SELECT d.p, r.pos, coalesce(fz.z, 0.0) AS z FROM (SELECT DISTINCT p FROM fz) d
+         CROSS JOIN (SELECT range AS pos FROM range(0, 72)) r LEFT JOIN fz ON fz.p = d.p AND fz.pos = r.pos)
+"""
+
+SQL["period_features"] = f"""WITH {_FEATURES}
+SELECT p AS Period_Index, CAST(pos AS INTEGER) AS pos, round(z, 8) AS value FROM feat
+"""
+
+SQL["pick_representative"] = f"""WITH {_FEATURES},
+c AS (SELECT p % 4 AS c, pos, avg(z) AS m FROM feat GROUP BY 1, 2),
+d AS (SELECT feat.p, feat.p % 4 AS c, sum((z - m) * (z - m)) AS d FROM feat JOIN c ON c.c = feat.p % 4 AND c.pos = feat.pos GROUP BY 1, 2),
+r AS (SELECT c, arg_min(p, struct_pack(d := round(d, 9), p := p)) AS rep FROM d GROUP BY c),
+n AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM r)
+SELECT d.p AS Period_Index, r.rep AS Rep_Period, CAST(n.i AS INTEGER) AS Rep_Period_Index FROM d JOIN r USING (c) JOIN n USING (rep)
+"""
+
+# Lloyd's rounds as a recursion over (k, restart, day, cluster); distances to means
+# follow from the distances of pairs
+SQL["cluster_periods"] = f"""WITH RECURSIVE {_FEATURES},
+pday AS (SELECT h // 24 + 1 AS p, g, max(v) AS top, sum(v) AS total FROM lo GROUP BY 1, 2),
+ext AS (SELECT DISTINCT p FROM (
+  SELECT arg_min(p, struct_pack(v := -top, p := p)) AS p FROM pday WHERE g = 'Load'
+  UNION ALL SELECT arg_min(p, struct_pack(v := total, p := p)) FROM pday WHERE g = 'view'
+  UNION ALL SELECT arg_min(p, struct_pack(v := total, p := p)) FROM pday WHERE g = 'click')),
+pool AS (SELECT * FROM feat WHERE p NOT IN (SELECT p FROM ext)),
+pairs AS (SELECT a.p, b.p AS q, sum((a.z - b.z) * (a.z - b.z)) AS d FROM pool a JOIN pool b USING (pos) GROUP BY 1, 2),
+ks AS (SELECT range - (SELECT count(*) FROM ext) AS k FROM range(5, 8)),
+-- k-means++: a race of exponential times, weighted by the distance to the nearest centre before
+race AS (
+  SELECT 0 AS j, r, p, 1.0::DOUBLE AS w, p = arg_min(p, -ln((('0x' || substr(md5('11-' || r || '-0-' || p), 1, 13))::UBIGINT + 0.5) / pow(2.0, 52))) OVER (PARTITION BY r) AS won
+  FROM (SELECT DISTINCT p FROM pool), (SELECT range AS r FROM range(0, 250))
+  UNION ALL
+  SELECT j, r, p, w, p = arg_min(p, -ln((('0x' || substr(md5('11-' || r || '-' || j || '-' || p), 1, 13))::UBIGINT + 0.5) / pow(2.0, 52)) / w)
+                         FILTER (WHERE w > 0) OVER (PARTITION BY r) AS won
+  FROM (SELECT a.j + 1 AS j, a.r, a.p, CASE WHEN a.j = 0 THEN round(x.d, 9) ELSE least(a.w, round(x.d, 9)) END AS w
+        FROM race a JOIN race b ON b.r = a.r AND b.won JOIN pairs x ON x.p = a.p AND x.q = b.p WHERE a.j < 6)
+),
+ranked AS (SELECT r, p, j AS c FROM race WHERE won),
+lab AS (
+  SELECT 0 AS it, k, r, x.p, arg_min(c, struct_pack(d := round(d, 9), c := c)) AS c
+  FROM ks JOIN ranked ON c < k JOIN pairs x ON x.q = ranked.p GROUP BY k, r, x.p
+  UNION ALL
+  SELECT it + 1, k, r, p, c FROM (
+    WITH now AS (SELECT * FROM lab),
+    cross_ AS (SELECT any_value(it) AS it, k, r, x.p, c, avg(d) AS d FROM now JOIN pairs x ON x.q = now.p GROUP BY k, r, x.p, c),
+    spread AS (SELECT k, r, c, avg(cross_.d) AS s FROM cross_ JOIN now USING (k, r, p, c) GROUP BY 1, 2, 3)
+    SELECT any_value(it) AS it, k, r, p, arg_min(c, struct_pack(d := round(d - s / 2, 9), c := c)) AS c FROM cross_ JOIN spread USING (k, r, c) GROUP BY k, r, p
+  ) WHERE it < 20
+),
+fin AS (SELECT k, r, p, c FROM lab WHERE it = 20),
+fcross AS (SELECT k, r, x.p, c, avg(d) AS d FROM fin JOIN pairs x ON x.q = fin.p GROUP BY k, r, x.p, c),
+fown AS (SELECT k, r, p, c, d FROM fcross JOIN fin USING (k, r, p, c)),
+fnear AS (SELECT k, r, p, c, d - avg(d) OVER (PARTITION BY k, r, c) / 2 AS d FROM fown),
+cost AS (SELECT k, r, sum(d) AS cost FROM fnear GROUP BY 1, 2),
+win AS (SELECT k, arg_min(r, struct_pack(x := round(cost, 9), r := r)) AS r FROM cost GROUP BY k),
+rep AS (SELECT k, c, arg_min(p, struct_pack(d := round(d, 9), p := p)) AS rep FROM fnear JOIN win USING (k, r) GROUP BY 1, 2),
+mem AS (SELECT k, p, rep FROM fin JOIN win USING (k, r) JOIN rep USING (k, c)),
+worst AS (SELECT k, max(d) AS w FROM mem JOIN pairs ON pairs.p = mem.p AND pairs.q = mem.rep GROUP BY k),
+pick AS (SELECT coalesce(min(k) FILTER (WHERE w <= 0.4 * 0.4 * 72), max(k)) AS k FROM worst),
+m AS (SELECT p, rep FROM mem WHERE k = (SELECT k FROM pick) UNION ALL SELECT p, p FROM ext),
+num AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM (SELECT DISTINCT rep FROM m))
+SELECT p AS Period_Index, rep AS Rep_Period, CAST(i AS INTEGER) AS Rep_Period_Index FROM m JOIN num USING (rep)
+"""

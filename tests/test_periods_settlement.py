@@ -1,3 +1,7 @@
+import hashlib
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +89,99 @@ def test_cluster_periods_grows_k_until_threshold(spark):
     assert sorted(m.Rep_Period_Index.unique()) == [1, 2, 3]
 
 
+def _lloyd(x, labels, k, rounds):
+    """Plain k-means on vectors."""
+    for _ in range(rounds):
+        means = [x[labels == c].mean(axis=0) if (labels == c).any() else np.full(x.shape[1], np.inf) for c in range(k)]
+        new = np.array([int(np.argmin(np.round([((v - m) ** 2).sum() for m in means], 9))) for v in x])
+        if (new == labels).all():
+            break
+        labels = new
+    return labels
+
+
+def _described(x, labels):
+    """Cost, representative of every row and the worst distance to it."""
+    reps, cost = np.zeros(len(x), int), 0.0
+    for c in set(labels.tolist()):
+        at = np.flatnonzero(labels == c)
+        near = ((x[at] - x[at].mean(axis=0)) ** 2).sum(axis=1)
+        reps[at], cost = at[near.round(9).argmin()], cost + near.sum()
+    return cost, reps, ((x - x[reps]) ** 2).sum(axis=1)
+
+
+def _brute_map(x, names, k_min, k_max, limit, repeats, seed, insert):
+    best = None
+    for k in range(k_min, k_max + 1):
+        if insert and best:
+            cost, reps, far = best
+            if len(set(reps)) < k - 1:
+                break
+            labels = np.unique(reps, return_inverse=True)[1].copy()
+            labels[far.round(9).argmax()] = k - 1
+            best = _described(x, _lloyd(x, labels, k, 50))
+        else:
+            fits = []
+            for r in range(repeats):
+                first, weight = [], np.ones(len(x))
+                while len(first) < k:
+                    u = [(int(hashlib.md5(f"{seed}-{r}-{len(first)}-{p}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for p in names]
+                    times = [-math.log(a) / w if w > 0 else math.inf for a, w in zip(u, weight, strict=True)]
+                    first.append(int(np.argmin(times)))
+                    weight = np.min([((x - x[c]) ** 2).sum(axis=1) for c in first], axis=0).round(9)
+                labels = np.array([int(np.argmin([((v - x[c]) ** 2).sum() for c in first])) for v in x])
+                cost, reps, far = _described(x, _lloyd(x, labels, k, 50))
+                fits.append((cost, r, reps, far))
+            cost, _, reps, far = min(fits, key=lambda f: (round(f[0], 9), f[1]))
+            best = (cost, reps, far)
+        if best[2].max() <= limit:
+            break
+    return {names[i]: names[j] for i, j in enumerate(best[1])}
+
+
+@pytest.mark.parametrize("iterate", ["cluster", "insert"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_clusters_equal_a_plain_loop(spark, iterate, seed):
+    from gridmeter.operators.periods import SPREAD, cluster_periods
+
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.6, (9, 5)) for c in (0.0, 2.0, 5.0, 9.0)])
+    names = [3 * i + 2 for i in range(len(x))]
+    feats = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x)], "Period_Index int, features array<double>")
+    threshold = 0.15
+    limit = (threshold * SPREAD["S"]) ** 2 * 5
+    got = cluster_periods(feats, k_min=2, k_max=9, threshold=threshold, repeats=7, seed=seed, iterate=iterate).collect()
+    expected = _brute_map(x, names, 2, 9, limit, 7, seed, iterate == "insert")
+    assert {r.Period_Index: r.Rep_Period for r in got} == expected
+
+
+def test_many_restarts_on_wide_vectors_are_quick(spark):
+    """250 restarts of 12 numbers of clusters on a year of days, 6,048 features each."""
+    import time
+
+    from gridmeter.operators.periods import cluster_periods
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9, 6048))
+    x = base[rng.integers(0, 9, 365)] + rng.normal(size=(365, 6048))
+    feats = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "Period_Index int, features array<double>").checkpoint()
+    began = time.time()
+    m = cluster_periods(feats, k_min=4, k_max=15, threshold=0.1, repeats=250, seed=1).collect()
+    assert len(m) == 365 and time.time() - began < 60
+    assert len({r.Rep_Period for r in m}) == 15
+
+
+def test_pair_distances_of_blocks(spark):
+    from gridmeter.operators.periods import pair_distances
+
+    x = np.random.default_rng(3).normal(1e4, 1.0, (11, 70))
+    feats = spark.createDataFrame([(50 - i, v.tolist()) for i, v in enumerate(x)], "Period_Index long, features array<double>")
+    order, d = pair_distances(feats, block=16)
+    assert order == sorted(order)
+    y = x[::-1]
+    np.testing.assert_allclose(d, ((y[:, None] - y[None]) ** 2).sum(axis=2), rtol=1e-10, atol=1e-9)
+
+
 def test_settlement_by_resource_and_zone(spark):
     from gridmeter.operators.settlement import cost_components, net_revenue
 
