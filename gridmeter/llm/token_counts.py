@@ -96,6 +96,18 @@ class PieceCounts(dict):
         return sum(self[m.group()] for m in PIECE.finditer(text))
 
 
+_HELD: dict[str, PieceCounts] = {}
+
+
+def piece_counts(path: str) -> PieceCounts:
+    """This worker's counts, of one tokenizer at a time: it is loaded once a worker,
+    not once a task."""
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = PieceCounts(path)
+    return _HELD[path]
+
+
 def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
     """Stored counts of a version, one row per digest. A text that two jobs (or two
     attempts of one) have appended is there twice, with the same count."""
@@ -147,12 +159,15 @@ def token_counts(
         fields = pa.schema([("digest", pa.binary()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = PieceCounts(tokenizer)
-            for batch in batches:
-                for a, held in blocks(batch.column("_text")):
-                    sizes = [len(t.encode("utf-8", "surrogatepass")) for t in held]
-                    tokens = [counts.text(t) for t in held]
-                    yield pa.RecordBatch.from_arrays([batch.column("digest").slice(a, len(held)), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], schema=fields)
+            counts = piece_counts(tokenizer)
+            try:
+                for batch in batches:
+                    for a, held in blocks(batch.column("_text")):
+                        sizes = [len(t.encode("utf-8", "surrogatepass")) for t in held]
+                        tokens = [counts.text(t) for t in held]
+                        yield pa.RecordBatch.from_arrays([batch.column("digest").slice(a, len(held)), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], schema=fields)
+            finally:
+                counts.clear()  # a worker waits for its next task, maybe of another job, without them
 
         distinct.mapInArrow(count, CACHE).write.mode("append").parquet(f"{cache}/version={name}")
         counted = wanted.select("digest", "_copies").join(read_cache(spark, cache, name), "digest")
