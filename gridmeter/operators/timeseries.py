@@ -11,21 +11,23 @@ Semantics follow ``Series.resample(every).interpolate()`` (pandas 2.x):
   last one hold its value (``tail="hold"``; ``"extend"`` continues the last
   slope, ``"none"`` leaves them null).
 
-Scale: nothing sorts a whole series. Samples are cut into buckets of
-``bucket_steps`` grid steps; each bucket borrows the first sample of the next
-non-empty bucket as a boundary row, so ``lead`` inside (series, bucket) sees
-every segment, and each segment expands itself with ``sequence``.
+Scale: no task holds a whole series. Samples are range-sorted into slices, and
+what a slice needs of its neighbours (the last known sample before it, the next
+one after it) is carried over as a small table (``windows.neighbours``). Each
+segment between two samples expands itself; segments, heads and tails are cut
+into ``bucket_steps`` grid steps before they expand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import Grid, index_to_clock, period_index, step_in_period, step_index
 from gridmeter.operators.keys import broadcast_small, join_groups
+from gridmeter.operators.windows import neighbours, sliced
 from gridmeter.session import checkpoint_dir
 
 _GI = "_gm_gi"
@@ -36,20 +38,24 @@ def _grid(every_minutes: int, origin: str) -> Grid:
     return Grid(step_minutes=every_minutes, base=origin)
 
 
-def _per_step(df: DataFrame, ts: str, value: str, keys: list[str], g: Grid) -> DataFrame:
-    """The input reduced once to one row per (series, grid step).
+def _reduced(df: DataFrame, ts: str, value: str, keys: list[str], g: Grid) -> DataFrame:
+    """The input reduced to one row per (series, grid step).
 
     ``value`` is the mean of the samples sitting exactly on that grid point
     (null when none does: off-grid samples only mark the step, for the grid
-    bounds). Every later branch reads this table, checkpointed to the shared
-    folder, instead of re-reading (and re-aggregating) the input.
+    bounds). A partial aggregate, so a hot grid point is combined in every task.
     """
     gi = step_index(ts, g, one_based=False)
     on = index_to_clock(gi, g, one_based=False) == F.col(ts).cast("timestamp_ntz")
     v = F.col(value).cast("double")
-    red = df.groupBy(*keys, gi.alias(_GI)).agg(F.avg(F.when(on, v)).alias(value))
+    return df.groupBy(*keys, gi.alias(_GI)).agg(F.avg(F.when(on, v)).alias(value))
+
+
+def _per_step(df: DataFrame, ts: str, value: str, keys: list[str], g: Grid) -> DataFrame:
+    """``_reduced``, checkpointed to the shared folder: every later branch reads
+    this table instead of re-reading (and re-aggregating) the input."""
     checkpoint_dir(df.sparkSession)
-    return red.checkpoint(eager=True)
+    return _reduced(df, ts, value, keys, g).checkpoint(eager=True)
 
 
 def _series_bounds(per_step: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,86 +113,55 @@ def interpolate_linear(
         raise ValueError("tail must be 'hold', 'extend' or 'none'")
     g = _grid(every_minutes, origin)
     keys = list(by)
-    # several samples at one grid point: their mean (pandas would refuse them).
-    # The per-step reduction (a partial aggregate) combines a hot point inside
-    # every task, and leaves at most ``bucket_steps`` rows per (series, bucket)
-    # for the window below.
-    per_step = _per_step(df, ts, value, keys, g)
-    samples = per_step.where(F.col(value).isNotNull()).withColumn(_B, F.floor(F.col(_GI) / bucket_steps).cast("long"))
-
-    # first sample of every non-empty bucket, and the next bucket's first sample
-    firsts = samples.groupBy(*keys, _B).agg(F.min(_GI).alias("_gm_fgi"), F.min_by(value, F.col(_GI)).alias("_gm_fv"))
-    # one row per non-empty bucket (a day by default): small per series
-    wb = Window.partitionBy(*keys).orderBy(_B)
-    boundary = firsts.select(
-        *keys,
-        F.col(_B),
-        F.lead("_gm_fgi").over(wb).alias(_GI),
-        F.lead("_gm_fv").over(wb).alias(value),
-    ).where(F.col(_GI).isNotNull())
-
-    rows = samples.withColumn("_gm_real", F.lit(True)).unionByName(
-        boundary.withColumn("_gm_real", F.lit(False))
+    # several samples at one grid point: their mean (pandas would refuse them)
+    steps = sliced(_reduced(df, ts, value, keys, g), [*keys, _GI])
+    known = F.col(value).isNotNull()
+    here = F.when(known, F.col(_GI))
+    # per series: its grid's ends, and its first and last sample
+    series = steps.groupBy(*keys).agg(
+        F.min(_GI).alias("_gm_start"), F.max(_GI).alias("_gm_end"), F.min(here).alias("_gm_first"),
+        F.max(here).alias("_gm_last"), F.max_by(value, here).alias("_gm_v"),
     )
-    if tail == "extend":
-        # the last segment's slope needs the sample before the last one, which
-        # may sit in an earlier bucket: borrow each bucket's predecessor too
-        lasts = samples.groupBy(*keys, _B).agg(F.max(_GI).alias("_gm_lgi"), F.max_by(value, F.col(_GI)).alias("_gm_lv"))
-        before = lasts.select(
-            *keys, F.col(_B), F.lag("_gm_lgi").over(wb).alias(_GI), F.lag("_gm_lv").over(wb).alias(value)
-        ).where(F.col(_GI).isNotNull())
-        rows = rows.unionByName(before.withColumn("_gm_real", F.lit(False)))
-    w = Window.partitionBy(*keys, _B).orderBy(_GI, F.col("_gm_real").desc())
-    seg = rows.select(
-        "*",
-        F.lead(_GI).over(w).alias("_gm_gi1"),
-        F.lead(value).over(w).alias("_gm_v1"),
-        F.lag(_GI).over(w).alias("_gm_gi0"),
-        F.lag(value).over(w).alias("_gm_v0"),
-    ).where("_gm_real")
-
-    # interior: each segment [gi, gi1) expands to its own grid points
-    n = F.col("_gm_gi1") - F.col(_GI)
-    k = F.col("_gm_k")
-    interior = (
-        seg.where(F.col("_gm_gi1").isNotNull() & (n > 0))
-        .select(*keys, _GI, value, "_gm_gi1", "_gm_v1", F.explode(F.sequence(F.lit(0), n - 1)).alias("_gm_k"))
-        .select(
-            *keys,
-            (F.col(_GI) + k).alias(_GI),
-            (F.col(value) + (F.col("_gm_v1") - F.col(value)) * k / (F.col("_gm_gi1") - F.col(_GI))).alias(value),
-        )
+    seg = neighbours(steps.where(known), _GI, [_GI, value], keys)
+    # a piece of the grid, ``_gm_lo`` to ``_gm_hi``: value + slope * (steps from ``_gm_at``) / ``_gm_n``
+    after = F.col("_gm_after")
+    interior = seg.where(after.isNotNull()).select(
+        *keys, F.col(_GI).alias("_gm_at"), F.col(_GI).alias("_gm_lo"), (after[_GI] - 1).alias("_gm_hi"),
+        F.col(value).alias("_gm_v"), (after[value] - F.col(value)).alias("_gm_dv"), (after[_GI] - F.col(_GI)).alias("_gm_n"),
     )
-
-    # the last on-grid sample of each series, and its tail up to the grid end
-    bounds = _series_bounds(per_step, keys)
-    last = seg.where(F.col("_gm_gi1").isNull())
-    last = join_groups(last, bounds, keys, ["_gm_start", "_gm_end"])
-    kk = F.col("_gm_k")
-    if tail == "hold":
-        tail_v = F.col(value)
-    elif tail == "extend":
-        slope = (F.col(value) - F.col("_gm_v0")) / (F.col(_GI) - F.col("_gm_gi0"))
-        tail_v = F.when(kk == 0, F.col(value)).otherwise(F.col(value) + F.coalesce(slope, F.lit(0.0)) * kk)
+    if tail == "extend":
+        # the last segment's slope needs the sample before the last one
+        ends, before = seg.where(after.isNull()), F.col("_gm_before")
+        ends = ends.select(*keys, (F.col(value) - before[value]).alias("_gm_dv"), (F.col(_GI) - before[_GI]).alias("_gm_n"))
+        tails = join_groups(series, ends, keys, ["_gm_dv", "_gm_n"])
+        slope, n = F.coalesce("_gm_dv", F.lit(0.0)), F.coalesce("_gm_n", F.lit(1))
     else:
-        tail_v = F.when(kk == 0, F.col(value))
-    tail_rows = last.select(
-        *keys, _GI, value, "_gm_v0", "_gm_gi0",
-        F.explode(F.sequence(F.lit(0), F.greatest(F.col("_gm_end") - F.col(_GI), F.lit(0)))).alias("_gm_k"),
-    ).select(*keys, (F.col(_GI) + kk).alias(_GI), tail_v.alias(value))
-
-    # head: grid points before the first on-grid sample stay null
-    first_real = samples.groupBy(*keys).agg(F.min(_GI).alias("_gm_first"))
-    head_src = join_groups(bounds, first_real, keys, ["_gm_first"], how="left")
+        tails, n = series, F.lit(1)
+        slope = F.lit(0.0) if tail == "hold" else F.lit(None).cast("double")
+    tails = tails.where("_gm_last is not null").select(
+        *keys, F.col("_gm_last").alias("_gm_at"), F.col("_gm_last").alias("_gm_lo"), F.col("_gm_end").alias("_gm_hi"),
+        "_gm_v", slope.cast("double").alias("_gm_dv"), n.cast("long").alias("_gm_n"),
+    )
+    # grid points before the first on-grid sample stay null; so does a series without one
     head_end = F.coalesce(F.col("_gm_first") - 1, F.col("_gm_end"))
-    head = (
-        head_src.where(head_end >= F.col("_gm_start"))
-        .select(*keys, F.explode(F.sequence(F.col("_gm_start"), head_end)).alias(_GI))
-        .select(*keys, _GI, F.lit(None).cast("double").alias(value))
+    none = F.lit(None).cast("double")
+    heads = series.where(head_end >= F.col("_gm_start")).select(
+        *keys, F.col("_gm_start").alias("_gm_at"), F.col("_gm_start").alias("_gm_lo"), head_end.alias("_gm_hi"),
+        none.alias("_gm_v"), none.alias("_gm_dv"), F.lit(1).cast("long").alias("_gm_n"),
     )
-
-    out = interior.unionByName(tail_rows).unionByName(head)
-    return out.select(*keys, index_to_clock(F.col(_GI), g, one_based=False).alias(ts), F.col(value))
+    # a head or tail may be most of a series: its cuts are dealt out before they expand
+    outer = _cut(tails.unionByName(heads), bucket_steps).repartition(*keys, "_gm_lo")
+    grid = _cut(interior, bucket_steps).unionByName(outer)
+    grid = grid.select("*", F.explode(F.sequence("_gm_lo", "_gm_hi")).alias(_GI))
+    k = F.col(_GI) - F.col("_gm_at")
+    at = F.when(k == 0, F.col("_gm_v")).otherwise(F.col("_gm_v") + F.col("_gm_dv") * k / F.col("_gm_n"))
+    return grid.select(*keys, index_to_clock(F.col(_GI), g, one_based=False).alias(ts), at.alias(value))
+
+
+def _cut(pieces: DataFrame, steps: int) -> DataFrame:
+    """Pieces of a grid cut into such of at most ``steps`` steps."""
+    cuts = pieces.select("*", F.explode(F.sequence("_gm_lo", "_gm_hi", F.lit(steps).cast("long"))).alias("_gm_cut"))
+    return cuts.withColumns({"_gm_lo": F.col("_gm_cut"), "_gm_hi": F.least(F.col("_gm_hi"), F.col("_gm_cut") + (steps - 1))}).drop("_gm_cut")
 
 
 def interpolate_columns(

@@ -52,6 +52,57 @@ def sort_tasks(df: DataFrame) -> int:
     return max(shuffle_partitions(df.sparkSession), min(100_000, input_bytes(df) // TASK_BYTES))
 
 
+def sliced(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by ``keys``, which splits a hot group over many
+    slices, with the slice of every row as ``_gm_pid``. It is checkpointed before
+    it is read twice: range bounds come from a sample seeded per exchange, so two
+    separately planned exchanges could disagree on them; stored ids cannot, and a
+    lost executor re-reads the checkpoint instead of re-sampling."""
+    checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(partitions or sort_tasks(df), *keys).withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
+
+
+def _spanning(per_slice: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows (one per slice and group) of groups that lie in several slices: at
+    most two per slice, as a slice can share its first and its last group only."""
+    several = per_slice.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return per_slice.join(several, _null_safe_on(per_slice, several, by), "left_semi")
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame, keycols: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``rows`` with what is carried into their slice and group, if anything is.
+    The carried table has at most two rows a slice, so it is broadcast."""
+    renamed = {c: f"_gm_k{i}" for i, c in enumerate(keycols)}
+    small = F.broadcast(carried.select(*[F.col(c).alias(renamed[c]) for c in keycols], *columns))
+    cond = None
+    for c in keycols:
+        e = rows[c].eqNullSafe(small[renamed[c]])
+        cond = e if cond is None else cond & e
+    return rows.join(small, cond, "left").drop(*renamed.values())
+
+
+def neighbours(slices: DataFrame, order: str, columns: Sequence[str], by: Sequence[str] = (),
+               before: str = "_gm_before", after: str = "_gm_after") -> DataFrame:
+    """Structs of ``columns`` of the row before and after in ``order`` within each
+    ``by`` group (W5), null at its ends: what ``lag`` and ``lead`` over the whole
+    group give, without a task that holds the group.
+
+    ``slices`` is a result of ``sliced``, or rows of one. Inside a slice a window
+    finds the neighbours; the first and last rows of slices, a small table, carry
+    them over the borders. Places in a group are unique."""
+    by = list(by)
+    here = F.struct(*columns)
+    inside = Window.partitionBy(_PID, *by).orderBy(order)
+    local = slices.select("*", F.lag(here).over(inside).alias(before), F.lead(here).over(inside).alias(after))
+    edges = slices.groupBy(_PID, *by).agg(F.min_by(here, F.col(order)).alias("_gm_first"), F.max_by(here, F.col(order)).alias("_gm_last"))
+    edges = _spanning(edges, by) if by else edges
+    along = Window.partitionBy(*by).orderBy(_PID)
+    carried = edges.select(_PID, *by, F.lag("_gm_last").over(along).alias("_gm_in"), F.lead("_gm_first").over(along).alias("_gm_out"))
+    out = _with_carried(local, carried, [_PID, *by], ["_gm_in", "_gm_out"])
+    out = out.withColumns({before: F.coalesce(before, "_gm_in"), after: F.coalesce(after, "_gm_out")})
+    return out.drop("_gm_in", "_gm_out")
+
+
 def cumsum(
     df: DataFrame,
     value: str,
@@ -70,7 +121,6 @@ def cumsum(
     """
     by, order = list(by), list(order)
     keys = by + order
-    spark = df.sparkSession
     n = partitions or sort_tasks(df)
     vtype = df.schema[value].dataType
     if isinstance(vtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -80,13 +130,7 @@ def cumsum(
     else:
         out_type = T.DoubleType()
 
-    # Range partitioning splits a hot group over many tasks. Rows are tagged with
-    # their partition and checkpointed before they are read twice: range bounds
-    # come from a sample seeded per exchange, so two separately planned exchanges
-    # could disagree on them; stored ids cannot, and a lost executor re-reads the
-    # checkpoint instead of re-sampling.
-    checkpoint_dir(spark)
-    ranged = df.repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
+    ranged = sliced(df, keys, n)
     amount = F.coalesce(F.col(value).cast(out_type), F.lit(0).cast(out_type))
     # a group's rows of one partition: never more than a range task's share
     inside = Window.partitionBy(_PID, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -95,26 +139,13 @@ def cumsum(
     # Per (task, group) totals: partial aggregation keeps this at <= groups + tasks rows.
     totals = ranged.groupBy(_PID, *by).agg(F.sum(amount).cast(out_type).alias(_TOT))
     if by:
-        # only a group that crosses a task border has rows in earlier tasks
-        spanning = totals.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        totals = totals.join(spanning, _null_safe_on(totals, spanning, by), "left_semi")
+        totals = _spanning(totals, by)
         w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     else:
         # one row per task: at most ``n`` rows in the single window partition
         w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    keycols = [_PID, *by]
-    renamed = {c: f"_gm_k{i}" for i, c in enumerate(keycols)}
-    offsets = totals.select(
-        *[F.col(c).alias(renamed[c]) for c in keycols],
-        F.coalesce(F.sum(_TOT).over(w).cast(out_type), F.lit(0).cast(out_type)).alias(_OFF),
-    )
-
-    off = F.broadcast(offsets)  # bounded: spanning groups give <= 2 * n rows, no groups give n
-    cond = None
-    for c in keycols:
-        e = F.col(c).eqNullSafe(F.col(renamed[c]))
-        cond = e if cond is None else cond & e
-    joined = local.join(off, cond, "left")
+    offsets = totals.select(_PID, *by, F.coalesce(F.sum(_TOT).over(w).cast(out_type), F.lit(0).cast(out_type)).alias(_OFF))
+    joined = _with_carried(local, offsets, [_PID, *by], [_OFF])
     total = F.col(out) + F.coalesce(F.col(_OFF), F.lit(0).cast(out_type))
     return joined.select(*df.columns, total.cast(out_type).alias(out))
 

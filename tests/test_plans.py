@@ -76,3 +76,14 @@ def test_day_profile_with_repeated_keys_is_refused(spark):
     profile = spark.createDataFrame([(0, True, 1.0), (0, True, 2.0)], "Time int, Weekday boolean, v double")
     with pytest.raises(ValueError, match="several rows"):
         join_day_profile(series, "t", profile)
+
+
+def test_interpolation_has_no_window_over_a_series(spark):
+    import re
+
+    q = REGISTRY["interpolate_linear"](spark, SF)
+    q.collect()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\(([^)]*)\)", plan)
+    # over rows only inside a slice; along a series only over the slices' edges
+    assert windows and all("_gm_pid" in w for w in windows)

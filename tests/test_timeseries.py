@@ -120,3 +120,26 @@ def test_extend_tail_slope_across_buckets(spark, bucket_steps):
     out = interpolate_linear(df, "ts", "v", tail="extend", bucket_steps=bucket_steps).orderBy("ts").toPandas()
     # last segment 2 -> 6 over two steps: slope 2 per step, continued for 25 and 30
     assert list(out["v"]) == [0.0, 1.0, 2.0, 4.0, 6.0, 8.0, 10.0]
+
+
+@pytest.mark.parametrize("tail", ["hold", "extend", "none"])
+def test_one_long_series_over_many_slices(spark, tail):
+    """A gap, a head and a tail of many buckets; one series in all slices."""
+    rng = np.random.default_rng(8)
+    at = sorted(rng.choice(4000, 300, replace=False).tolist())
+    at = [m for m in at if not 1000 < m < 2500]
+    pts = [(T0 + dt.timedelta(minutes=5 * m), float(rng.normal())) for m in at]
+    pts = [(T0 + dt.timedelta(minutes=-5 * 700 + 1), 9.0), *pts, (T0 + dt.timedelta(minutes=5 * 5000 + 1), 9.0)]
+    df = spark.createDataFrame(pts, "ts timestamp_ntz, v double").repartition(16)
+    got = interpolate_linear(df, "ts", "v", tail=tail, bucket_steps=50).orderBy("ts").toPandas()
+    exp = _pandas(pts)
+    assert list(got["ts"]) == list(exp.index)
+    known = slice(0, 700 + at[-1] + 1)
+    got_v, exp_v = got["v"].to_numpy(dtype=float), exp.to_numpy()
+    assert np.allclose(got_v[known], exp_v[known], equal_nan=True)
+    rest, last = got_v[known.stop :], got_v[known.stop - 1]
+    if tail == "none":
+        assert np.isnan(rest).all()
+    else:
+        slope = (pts[-2][1] - pts[-3][1]) / (at[-1] - at[-2]) if tail == "extend" else 0.0
+        assert np.allclose(rest, last + slope * np.arange(1, len(rest) + 1))

@@ -4,7 +4,10 @@ import random
 import numpy as np
 import pandas as pd
 
-from gridmeter.operators.windows import cumsum, index_from_label, offset_from_first
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gridmeter.operators.windows import cumsum, index_from_label, neighbours, offset_from_first, sliced
 
 
 def _fixture(n=3000, seed=3):
@@ -115,3 +118,25 @@ def test_attach_salted_gives_the_same_rows(spark):
     means = df.groupBy("g").avg("i").withColumnRenamed("avg(i)", "m")
     one = sorted(map(tuple, attach(df, means, ["g"], ["m"]).collect()), key=str)
     assert len(one) == 30 and one == sorted(map(tuple, attach(df, means, ["g"], ["m"], broadcast_groups=0, salts=4).collect()), key=str)
+
+
+def test_neighbours_equal_lag_and_lead_over_whole_groups(spark):
+    rows = _fixture(2000)
+    df = spark.createDataFrame(rows, "id long, g string, d date, v long")
+    for by in ([], ["g"]):
+        got = neighbours(sliced(df, [*by, "id"], 9), "id", ["id", "v"], by)
+        w = Window.partitionBy(*by).orderBy("id")
+        here = F.struct("id", "v")
+        exp = df.select("id", F.lag(here).over(w).alias("b"), F.lead(here).over(w).alias("a"))
+        j = got.join(exp, "id")
+        assert j.count() == len(rows)
+        assert j.where(~(F.col("_gm_before").eqNullSafe(F.col("b")) & F.col("_gm_after").eqNullSafe(F.col("a")))).isEmpty()
+
+
+def test_neighbours_of_groups_that_start_and_end_at_slice_borders(spark):
+    df = spark.createDataFrame([(g, i) for g in "abcdefg" for i in range(1 if g in "bf" else 5)], "g string, i long")
+    got = neighbours(sliced(df, ["g", "i"], 30), "i", ["i"], ["g"]).collect()
+    for r in got:
+        last = 0 if r.g in "bf" else 4
+        assert (r._gm_before and r._gm_before.i) == (r.i - 1 if r.i else None)
+        assert (r._gm_after and r._gm_after.i) == (r.i + 1 if r.i < last else None)
