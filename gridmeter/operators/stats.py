@@ -5,9 +5,9 @@ Scale notes
 * ``exact_quantiles`` never gathers a column in one buffer (which Spark's
   ``percentile`` does): it counts distinct values, ranks them with the
   range-partitioned ``cumsum`` and keeps the few rows that hold the target ranks.
-* ``kernel_density`` bins the data linearly onto its ``n``-point grid (an
-  aggregate with at most ``n`` rows per group) and convolves a group's bins with
-  the Gaussian kernel in one small array product: no row per pair of points.
+* ``kernel_density`` bins the data linearly onto a grid of a few hundred points
+  (an aggregate with at most that many rows per group) and convolves a group's
+  bins with the Gaussian kernel by FFT: no row per pair of points.
 """
 
 from __future__ import annotations
@@ -149,23 +149,79 @@ def bandwidth_nrd0(df: DataFrame, col: str, by: Sequence[str] = (), adjust: floa
     return _bandwidth_from_ranked(ranked_counts(df, col, keys), col, keys, adjust)
 
 
+def _grid_size(n: int) -> int:
+    """Points of the grid on which data are binned: 512, or the power of two from n on."""
+    return 512 if n <= 512 else 1 << (n - 1).bit_length()
+
+
+def smoothed(bins: np.ndarray, weights: np.ndarray, lo: float, up: float, bw: float, m: int) -> np.ndarray:
+    """Density at the ``m`` points from ``lo`` to ``up`` of the weights in bins, by
+    FFT on a grid of twice the length, whose second half is empty so that nothing
+    wraps around. The kernel stands at 2 m points over twice the range, as in R's
+    ``density`` before 4.4."""
+    y = np.zeros(2 * m)
+    y[bins] = weights
+    at = np.linspace(0.0, 2 * (up - lo), 2 * m)
+    at[m + 1 :] = -at[m - 1 : 0 : -1]
+    kernel = np.exp(-0.5 * (at / bw) ** 2) / (bw * math.sqrt(2 * math.pi))
+    return np.maximum(np.fft.ifft(np.fft.fft(y) * np.conj(np.fft.fft(kernel))).real[:m], 0.0)
+
+
+def _curves(counts: DataFrame, params: DataFrame, col: str, keys: list[str], n: int, ridge: bool) -> DataFrame:
+    """Density curves of value counts; ``params`` has a row per group: ``n``, ``bw``
+    and the ends of its points, ``_gm_from`` and ``_gm_to``."""
+    m = _grid_size(n)
+    pcols = ["n", "bw", "_gm_from", "_gm_to", "_gm_lo", "_gm_up"]
+    # four bandwidths further on both sides, so that no kernel is cut off
+    params = params.withColumns({"_gm_lo": F.col("_gm_from") - 4 * F.col("bw"), "_gm_up": F.col("_gm_to") + 4 * F.col("bw")})
+    x = counts.select(*keys, F.col(col).cast("double").alias("_gm_x"), "_gm_c")
+    xj = attach(x, params, keys, pcols)
+    pos = (F.col("_gm_x") - F.col("_gm_lo")) / ((F.col("_gm_up") - F.col("_gm_lo")) / F.lit(m - 1))
+    xj = xj.withColumn("_gm_pos", pos).withColumn("_gm_j", F.floor("_gm_pos").cast("int"))
+    xj = xj.withColumn("_gm_fr", F.col("_gm_pos") - F.col("_gm_j"))
+    c = F.col("_gm_c").cast("double")
+    left = xj.select(*keys, "_gm_j", (c * (F.lit(1.0) - F.col("_gm_fr"))).alias("_gm_w"))
+    right = xj.select(*keys, (F.col("_gm_j") + 1).alias("_gm_j"), (c * F.col("_gm_fr")).alias("_gm_w"))
+    # at most a grid's points per group
+    bins = left.unionByName(right).where(F.col("_gm_j").between(0, m - 1)).groupBy(*keys, "_gm_j").agg(F.sum("_gm_w").alias("_gm_w"))
+
+    def curve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """All points of one group from its bins."""
+        h = pdf.iloc[0]
+        grid = np.linspace(h["_gm_lo"], h["_gm_up"], m)
+        at = np.linspace(h["_gm_from"], h["_gm_to"], n)
+        d = np.interp(at, grid, smoothed(pdf["_gm_j"].to_numpy(), pdf["_gm_w"].to_numpy() / h["n"], h["_gm_lo"], h["_gm_up"], h["bw"], m))
+        made = {"i": np.arange(n, dtype="int32"), "x": at, "density": d}
+        if ridge:
+            share = np.append(0.0, np.cumsum(d[:-1] * np.diff(at)))
+            made |= {"ndensity": d / d.max(), "ecdf": share, "tail": 0.5 - np.abs(0.5 - share)}
+        return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key, strict=True)}, **made})
+
+    names = ["x", "density", "ndensity", "ecdf", "tail"] if ridge else ["x", "density"]
+    schema = T.StructType([*[counts.schema[k] for k in keys], T.StructField("i", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in names]])
+    return join_groups(bins, params, keys, pcols).groupBy(*keys).applyInPandas(curve, schema)
+
+
 def kernel_density(
-    df: DataFrame, col: str, by: Sequence[str] = (), adjust: float = 1.0, n: int = 512, cut: float = 3.0,
+    df: DataFrame, col: str, by: Sequence[str] = (), adjust: float = 1.0, n: int = 512, domain: str = "cut", cut: float = 3.0,
     bw: DataFrame | None = None, approx_accuracy: int | None = None,
 ) -> DataFrame:
-    """M3 / M4: Gaussian kernel density on an ``n``-point grid per group.
+    """M3: Gaussian kernel density per group, as R's ``density`` gives it.
 
-    Grid: ``n`` points from ``min - cut*bw`` to ``max + cut*bw`` (R's
-    ``density`` range). Each value is split linearly between its two
-    neighbouring grid points; the density at grid point i is
-    ``sum_j w_j * phi((i - j) * delta / bw) / (N * bw)``.
-    Output ``(*by, i, x, density)``.
-
-    Groups with a single value have no spread and are left out, as plotting does.
+    The ``n`` points run, by ``domain``, from ``cut`` bandwidths below the least
+    value to as many above the greatest (``"cut"``, the function's default), over
+    the group's values (``"data"``), or over those of all groups (``"all"``); the
+    latter two are what density plots evaluate. Values are split linearly between
+    the two neighbouring points of a grid that reaches four bandwidths further, the
+    grid is smoothed by FFT, and the curve is read off at the ``n`` points.
+    Output ``(*by, i, x, density)``. Groups with a single value have no spread and
+    are left out, as plotting does.
 
     The input is read once: everything (bandwidth, quantiles, bin weights)
     comes from its value-count table, weighted by multiplicity.
     """
+    if domain not in ("cut", "data", "all"):
+        raise ValueError("domain must be 'cut', 'data' or 'all'")
     keys = list(by)
     if approx_accuracy or bw is not None:
         counts = value_counts(df, col, keys)
@@ -173,39 +229,33 @@ def kernel_density(
     else:
         counts = ranked_counts(df, col, keys)
         params = _bandwidth_from_ranked(counts, col, keys, adjust)
-    params = params.select(
-        *keys, "n", "bw",
-        (F.col("lo") - F.lit(cut) * F.col("bw")).alias("_gm_from"),
-        ((F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(n - 1)).alias("_gm_delta"),
-    )
-    pcols = ["n", "bw", "_gm_from", "_gm_delta"]
-    x = counts.select(*keys, F.col(col).cast("double").alias("_gm_x"), "_gm_c")
-    xj = attach(x, params, keys, pcols)  # one parameter row per group
-    pos = (F.col("_gm_x") - F.col("_gm_from")) / F.col("_gm_delta")
-    xj = xj.withColumn("_gm_pos", pos).withColumn("_gm_j", F.floor("_gm_pos").cast("int"))
-    xj = xj.withColumn("_gm_fr", F.col("_gm_pos") - F.col("_gm_j"))
-    c = F.col("_gm_c").cast("double")
-    left = xj.select(*keys, F.col("_gm_j").alias("_gm_j"), (c * (F.lit(1.0) - F.col("_gm_fr"))).alias("_gm_w"))
-    right = xj.select(*keys, (F.col("_gm_j") + 1).alias("_gm_j"), (c * F.col("_gm_fr")).alias("_gm_w"))
-    bins = (
-        left.unionByName(right)
-        .where(F.col("_gm_j").between(0, n - 1))
-        .groupBy(*keys, "_gm_j")
-        .agg(F.sum("_gm_w").alias("_gm_w"))
-    )  # <= n rows per group
-
-    def convolve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """All grid points of one group from its at most ``n`` bins."""
-        head = pdf.iloc[0]
-        i, j = np.arange(n), pdf["_gm_j"].to_numpy()
-        z = (i[:, None] - j[None, :]) * head["_gm_delta"] / head["bw"]
-        phi = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-        density = (pdf["_gm_w"].to_numpy()[None, :] * phi).sum(axis=1) / (head["n"] * head["bw"])
-        made = {"i": i.astype("int32"), "x": head["_gm_from"] + i * head["_gm_delta"], "density": density}
-        return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key, strict=True)}, **made})
+    if domain == "all":
+        ends = counts.agg(F.min(col).cast("double").alias("_gm_from"), F.max(col).cast("double").alias("_gm_to"))
+        params = attach(params, ends, [], ["_gm_from", "_gm_to"])
+    else:
+        reach = F.lit(cut if domain == "cut" else 0.0) * F.col("bw")
+        params = params.withColumns({"_gm_from": F.col("lo") - reach, "_gm_to": F.col("hi") + reach})
+    return _curves(counts, params, col, keys, n, ridge=False)
 
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("density", T.DoubleType())])
-    return join_groups(bins, params, keys, pcols).groupBy(*keys).applyInPandas(convolve, schema)
+
+def density_ridges(df: DataFrame, col: str, by: Sequence[str], bandwidth: float | None = None, n: int = 512) -> DataFrame:
+    """M4: a density curve per group, all with one bandwidth and on one range.
+
+    The bandwidth is the mean of the groups' own ones (``nrd0``; groups of one
+    value have none), unless it is given; the points reach three bandwidths
+    beyond the values of all groups. Groups of fewer than three values have no
+    curve. Output ``(*by, i, x, density, ndensity, ecdf, tail)``: the density, its
+    share of the group's greatest, the integral of the curve up to x (left sums
+    over the points) and the tail probability, 0.5 - |0.5 - ecdf|."""
+    keys = list(by)
+    counts = ranked_counts(df, col, keys)
+    joint = _bandwidth_from_ranked(counts, col, keys, 1.0).agg(F.avg("bw").alias("bw")) if bandwidth is None else None
+    ends = counts.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    groups = counts.groupBy(*keys).agg(F.sum("_gm_c").alias("n")).where("n > 2")
+    params = attach(groups, ends, [], ["lo", "hi"])
+    params = params.withColumn("bw", F.lit(float(bandwidth))) if joint is None else attach(params, joint, [], ["bw"])
+    params = params.select(*keys, "n", "bw", (F.col("lo") - 3 * F.col("bw")).alias("_gm_from"), (F.col("hi") + 3 * F.col("bw")).alias("_gm_to"))
+    return _curves(counts, params, col, keys, n, ridge=True)
 
 
 def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "ecdf") -> DataFrame:

@@ -838,20 +838,20 @@ def _customer_angles(spark, sf):
 
 @register("dg_azimuth_density")
 def q_dg_azimuth_density(spark: SparkSession, sf: str) -> DataFrame:
-    """Q5: density of azimuth with a narrow bandwidth (adjust 0.05)."""
+    """Q5: density of azimuth with a narrow bandwidth (adjust 0.05), over the data."""
     from gridmeter.operators.stats import kernel_density
 
-    d = kernel_density(_customer_angles(spark, sf), "azimuth", adjust=0.05, n=512)
+    d = kernel_density(_customer_angles(spark, sf), "azimuth", adjust=0.05, domain="data")
     return d.select("i", _r("x", 6), _r("density", 12))
 
 
 @register("dg_tilt_density")
 def q_dg_tilt_density(spark: SparkSession, sf: str) -> DataFrame:
-    """Q5 + F8: density of tilt below 45 degrees (adjust 1)."""
+    """Q5 + F8: density of tilt below 45 degrees (adjust 1), over the data."""
     from gridmeter.operators.stats import kernel_density
 
     t = _customer_angles(spark, sf).where(F.col("tilt") < 45)
-    d = kernel_density(t, "tilt", adjust=1.0, n=512)
+    d = kernel_density(t, "tilt", adjust=1.0, domain="data")
     return d.select("i", _r("x", 6), _r("density", 12))
 
 
@@ -875,13 +875,36 @@ def q_multi_constraint_revenue(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("grouped_density")
 def q_grouped_density(spark: SparkSession, sf: str) -> DataFrame:
-    """M4: a density curve per group (event value per event type)."""
+    """M4: a density curve per group on the range of all (event value per event type)."""
     from gridmeter.operators.stats import kernel_density
 
-    d = kernel_density(table(spark, sf, "events"), "value", by=["event_type"], adjust=1.0, n=512)
+    d = kernel_density(table(spark, sf, "events"), "value", by=["event_type"], domain="all")
     return d.select("event_type", "i", _r("x", 6), _r("density", 12))
 
 
+@register("density_ridges")
+def q_density_ridges(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: price per month with one bandwidth, ECDF and tail probability. Stand-in:
+    order value by month of the year."""
+    from gridmeter.functions.time import month_abbr
+    from gridmeter.operators.stats import density_ridges
+
+    o = table(spark, sf, "orders").select(month_abbr("o_orderdate").alias("month"), (F.col("o_totalprice") / F.lit(1000.0)).alias("price"))
+    d = density_ridges(o, "price", by=["month"])
+    return d.select("month", "i", _r("x", 6), _r("density", 12), _r("ndensity", 8), _r("ecdf", 8), _r("tail", 8))
+
+
+@register("density_ridges_hour")
+def q_density_ridges_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """M4 with a given bandwidth of 1: mean price per step by hour of the day."""
+    from gridmeter.functions.time import index_to_clock
+    from gridmeter.operators.stats import density_ridges
+
+    p = price_series(step_readings(spark, sf)).select(F.hour(index_to_clock("Time_Index", EVENT_GRID)).alias("hour"), F.round("price", 6).alias("price"))
+    d = density_ridges(p, "price", by=["hour"], bandwidth=1.0)
+    return d.select("hour", "i", _r("x", 6), _r("density", 10), _r("ecdf", 8), _r("tail", 8))
+
+
 @register("offset_from_first")
 def q_offset_from_first(spark: SparkSession, sf: str) -> DataFrame:
     """Minutes since each series' first reading (``Time - Time[1]``)."""

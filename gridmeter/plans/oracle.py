@@ -254,31 +254,78 @@ SELECT l_orderkey, l_linenumber, speed, round(least(one * 31.0, 139500.0), 4) AS
 """
 
 # --- statistics -------------------------------------------------------------------
-def _density_sql(source: str, adjust: float, n: int = 512) -> str:
-    """Linear binning + Gaussian convolution, as ``kernel_density``; ``source``
-    is a query yielding the values as ``v``."""
+_NRD0 = """0.9::DOUBLE * {adjust}::DOUBLE * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+             WHEN sd > 0 THEN sd WHEN abs(lo) > 0 THEN abs(lo) ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2)"""
+
+
+def _curve_sql(source: str, params: str, measures: str, group: str = "g", n: int = 512) -> str:
+    """Density curves from the definition of R's ``density`` (before 4.4): mass of
+    the values (``source``: g, v) split between the points of a 512-point grid that
+    reaches four bandwidths beyond the ends ``f`` and ``t``; at each grid point the
+    sum over all others of mass x normal density, where the kernel's points lie
+    2 (up - lo) / 1023 apart; linear between grid points. ``params`` are CTEs that
+    end in p0 (g, n, bw, f, t); ``measures`` are the output columns of z (g, i, x, y)."""
     return f"""
-WITH x AS (SELECT CAST(v AS DOUBLE) AS v FROM ({source}) WHERE v IS NOT NULL),
-st AS (SELECT count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
-              quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x),
-bw AS (SELECT n, lo, hi, {0.9 * adjust!r} * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
-                                     WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
-p AS (SELECT n, bw, lo - 3.0 * bw AS f, (hi - lo + 6.0 * bw) / {n - 1} AS d FROM bw),
-pos AS (SELECT (v - f) / d AS pos FROM x, p),
-b AS (SELECT CAST(floor(pos) AS INTEGER) AS j, 1.0 - (pos - floor(pos)) AS w FROM pos
-      UNION ALL SELECT CAST(floor(pos) AS INTEGER) + 1, pos - floor(pos) FROM pos),
-bins AS (SELECT j, sum(w) AS w FROM b WHERE j BETWEEN 0 AND {n - 1} GROUP BY j),
-g AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, {n})),
-z AS (SELECT i, j, w, n, bw, f, d, (i - j) * d / bw AS z FROM bins, g, p)
-SELECT i, round(f + i * d, 6) AS x,
-       round(sum(w * (exp(-0.5 * z * z) / sqrt(2 * pi()))) / (n * bw), 12) AS density
-FROM z GROUP BY i, f, d, n, bw
-"""
-
-
-SQL["kernel_density"] = _density_sql("SELECT c_acctbal AS v FROM customer", 1.0)
-SQL["dg_azimuth_density"] = _density_sql("SELECT c_acctbal / 20.0 AS v FROM customer", 0.05)
-SQL["dg_tilt_density"] = _density_sql("SELECT abs(c_acctbal) / 100.0 AS v FROM customer WHERE abs(c_acctbal) / 100.0 < 45", 1.0)
+WITH x AS (SELECT g, CAST(v AS DOUBLE) AS v FROM ({source}) WHERE v IS NOT NULL),
+st AS (SELECT g, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
+              quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY g),
+{params},
+p AS (SELECT *, f - 4 * bw AS lo, t + 4 * bw AS up FROM p0),
+mass AS (SELECT x.g, (v - lo) / ((up - lo) / 511) AS pos FROM x JOIN p ON p.g IS NOT DISTINCT FROM x.g),
+b AS (SELECT g, CAST(floor(pos) AS INTEGER) AS j, 1.0 - (pos - floor(pos)) AS w FROM mass
+      UNION ALL SELECT g, CAST(floor(pos) AS INTEGER) + 1, pos - floor(pos) FROM mass),
+bins AS (SELECT g, j, sum(w) AS w FROM b GROUP BY g, j),
+gr AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, 512)),
+c AS (SELECT bins.g, i, sum(w / n * exp(-0.5 * pow(abs(i - j) * (2 * (up - lo) / 1023) / bw, 2)) / (bw * sqrt(2 * pi()))) AS y
+      FROM bins JOIN p ON p.g IS NOT DISTINCT FROM bins.g, gr GROUP BY 1, 2),
+pt AS (SELECT g, i, f + i * ((t - f) / {n - 1}) AS x, lo, (up - lo) / 511 AS d FROM p, (SELECT CAST(range AS INTEGER) AS i FROM range(0, {n}))),
+z AS (SELECT pt.g, pt.i, pt.x, c0.y + (c1.y - c0.y) * ((pt.x - (lo + c0.i * d)) / d) AS y
+      FROM pt JOIN c c0 ON c0.g IS NOT DISTINCT FROM pt.g AND c0.i = CAST(least(floor((pt.x - lo) / d), 510) AS INTEGER)
+      JOIN c c1 ON c1.g IS NOT DISTINCT FROM pt.g AND c1.i = c0.i + 1)
+SELECT {measures.replace("$g", f"g AS {group}")} FROM z
+"""
+
+
+_PLAIN = "i, round(x, 6) AS x, round(y, 12) AS density"
+
+
+def _density_sql(source: str, adjust: float, reach: float) -> str:
+    """One curve, its points from ``reach`` bandwidths beyond the values on both sides."""
+    own = f"bw0 AS (SELECT *, {_NRD0.format(adjust=adjust)} AS bw FROM st), p0 AS (SELECT g, n, bw, lo - {reach} * bw AS f, hi + {reach} * bw AS t FROM bw0)"
+    return _curve_sql(f"SELECT 0 AS g, v FROM ({source})", own, _PLAIN)
+
+
+SQL["kernel_density"] = _density_sql("SELECT c_acctbal AS v FROM customer", 1.0, 3.0)
+SQL["dg_azimuth_density"] = _density_sql("SELECT c_acctbal / 20.0 AS v FROM customer", 0.05, 0.0)
+SQL["dg_tilt_density"] = _density_sql("SELECT abs(c_acctbal) / 100.0 AS v FROM customer WHERE abs(c_acctbal) / 100.0 < 45", 1.0, 0.0)
+SQL["grouped_density"] = _curve_sql(
+    "SELECT event_type AS g, value AS v FROM events",
+    f"p0 AS (SELECT g, n, {_NRD0.format(adjust=1.0)} AS bw, min(lo) OVER () AS f, max(hi) OVER () AS t FROM st)",
+    "$g, " + _PLAIN, "event_type",
+)
+
+# the integral up to a point: left sums over the points before it
+_RIDGE = """r AS (SELECT *, coalesce(sum(y * (x1 - x)) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS e
+     FROM (SELECT *, lead(x) OVER (PARTITION BY g ORDER BY i) AS x1, max(y) OVER (PARTITION BY g) AS top FROM z))"""
+
+
+def _ridge_sql(source: str, bandwidth: str, measures: str, group: str) -> str:
+    """Curves with one bandwidth, three bandwidths beyond the values of all groups."""
+    joint = f"""own AS (SELECT *, {_NRD0.format(adjust=1.0)} AS bw FROM st WHERE n > 1),
+j AS (SELECT {bandwidth} AS bw), r0 AS (SELECT min(lo) AS lo, max(hi) AS hi FROM st),
+p0 AS (SELECT g, n, bw, r0.lo - 3 * bw AS f, r0.hi + 3 * bw AS t FROM (SELECT g, n FROM st WHERE n > 2), j, r0)"""
+    sql = _curve_sql(source, joint, "", group)
+    return sql.replace("\nSELECT  FROM z\n", f",\n{_RIDGE}\nSELECT g AS {group}, {measures} FROM r\n")
+
+
+SQL["density_ridges"] = _ridge_sql(
+    "SELECT strftime(o_orderdate, '%b') AS g, o_totalprice / 1000.0 AS v FROM orders", "(SELECT avg(bw) FROM own)",
+    "i, round(x, 6) AS x, round(y, 12) AS density, round(y / top, 8) AS ndensity, round(e, 8) AS ecdf, round(0.5 - abs(0.5 - e), 8) AS tail", "month",
+)
+SQL["density_ridges_hour"] = _ridge_sql(
+    f"SELECT CAST(hour({_CLOCK}) AS INTEGER) AS g, round(price, 6) AS v FROM (SELECT date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 300000000 + 1 AS Time_Index, avg(value) AS price FROM events WHERE event_type = 'purchase' GROUP BY 1)",
+    "1.0::DOUBLE", "i, round(x, 6) AS x, round(y, 10) AS density, round(e, 8) AS ecdf, round(0.5 - abs(0.5 - e), 8) AS tail", "hour",
+)
 
 SQL["ecdf"] = """
 WITH c AS (SELECT o_orderpriority, o_totalprice, count(*) AS n_at FROM orders
@@ -556,24 +603,6 @@ SQL["multi_constraint_revenue"] = f"""WITH {_SYS}
 SELECT Resource, Zone, round(ESR_1, 2) AS ESR_1, round(ESR_2, 2) AS ESR_2, round(ESR_1 + ESR_2, 2) AS AnnualSum FROM sums
 """
 
-SQL["grouped_density"] = """
-WITH x AS (SELECT event_type AS g, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
-st AS (SELECT g, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi,
-              quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY g),
-bw AS (SELECT g, n, lo, hi, 0.9 * (CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
-                                      WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
-p AS (SELECT g, n, bw, lo - 3.0 * bw AS f, (hi - lo + 6.0 * bw) / 511 AS d FROM bw),
-pos AS (SELECT x.g, (v - f) / d AS pos FROM x JOIN p USING (g)),
-b AS (SELECT g, CAST(floor(pos) AS INTEGER) AS j, 1.0 - (pos - floor(pos)) AS w FROM pos
-      UNION ALL SELECT g, CAST(floor(pos) AS INTEGER) + 1, pos - floor(pos) FROM pos),
-bins AS (SELECT g, j, sum(w) AS w FROM b WHERE j BETWEEN 0 AND 511 GROUP BY g, j),
-gr AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, 512)),
-z AS (SELECT bins.g, i, j, w, n, bw, f, d, (i - j) * d / bw AS z FROM bins JOIN p USING (g), gr)
-SELECT g AS event_type, i, round(f + i * d, 6) AS x,
-       round(sum(w * (exp(-0.5 * z * z) / sqrt(2 * pi()))) / (n * bw), 12) AS density
-FROM z GROUP BY g, i, f, d, n, bw
-"""
-
 SQL["offset_from_first"] = """
 SELECT event_id, event_type,
        (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY event_type))) // 60000000 AS minutes

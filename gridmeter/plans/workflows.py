@@ -91,8 +91,8 @@ def dg_reports(sites: DataFrame, ratio: float = A.SERVICE_AREA_RATIO, train_afte
         "cumulative_by_orientation": by_o.select("date", "Orientation", "capacity_mw"),
         "cumulative_total": A.dg_cumulative(s, "date", "size_kw", "_row", ratio=ratio).select("date", "capacity_mw"),
         "orientation_summary": A.dg_orientation_summary(s, "azimuth", "size_kw", ratio=ratio),
-        "azimuth_density": kernel_density(s, "azimuth", adjust=0.05),
-        "tilt_density": kernel_density(s.where(F.col("tilt") < tilt_below), "tilt", adjust=1.0),
+        "azimuth_density": kernel_density(s, "azimuth", adjust=0.05, domain="data"),
+        "tilt_density": kernel_density(s.where(F.col("tilt") < tilt_below), "tilt", adjust=1.0, domain="data"),
     }
     out["projection"] = A.dg_projection(by_o, "date", "capacity_mw", "Orientation", train_after, at, label_at)
     return out
