@@ -33,11 +33,16 @@ def broadcast_small(df: DataFrame, limit: int) -> DataFrame:
 
 def join_groups(groups: DataFrame, more: DataFrame, keys: Sequence[str], cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Join two per-group tables (one row per group on both sides, so no key is
-    large). Without keys both have one row, and the second is read as a scalar
-    subquery."""
+    large). Null keys match each other. Without keys both have one row, and the
+    second is read as a scalar subquery."""
     keys, cols = list(keys), list(cols)
     if keys:
-        return groups.join(more.select(*keys, *cols), keys, how)
+        renamed = [f"_gm_a{i}" for i in range(len(keys))]
+        right, on = more.select(*[F.col(k).alias(r) for k, r in zip(keys, renamed, strict=True)], *cols), None
+        for k, r in zip(keys, renamed, strict=True):
+            same = F.col(f"`{k}`").eqNullSafe(F.col(r))
+            on = same if on is None else on & same
+        return groups.join(right, on, how).drop(*renamed)
     return attach(groups, more, keys, cols, how)
 
 
