@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmeter.functions.time import floor_time
+from gridmeter.operators.keys import attach
+from gridmeter.operators.windows import cumsum
 
 
 def month_hour_profile(df: DataFrame, ts: str, aggs: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
@@ -80,12 +82,27 @@ def semi_join_built(df: DataFrame, capacity: DataFrame, key: str | Sequence[str]
     return df.join(built, keys, "left_semi")
 
 
-def order_levels(df: DataFrame, col: str, levels: Sequence[str], rank: str = "level", reverse: bool = False) -> DataFrame:
-    """Explicit category order as a rank column (R ``factor(levels=...)``,
-    ``fct_rev``). Labels not in ``levels`` get a null rank and sort last;
-    unused levels never appear (``fct_drop``) because nothing is joined in."""
+def level_ranks(spark: SparkSession, levels: Sequence[str], reverse: bool = False) -> DataFrame:
+    """A dimension table (``_gm_level``, ``_gm_rank``) of names in order, from 1."""
     n = len(levels)
-    expr = F.lit(None).cast("int")
-    for i, lv in enumerate(levels, start=1):
-        expr = F.when(F.col(col) == lv, F.lit(n + 1 - i if reverse else i)).otherwise(expr)
-    return df.withColumn(rank, expr)
+    rows = [(lv, n - i if reverse else i + 1) for i, lv in enumerate(levels)]
+    return spark.createDataFrame(rows, "_gm_level string, _gm_rank int")
+
+
+def ranks_of(df: DataFrame, col: str) -> DataFrame:
+    """The dimension of a column's own names in order: distinct names, numbered by
+    the range-partitioned running count."""
+    names = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_gm_level")).distinct().withColumn("_gm_one", F.lit(1))
+    ranked = cumsum(names, "_gm_one", order=["_gm_level"], out="_gm_rank")
+    return ranked.select("_gm_level", F.col("_gm_rank").cast("int").alias("_gm_rank"))
+
+
+def order_levels(df: DataFrame, col: str, levels: Sequence[str] | DataFrame, rank: str = "level", reverse: bool = False) -> DataFrame:
+    """Explicit category order as a rank column (R ``factor(levels=...)``,
+    ``fct_rev``), joined in from a dimension of any number of names: a list, or a
+    table of ``ranks_of``. Labels not in ``levels`` get a null rank and sort last;
+    unused levels never appear (``fct_drop``), as no row of ``df`` is added."""
+    dim = levels if isinstance(levels, DataFrame) else level_ranks(df.sparkSession, levels, reverse)
+    dim = dim.select(F.col("_gm_level").alias(col), F.col("_gm_rank").alias("_gm_r"))
+    # the names are the larger side only if they are many: then the join is salted
+    return attach(df, dim, [col], ["_gm_r"], how="left").withColumnRenamed("_gm_r", rank)

@@ -1,18 +1,24 @@
 """Turbine power curve lookup (T7, re-aimed from the wind-farm simulator).
 
-The curve is a short literal (30 points), so the lookup is an array
-expression on every row: count the knots at or below the speed, read the two
-neighbouring knots, interpolate. No join and nothing broadcast beyond the
-literal itself.
+One curve is a short literal (30 points), so its lookup is an array expression
+on every row: count the knots at or below the speed, read the two neighbouring
+knots, interpolate. No join and nothing broadcast beyond the literal itself.
+
+Curves of many turbine types are a table of knots. Its lookup is a range join:
+between two neighbouring knots lies a segment, segments and speeds are cut into
+buckets, and a speed meets the few segments of its type and bucket by an equi-join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmeter.operators.keys import BROADCAST_GROUPS, SALTS, attach
+from gridmeter.session import checkpoint_dir
+
 # Fixed values of the study's turbine template: wind speed (m/s) knots and
 # the turbine's output (kW) at each knot; farm of 31 turbines, 139,500 kW
 # system capacity in the template (the wind script runs it at 143,000 kW);
@@ -82,3 +88,52 @@ def power_curve(df: DataFrame, speed: str, turbines: int = TURBINES, cap_kw: flo
         farm = farm * F.lit(loss_factor(losses))
     # ``least`` skips nulls: keep a missing speed missing instead of reading the cap
     return df.withColumn(out, F.when(farm.isNull(), None).otherwise(F.least(farm, F.lit(float(cap_kw))))).drop("_gm_knot")
+
+
+def curve_segments(curves: DataFrame, by: Sequence[str], speed: str, kw: str, width: float) -> DataFrame:
+    """The pieces of curves between neighbouring knots, a row per bucket that a
+    piece touches: ``by``, ``_gm_b``, ends ``_gm_x0`` and ``_gm_x1``, outputs there
+    ``_gm_y0`` and ``_gm_y1``. The last knot is a piece of its own, without end.
+    Windows hold one curve's knots."""
+    w = Window.partitionBy(*by).orderBy(speed)
+    x, y = F.col(speed).cast("double"), F.col(kw).cast("double")
+    seg = curves.select(*by, x.alias("_gm_x0"), y.alias("_gm_y0"), F.lead(x).over(w).alias("_gm_x1"), F.lead(y).over(w).alias("_gm_y1"))
+    bucket = lambda c: F.floor(c / F.lit(float(width))).cast("long")
+    return seg.withColumn("_gm_b", F.explode(F.sequence(bucket(F.col("_gm_x0")), bucket(F.coalesce("_gm_x1", "_gm_x0")))))
+
+
+def curve_lookup(df: DataFrame, curves: DataFrame, by: Sequence[str], speed: str, curve_speed: str = "speed", curve_kw: str = "kw",
+                 width: float = 1.0, out: str = "kw", broadcast_rows: int = BROADCAST_GROUPS, salts: int = SALTS) -> DataFrame:
+    """T7 for a table of curves (``by``, ``curve_speed``, ``curve_kw``; knots of a
+    curve differ): ``df`` with ``out``, linear between the knots of the row's
+    curve, 0 outside them; null without a speed or without a curve.
+
+    ``width`` is a bucket's, best about the distance of knots: a row meets the
+    pieces of its curve that touch its bucket. Pieces are counted: up to
+    ``broadcast_rows`` are broadcast, so ``df`` doesn't move; more are repeated for
+    ``salts`` parts, into which rows are dealt, so that one type may hold a third of
+    the rows."""
+    by = list(by)
+    checkpoint_dir(df.sparkSession)
+    pieces = curve_segments(curves, by, curve_speed, curve_kw, width).checkpoint(eager=True)
+    known = curves.select(*by).distinct().withColumn("_gm_known", F.lit(True))
+    rows = attach(df, known, by, ["_gm_known"], how="left")
+    rows = rows.withColumn("_gm_s", F.col(speed).cast("double")).withColumn("_gm_rb", F.floor(F.col("_gm_s") / F.lit(float(width))).cast("long"))
+    renamed = {k: f"_gm_c{i}" for i, k in enumerate(by)}
+    right = pieces.withColumnsRenamed(renamed)
+    if pieces.count() <= broadcast_rows:
+        right = F.broadcast(right)
+        on = F.col("_gm_rb") == F.col("_gm_b")
+    else:
+        # the part is fixed by the row, so a task that runs again deals the same rows
+        rows = rows.withColumn("_gm_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
+        right = right.withColumn("_gm_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        on = (F.col("_gm_rb") == F.col("_gm_b")) & (F.col("_gm_part") == F.col("_gm_salt"))
+    for k, r in renamed.items():
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(r))
+    s, x0, x1 = F.col("_gm_s"), F.col("_gm_x0"), F.col("_gm_x1")
+    on = on & (s >= x0) & ((s < x1) | (x1.isNull() & (s == x0)))
+    y0, y1 = F.col("_gm_y0"), F.col("_gm_y1")
+    inside = F.when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
+    value = F.when(F.col("_gm_known").isNull() | s.isNull(), None).otherwise(F.coalesce(inside, F.lit(0.0)))
+    return rows.join(right, on, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != out], value.alias(out))

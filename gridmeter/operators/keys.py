@@ -17,12 +17,14 @@ SALTS = 64
 
 
 def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """``df``, or an error if a key has several rows: a join on it would
-    multiply what it settles."""
-    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gm_n")).where("_gm_n > 1").limit(1).collect()
-    if again:
-        raise ValueError(f"{what} has several rows for {again[0].asDict()}")
-    return df
+    """``df`` grouped by its keys; a key with several rows stops the query, as a
+    join on it would multiply what it settles. The check is a part of the plan:
+    it starts no job, and the join that follows uses its grouping."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gm_n"), *[F.first(F.col(f"`{c}`")).alias(c) for c in rest])
+    told = F.raise_error(F.concat(F.lit(f"{what} has several rows for "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return once.where(F.when(F.col("_gm_n") == 1, F.lit(True)).otherwise(told)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def broadcast_small(df: DataFrame, limit: int) -> DataFrame:

@@ -87,15 +87,16 @@ def capacity_balance(cap: DataFrame) -> DataFrame:
 
 def capacity_factor(energy: DataFrame, capacity: DataFrame, hours: float, storage: DataFrame | None = None,
                     key: Key = "Resource") -> DataFrame:
-    """AnnualSum / (Capacity x hours); 0 for storage and for zero capacity."""
+    """AnnualSum / (Capacity x hours); 0 for storage and for zero capacity,
+    null for a resource without a capacity row."""
     k = _keys(key)
-    j = energy.join(capacity.select(*k, F.col("EndCap").alias("Capacity")), k, "inner")
+    j = energy.join(capacity.select(*k, F.col("EndCap").alias("Capacity")), k, "left")
     if storage is not None:
         j = j.join(storage.select(*k, F.lit(True).alias("_gm_stor")), k, "left")
         is_stor = F.coalesce(F.col("_gm_stor"), F.lit(False))
     else:
         is_stor = F.lit(False)
-    cf = F.when(is_stor | (F.col("Capacity") <= 0), F.lit(0.0)).otherwise(
+    cf = F.when(F.col("Capacity").isNull(), None).when(is_stor | (F.col("Capacity") <= 0), F.lit(0.0)).otherwise(
         F.col("AnnualSum") / (F.col("Capacity") * F.lit(float(hours)))
     )
     return j.select(*k, "AnnualSum", "Capacity", cf.alias("CapacityFactor"))

@@ -258,7 +258,7 @@ def q_pivot_wider(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.reshape import pivot_wider
 
     li = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"))
-    return pivot_wider(li, ["l_returnflag"], "l_linestatus", "qty", names=["F", "O"])
+    return pivot_wider(li, ["l_returnflag"], "l_linestatus", "qty", names=_names(table(spark, sf, "lineitem"), "l_linestatus"))
 
 
 # --- fleets and curves ------------------------------------------------------------
@@ -350,16 +350,14 @@ def q_annual_sum(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.plans.system import KEY
 
     s = _sys(spark, sf)
-    weights = s.steps.select("Time_Index", "weight").distinct()
-    return annual_sum(s.steps.drop("weight"), weights, KEY).select(*KEY, _r("AnnualSum", 2))
+    return annual_sum(s.values, s.horizon, KEY).select(*KEY, _r("AnnualSum", 2))
 
 
 def _settled(s, quantity: str) -> DataFrame:
     from gridmeter.operators.settlement import settle
     from gridmeter.plans.system import KEY
 
-    weights = s.steps.select("Time_Index", "weight").distinct()
-    return settle(s.steps.select("Time_Index", *KEY, quantity), s.price, weights, KEY, value=quantity).select(*KEY, _r("AnnualSum", 2))
+    return settle(s.values.select("Time_Index", *KEY, quantity), s.price, s.horizon, KEY, value=quantity).select(*KEY, _r("AnnualSum", 2))
 
 
 @register("charging_cost")
@@ -419,7 +417,7 @@ def q_cost_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
     s = _sys(spark, sf)
     nse = _nse(s)
-    out = cost_rollup(_net_revenue(s), extra={"cNSE": unserved_energy_cost(nse, _horizon(s), _penalty())})
+    out = cost_rollup(_net_revenue(s), extra={"cNSE": unserved_energy_cost(nse, s.horizon, _penalty())})
     return out.select("Costs", _r("Total", 2))
 
 
@@ -429,10 +427,6 @@ def _penalty():
     return NSE_PENALTY
 
 
-def _horizon(s):
-    return s.steps.select("Time_Index", "weight").distinct()
-
-
 def _nse(s):
     from gridmeter.plans.system import NSE_ABOVE
 
@@ -445,7 +439,7 @@ def q_unserved_energy_cost(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.operators.settlement import unserved_energy_cost
 
     s = _sys(spark, sf)
-    return unserved_energy_cost(_nse(s), _horizon(s), _penalty()).select(_r("value", 2))
+    return unserved_energy_cost(_nse(s), s.horizon, _penalty()).select(_r("value", 2))
 
 
 @register("installed_capacity")
@@ -731,8 +725,9 @@ def q_rollup_zone_pivot(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(
         "l_returnflag", "l_linestatus", F.col("l_extendedprice").cast("decimal(18,2)").alias("v")
     )
-    out = rollup_zone_pivot(li, "l_returnflag", "l_linestatus", "v", ["F", "O"])
-    return out.select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in ("Total", "F", "O")])
+    zones = _names(li, "l_linestatus")
+    out = rollup_zone_pivot(li, "l_returnflag", "l_linestatus", "v", zones)
+    return out.select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in ("Total", *zones)])
 
 
 PROFILES = ["Load", SOLAR_TYPE, WIND_TYPE]
@@ -966,10 +961,11 @@ def q_run_tree(spark: SparkSession, sf: str) -> DataFrame:
     from gridmeter.sources.results import scan_run_tree
 
     path, res = _scratch(spark, "run_tree"), resource_series(step_readings(spark, sf))
-    for sim, types in (("sim 1 - a", ["click", "error"]), ("sim2", ["view", "click", "purchase", "signup"])):
+    found = _names(res, "Resource")  # the first two, and all but the first
+    for sim, types in (("sim 1 - a", found[:2]), ("sim2", found[1:])):
         wide = res.groupBy("Time_Index").pivot("Resource", types).agg(F.first("value"))
         label = F.concat(F.lit("t"), F.col("Time_Index").cast("string")).alias("Resource")
-        write_csv(wide.select(label, *[F.col(t).cast("string") for t in types]), f"{path}/{sim}/Results_1", single_file=True)
+        write_csv(wide.select(label, *[F.col(t).cast("string") for t in types]), f"{path}/{sim}/Results_1")
     long = scan_run_tree(spark, path, "*.csv").where(F.col("value").isNotNull())
     return long.select("sim", "run", "Time_Index", F.col("name").alias("Resource"), _r("value"))
 
@@ -1045,3 +1041,267 @@ def q_two_arrays_to_rows(spark: SparkSession, sf: str) -> DataFrame:
 
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("mirror"))
     return matrix_to_rows(e, ["embedding", "mirror"], index="pos").select("vec_id", "pos", "embedding", "mirror")
+
+
+@register("curve_lookup")
+def q_curve_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """T7 with a table of curves. Stand-in: every part is a turbine type, whose knots
+    are stretched by its key and whose outputs scale with its price; quantities are
+    wind speeds."""
+    from gridmeter.operators.curves import CURVE_KW, CURVE_SPEEDS, curve_lookup
+    from gridmeter.operators.reshape import matrix_to_rows
+
+    part = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    base = part.withColumns({"speed": F.array(*[F.lit(float(x)) for x in CURVE_SPEEDS]), "kw": F.array(*[F.lit(float(y)) for y in CURVE_KW])})
+    knots = matrix_to_rows(base, ["speed", "kw"]).select(
+        F.col("p_partkey").alias("l_partkey"),
+        (F.col("speed") * (F.lit(0.8) + (F.col("p_partkey") % 5) * F.lit(0.1))).alias("speed"),
+        (F.col("kw") * F.col("p_retailprice") / F.lit(1000.0)).alias("kw"),
+    )
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("l_quantity"))
+    return curve_lookup(li, knots, ["l_partkey"], "l_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", _half_up("kw", 4))
+
+
+@register("order_levels")
+def q_order_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """As many names as there are orders, ranked in the order of the alphabet."""
+    from gridmeter.operators.aggregates import order_levels, ranks_of
+
+    o = table(spark, sf, "orders").select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), "o_totalprice")
+    return order_levels(o, "name", ranks_of(o, "name"), rank="level")
+
+
+@register("capacity_changes")
+def q_capacity_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Q12: start, retired and new capacity of built resources, in the chart's order."""
+    from gridmeter.operators.aggregates import order_levels
+
+    cap = _sys(spark, sf).capacity.where(F.col("EndCap") > 0)
+    parts = cap.unpivot(["Resource", "Zone"], ["StartCap", "RetCap", "NewCap"], "Measure", "MW")
+    ordered = order_levels(parts, "Resource", ["view", "click", "signup", "purchase", "error"], rank="level")
+    return ordered.select("Resource", "Zone", "Measure", _r("MW", 4), "level")
+
+
+@register("energy_capacity")
+def q_energy_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    """Q12: energy capacity of resources that have one, last level first."""
+    from gridmeter.operators.aggregates import order_levels
+
+    cap = _sys(spark, sf).capacity.where(F.col("EndEnergyCap") > 0).groupBy("Resource").agg(F.sum("EndEnergyCap").alias("EndEnergyCap"))
+    return order_levels(cap, "Resource", ["purchase", "error"], rank="level", reverse=True).select("Resource", _r("EndEnergyCap", 4), "level")
+
+
+@register("extreme_periods_zone")
+def q_extreme_periods_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 as the settings have it: the load's peak over all zones, and for each zone
+    the periods with the least sun and wind."""
+    from gridmeter.operators.periods import ExtremeRule, extreme_periods
+
+    long = _sys(spark, sf).values.select("Time_Index", "Zone", "Resource", "value")
+    load = long.groupBy("Time_Index", "Zone").agg(F.sum("value").alias("value")).withColumn("Resource", F.lit("Load"))
+    rules = [
+        ExtremeRule("load_absolute_max", "Load", "Absolute", "Max"),
+        ExtremeRule("pv_integral_min", SOLAR_TYPE, "Integral", "Min", scope="Zone"),
+        ExtremeRule("wind_integral_min", WIND_TYPE, "Integral", "Min", scope="Zone"),
+    ]
+    out = extreme_periods(long.unionByName(load), "Time_Index", "Resource", "value", EVENT_GRID.steps_per_period, rules, zone="Zone")
+    return out.select("rule", "Zone", "Period_Index")
+
+
+@register("literal_scenarios")
+def q_literal_scenarios(spark: SparkSession, sf: str) -> DataFrame:
+    """Every combination of given statuses and dates, with the value of the
+    orders of that status up to that date (none: null)."""
+    from gridmeter.sources.generate import literal_product
+
+    points = literal_product(spark, o_orderstatus=["F", "O", "P", "none"], until=["1995-01-01", "1999-01-01"])
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    both = points.join(o, "o_orderstatus", "left").where("o_orderdate is null or o_orderdate <= cast(until as date)")
+    sums = both.groupBy("o_orderstatus", "until").agg(F.sum("v").cast("double").alias("total"))
+    return points.join(sums, ["o_orderstatus", "until"], "left")
+
+
+@register("date_text_compare")
+def q_date_text_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates as text, compared as text."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("approved"))
+    return o.where(F.col("approved") > F.lit("1996-12-31"))
+
+
+@register("ordered_roundtrip")
+def q_ordered_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: orders written in the order of date and key, and read back with each
+    row's place in that order."""
+    from gridmeter.sources.csv import read_ordered_csv, write_ordered_csv
+
+    path = _scratch(spark, "ordered")
+    o = table(spark, sf, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderkey", "o_totalprice")
+    write_ordered_csv(o, path, ["o_orderdate", "o_orderkey"])
+    return read_ordered_csv(spark, path, {"o_orderkey": "long", "o_totalprice": "double"}).select("row", "o_orderkey", "o_totalprice")
+
+
+@register("profile_file_to_grid")
+def q_profile_file_to_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """An hourly profile file, put on the 5-minute grid and written
+    in time order; the file read back."""
+    from gridmeter.plans.workflows import TS_FORMAT, interpolate_file
+    from gridmeter.sources.csv import read_ordered_csv, write_csv
+
+    path = _scratch(spark, "profile")
+    h = _hourly_by_type(spark, sf)
+    types = _names(h, "event_type")
+    wide = h.groupBy("ts").pivot("event_type", types).agg(F.first("value"))
+    write_csv(wide.select(F.date_format("ts", TS_FORMAT).alias("Datetime"), *types), f"{path}/hourly")
+    interpolate_file(spark, f"{path}/hourly", f"{path}/grid")
+    back = read_ordered_csv(spark, f"{path}/grid", {"Datetime": "timestamp", **{t: "double" for t in types}}, TS_FORMAT)
+    return back.select("row", "Datetime", *[_half_up(t, 7) for t in types])
+
+
+@register("net_load_files")
+def q_net_load_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6 from files: provided load, DG output and the wide EV day profile, written
+    from the readings."""
+    from gridmeter.functions.time import index_to_clock
+    from gridmeter.plans.tables import DG_TYPE, typed_series
+    from gridmeter.plans.workflows import TS_FORMAT, net_load_from_files
+    from gridmeter.sources.csv import write_csv
+
+    path, st = _scratch(spark, "net_load"), step_readings(spark, sf)
+    stamp = F.date_format(index_to_clock("Time_Index", EVENT_GRID), TS_FORMAT)
+    write_csv(load_series(st).select(stamp.alias("Datetime"), F.col("Load").alias("Load (MW)")), f"{path}/load")
+    write_csv(typed_series(st, DG_TYPE, "Gen").select(stamp.alias("Datetime"), "Gen"), f"{path}/dg")
+    wide = _ev_profile(st).groupBy("Time").pivot("Weekday", [True, False]).agg(F.first("EV_load"))
+    # a minute that one day type lacks is empty there: its steps keep their load, with no EV load
+    clock = F.date_format(F.timestamp_add("MINUTE", F.col("Time"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), TS_FORMAT)
+    write_csv(wide.select(clock.alias("Time"), F.col("true").alias("Weekday"), F.col("false").alias("Weekend")), f"{path}/ev")
+    out = net_load_from_files(spark, f"{path}/load", f"{path}/dg", f"{path}/ev", year=2024)
+    return out.select("Datetime", _r("Load"), _r("Gen"), _r("EV_load", 10), _r("net_load", 6))
+
+
+@register("site_list")
+def q_site_list(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: a site list whose header names have blanks and brackets, by position."""
+    from gridmeter.sources.csv import read_by_position, write_csv
+
+    path = _scratch(spark, "sites")
+    s = table(spark, sf, "supplier")
+    write_csv(s.select(F.col("s_name").alias("PV Generator Name"), F.col("s_suppkey").cast("string").alias(" Capacity (kW) "),
+                       F.round(F.col("s_acctbal") / 100, 4).alias("Lat"), F.lit("n/a").alias("Lon")), path)
+    return read_by_position(spark, path, {0: ("site", "string"), 1: ("capacity_kw", "int"), 2: ("lat", "double"), 3: ("lon", "double")})
+
+
+@register("side_by_side")
+def q_side_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    """One file with a weekday and a weekend table beside each other, split
+    by an empty column, as one long table."""
+    from gridmeter.functions.time import index_to_clock, minute_of_day, weekday_flag
+    from gridmeter.plans.tables import EV_TYPE, typed_series
+    from gridmeter.sources.csv import read_side_by_side, write_csv
+
+    path = _scratch(spark, "side_by_side")
+    c = typed_series(step_readings(spark, sf), EV_TYPE, "ev").withColumn("clock", index_to_clock("Time_Index", EVENT_GRID))
+    exact_mean = F.sum(F.col("ev").cast("decimal(30,2)")).cast("double") / F.count("ev")
+    prof = c.withColumn("flag", weekday_flag("clock")).groupBy(minute_of_day("clock").alias("Time")).pivot("flag", [True, False]).agg(exact_mean)
+    write_csv(prof.select(F.col("Time").alias("Time"), F.col("true").alias("total"), F.lit(None).cast("string").alias(" "),
+                          F.col("Time").alias("Time "), F.col("false").alias("total ")), path)
+    blocks = [("Weekday", {0: ("Time", "int"), 1: ("total", "double")}), ("Weekend", {3: ("Time", "int"), 4: ("total", "double")})]
+    long = read_side_by_side(spark, path, blocks, label="day").where("total is not null")
+    return long.select("Time", _half_up("total", 4), "day")
+
+
+@register("dg_sites_file")
+def q_dg_sites_file(spark: SparkSession, sf: str) -> DataFrame:
+    """An interconnection list with base-R names; azimuths that are no
+    numbers become null."""
+    from gridmeter.plans.workflows import read_dg_sites
+    from gridmeter.sources.csv import write_csv
+
+    path = _scratch(spark, "dg_sites")
+    o = table(spark, sf, "orders")
+    write_csv(o.select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("App Approved Date"), F.when(F.col("o_orderstatus") == "F", "Solar").otherwise("Wind").alias("Technology Type"),
+        F.when(F.col("o_orderkey") % 3 == 0, "unknown").otherwise((F.col("o_orderkey") % 360).cast("string")).alias("Azimuth"),
+        (F.col("o_orderkey") % 60).cast("string").alias("Tilt"), F.col("o_totalprice").cast("string").alias("System Size AC"), F.col("o_orderkey").alias("2nd key"),
+    ), path)
+    out = read_dg_sites(spark, path, after="1994-12-31", tie=["X2nd.key"])
+    return out.select(F.get_json_object("_row", "$['X2nd.key']").cast("long").alias("o_orderkey"), "date", "azimuth", "tilt", "size_kw")
+
+
+@register("templates")
+def q_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON template per nation, with different keys and ragged arrays, as rows."""
+    from gridmeter.sources.results import scan_templates
+
+    path = _scratch(spark, "templates")
+    s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(
+        F.sort_array(F.collect_list("s_suppkey")).alias("keys"), F.max("s_acctbal").alias("most"), F.count(F.lit(1)).alias("n"))
+    even = F.col("s_nationkey") % 2 == 0
+    pairs = F.transform("keys", lambda k: F.slice("keys", 1, (k % 3 + 1).cast("int")))
+    text = F.to_json(F.struct(
+        F.lit(2).alias("number_inputs"), F.col("s_nationkey").alias("nation"), F.when(even, F.col("most")).alias("most"),
+        F.when(~even, F.col("keys")).alias("keys"), F.when(even, pairs).alias("rows"), F.when(even, F.lit("even")).alias("kind"),
+    ))  # null fields are left out: templates have unequal keys
+    s.select(F.col("s_nationkey").cast("string").alias("nation"), text.alias("value")).write.partitionBy("nation").text(path)
+    rows = scan_templates(spark, f"{path}/*/*.txt")
+    nation = F.regexp_extract("file", r"nation=([^/]+)/", 1).cast("int")
+    return rows.select(nation.alias("nation"), "key", "i", "j", "number", F.when(F.col("number").isNull(), F.col("text")).alias("text"))
+
+
+def _write_case(spark: SparkSession, sf: str, path: str) -> None:
+    """A case folder of a reduced run: the horizon's load, and result files on the
+    reduced index of the period map (every day stands for one of the first seven)."""
+    from gridmeter.operators.periods import reduced_series
+    from gridmeter.plans.tables import charge_series
+    from gridmeter.sources.csv import write_csv
+
+    st, steps = step_readings(spark, sf), EVENT_GRID.steps_per_period
+    pmap = fixed_period_map(load_series(st), steps)
+    short = lambda d: reduced_series(d, pmap, steps)
+    label = F.concat(F.lit("t"), F.col("Time_Index").cast("string"))
+    types = _names(st, "event_type")
+
+    def wide(long: DataFrame, name: str) -> None:
+        w = short(long).groupBy("Time_Index").pivot("Resource", types).agg(F.first("value"))
+        write_csv(w.select(label.alias("Resource"), *types), f"{path}/Results/{name}.csv")
+
+    write_csv(load_series(st).select("Time_Index", F.col("Load").alias("Load_MW_z1")), f"{path}/Load_data.csv")
+    write_csv(pmap, f"{path}/TDR_Results/Period_map.csv")
+    write_csv(short(price_series(st)).select(label.alias("Zone"), F.col("price").alias("1")), f"{path}/Results/prices.csv")
+    write_csv(short(scarcity_series(st)).select(label.alias("Constraint"), F.col("shdw").alias("CapRes_1")), f"{path}/Results/ReserveMargin_w.csv")
+    for name in ("power", "curtail", "storage"):
+        wide(resource_series(st), name)
+    wide(charge_series(st), "charge")
+    s = _sys(spark, sf)
+    cap = s.capacity.groupBy("Resource").agg(*[F.sum(c).alias(c) for c in s.capacity.columns if c not in ("Resource", "Zone")])
+    write_csv(cap.withColumn("Zone", F.lit("1")), f"{path}/Results/capacity.csv")
+    net = _net_revenue(s)
+    write_csv(net.groupBy("Resource").agg(*[F.sum(c).alias(c) for c in net.columns if c not in ("Resource", "Zone", "no_capacity")]), f"{path}/Results/NetRevenue.csv")
+
+
+def _case_report(spark: SparkSession, sf: str, name: str, **options) -> DataFrame:
+    from gridmeter.plans.study import read_case, reports
+
+    path = _scratch(spark, "case")
+    _write_case(spark, sf, path)
+    return reports(read_case(spark, path), EVENT_GRID, show_period=SHOW_PERIOD, **options)[name]
+
+
+@register("case_demand_price")
+def q_case_demand_price(spark: SparkSession, sf: str) -> DataFrame:
+    """Q19 from a case folder's files, of a reduced run put back on the horizon."""
+    out = _case_report(spark, sf, "demand_price_summary")
+    return out.select("month", "hour", _r("demand"), _r("price"), _r("scarcity"))
+
+
+@register("case_curtailment")
+def q_case_curtailment(spark: SparkSession, sf: str) -> DataFrame:
+    """Q22 from a case folder's files, of a reduced run put back on the horizon."""
+    out = _case_report(spark, sf, "curtailment_by_month_hour", wind=(WIND_TYPE,), solar=(SOLAR_TYPE,))
+    return out.select("month", "hour", _r("total"), _r("wind"), _r("solar"))
+
+
+@register("case_dispatch_week")
+def q_case_dispatch_week(spark: SparkSession, sf: str) -> DataFrame:
+    """Q14 from a case folder's files: a bin under its representative's clock."""
+    out = _case_report(spark, sf, "dispatch_week").where("net is not null")  # a wide file has a cell for every resource and step
+    return out.select("Time_Index", "clock", "Resource", _r("net"))

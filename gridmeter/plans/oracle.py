@@ -625,11 +625,10 @@ SELECT CAST(m - m0 AS INTEGER) AS Time, Weekday, floor(EV_load * 10000.0 + 0.5)
 
 
 # --- file readers ---------------------------------------------------------------
-SQL["run_tree"] = f"""WITH {_EV}
-SELECT 'sim 1 - a' AS sim, 'Results_1' AS run, Time_Index, Resource, round(value, 4) AS value FROM res
-WHERE Resource IN ('click', 'error')
-UNION ALL SELECT 'sim2', 'Results_1', Time_Index, Resource, round(value, 4) FROM res
-WHERE Resource IN ('view', 'click', 'purchase', 'signup')
+SQL["run_tree"] = f"""WITH {_EV},
+n AS (SELECT *, dense_rank() OVER (ORDER BY Resource) AS i FROM res)
+SELECT 'sim 1 - a' AS sim, 'Results_1' AS run, Time_Index, Resource, round(value, 4) AS value FROM n WHERE i <= 2
+UNION ALL SELECT 'sim2', 'Results_1', Time_Index, Resource, round(value, 4) FROM n WHERE i >= 2
 """
 SQL["csv_roundtrip"] = """
 SELECT o_orderkey, date_trunc('minute', o_orderdate) AS o_orderdate, o_totalprice,
@@ -732,3 +731,121 @@ m AS (SELECT p, rep FROM mem WHERE k = (SELECT k FROM pick) UNION ALL SELECT p,
 num AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM (SELECT DISTINCT rep FROM m))
 SELECT p AS Period_Index, rep AS Rep_Period, CAST(i AS INTEGER) AS Rep_Period_Index FROM m JOIN num USING (rep)
 """
+
+SQL["extreme_periods_zone"] = f"""WITH {_SYS},
+zl AS (SELECT Time_Index, (Time_Index - 1) // 288 + 1 AS p, sum(value) AS v FROM zres GROUP BY 1, 2),
+pl AS (SELECT p, max(v) AS v FROM zl GROUP BY p),
+pz AS (SELECT Zone, Resource, (Time_Index - 1) // 288 + 1 AS p, sum(value) AS v FROM zres WHERE Resource IN ('view', 'click') GROUP BY 1, 2, 3)
+SELECT 'load_absolute_max' AS rule, CAST(NULL AS VARCHAR) AS Zone, (SELECT p FROM pl ORDER BY v DESC, p LIMIT 1) AS Period_Index
+UNION ALL SELECT CASE Resource WHEN 'view' THEN 'pv_integral_min' ELSE 'wind_integral_min' END, Zone, arg_min(p, struct_pack(v := v, p := p))
+FROM pz GROUP BY Resource, Zone
+"""
+
+# --- curves and levels --------------------------------------------------------------
+SQL["curve_lookup"] = """
+WITH k(x, y) AS (VALUES (1,0),(2,0),(3,0),(4,222),(5,444),(6,777),(7,1206),(8,1857),(9,2603),(10,3460),
+  (11,4158),(12,4412),(13,4500),(14,4500),(15,4500),(16,4500),(17,4500),(18,4500),(19,4380),(20,4238),
+  (21,4063),(22,3873),(23,3666),(24,3444),(25,3285),(26,3047),(27,2857),(28,0),(29,0),(30,0)),
+c AS (SELECT p_partkey, CAST(x AS DOUBLE) * (0.8::DOUBLE + (p_partkey % 5) * 0.1::DOUBLE) AS x0,
+             CAST(y AS DOUBLE) * CAST(p_retailprice AS DOUBLE) / 1000.0::DOUBLE AS y0 FROM part, k),
+seg AS (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM c WINDOW w AS (PARTITION BY p_partkey ORDER BY x0)),
+li AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, s AS l_quantity,
+       CASE WHEN l_partkey NOT IN (SELECT p_partkey FROM part) THEN NULL
+            ELSE floor(coalesce(CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (y1 - y0) * (s - x0) / (x1 - x0) END, 0.0) * 10000.0 + 0.5) / 10000.0 END AS kw
+FROM li LEFT JOIN seg ON l_partkey = p_partkey AND s >= x0 AND (s < x1 OR (x1 IS NULL AND s = x0))
+"""
+SQL["order_levels"] = """
+SELECT 'order ' || o_orderkey AS name, o_totalprice, CAST(row_number() OVER (ORDER BY 'order ' || o_orderkey) AS INTEGER) AS level FROM orders
+"""
+_LEVEL = "CASE Resource WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 WHEN 'error' THEN 5 END"
+SQL["capacity_changes"] = f"""WITH {_SYS},
+l AS (UNPIVOT (SELECT Resource, Zone, StartCap, RetCap, NewCap FROM cap WHERE EndCap > 0) ON StartCap, RetCap, NewCap INTO NAME Measure VALUE MW)
+SELECT Resource, Zone, Measure, round(MW, 4) AS MW, {_LEVEL} AS level FROM l
+"""
+SQL["energy_capacity"] = f"""WITH {_SYS}
+SELECT Resource, round(sum(EndEnergyCap), 4) AS EndEnergyCap, CASE Resource WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 END AS level
+FROM cap WHERE EndEnergyCap > 0 GROUP BY Resource
+"""
+SQL["literal_scenarios"] = """
+SELECT s AS o_orderstatus, d AS until, (SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) FROM orders
+  WHERE o_orderstatus = s AND o_orderdate <= CAST(d AS DATE)) AS total
+FROM (VALUES ('F'), ('O'), ('P'), ('none')) a(s), (VALUES ('1995-01-01'), ('1999-01-01')) b(d)
+"""
+SQL["date_text_compare"] = """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS approved FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1996-12-31'
+"""
+
+# --- files in order, workflows over files ---------------------------------------------
+SQL["ordered_roundtrip"] = """
+SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row, o_orderkey, o_totalprice FROM orders
+"""
+_TYPES = ("click", "error", "purchase", "signup", "view")
+SQL["profile_file_to_grid"] = f"""
+WITH g AS ({SQL["interpolate_linear"]})
+SELECT row_number() OVER (ORDER BY ts) - 1 AS row, ts AS Datetime,
+       {", ".join(f"first(value) FILTER (WHERE event_type = '{t}') AS {t}" for t in _TYPES)}
+FROM g GROUP BY ts
+"""
+# the file's day profile has a row per minute that any day type has, counted from the first
+_PROFILE = "         FROM evs GROUP BY 1, 2),\n"
+SQL["net_load_files"] = SQL["net_load_5min"].replace("prof AS (", "prof0 AS (").replace(_PROFILE, _PROFILE + """prof AS (SELECT Time - (SELECT min(Time) FROM prof0) AS Time, w.Weekday, EV_load
+         FROM (SELECT DISTINCT Time FROM prof0) CROSS JOIN (VALUES (true), (false)) w(Weekday) LEFT JOIN prof0 USING (Time, Weekday)),
+""")
+SQL["site_list"] = """
+SELECT s_name AS site, CAST(s_suppkey AS INTEGER) AS capacity_kw, round(s_acctbal / 100, 4) AS lat, CAST(NULL AS DOUBLE) AS lon FROM supplier
+"""
+SQL["side_by_side"] = f"""WITH {_EV},
+evs AS (SELECT {_CLOCK} AS clock, sum(value) AS e FROM ev WHERE event_type = 'click' GROUP BY Time_Index)
+SELECT CAST(hour(clock) * 60 + minute(clock) AS INTEGER) AS Time,
+       floor(CAST(sum(CAST(e AS DECIMAL(30, 2))) AS DOUBLE) / count(e) * 10000.0 + 0.5) / 10000.0 AS total, CASE WHEN dayofweek(clock) + 1 BETWEEN 2 AND 6 THEN 'Weekday' ELSE 'Weekend' END AS day
+FROM evs GROUP BY 1, 3
+"""
+SQL["dg_sites_file"] = """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 360 AS DOUBLE) END AS azimuth,
+       CAST(o_orderkey % 60 AS DOUBLE) AS tilt, o_totalprice AS size_kw
+FROM orders WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) > DATE '1994-12-31'
+"""
+SQL["templates"] = """
+WITH s AS (SELECT s_nationkey AS nation, list(s_suppkey ORDER BY s_suppkey) AS keys, max(s_acctbal) AS most FROM supplier GROUP BY 1),
+r AS (SELECT nation, CAST(u.i - 1 AS INTEGER) AS i, keys[1:keys[u.i] % 3 + 1] AS cells
+      FROM s, LATERAL (SELECT unnest(range(1, len(keys) + 1)) AS i) u WHERE nation % 2 = 0)
+SELECT nation, 'nation' AS key, CAST(NULL AS INTEGER) AS i, CAST(NULL AS INTEGER) AS j, CAST(nation AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text FROM s
+UNION ALL SELECT nation, 'most', NULL, NULL, most, NULL FROM s WHERE nation % 2 = 0
+UNION ALL SELECT nation, 'kind', NULL, NULL, NULL, 'even' FROM s WHERE nation % 2 = 0
+UNION ALL SELECT nation, 'keys', CAST(i - 1 AS INTEGER), NULL, CAST(keys[i] AS DOUBLE), NULL
+  FROM (SELECT nation, keys, unnest(range(1, len(keys) + 1)) AS i FROM s WHERE nation % 2 = 1)
+UNION ALL SELECT nation, 'rows', i, CAST(j - 1 AS INTEGER), CAST(cells[j] AS DOUBLE), NULL
+  FROM (SELECT nation, i, cells, unnest(range(1, len(cells) + 1)) AS j FROM r)
+"""
+
+# a reduced run: series of the representatives on every period of the horizon
+_CASE = f"""{_SYS},
+hp AS (SELECT (m.Period_Index - 1) * 288 + (x.Time_Index - 1) % 288 + 1 AS Time_Index, price
+       FROM price x JOIN pmap m ON m.Rep_Period = (x.Time_Index - 1) // 288 + 1),
+hs AS (SELECT (m.Period_Index - 1) * 288 + (x.Time_Index - 1) % 288 + 1 AS Time_Index, shdw
+       FROM scar x JOIN pmap m ON m.Rep_Period = (x.Time_Index - 1) // 288 + 1),
+hr AS (SELECT (m.Period_Index - 1) * 288 + (x.Time_Index - 1) % 288 + 1 AS Time_Index, Resource, value
+       FROM res x JOIN pmap m ON m.Rep_Period = (x.Time_Index - 1) // 288 + 1)
+"""
+SQL["case_demand_price"] = f"""WITH {_CASE},
+j AS (SELECT Load, price, shdw, {_CLOCK} AS clock FROM load LEFT JOIN hp USING (Time_Index) LEFT JOIN hs USING (Time_Index))
+SELECT CAST(month(clock) AS INTEGER) AS month, CAST(hour(clock) AS INTEGER) AS hour,
+       round(sum(Load), 4) AS demand, round(avg(price) * 12.0, 4) AS price, round(sum(shdw), 4) AS scarcity
+FROM j GROUP BY 1, 2
+"""
+SQL["case_curtailment"] = f"""WITH {_CASE},
+j AS (SELECT Resource, value, {_CLOCK} AS clock FROM hr)
+SELECT CAST(month(clock) AS INTEGER) AS month, CAST(hour(clock) AS INTEGER) AS hour, round(sum(value) * (1.0 / 12.0), 4) AS total,
+       round(sum(value) FILTER (WHERE Resource = 'click') * (1.0 / 12.0), 4) AS wind,
+       round(sum(value) FILTER (WHERE Resource = 'view') * (1.0 / 12.0), 4) AS solar
+FROM j GROUP BY 1, 2
+"""
+SQL["case_dispatch_week"] = f"""WITH {_CASE},
+p AS (SELECT Rep_Period FROM pmap WHERE Rep_Period_Index = 3 AND Period_Index = Rep_Period),
+bin AS (SELECT 2 * 288 + (r.Time_Index - 1) % 288 + 1 AS Time_Index, {_CLOCK.replace('Time_Index', 'r.Time_Index')} AS clock, r.Resource, r.value - coalesce(c.value, 0.0) AS net
+        FROM res r LEFT JOIN chg c ON c.Time_Index = r.Time_Index AND c.Resource = r.Resource
+        WHERE (r.Time_Index - 1) // 288 + 1 = (SELECT Rep_Period FROM p))
+SELECT Time_Index, clock, Resource, round(net, 4) AS net FROM bin
+WHERE Resource IN (SELECT Resource FROM cap GROUP BY 1 HAVING sum(EndCap) > 0)
+"""

@@ -101,7 +101,7 @@ def reports(case: Case, grid: Grid, show_period: int = 1, month: int = 7,
     from gridmeter.functions.labels import sign_by_membership
     from gridmeter.functions.numeric import per_hour
     from gridmeter.functions.time import index_to_clock, step_in_period
-    from gridmeter.operators.aggregates import order_levels, semi_join_built, sum_filtered
+    from gridmeter.operators.aggregates import order_levels, ranks_of, semi_join_built, sum_filtered
     from gridmeter.operators.joins import right_join_keep_all
     from gridmeter.operators.reshape import net_of_charge
     from gridmeter.operators.timeseries import assign_period, slice_period
@@ -119,7 +119,7 @@ def reports(case: Case, grid: Grid, show_period: int = 1, month: int = 7,
     cap = case.capacity.where(F.col("Resource") != "Total")  # D2
     out: dict[str, DataFrame] = {}
     built = cap.where(F.col("EndCap") > 0)
-    names = list(levels) or sorted(r["Resource"] for r in cap.select("Resource").distinct().limit(10_000).collect())
+    names = list(levels) or ranks_of(cap, "Resource")
     measures = [c for c in ("StartCap", "RetCap", "NewCap", "EndCap") if c in cap.columns]
     # Q12: end capacity, its three parts, and energy capacity, in the chart's order
     out["installed_capacity"] = order_levels(built.select("Resource", "EndCap"), "Resource", names).orderBy("level")

@@ -14,7 +14,7 @@ rates are parameters (one set for generators, one for storage).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,21 +48,6 @@ FUEL = {"signup": 1.2}
 KEY = ["Resource", "Zone"]
 
 
-@dataclass
-class System:
-    steps: DataFrame  # (Time_Index, Zone, Resource, value, charge, price, shdw, weight) full horizon
-    power: DataFrame  # (Time_Index, Resource, value) over all zones
-    charge: DataFrame
-    price: DataFrame  # (Time_Index, Zone, price)
-    period_map: DataFrame
-    weights: DataFrame  # per representative
-    step_w: DataFrame  # (Time_Index, weight) on the reduced index
-    red_power: DataFrame
-    capacity: DataFrame  # per (Resource, Zone)
-    generators: DataFrame
-    storage: DataFrame
-
-
 def _is_storage(col: str = "Resource"):
     return F.col(col).isin(list(STORAGE))
 
@@ -85,35 +70,91 @@ def horizon_weights(series: DataFrame, steps: int, total: float = WEIGHT_TOTAL)
     )
 
 
+class System:
+    """The result set over the per-step table ``st`` (checkpointed once). Each table
+    is made when it is first asked for, so a report of capacities plans no prices."""
+
+    def __init__(self, st: DataFrame, per_day: int):
+        self.st, self.per_day = st, per_day
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """(Time_Index, Zone, Resource, value, charge)"""
+        return self.st.select("Time_Index", "Zone", F.col("event_type").alias("Resource"), "value", "charge")
+
+    @cached_property
+    def price(self) -> DataFrame:
+        """(Time_Index, Zone, price)"""
+        return self.st.where(F.col("event_type") == PRICE_TYPE).select("Time_Index", "Zone", (F.col("value") / F.col("n")).alias("price"))
+
+    @cached_property
+    def reserve(self) -> DataFrame:
+        return self.st.where(F.col("event_type") == SCARCITY_TYPE).groupBy("Time_Index").agg(F.sum("value").alias("shdw"))
+
+    @cached_property
+    def horizon(self) -> DataFrame:
+        """(Time_Index, weight) of the whole horizon."""
+        return horizon_weights(self.st, self.per_day)
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        """(Time_Index, Zone, Resource, value, charge, price, shdw, weight), full horizon."""
+        return step_table(self.values, [self.price, self.reserve], self.horizon)
+
+    @cached_property
+    def power(self) -> DataFrame:
+        """(Time_Index, Resource, value) over all zones"""
+        return self.values.groupBy("Time_Index", "Resource").agg(F.sum("value").alias("value"))
+
+    @cached_property
+    def charge(self) -> DataFrame:
+        return self.values.where(F.col("charge").isNotNull()).groupBy("Time_Index", "Resource").agg(F.sum("charge").alias("value"))
+
+    @cached_property
+    def period_map(self) -> DataFrame:
+        return fixed_period_map(self.st, self.per_day)
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        """Per representative."""
+        return period_weights(self.period_map, self.per_day, WEIGHT_TOTAL)
+
+    @cached_property
+    def step_w(self) -> DataFrame:
+        """(Time_Index, weight) on the reduced index"""
+        return step_weights(self.weights, self.per_day)
+
+    @cached_property
+    def red_power(self) -> DataFrame:
+        return reduced_series(self.power, self.period_map, self.per_day).select("Time_Index", "Resource", "value")
+
+    @cached_property
+    def capacity(self) -> DataFrame:
+        """Per (Resource, Zone)."""
+        peaks = self.values.groupBy(*KEY).agg(F.avg("value").alias("StartCap"), F.max("value").alias("_gm_end"))
+        stor = F.when(_is_storage(), F.lit(STORAGE_HOURS)).otherwise(F.lit(0.0))
+        retired = F.greatest(F.col("StartCap") - F.col("_gm_end"), F.lit(0.0))
+        built = F.greatest(F.col("_gm_end") - F.col("StartCap"), F.lit(0.0))
+        return capacity_balance(peaks.select(
+            *KEY, "StartCap", retired.alias("RetCap"), built.alias("NewCap"),
+            (F.col("StartCap") * stor).alias("StartEnergyCap"), (retired * stor).alias("RetEnergyCap"), (built * stor).alias("NewEnergyCap"),
+        ))
+
+    @cached_property
+    def generators(self) -> DataFrame:
+        return self.capacity.select(
+            *KEY,
+            *[F.when(_is_storage(), F.lit(s)).otherwise(F.lit(g)).alias(k) for k, (g, s) in UNIT_COSTS.items()],
+            _is_storage().cast("int").alias("STOR"),
+        )
+
+    @cached_property
+    def storage(self) -> DataFrame:
+        return self.generators.where(F.col("STOR") == 1).select(*KEY)
+
+
 def build(spark: SparkSession, sf: str) -> System:
-    per_day = EVENT_GRID.steps_per_period
-    st = zone_readings(spark, sf)  # raw readings read once, per-step table checkpointed
-    values = st.select("Time_Index", "Zone", F.col("event_type").alias("Resource"), "value", "charge")
-    price = st.where(F.col("event_type") == PRICE_TYPE).select("Time_Index", "Zone", (F.col("value") / F.col("n")).alias("price"))
-    reserve = st.where(F.col("event_type") == SCARCITY_TYPE).groupBy("Time_Index").agg(F.sum("value").alias("shdw"))
-    steps = step_table(values, [price, reserve], horizon_weights(st, per_day))
-    power = values.groupBy("Time_Index", "Resource").agg(F.sum("value").alias("value"))
-    charge = values.where(F.col("charge").isNotNull()).groupBy("Time_Index", "Resource").agg(F.sum("charge").alias("value"))
-    pmap = fixed_period_map(st, per_day)
-    weights = period_weights(pmap, per_day, WEIGHT_TOTAL)
-    sw = step_weights(weights, per_day)
-    red_power = reduced_series(power, pmap, per_day).select("Time_Index", "Resource", "value")
-
-    peaks = values.groupBy(*KEY).agg(F.avg("value").alias("StartCap"), F.max("value").alias("_gm_end"))
-    stor = F.when(_is_storage(), F.lit(STORAGE_HOURS)).otherwise(F.lit(0.0))
-    retired = F.greatest(F.col("StartCap") - F.col("_gm_end"), F.lit(0.0))
-    built = F.greatest(F.col("_gm_end") - F.col("StartCap"), F.lit(0.0))
-    cap = capacity_balance(peaks.select(
-        *KEY, "StartCap", retired.alias("RetCap"), built.alias("NewCap"),
-        (F.col("StartCap") * stor).alias("StartEnergyCap"), (retired * stor).alias("RetEnergyCap"), (built * stor).alias("NewEnergyCap"),
-    ))
-    gens = cap.select(
-        *KEY,
-        *[F.when(_is_storage(), F.lit(s)).otherwise(F.lit(g)).alias(k) for k, (g, s) in UNIT_COSTS.items()],
-        _is_storage().cast("int").alias("STOR"),
-    )
-    storage = gens.where(F.col("STOR") == 1).select(*KEY)
-    return System(steps, power, charge, price, pmap, weights, sw, red_power, cap, gens, storage)
+    return System(zone_readings(spark, sf), EVENT_GRID.steps_per_period)  # raw readings read once
 
 
 def settlement_terms() -> dict:

@@ -26,14 +26,26 @@ TS_FORMAT = "M/d/yy H:mm"  # the %D %R files
 def profile_to_grid(spark: SparkSession, path: str, ts_col: str = "Datetime", ts_format: str = TS_FORMAT,
                     every_minutes: int = 5, tail: str = "hold") -> DataFrame:
     """T1 + T2 on a file: every value column linearly onto the grid; wide
-    output (``ts_col`` + the value columns), as the interpolation step writes."""
+    output (``ts_col`` + the value columns) in time order, as the interpolation
+    step writes."""
     from gridmeter.operators.timeseries import interpolate_columns
     from gridmeter.sources.csv import read_time_indexed
 
     df = read_time_indexed(spark, path, ts_col, ts_format)
     values = [c for c in df.columns if c != ts_col]
     long = interpolate_columns(df, ts_col, values, name="_gm_name", every_minutes=every_minutes, tail=tail)
-    return long.groupBy(ts_col).pivot("_gm_name", values).agg(F.first("value"))
+    return long.groupBy(ts_col).pivot("_gm_name", values).agg(F.first("value")).orderBy(ts_col)
+
+
+def interpolate_file(spark: SparkSession, source: str, target: str, ts_col: str = "Datetime", ts_format: str = TS_FORMAT,
+                     every_minutes: int = 5, tail: str = "hold") -> None:
+    """T1 + T2 + K2, file to file: ``profile_to_grid`` of ``source``, written to
+    ``target`` in time order, with its times in the format of the source."""
+    from gridmeter.sources.csv import write_ordered_csv
+
+    grid = profile_to_grid(spark, source, ts_col, ts_format, every_minutes, tail)
+    place = grid.withColumn("_gm_t", F.col(ts_col)).withColumn(ts_col, F.date_format(ts_col, ts_format))
+    write_ordered_csv(place, target, ["_gm_t"], keep=grid.columns)
 
 
 def net_load_from_files(spark: SparkSession, load_path: str, dg_path: str, ev_path: str, year: int | None,

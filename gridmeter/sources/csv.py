@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmeter.functions.time import parse_timestamp
+from gridmeter.operators.windows import sliced
 
 NULL_SPELLINGS = ("-", "n/a", "NA", "")
 
@@ -38,12 +39,16 @@ def read_csv_typed(
     Timestamps use ``ts_format`` (Spark pattern). Unlisted columns are kept as text.
     """
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    raw = _null_to_none(raw, raw.columns, null_spellings)
+    return _typed(raw.toDF(*[c.strip() for c in raw.columns]), types, ts_format, null_spellings)
+
+
+def _typed(raw: DataFrame, types: Mapping[str, str], ts_format: str | None, null_spellings: Sequence[str]) -> DataFrame:
+    """Text columns cast to ``types``; ``""`` leaves a column as it is."""
+    raw = _null_to_none(raw, [c for c in raw.columns if types.get(c) != ""], null_spellings)
     cols = []
     for c in raw.columns:
         t = types.get(c)
-        if t is None or t == "string":
+        if t in (None, "", "string"):
             cols.append(F.col(c))
         elif t == "timestamp":
             cols.append(parse_timestamp(F.trim(F.col(c)), ts_format).alias(c))
@@ -139,13 +144,56 @@ def read_skip_meta(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
-    """K1 / K2: CSV with a header and no index column (a time index is an
-    ordinary first column). ``single_file`` coalesces to one part - only for
-    small report tables."""
+    """K1: CSV with a header and no index column (a time index is an ordinary
+    first column; ``write_ordered_csv`` keeps its order). ``single_file``
+    coalesces to one part - only for small report tables."""
     out = df.coalesce(1) if single_file else df
     out.write.mode(mode).option("header", True).csv(path)
 
 
+def write_ordered_csv(df: DataFrame, path: str, order: Sequence[str], partitions: int | None = None, keep: Sequence[str] | None = None) -> None:
+    """K2: CSV files in the total order of ``order``. Rows are range-partitioned
+    and sorted within files, whose part numbers follow the order; no task gets the
+    whole table. ``keep`` are the columns written (default: all). Beside the files ``_manifest`` (not a data file to readers of the
+    folder) has a row per file: its name, its place, its rows and the rows before."""
+    slices = sliced(df, order, partitions)
+    slices.sortWithinPartitions(*order).select(*(keep or df.columns)).write.mode("overwrite").option("header", True).csv(path)
+    counts = slices.groupBy(F.col("_gm_pid").alias("place")).agg(F.count(F.lit(1)).alias("rows"))
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(file_name(F.col("path")).alias("file"))
+    files = files.withColumn("place", F.regexp_extract("file", r"^part-(\d+)", 1).cast("int"))
+    # a row per file
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(files, "place").withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    placed.select("file", "place", "rows", "start").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)$", 1)
+
+
+def read_ordered_csv(spark: SparkSession, path: str, types: Mapping[str, str], ts_format: str | None = None, row: str = "row") -> DataFrame:
+    """The table that ``write_ordered_csv`` has written, with each row's place in
+    the whole order (``row``, from 0): the rows of the files before, of the file's
+    earlier splits, and its place in its own. No sort is needed to know it. A file
+    that lacks rows, or a missing one, stops the query."""
+    raw = spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
+    raw = raw.select("*", file_name(file_path()).alias("_gm_f"), F.col("_metadata.file_block_start").alias("_gm_s"), F.monotonically_increasing_id().alias("_gm_id"))
+    splits = raw.groupBy("_gm_f", "_gm_s").agg(F.min("_gm_id").alias("_gm_least"), F.count(F.lit(1)).alias("_gm_n"))
+    # a row per split, a window per file
+    along = Window.partitionBy("_gm_f").orderBy("_gm_s")
+    splits = splits.withColumn("_gm_b", F.coalesce(F.sum("_gm_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    splits = splits.withColumn("_gm_rows", F.sum("_gm_n").over(Window.partitionBy("_gm_f")))
+    manifest = spark.read.parquet(f"{path.rstrip('/')}/_manifest").select(F.col("file").alias("_gm_f"), "rows", "start")
+    whole = manifest.join(splits, "_gm_f", "left")
+    # a file that lacks rows, if any: a row per split, in one small window, so that every row of the table knows it
+    lacking = F.max(F.when(~F.col("_gm_rows").eqNullSafe(F.col("rows")), F.col("_gm_f"))).over(Window.partitionBy())
+    told = F.raise_error(F.concat(F.lit("rows are missing of "), F.col("_gm_lacking"))).cast("boolean")
+    whole = whole.withColumn("_gm_lacking", lacking).where(F.when(F.col("_gm_lacking").isNull(), F.lit(True)).otherwise(told))
+    offsets = whole.select("_gm_f", "_gm_s", (F.col("start") + F.col("_gm_b") - F.col("_gm_least")).alias("_gm_o"))
+    placed = raw.join(offsets, ["_gm_f", "_gm_s"]).withColumn(row, F.col("_gm_o") + F.col("_gm_id"))
+    return _typed(placed.drop("_gm_f", "_gm_s", "_gm_o", "_gm_id"), {**types, row: ""}, ts_format, NULL_SPELLINGS)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Intermediate results: Parquet, optionally partitioned (e.g. by sim/run)."""
     w = df.write.mode(mode)

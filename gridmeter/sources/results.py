@@ -8,12 +8,12 @@ Rows are kept by their label (``^t\\d+$``), never by position, so files with
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmeter.operators.keys import attach
 from gridmeter.sources.csv import NULL_SPELLINGS, file_path
 
 STEP_LABEL = r"^t(\d+)$"
@@ -21,16 +21,43 @@ STEP_LABEL = r"^t(\d+)$"
 RUN_PATTERN = r"/([^/]+)/([^/]+)/[^/]+$"
 
 
-def file_layouts(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
-    """Files by header line. The first lines are found by one scan; one row per
-    file goes to the driver."""
-    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
-        file_path().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    out: dict[str, list[str]] = {}
-    for r in first.orderBy("file").collect():
-        out.setdefault(r["header"], []).append(re.sub(r"([\\*?\[\]{}])", r"\\\1", r["file"]))
-    return out
+# commas outside quotes
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# most files whose header lines are broadcast
+HEADER_FILES = 20_000
+
+
+def _fields(line: Column) -> Column:
+    """The fields of a CSV line, without their quotes."""
+    quoted = F.transform(F.split(line, _COMMA), lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"(.*)"\s*$', "$1"), '""', '"'))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+
+
+def _names(header: Column) -> Column:
+    """Column names as Spark's CSV reader makes them: an empty one is ``_c`` and its
+    place, one that repeats (in any case of letters) gets its place at its end."""
+    lower = F.transform(header, lambda x: F.lower(x))
+
+    def name(x: Column, i: Column) -> Column:
+        times = F.size(F.filter(lower, lambda y: y == F.lower(x)))
+        return F.when(F.trim(x) == "", F.concat(F.lit("_c"), i)).when(times > 1, F.concat(x, i)).otherwise(x)
+
+    return F.transform(header, name)
+
+
+def scan_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file``, ``names`` and ``fields`` of every line of CSV files that may all
+    have columns of their own: each line meets the header line of its file in a
+    join, so files of any number of layouts are one scan of splittable text, and
+    no header goes to the driver. Fields don't hold line ends."""
+    lines = spark.read.text(path).select(
+        file_path().alias("file"), F.col("_metadata.file_block_start").alias("_gm_s"), F.monotonically_increasing_id().alias("_gm_at"), "value")
+    heads = lines.where("_gm_s = 0").groupBy("file").agg(F.min_by("value", "_gm_at").alias("_gm_h"))
+    heads = heads.select("file", F.regexp_replace("_gm_h", "^\ufeff", "").alias("_gm_h"))
+    # its own header is no row of a file; names are made once a file
+    both = attach(lines, heads.withColumn("names", _names(_fields(F.col("_gm_h")))), ["file"], ["_gm_h", "names"], broadcast_groups=HEADER_FILES)
+    rows = both.where((F.col("_gm_s") > 0) | (F.regexp_replace("value", "^\ufeff", "") != F.col("_gm_h")))
+    return rows.select("file", "names", _fields(F.col("value")).alias("fields"))
 
 
 def scan_solver_wide(
@@ -38,30 +65,17 @@ def scan_solver_wide(
     name: str = "name", value: str = "value", with_run: bool = False,
 ) -> DataFrame:
     """S5 (+ S7 with ``with_run``): wide step tables -> ``(Time_Index, name, value)``
-    [+ ``sim``, ``run`` parsed from the file path]. Files with equal headers are
-    read together, each group by its own names, however many layouts there are."""
-    out = None
-    for files in file_layouts(spark, path).values():
-        part = _scan_layout(spark, files, label_col, id_cols, name, value, with_run)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError(f"no file with a header in {path}")
-    return out
-
-
-def _scan_layout(spark, files, label_col, id_cols, name, value, with_run) -> DataFrame:
-    raw = spark.read.option("header", True).csv(files)
-    cols = raw.columns
-    label = cols[label_col]
-    vals = [c for i, c in enumerate(cols) if i != label_col and c not in id_cols]
-    keep = raw.where(F.trim(F.col(f"`{label}`")).rlike(STEP_LABEL))
-    sel = [F.regexp_extract(F.trim(F.col(f"`{label}`")), STEP_LABEL, 1).cast("long").alias("Time_Index")]
+    [+ ``sim``, ``run`` parsed from the file path]. Each file is read by its own
+    names (``scan_lines``), however many layouts there are."""
+    label = F.trim(F.get("fields", F.lit(label_col)))
+    rows = scan_lines(spark, path).where(label.rlike(STEP_LABEL))
+    ids = [F.regexp_extract(label, STEP_LABEL, 1).try_cast("long").alias("Time_Index")]
     if with_run:
-        sel += [F.regexp_extract(file_path(), RUN_PATTERN, i + 1).alias(c) for i, c in enumerate(("sim", "run"))]
-    sel += [F.trim(F.col(f"`{c}`")).try_cast("double").alias(c) for c in vals]
-    wide = keep.select(*sel)
-    ids = ["Time_Index"] + (["sim", "run"] if with_run else [])
-    return wide.unpivot(ids, [F.col(f"`{c}`") for c in vals], name, value)
+        ids += [F.regexp_extract("file", RUN_PATTERN, i + 1).alias(c) for i, c in enumerate(("sim", "run"))]
+    cells = rows.select(*ids, F.posexplode(F.arrays_zip("names", "fields")).alias("_gm_i", "_gm_x"))
+    kept = (F.col("_gm_i") != label_col) & F.col("_gm_x.names").isNotNull() & ~F.col("_gm_x.names").isin(list(id_cols))
+    made = ["Time_Index", *(("sim", "run") if with_run else ())]
+    return cells.where(kept).select(*made, F.col("_gm_x.names").alias(name), F.trim(F.col("_gm_x.fields")).try_cast("double").alias(value))
 
 
 def scan_solver_meta(spark: SparkSession, path: str | Sequence[str], row_label: str, label_col: int = 0) -> DataFrame:
@@ -101,3 +115,24 @@ def scan_json_template(spark: SparkSession, path: str, drop: Sequence[str] = ("n
     """A flat JSON parameter file (scalars, arrays, matrices) -> one row."""
     df = spark.read.option("multiLine", True).json(path)
     return df.drop(*[c for c in drop if c in df.columns])
+
+
+def scan_templates(spark: SparkSession, path: str | Sequence[str], drop: Sequence[str] = ("number_inputs",)) -> DataFrame:
+    """S8 for many files: every parameter of every template as rows ``(file, key, i,
+    j, number, text)``, in one scan. Files may have different keys, and a key a
+    scalar in one file and an array in another: they are parsed as variants, with
+    no schema and no inference. A scalar has null places; an array has a row per
+    element (``i``, from 0), a matrix with rows of any lengths one per ``i`` and
+    ``j``. ``number`` is null for a text, ``text`` is the value as text; a JSON null
+    has neither. Deeper values are given as JSON text."""
+    whole = spark.read.text(path, wholetext=True).select(file_path().alias("file"), F.try_variant_get(F.parse_json("value"), "$", "map<string,variant>").alias("_gm_m"))
+    rows = whole.select("file", F.explode("_gm_m").alias("key", "_gm_v")).where(~F.col("key").isin(list(drop)))
+    for place in ("i", "j"):
+        array = F.coalesce(F.startswith(F.schema_of_variant("_gm_v"), F.lit("ARRAY")), F.lit(False))
+        rows = rows.withColumn("_gm_a", array)
+        each = F.when(F.col("_gm_a"), F.try_variant_get("_gm_v", "$", "array<variant>")).otherwise(F.array("_gm_v"))
+        rows = rows.select(*[c for c in rows.columns if c != "_gm_v"], F.posexplode(each).alias("_gm_p", "_gm_v"))
+        rows = rows.withColumn(place, F.when(F.col("_gm_a"), F.col("_gm_p"))).drop("_gm_a", "_gm_p")
+    kind, text = F.schema_of_variant("_gm_v"), F.try_variant_get("_gm_v", "$", "string")
+    number = F.when((kind != "STRING") & (kind != "BOOLEAN"), F.try_variant_get("_gm_v", "$", "double"))
+    return rows.select("file", "key", "i", "j", number.alias("number"), F.coalesce(text, F.when(kind != "VOID", F.to_json("_gm_v"))).alias("text"))

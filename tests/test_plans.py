@@ -74,8 +74,37 @@ def test_day_profile_with_repeated_keys_is_refused(spark):
 
     series = spark.range(3).selectExpr("timestamp_ntz'2024-01-01 00:00:00' as t")
     profile = spark.createDataFrame([(0, True, 1.0), (0, True, 2.0)], "Time int, Weekday boolean, v double")
-    with pytest.raises(ValueError, match="several rows"):
-        join_day_profile(series, "t", profile)
+    with pytest.raises(Exception, match="several rows"):
+        join_day_profile(series, "t", profile).collect()
+
+
+def _jobs(spark, build) -> int:
+    """Jobs that building a plan starts."""
+    spark.sparkContext.setJobGroup("building", "a plan is built")
+    try:
+        build()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("building"))
+
+
+def test_settlement_plans_are_built_without_jobs(spark):
+    from gridmeter.plans import catalog as C
+    from gridmeter.plans.system import KEY, build
+
+    s = build(spark, SF)
+    assert _jobs(spark, lambda: (s.steps, s.capacity, s.generators, s.storage, s.weights, C._sums(s))) == 0
+    from gridmeter.operators.settlement import annual_sum, cost_components, settle
+
+    part = s.values.select(*KEY, F.col("value").alias("AnnualSum"))
+    assert _jobs(spark, lambda: (annual_sum(s.values, s.horizon, KEY), settle(s.values, s.price, s.horizon, KEY), cost_components(s.generators, s.capacity, part, key=KEY))) == 0
+
+
+def test_curve_table_lookup_is_an_equi_join(spark):
+    q = REGISTRY["curve_lookup"](spark, SF)
+    q.collect()
+    plan = _plan(q)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_interpolation_has_no_window_over_a_series(spark):
