@@ -108,15 +108,16 @@ def piece_counts(path: str) -> PieceCounts:
     return _HELD[path]
 
 
-def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
-    """Stored counts of a version, one row per digest. A text that two jobs (or two
-    attempts of one) have appended is there twice, with the same count."""
+def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """Stored counts of a version, one row per digest; None if there are none yet. A
+    text that two jobs (or two attempts of one) have appended is there twice, with
+    the same count."""
     try:
         found = spark.read.schema(CACHE).parquet(f"{cache}/version={version}")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        found = spark.createDataFrame([], CACHE)
+        return None
     return found.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
 
 
@@ -146,9 +147,13 @@ def token_counts(
     text = normal(docs[text_col])
     digest = F.unhex(F.sha2(text, 256))
     rows = C.stored(docs.select(docs[id_col].alias("_id"), digest.alias("digest")), "count-rows")
-    copies = rows.groupBy("digest").agg(F.count("*").alias("_copies"))
-    wanted = C.stored(copies.join(read_cache(spark, cache, name), "digest", "left"), "count-wanted")
-    misses, known, total = wanted.agg(F.count_if(F.col("n_tokens").isNull()), F.count("n_tokens"), F.coalesce(F.sum("_copies"), F.lit(0))).first()
+    wanted = rows.groupBy("digest").agg(F.count("*").alias("_copies"))
+    cached = read_cache(spark, cache, name)
+    if cached is None:
+        misses, known, total = wanted.count(), 0, rows.count()
+    else:
+        wanted = C.stored(wanted.join(cached, "digest", "left"), "count-wanted")
+        misses, known, total = wanted.agg(F.count_if(F.col("n_tokens").isNull()), F.count("n_tokens"), F.coalesce(F.sum("_copies"), F.lit(0))).first()
 
     if misses:
         texts = docs.select(digest.alias("digest"), text.alias("_text"))
@@ -172,6 +177,8 @@ def token_counts(
         distinct.mapInArrow(count, CACHE).write.mode("append").parquet(f"{cache}/version={name}")
         counted = wanted.select("digest", "_copies").join(read_cache(spark, cache, name), "digest")
         wanted = C.stored(counted, "count-wanted")
+    elif cached is None:  # no row at all
+        wanted = wanted.select("digest", "_copies", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens"))
     return C.lookup(rows, wanted, ["digest"], "_copies", total).select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")
 
 
