@@ -54,8 +54,13 @@ def scan_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         file_path().alias("file"), F.col("_metadata.file_block_start").alias("_gm_s"), F.monotonically_increasing_id().alias("_gm_at"), "value")
     heads = lines.where("_gm_s = 0").groupBy("file").agg(F.min_by("value", "_gm_at").alias("_gm_h"))
     heads = heads.select("file", F.regexp_replace("_gm_h", "^\ufeff", "").alias("_gm_h"))
-    # its own header is no row of a file; names are made once a file
-    both = attach(lines, heads.withColumn("names", _names(_fields(F.col("_gm_h")))), ["file"], ["_gm_h", "names"], broadcast_groups=HEADER_FILES)
+    # names are made once a file
+    heads = heads.withColumn("names", _names(_fields(F.col("_gm_h"))))
+    if len(lines.inputFiles()) <= HEADER_FILES:
+        both = lines.join(F.broadcast(heads), "file")
+    else:
+        both = attach(lines, heads, ["file"], ["_gm_h", "names"], broadcast_groups=HEADER_FILES)
+    # its own header is no row of a file
     rows = both.where((F.col("_gm_s") > 0) | (F.regexp_replace("value", "^\ufeff", "") != F.col("_gm_h")))
     return rows.select("file", "names", _fields(F.col("value")).alias("fields"))
 
