@@ -26,7 +26,8 @@ from . import common as C
 # The template: "### role: text</turn>\n". A backslash in a text or role is
 # doubled, and one is put before each control string.
 OPEN, CLOSE, END = "### ", ": ", "</turn>\n"
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+# nothing is tried twice, so a turn of any length is parsed in little memory
+TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
 
 

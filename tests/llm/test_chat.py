@@ -89,3 +89,19 @@ def test_format_is_reversible(spark):
     assert found == [(a or "", t or "") for *_, a, t in rows]
     X.write_formatted(X.format_turns(df.limit(0)), path + "-none")
     assert X.read_formatted(spark, path + "-none").count() == 0
+
+
+def test_a_turn_of_twenty_million_characters_is_parsed_in_little_memory():
+    import resource
+
+    text = "a word: and \\ another < with ### and </turn> in it " * 400_000
+    escaped = text.replace("\\", "\\\\").replace("###", "\\###").replace("</turn>", "\\</turn>")
+    piece = f"### assistant: {escaped}</turn>\n"
+    assert len(piece) > 20_000_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    m = X.TURN.match(piece)
+    grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+    assert m.end() == len(piece) and grown < 200_000  # KB: no state per character
+    assert X.unescape(m[2]) == text
+    for bad in ("### a: b", "### a: b</turn>", "## a: b</turn>\n", "### a: \\</turn>\n", "### a"):
+        assert X.TURN.match(bad) is None
