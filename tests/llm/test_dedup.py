@@ -21,6 +21,15 @@ def test_filters_merge_without_loss(parts):
     assert all(filters[0].count(x) == Counter(parts[0])[x] for x in range(0, 256, 17))
 
 
+def test_counts_stay_whole_numbers():
+    """Beyond 2^53, where floats skip whole numbers."""
+    big = (1 << 53) + 1
+    one = D.CountingQuotientFilter.of(16, np.array([5, 9, 5], np.uint64), np.array([big, 1, 2], np.uint64))
+    two = D.CountingQuotientFilter.from_bytes(one.to_bytes())
+    keys, counts = D.merge([one, two, D.CountingQuotientFilter.of(16, np.zeros(0, np.uint64))]).items()
+    assert keys.tolist() == [5, 9] and counts.tolist() == [2 * (big + 2), 2]
+
+
 def brute(rows):
     groups = {}
     for i, t in rows:
