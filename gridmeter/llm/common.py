@@ -52,6 +52,16 @@ def unpacked(df: DataFrame, made: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(ROW).getField(c).alias(c) for c in fields if c not in made], *made)
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Names for working columns that ``df`` doesn't have, in any case of letters."""
+    taken, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < count:
+        if f"_x{i}" not in taken:
+            out.append(f"_x{i}")
+        i += 1
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of maximal runs without blanks, tabs or line ends; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -47,32 +47,33 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out``: the packed bins of column ``text`` (array of
     ``LANES`` longs). A text of fewer than five words is one shingle, a text
     without words too. Each step is a column of its own, computed once a row."""
+    w, sh, b, f = C.free_names(df, 4)  # no column of the input is lost
     words = F.split(F.btrim(F.col(text), F.lit(BLANKS)), C.SPACES)
-    df = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
-    runs = F.slice("_w", F.lit(1), F.greatest(F.lit(1), F.size("_w") - (WORDS - 1)))
-    shingles = F.transform(runs, lambda x, i: F.xxhash64(F.slice("_w", i + 1, F.lit(WORDS))).bitwiseOR(1))
-    df = df.withColumn("_s", F.sort_array(F.concat(shingles, longs(STARTS)))).drop("_w")
+    df = df.withColumn(w, F.transform(words, lambda w: F.xxhash64(w)))
+    runs = F.slice(w, F.lit(1), F.greatest(F.lit(1), F.size(w) - (WORDS - 1)))
+    shingles = F.transform(runs, lambda x, i: F.xxhash64(F.slice(w, i + 1, F.lit(WORDS))).bitwiseOR(1))
+    df = df.withColumn(sh, F.sort_array(F.concat(shingles, longs(STARTS)))).drop(w)
     # what follows a bin's start: its least hash, or the next start if the bin is empty
-    least = F.slice(F.filter("_s", lambda x, i: F.get("_s", i - 1).bitwiseAND(1) == 0), 1, BINS)
-    df = df.withColumn("_b", F.transform(least, lambda x: F.when(x.bitwiseAND(1) == 1, x))).drop("_s")
+    least = F.slice(F.filter(sh, lambda x, i: F.get(sh, i - 1).bitwiseAND(1) == 0), 1, BINS)
+    df = df.withColumn(b, F.transform(least, lambda x: F.when(x.bitwiseAND(1) == 1, x))).drop(sh)
     first, step = longs(FIRST), longs(STEP)
 
     def donor(i: Column) -> Column:
-        at = lambda a: F.get("_b", ((F.get(first, i) + a * F.get(step, i)).bitwiseAND(BINS - 1)).cast("int"))
+        at = lambda a: F.get(b, ((F.get(first, i) + a * F.get(step, i)).bitwiseAND(BINS - 1)).cast("int"))
         later = F.filter(F.transform(F.sequence(F.lit(8), F.lit(BINS - 1)), at), lambda x: x.isNotNull())
         return F.coalesce(*[at(F.lit(a)) for a in range(8)], F.get(later, F.lit(0)))
 
-    filled = F.when(F.exists("_b", lambda x: x.isNull()), F.transform("_b", lambda x, i: F.coalesce(x, donor(i)))).otherwise(F.col("_b"))
-    df = df.withColumn("_f", filled).drop("_b")
+    filled = F.when(F.exists(b, lambda x: x.isNull()), F.transform(b, lambda x, i: F.coalesce(x, donor(i)))).otherwise(F.col(b))
+    df = df.withColumn(f, filled).drop(b)
 
     def lane(n: Column) -> Column:
-        byte = lambda t: F.shiftleft(F.shiftright(F.get("_f", (n * 8 + t).cast("int")), 1).bitwiseAND(255), 8 * t)
+        byte = lambda t: F.shiftleft(F.shiftright(F.get(f, (n * 8 + t).cast("int")), 1).bitwiseAND(255), 8 * t)
         out = byte(0)
         for t in range(1, 8):
             out = out.bitwiseOR(byte(t))
         return out
 
-    return df.withColumn(out, F.transform(longs(list(range(LANES))), lane)).drop("_f")
+    return df.withColumn(out, F.transform(longs(list(range(LANES))), lane)).drop(f)
 
 
 def text_form(lanes: Column) -> Column:

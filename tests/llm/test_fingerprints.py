@@ -88,3 +88,18 @@ def test_empty_and_single(spark):
     r = P.neighbour_fingerprints(df).first()
     assert r.lanes == r.next_lanes and r.n_chars == 11
     assert P.neighbour_fingerprints(df.limit(0)).count() == 0
+
+
+def test_columns_of_the_input_keep_their_names(spark):
+    names = ["text", "_w", "_s", "_b", "_f", "_x0", "_X1"]
+    df = spark.createDataFrame([("a b c d e f g", 1, 2, 3, 4, 5, 6), ("", 7, 8, 9, 10, 11, 12)], names)
+    out = P.fingerprinted(df, "text", "lanes")
+    assert out.columns == [*names, "lanes"]
+    assert sorted(tuple(r)[1:7] for r in out.collect()) == [(1, 2, 3, 4, 5, 6), (7, 8, 9, 10, 11, 12)]
+
+
+def test_long_texts(spark):
+    """Fifty thousand words, and one word of a million characters."""
+    texts = [" ".join(f"w{i * i % 9973}" for i in range(50_000)), "x" * 1_000_000]
+    rows = P.fingerprinted(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "l").collect()
+    assert {r.text: list(r.l) for r in rows} == {t: lanes(t) for t in texts}
