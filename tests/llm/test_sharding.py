@@ -48,3 +48,41 @@ def test_sources_of_one_row_are_spread(spark):
     out = S.interleaved_shards(df, 4).collect()
     for s in range(4):
         assert 180 <= sum(r.shard == s and r.source != "large" for r in out) <= 320
+
+
+def test_order_against_plain_python(spark):
+    """The same ranks, offsets and cuts, without Spark."""
+    import struct
+
+    import xxhash
+
+    def h64(*values):
+        seed = 42
+        for v in values:
+            if v is None:
+                continue
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v.n) if isinstance(v, Int) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    class Int:
+        def __init__(self, n):
+            self.n = n
+
+    unit = lambda h: (float(h) + float(1 << 63)) / float(1 << 64)
+    rows = [(i, f"t{i}", ["a"] * 40 + ["b"] * 7 + [None, "c", ""]) for i in range(900)]
+    rows = [(i, t, s[(i * 7) % 50]) for i, t, s in rows] + [(None, "n", "a"), (7, "again", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {(r.doc_id, r.text): (r.shard, r.slot) for r in S.interleaved_shards(df, 8, tie=F.xxhash64("text"), seed=3).collect()}
+    placed = []
+    for source in {r[2] for r in rows}:
+        null, name = int(source is None), source or ""
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: (h64(Int(3), r[0]), r[0] is not None, r[0] or 0, h64(r[1])))
+        offset = unit(h64(Int(3), Int(null), name))
+        placed += [((rank + offset) / len(own), null, name, h64(Int(3), r[0]), r[0] is not None, r[0] or 0, h64(r[1]), r) for rank, r in enumerate(own)]
+    placed.sort(key=lambda x: x[:-1])
+    n, slots = len(placed), Counter()
+    for place, x in enumerate(placed):
+        shard = place * 8 // n
+        assert got[x[-1][:2]] == (shard, slots[shard]), place
+        slots[shard] += 1
