@@ -38,7 +38,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` has written and no later step reads: what was
+    made of them is stored itself. Other frames are left alone."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        jvm = getattr(t.sparkSession, "_jvm", None) if path else None
+        if jvm:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
