@@ -19,6 +19,9 @@ from . import common as C
 from .tokens import blocks, default_tokenizer, piece_ids
 
 UNIT = ["_file", "_block", "_part"]
+# the order of units: folders, then files by their part number as a number (names
+# of parts have five digits and more), then places in the file
+ORDER = [r"regexp_extract(_file, '^(.*/)[^/]*$', 1)", r"try_cast(regexp_extract(_file, 'part-([0-9]+)[^/]*$', 1) AS decimal(38,0))", *UNIT]
 
 
 def encoded_units(docs: DataFrame, *, text_col: str, id_col: str, end_id: int, tokenizer: str) -> DataFrame:
@@ -67,7 +70,7 @@ def concat_and_cut(
     """
     stored = encoded_units(docs, text_col=text_col, id_col=id_col, end_id=end_id, tokenizer=tokenizer or default_tokenizer())
     totals = stored.groupBy(*UNIT).agg(F.sum("doc_tokens").alias("_total"))
-    before = Window.orderBy(*UNIT).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*[F.expr(x) for x in ORDER]).rowsBetween(Window.unboundedPreceding, -1)
     # one row per file split of the input
     starts = F.broadcast(totals.select(*UNIT, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_unit")))
     placed = stored.join(starts, UNIT).select("doc_id", "doc_tokens", (F.col("_unit") + F.col("_local")).alias("_global"), "_ids")

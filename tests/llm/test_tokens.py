@@ -108,3 +108,47 @@ def test_packing_keeps_the_order_of_files(spark):
 
 def test_packing_an_empty_table(spark):
     assert P.concat_and_cut(frame(spark).limit(0)).count() == 0
+
+
+def test_units_stand_in_the_order_of_part_numbers(spark):
+    """Beyond 100,000 parts the names' text order breaks."""
+    df = spark.createDataFrame([(f"file:/a/part-{n}.parquet", b, 0) for n in ("99999-x", "100000-x", "00007-x") for b in (64, 0)] + [("file:/a/b/part-00001.parquet", 0, 0), ("", 0, 3)], "_file string, _block long, _part int")
+    got = [(r._file, r._block) for r in df.orderBy(*[F.expr(x) for x in P.ORDER]).collect()]
+    part = lambda n: [(f"file:/a/part-{n}-x.parquet", 0), (f"file:/a/part-{n}-x.parquet", 64)]
+    assert got == [("", 0), *part("00007"), *part("99999"), *part("100000"), ("file:/a/b/part-00001.parquet", 0)]
+
+
+def test_only_a_proven_tokenizer_is_cut(spark):
+    import public_tokenizers
+
+    assert T.cuts_into_words(T.default_tokenizer()) and not T.cuts_into_words(public_tokenizers.path("byte_bpe_50k.json"))
+    other = T.PieceIds(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ["Hello World, this is a Test of Case", *TEXTS]:
+        assert other.texts([t])[0] == plain(other, t)
+
+
+def test_latin_texts_and_long_texts(pieces):
+    rng = random.Random(5)
+    letters = [chr(i) for i in range(256)]
+    for _ in range(3000):
+        t = "".join(rng.choice(letters if rng.random() < 0.5 else "it's don'T WE'LL a1, .\t") for _ in range(rng.randint(0, 30)))
+        assert pieces.texts([t])[0] == plain(pieces, t), repr(t)
+    block, T.BLOCK_CHARS = T.BLOCK_CHARS, 50
+    try:
+        for t in ("it's a Day, " * 400, "x" * 1000, " " * 500 + "a", "日本 語、" * 100):
+            assert "".join(T.cut_at_blanks(t, 50)) == t and pieces.texts([t, t[:20]]) == [plain(pieces, t), plain(pieces, t[:20])]
+    finally:
+        T.BLOCK_CHARS = block
+
+
+def test_two_generations_keep_what_is_used(pieces):
+    held, T.PIECES_KEPT = T.PIECES_KEPT, 40
+    p = T.PieceIds(T.default_tokenizer())
+    try:
+        for i in range(200):
+            t = f"often used word{chr(97 + i % 26)}{chr(97 + i // 26)} here"
+            assert p.texts([t])[0] == plain(pieces, t)
+            assert len(p) + len(p.older) <= 60
+        assert "often" in p or "often" in p.older
+    finally:
+        T.PIECES_KEPT = held
