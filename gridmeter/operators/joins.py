@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridmeter.functions.time import minute_of_day, weekday_flag
 from gridmeter.operators.keys import broadcast_small, require_unique
