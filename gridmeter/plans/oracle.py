@@ -684,16 +684,24 @@ n AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM r)
 SELECT d.p AS Period_Index, r.rep AS Rep_Period, CAST(n.i AS INTEGER) AS Rep_Period_Index FROM d JOIN r USING (c) JOIN n USING (rep)
 """
 
-# Lloyd's rounds as a recursion over (k, restart, day, cluster); distances to means
-# follow from the distances of pairs
-SQL["cluster_periods"] = f"""WITH RECURSIVE {_FEATURES},
+# extreme days, the others, and the distances of their pairs
+_POOL = f"""{_FEATURES},
 pday AS (SELECT h // 24 + 1 AS p, g, max(v) AS top, sum(v) AS total FROM lo GROUP BY 1, 2),
 ext AS (SELECT DISTINCT p FROM (
   SELECT arg_min(p, struct_pack(v := -top, p := p)) AS p FROM pday WHERE g = 'Load'
   UNION ALL SELECT arg_min(p, struct_pack(v := total, p := p)) FROM pday WHERE g = 'view'
   UNION ALL SELECT arg_min(p, struct_pack(v := total, p := p)) FROM pday WHERE g = 'click')),
 pool AS (SELECT * FROM feat WHERE p NOT IN (SELECT p FROM ext)),
-pairs AS (SELECT a.p, b.p AS q, sum((a.z - b.z) * (a.z - b.z)) AS d FROM pool a JOIN pool b USING (pos) GROUP BY 1, 2),
+pairs AS (SELECT a.p, b.p AS q, sum((a.z - b.z) * (a.z - b.z)) AS d FROM pool a JOIN pool b USING (pos) GROUP BY 1, 2)"""
+
+# the map of the days ``mem`` (p, rep) and the extreme ones, representatives numbered
+_MAP = """m AS (SELECT p, rep FROM mem UNION ALL SELECT p, p FROM ext),
+num AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM (SELECT DISTINCT rep FROM m))
+SELECT p AS Period_Index, rep AS Rep_Period, CAST(i AS INTEGER) AS Rep_Period_Index FROM m JOIN num USING (rep)"""
+
+# Lloyd's rounds as a recursion over (k, restart, day, cluster); distances to means
+# follow from the distances of pairs
+SQL["cluster_periods"] = f"""WITH RECURSIVE {_POOL},
 ks AS (SELECT range - (SELECT count(*) FROM ext) AS k FROM range(5, 8)),
 -- k-means++: a race of exponential times, weighted by the distance to the nearest centre before
 race AS (
@@ -724,12 +732,43 @@ fnear AS (SELECT k, r, p, c, d - avg(d) OVER (PARTITION BY k, r, c) / 2 AS d FRO
 cost AS (SELECT k, r, sum(d) AS cost FROM fnear GROUP BY 1, 2),
 win AS (SELECT k, arg_min(r, struct_pack(x := round(cost, 9), r := r)) AS r FROM cost GROUP BY k),
 rep AS (SELECT k, c, arg_min(p, struct_pack(d := round(d, 9), p := p)) AS rep FROM fnear JOIN win USING (k, r) GROUP BY 1, 2),
-mem AS (SELECT k, p, rep FROM fin JOIN win USING (k, r) JOIN rep USING (k, c)),
-worst AS (SELECT k, max(d) AS w FROM mem JOIN pairs ON pairs.p = mem.p AND pairs.q = mem.rep GROUP BY k),
+members AS (SELECT k, p, rep FROM fin JOIN win USING (k, r) JOIN rep USING (k, c)),
+worst AS (SELECT k, max(d) AS w FROM members JOIN pairs ON pairs.p = members.p AND pairs.q = members.rep GROUP BY k),
 pick AS (SELECT coalesce(min(k) FILTER (WHERE w <= 0.4 * 0.4 * 72), max(k)) AS k FROM worst),
-m AS (SELECT p, rep FROM mem WHERE k = (SELECT k FROM pick) UNION ALL SELECT p, p FROM ext),
-num AS (SELECT rep, row_number() OVER (ORDER BY rep) AS i FROM (SELECT DISTINCT rep FROM m))
-SELECT p AS Period_Index, rep AS Rep_Period, CAST(i AS INTEGER) AS Rep_Period_Index FROM m JOIN num USING (rep)
+mem AS (SELECT p, rep FROM members WHERE k = (SELECT k FROM pick)),
+{_MAP}
+"""
+
+# from one cluster on: rounds (r) until no day moves, then the farthest day becomes a
+# cluster of its own, until all are near or there are twelve besides the extreme days;
+# if a new cluster leaves another empty, the one before (prev) stands
+SQL["cluster_periods_inserted"] = f"""WITH RECURSIVE {_POOL},
+st AS (
+  SELECT 0 AS r, 1 AS k, p, 0::BIGINT AS c, 0::BIGINT AS prev, false AS fin FROM (SELECT DISTINCT p FROM pool)
+  UNION ALL
+  SELECT r, k, p, c, prev, fin FROM (
+    WITH now AS (SELECT * FROM st WHERE NOT fin),
+    cross_ AS (SELECT x.p, now.c, avg(d) AS d FROM now JOIN pairs x ON x.q = now.p GROUP BY x.p, now.c),
+    spread AS (SELECT c, avg(d) AS s FROM cross_ JOIN now USING (p, c) GROUP BY c),
+    dist AS (SELECT p, c, d - s / 2 AS d FROM cross_ JOIN spread USING (c)),
+    moved AS (SELECT p, arg_min(c, struct_pack(d := round(d, 9), c := c)) AS c2 FROM dist GROUP BY p),
+    reps AS (SELECT c, arg_min(p, struct_pack(d := round(d, 9), p := p)) AS rep FROM dist JOIN now USING (p, c) GROUP BY c),
+    own AS (SELECT now.*, c2, rep, pairs.d AS far, dense_rank() OVER (ORDER BY rep) - 1 AS place
+            FROM now JOIN moved USING (p) JOIN reps USING (c) JOIN pairs ON pairs.p = now.p AND pairs.q = rep),
+    all_ AS (SELECT bool_or(c <> c2) AND any_value(r) < 20 AS again, count(DISTINCT c) < any_value(k) AS lost,
+                    max(far) <= 0.4 * 0.4 * 72 OR any_value(k) >= (SELECT 15 - count(*) FROM ext) AS near,
+                    arg_min(p, struct_pack(d := -round(far, 9), p := p)) AS farthest FROM own)
+    SELECT CASE WHEN again THEN r + 1 ELSE 0 END AS r, CASE WHEN again OR lost OR near THEN k ELSE k + 1 END AS k, p,
+           CASE WHEN again THEN c2 WHEN lost THEN prev WHEN near THEN c WHEN p = farthest THEN k ELSE place END AS c,
+           CASE WHEN again OR lost OR near THEN prev ELSE c END AS prev, NOT again AND (lost OR near) AS fin
+    FROM own, all_
+  )
+),
+done AS (SELECT p, c FROM st WHERE fin),
+cross2 AS (SELECT x.p, done.c, avg(d) AS d FROM done JOIN pairs x ON x.q = done.p GROUP BY x.p, done.c),
+rep2 AS (SELECT c, arg_min(p, struct_pack(d := round(d, 9), p := p)) AS rep FROM (SELECT cross2.*, d - avg(d) OVER (PARTITION BY c) / 2 AS d2 FROM cross2 JOIN done USING (p, c)) GROUP BY c),
+mem AS (SELECT p, rep FROM done JOIN rep2 USING (c)),
+{_MAP}
 """
 
 SQL["extreme_periods_zone"] = f"""WITH {_SYS},
