@@ -73,12 +73,14 @@ class PieceCounts(dict):
             tokenizer.no_padding()
             self.size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
             self.apart = splits_at_blanks(path)
+            added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+            self.added = re.compile("|".join(map(re.escape, added))) if added else None
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.size = lambda t: len(model.encode(t, out_type=int))
-            self.apart = False
+            self.apart, self.added = False, None
 
     def __missing__(self, piece: str) -> int:
         n = self.size(piece)
@@ -91,6 +93,14 @@ class PieceCounts(dict):
     def text(self, text: str) -> int:
         if not self.apart:
             return self.size(text)
+        if self.added and self.added.search(text):
+            # an added token ends what stands before it, blanks too, and is one token
+            parts = self.added.split(text)
+            return sum(map(self.plain, parts)) + len(parts) - 1
+        return self.plain(text)
+
+    def plain(self, text: str) -> int:
+        """Tokens of a text without added tokens."""
         if len(text) < 1_000_000:
             return sum(map(self.__getitem__, PIECE.findall(text)))
         return sum(self[m.group()] for m in PIECE.finditer(text))

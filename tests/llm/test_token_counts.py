@@ -37,6 +37,11 @@ def test_pieces_give_the_counts_of_whole_texts(whole, text):
     assert COUNTS.text(text) == whole(text)
 
 
+def test_blanks_before_an_added_token(whole):
+    for text in ("\n\n<|endoftext|>", "  <|endoftext|>  a", "<|endoftext|>" * 3, " <|endoftext|>\n\n", "<|endoftext|", "a<|endoftext|>b \n"):
+        assert COUNTS.text(text) == whole(text), text
+
+
 def test_long_texts(whole):
     for text in ("word, other\n" * 90_000, "x" * 200_000, " " * 100_001 + "a" + "\n" * 7):
         assert PieceCounts(default_tokenizer()).text(text) == whole(text)
