@@ -12,11 +12,13 @@ buckets, and a speed meets the few segments of its type and bucket by an equi-jo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmeter.operators.keys import BROADCAST_GROUPS, SALTS, attach
+from gridmeter.operators.keys import BROADCAST_GROUPS, attach
 from gridmeter.session import checkpoint_dir
 
 # Fixed values of the study's turbine template: wind speed (m/s) knots and
@@ -103,16 +105,16 @@ def curve_segments(curves: DataFrame, by: Sequence[str], speed: str, kw: str, wi
 
 
 def curve_lookup(df: DataFrame, curves: DataFrame, by: Sequence[str], speed: str, curve_speed: str = "speed", curve_kw: str = "kw",
-                 width: float = 1.0, out: str = "kw", broadcast_rows: int = BROADCAST_GROUPS, salts: int = SALTS) -> DataFrame:
+                 width: float = 1.0, out: str = "kw", broadcast_rows: int = BROADCAST_GROUPS, share: int = 5_000) -> DataFrame:
     """T7 for a table of curves (``by``, ``curve_speed``, ``curve_kw``; knots of a
     curve differ): ``df`` with ``out``, linear between the knots of the row's
     curve, 0 outside them; null without a speed or without a curve.
 
     ``width`` is a bucket's, best about the distance of knots: a row meets the
     pieces of its curve that touch its bucket. Pieces are counted: up to
-    ``broadcast_rows`` are broadcast, so ``df`` doesn't move; more are repeated for
-    ``salts`` parts, into which rows are dealt, so that one type may hold a third of
-    the rows."""
+    ``broadcast_rows`` are broadcast, so ``df`` doesn't move. Of more, those of types
+    that hold over one in ``share`` of the rows are: such types are at most ``share``,
+    their rows don't move either, and no key of the others' join is large."""
     by = list(by)
     checkpoint_dir(df.sparkSession)
     pieces = curve_segments(curves, by, curve_speed, curve_kw, width).checkpoint(eager=True)
@@ -121,19 +123,21 @@ def curve_lookup(df: DataFrame, curves: DataFrame, by: Sequence[str], speed: str
     rows = rows.withColumn("_gm_s", F.col(speed).cast("double")).withColumn("_gm_rb", F.floor(F.col("_gm_s") / F.lit(float(width))).cast("long"))
     renamed = {k: f"_gm_c{i}" for i, k in enumerate(by)}
     right = pieces.withColumnsRenamed(renamed)
-    if pieces.count() <= broadcast_rows:
-        right = F.broadcast(right)
-        on = F.col("_gm_rb") == F.col("_gm_b")
-    else:
-        # the part is fixed by the row, so a task that runs again deals the same rows
-        rows = rows.withColumn("_gm_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
-        right = right.withColumn("_gm_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on = (F.col("_gm_rb") == F.col("_gm_b")) & (F.col("_gm_part") == F.col("_gm_salt"))
+    s, x0, x1 = F.col("_gm_s"), F.col("_gm_x0"), F.col("_gm_x1")
+    on = (F.col("_gm_rb") == F.col("_gm_b")) & (s >= x0) & ((s < x1) | (x1.isNull() & (s == x0)))
     for k, r in renamed.items():
         on = on & F.col(f"`{k}`").eqNullSafe(F.col(r))
-    s, x0, x1 = F.col("_gm_s"), F.col("_gm_x0"), F.col("_gm_x1")
-    on = on & (s >= x0) & ((s < x1) | (x1.isNull() & (s == x0)))
+    if pieces.count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(right), on, "left")
+    else:
+        held = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gm_rows")).checkpoint(eager=True)
+        total = held.agg(F.coalesce(F.sum("_gm_rows"), F.lit(0))).first()[0]
+        hot = F.broadcast(held.where(F.col("_gm_rows") > total / share).select(*[F.col(k).alias(f"_gm_h{i}") for i, k in enumerate(by)]))
+        same = lambda names: reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"_gm_h{i}")) for i, k in enumerate(names)])
+        far = right.join(hot, same(list(renamed.values())), "left_semi")
+        joined = rows.join(hot, same(by), "left_semi").join(F.broadcast(far), on, "left")
+        joined = joined.unionByName(rows.join(hot, same(by), "left_anti").join(right, on, "left"))
     y0, y1 = F.col("_gm_y0"), F.col("_gm_y1")
     inside = F.when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
     value = F.when(F.col("_gm_known").isNull() | s.isNull(), None).otherwise(F.coalesce(inside, F.lit(0.0)))
-    return rows.join(right, on, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != out], value.alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], value.alias(out))

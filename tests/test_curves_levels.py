@@ -24,7 +24,7 @@ def test_curve_lookup_equals_interpolation(spark, broadcast_rows, width):
     rows = [(i, types[i % 7], None if i % 31 == 0 else (knots[i % len(knots)][1] if i % 5 == 0 else float(rng.uniform(-8, 45)))) for i in range(800)]
     df = spark.createDataFrame(rows, "id int, type string, v double")
     table = spark.createDataFrame(knots, "type string, speed double, kw double")
-    got = {r.id: r.kw for r in curve_lookup(df, table, ["type"], "v", width=width, broadcast_rows=broadcast_rows, salts=3).collect()}
+    got = {r.id: r.kw for r in curve_lookup(df, table, ["type"], "v", width=width, broadcast_rows=broadcast_rows, share=4).collect()}
     assert len(got) == len(rows)
     for i, t, v in rows:
         c = curves.get(t) if t != "unknown" else None
