@@ -114,29 +114,35 @@ def curve_lookup(df: DataFrame, curves: DataFrame, by: Sequence[str], speed: str
     pieces of its curve that touch its bucket. Pieces are counted: up to
     ``broadcast_rows`` are broadcast, so ``df`` doesn't move. Of more, those of types
     that hold over one in ``share`` of the rows are: such types are at most ``share``,
-    their rows don't move either, and no key of the others' join is large."""
+    their rows don't move either, and no key of the others' join is large. All other
+    joins are told to merge: Spark's guess of a size doesn't count exploded rows, by
+    which it would broadcast any number of pieces."""
     by = list(by)
     checkpoint_dir(df.sparkSession)
     pieces = curve_segments(curves, by, curve_speed, curve_kw, width).checkpoint(eager=True)
-    known = curves.select(*by).distinct().withColumn("_gm_known", F.lit(True))
-    rows = attach(df, known, by, ["_gm_known"], how="left")
-    rows = rows.withColumn("_gm_s", F.col(speed).cast("double")).withColumn("_gm_rb", F.floor(F.col("_gm_s") / F.lit(float(width))).cast("long"))
     renamed = {k: f"_gm_c{i}" for i, k in enumerate(by)}
     right = pieces.withColumnsRenamed(renamed)
+    same = lambda names, mark: reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"{mark}{i}")) for i, k in enumerate(names)])
     s, x0, x1 = F.col("_gm_s"), F.col("_gm_x0"), F.col("_gm_x1")
-    on = (F.col("_gm_rb") == F.col("_gm_b")) & (s >= x0) & ((s < x1) | (x1.isNull() & (s == x0)))
-    for k, r in renamed.items():
-        on = on & F.col(f"`{k}`").eqNullSafe(F.col(r))
+    on = (F.col("_gm_rb") == F.col("_gm_b")) & (s >= x0) & ((s < x1) | (x1.isNull() & (s == x0))) & same(by, "_gm_c")
+
+    def looked_up(rows: DataFrame, found: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_gm_s", F.col(speed).cast("double")).withColumn("_gm_rb", F.floor(F.col("_gm_s") / F.lit(float(width))).cast("long"))
+        return rows.join(found, on, "left")
+
     if pieces.count() <= broadcast_rows:
-        joined = rows.join(F.broadcast(right), on, "left")
+        joined = looked_up(attach(df, curves.select(*by).distinct().withColumn("_gm_known", F.lit(True)), by, ["_gm_known"], how="left"), F.broadcast(right))
     else:
         held = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_gm_rows")).checkpoint(eager=True)
         total = held.agg(F.coalesce(F.sum("_gm_rows"), F.lit(0))).first()[0]
-        hot = F.broadcast(held.where(F.col("_gm_rows") > total / share).select(*[F.col(k).alias(f"_gm_h{i}") for i, k in enumerate(by)]))
-        same = lambda names: reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"_gm_h{i}")) for i, k in enumerate(names)])
-        far = right.join(hot, same(list(renamed.values())), "left_semi")
-        joined = rows.join(hot, same(by), "left_semi").join(F.broadcast(far), on, "left")
-        joined = joined.unionByName(rows.join(hot, same(by), "left_anti").join(right, on, "left"))
+        hot = F.broadcast(held.where(F.col("_gm_rows") > total / share).select(*[F.col(f"`{k}`").alias(f"_gm_h{i}") for i, k in enumerate(by)]))
+        known = curves.select(*[F.col(f"`{k}`").alias(f"_gm_k{i}") for i, k in enumerate(by)]).distinct().withColumn("_gm_known", F.lit(True))
+        far = right.join(hot, same(list(renamed.values()), "_gm_h"), "left_semi")
+        far = F.broadcast(far) if far.limit(broadcast_rows + 1).count() <= broadcast_rows else far.hint("merge")
+        types = known.join(hot, same([f"_gm_k{i}" for i in range(len(by))], "_gm_h"), "left_semi")
+        joined = looked_up(df.join(hot, same(by, "_gm_h"), "left_semi").join(F.broadcast(types), same(by, "_gm_k"), "left"), far)
+        rest = df.join(hot, same(by, "_gm_h"), "left_anti").join(known.hint("merge"), same(by, "_gm_k"), "left")
+        joined = joined.unionByName(looked_up(rest, right.hint("merge")))
     y0, y1 = F.col("_gm_y0"), F.col("_gm_y1")
     inside = F.when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (s - x0) / (x1 - x0))
     value = F.when(F.col("_gm_known").isNull() | s.isNull(), None).otherwise(F.coalesce(inside, F.lit(0.0)))

@@ -70,7 +70,8 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], cols: Sequence[
         else:
             # the salt is fixed by the row, so a task that runs again deals the same rows
             left = df.withColumn("_gm_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
-            right = table.withColumn("_gm_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            # Spark's guess of a size doesn't count the repeats: it would broadcast them
+            right = table.withColumn("_gm_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
             on = F.col("_gm_salt") == F.col("_gm_s")
         for k, r in zip(keys, renamed, strict=True):
             same = F.col(f"`{k}`").eqNullSafe(F.col(r))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridmeter.operators.aggregates import order_levels, ranks_of
 from gridmeter.operators.curves import curve_lookup
+from gridmeter.operators.keys import attach
 from gridmeter.sources.csv import read_ordered_csv, write_csv, write_ordered_csv
 from gridmeter.sources.results import scan_run_tree, scan_solver_wide, scan_templates
 
@@ -36,6 +37,23 @@ def test_curve_lookup_equals_interpolation(spark, broadcast_rows, width):
             assert got[i] == pytest.approx(exp, abs=1e-9)
 
 
+def test_many_pieces_are_not_broadcast_by_a_guess(spark):
+    """Exploded rows aren't in Spark's guess of a size: joins with more pieces or
+    types than ``broadcast_rows`` must not depend on it."""
+    parts = spark.range(2000).select(F.col("id").alias("type"), F.array(*[F.lit(float(x)) for x in range(30)]).alias("x"))
+    table = parts.select("type", F.posexplode("x").alias("kw", "speed"))
+    df = spark.range(4000).select((F.col("id") % 2100).alias("type"), (F.col("id") % 35).cast("double").alias("v"))
+    out = curve_lookup(df, table, ["type"], "v", broadcast_rows=1000, share=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # known types and pieces; broadcast are only the hot types and what belongs to them
+    assert sum("SortMergeJoin" in line and "LeftOuter" in line for line in plan.splitlines()) == 2
+    got = out.collect()
+    assert len(got) == 4000
+    assert all(r.kw == (None if r.type >= 2000 else r.v if r.v <= 29 else 0.0) for r in got)
+    big = attach(df, parts.select("type", F.lit(1).alias("one")), ["type"], ["one"], how="left", broadcast_groups=1000)
+    assert "BroadcastHashJoin" not in big._jdf.queryExecution().executedPlan().toString() and big.where("one = 1").count() == df.where("type < 2000").count()
+
+
 def test_order_levels_of_a_hundred_thousand_names(spark):
     names = [f"n{i:06d}" for i in range(100_000)]
     random.Random(1).shuffle(names)
