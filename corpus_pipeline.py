@@ -19,17 +19,20 @@ from gridmeter.llm.mixing import curriculum_mix
 from gridmeter.llm.near_dedup import drop_near
 from gridmeter.llm.packing import concat_and_cut
 from gridmeter.llm.toxicity import reject_toxic, train
+from gridmeter.session import bound_arrow_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the sentence model, learned from the labels outside the held-out
     fifth, doesn't reject."""
+    bound_arrow_batches(spark)
     labels = C.table(spark, sf_dir, "labels")
     return reject_toxic(docs, train(docs, labels, learn=id_remainder(labels["doc_id"], 5) != 0))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of byte-equal texts, that with the largest id."""
+    bound_arrow_batches(spark)
     return drop_exact(docs)
 
 
@@ -48,6 +51,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boundary records with their ids, in the order of the stream."""
+    bound_arrow_batches(spark)
     return concat_and_cut(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
