@@ -60,3 +60,16 @@ def test_run_is_the_stages_and_survives_odd_documents(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     C.table(spark, SF, "labels").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_dedup_writes_few_tables(spark, monkeypatch):
+    """A chain of near copies takes no rounds of tables: each file that a task writes
+    starts a process, and each new plan loads code that an executor keeps."""
+    names, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, name: names.append(name) or stored(df, name))
+    words = [f"w{i}" for i in range(355)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 60]), "en", "s", 0) for i in range(60)]  # neighbours differ by 10 edits of 12
+    docs = C.stored(spark.createDataFrame(rows, C.table(spark, SF, "documents").schema), "test-chain")
+    kept = P.near_dedup(spark, docs, SF).collect()
+    assert [r.doc_id for r in kept] == [0]
+    assert names.count("near-components") <= 6
